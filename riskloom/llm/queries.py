@@ -21,6 +21,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing}
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltree import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op7_html_extraction": op7_html_extraction, "op9_secrets": op9_secrets}
 
 ORACLES: dict[str, str] = {}
