@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -51,6 +52,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     _scratch.append((spark, path))
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files that only this table needed
     return spark.read.schema(schema).parquet(path)
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import blocks, raw_strings, spread, written
 
 WINDOW, GRAIN, MAX_QUEUES, WEIGHT_UNITS = 1024, 64, 256, 1_000_000
+#: A broadcast row takes under 40 bytes: 16 MB at most.
+MAX_BROADCAST_ROWS = 400_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
 
 
@@ -90,15 +92,15 @@ def tokenised(docs: DataFrame, tokenizer: str, queues: list[str | None]) -> Data
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("queue", pa.int32()), ("local_start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import PieceEncoder
+        from .tokens import encoder_of
 
-        encoder, part, sent = None, TaskContext.get().partitionId(), {}
+        part, sent = TaskContext.get().partitionId(), {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or PieceEncoder(tokenizer)
+            encoder = encoder_of(tokenizer)
             _, offsets = raw_strings(batch.column("text"))
-            for lo, hi in blocks(offsets, 2 << 20):
+            for lo, hi in blocks(offsets, 1 << 20):
                 piece = batch.slice(lo, hi - lo)
                 ids, counts = encoder.encode(["" if x is None else x for x in piece.column("text").to_pylist()])
                 data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
@@ -137,7 +139,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRA
     whole = sum(shares) or 1
     schedule = Schedule(totals, [max(1, round(WEIGHT_UNITS * x / whole)) for x in shares], grain, window)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = written(parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packing-base")
+    if base.count() <= MAX_BROADCAST_ROWS:  # else Spark joins by a shuffle
+        base = F.broadcast(base)
     out = pa.schema([(f, pa.int64()) for f in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("source", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

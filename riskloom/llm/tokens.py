@@ -7,6 +7,7 @@ different piece once; a text with characters outside FAST, or with a special tok
 from __future__ import annotations
 
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -49,16 +50,21 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted; start and count in the same order
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, keys: list[int], pieces: list[str]) -> None:
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.known.update(zip(keys, range(len(self.start), len(self.start) + len(keys))))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(counts.sum()))])
+        start = np.append(self.start, len(self.ids) + np.cumsum(counts) - counts)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())))
+        keys = np.append(self.keys, keys)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.start, self.count = keys[order], start[order], np.append(self.count, counts)[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        return at, (self.keys[np.minimum(at, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(len(keys), bool)
 
     def split(self, chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where pieces start. ends: the places of the END characters, one after each text."""
@@ -111,15 +117,13 @@ class PieceEncoder:
         text_no = np.searchsorted(ends, start)
         use = ~(is_end | slow[text_no])
         uniq, first, inverse = np.unique(key[use], return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
+        if len(self.keys) > self.most:
             self.forget()
-        keys = uniq.tolist()
-        places = np.flatnonzero(use)[first]
-        new = [(k, p) for k, p in zip(keys, places.tolist()) if k not in self.known]
-        if new:
-            self.learn([k for k, _ in new], [joined[start[p] : stop[p]] for _, p in new])
-        known = self.known
-        entry = np.fromiter((known[k] for k in keys), np.int64, len(keys))[inverse]
+        _, known = self.find(uniq)
+        if not known.all():
+            places = np.flatnonzero(use)[first[~known]]
+            self.learn(uniq[~known], [joined[i:j] for i, j in zip(start[places].tolist(), stop[places].tolist())])
+        entry = self.find(uniq)[0][inverse]
         ids_from, counts = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         ids_from[use], counts[use] = self.start[entry], self.count[entry]
         pool = [self.ids, np.array([self.end], np.int32)]
@@ -133,3 +137,14 @@ class PieceEncoder:
                 base += len(pool[-1])
         ids = np.concatenate(pool)[spread(ids_from, counts)]
         return ids, np.bincount(text_no, weights=counts, minlength=len(texts)).astype(np.int64)
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(path: str) -> PieceEncoder:
+    """This process's encoder: a worker's tasks share what it has learnt."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
