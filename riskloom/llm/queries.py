@@ -21,6 +21,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (with their doc_id) and pages (with their page_id), each identified on its own evidence; one trigram model."""
+    from .langid import document_rows, fit_text_model, identify, labelled_documents, page_rows
+
+    docs, pages = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
+    model = fit_text_model(labelled_documents(docs))
+    return identify(document_rows(docs), model).unionByName(identify(page_rows(pages), model), allowMissingColumns=True)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -45,6 +54,6 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_html_extraction": op7_html_extraction, "op9_secrets": op9_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_html_extraction": op7_html_extraction, "op9_secrets": op9_secrets}
 
 ORACLES: dict[str, str] = {}
