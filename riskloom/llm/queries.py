@@ -54,6 +54,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_html_extraction": op7_html_extraction, "op9_secrets": op9_secrets}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import deduplicated
+
+    return deduplicated(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_html_extraction": op7_html_extraction, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup}
 
 ORACLES: dict[str, str] = {}
