@@ -42,6 +42,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import deduplicated
+
+    return deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltree import extract
 
@@ -60,6 +66,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_html_extraction": op7_html_extraction, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_line_dedup": op5_line_dedup, "op7_html_extraction": op7_html_extraction, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup}
 
 ORACLES: dict[str, str] = {}
