@@ -48,12 +48,25 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltree import extract
 
     return extract(read_table(spark, sf_dir, "pages"))
 
 
+def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound: each turn of a conversation is a recording, whose bytes are the score."""
+    from .chroma import aligned
+
+    return aligned(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secretscan import scan
 
@@ -66,6 +79,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_line_dedup": op5_line_dedup, "op7_html_extraction": op7_html_extraction, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_line_dedup": op5_line_dedup, "op6_license_scan": op6_license_scan, "op7_html_extraction": op7_html_extraction, "op8_chroma_fingerprints": op8_chroma_fingerprints, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup}
 
 ORACLES: dict[str, str] = {}
