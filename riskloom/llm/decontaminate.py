@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mask_hashes, raw_strings, spread, words
+from .common import blocks, mask_hashes, raw_strings, spread, words, written
 
 # Three masks of 7 of 11 places.
 MASKS = ((0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 5, 6, 8, 10), (0, 1, 2, 5, 7, 8, 10))
@@ -149,7 +149,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
 NO_ID = -(1 << 63)
 
 
+#: Ids that are broadcast at most (8 bytes each).
+MAX_BROADCAST_IDS = 1_000_000
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a passage of the benchmark."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
+    """docs without the documents that hold a passage of the benchmark; of rows with one doc_id, all go if one does. Null ids stay."""
+    bad = written(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_IDS else bad
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
