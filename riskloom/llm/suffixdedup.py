@@ -27,10 +27,9 @@ from .common import BYTE_CODES, blocks, prefix_sums, range_hashes, raw_strings,
 LENGTH, GRAM = 400, 32
 #: Strings that are sorted together at most, unless one anchor has more; bytes of a text that are looked at together.
 BATCH, PIECE = 8192, 1 << 19
-#: Numbers in interval lists that are broadcast at most (32 MB); beyond that texts are shuffled.
-MAX_BROADCAST_NUMBERS = 4_000_000
 
-ANCHORS = "anchor bigint, k1 bigint, k2 bigint, start bigint, size int, shift int, string bigint"
+#: start: the first place of the string in the text; more: the other ones, where a text repeats it (null if it doesn't).
+ANCHORS = "anchor bigint, k1 bigint, k2 bigint, start bigint, size int, shift int, string bigint, n bigint, more array<bigint>"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -88,9 +87,22 @@ def anchored(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                     piece = whole[at : at + PIECE + length - 1] if hi == lo + 1 else whole
                     ends = np.array([0, len(piece)]) if hi == lo + 1 else offsets[lo : hi + 1] - offsets[lo]
                     doc, anchor, start, size, shift, string = anchors(piece, ends, length, gram)
+                    # Text that runs on in a short period has one string many times: one row for them.
+                    order = np.lexsort((start, string, anchor, doc))
+                    doc, anchor, start, size, shift, string = (x[order] for x in (doc, anchor, start, size, shift, string))
+                    new = np.ones(len(doc), bool)
+                    new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (string[1:] != string[:-1])
+                    head = np.flatnonzero(new)
+                    n = np.diff(np.append(head, len(doc)))
+                    more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - 1)), pa.int32()), pa.array(start[~new] + at, pa.int64()), mask=pa.array(n == 1))
+                    doc = doc[head]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor.view(np.int64)), pa.array(k1[lo + doc]), pa.array(k2[lo + doc]), pa.array(start + at), pa.array(size, pa.int32()), pa.array(shift, pa.int32()), pa.array(string.view(np.int64))], names=names
-                    )
+                        [
+                            pa.array(anchor[head].view(np.int64)), pa.array(k1[lo + doc]), pa.array(k2[lo + doc]), pa.array(start[head] + at), pa.array(size[head], pa.int32()),
+                            pa.array(shift[head], pa.int32()), pa.array(string[head].view(np.int64)), pa.array(n), more,
+                        ],
+                        names=names,
+                    )
 
     return keyed.mapInArrow(run, ANCHORS)
 
@@ -149,7 +161,7 @@ def covered(starts: np.ndarray, length: int) -> list[int]:
     return np.stack([lo, hi], axis=1).reshape(-1).tolist()
 
 
-def repeated_parts(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def repeated_parts(rows: DataFrame, length: int, gram: int, most: int = BATCH) -> DataFrame:
     """(anchor, string, parts) of rows (anchor, string, shift, data), dealt and sorted by anchor: what other strings share, as covered() says."""
     schema = pa.schema([("anchor", pa.int64()), ("string", pa.int64()), ("parts", pa.list_(pa.int64()))])
 
@@ -167,7 +179,7 @@ def repeated_parts(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             while batch.num_rows:
                 group = batch.column("anchor").to_numpy()
-                if n and n >= BATCH:  # go on to the end of the open anchor only
+                if n and n >= most:  # go on to the end of the open anchor only
                     last = held[-1].column("anchor")[-1].as_py()
                     end = int(np.argmax(group != last)) if (group != last).any() else len(group)
                     if end:
@@ -177,7 +189,7 @@ def repeated_parts(rows: DataFrame, length: int, gram: int) -> DataFrame:
                         continue
                     yield solve(held)
                     held, n = [], 0
-                take = min(batch.num_rows, max(1, BATCH - n))
+                take = min(batch.num_rows, max(1, most - n))
                 held.append(batch.slice(0, take))
                 n += take
                 batch = batch.slice(take)
@@ -194,20 +206,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2"), doc_id.alias("doc_id"), text.alias("text"))
 
 
-def joined(texts: DataFrame, lists: DataFrame, numbers: str, how: str, most: int) -> DataFrame:
-    """texts with the lists of their keys, broadcast behind a check of their size."""
-    lists = written(lists, "lists")
-    size = lists.agg(F.coalesce(F.sum(F.size(numbers) + 4), F.lit(0))).first()[0]
-    return texts.join(F.broadcast(lists) if size <= most else lists, ["k1", "k2"], how)
-
-
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, broadcast: int = MAX_BROADCAST_NUMBERS) -> DataFrame:
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH) -> DataFrame:
     """(k1, k2, cuts): for each document's key, flat start, end, ... byte ranges that windows which occur elsewhere cover, unmerged."""
     texts = keyed(docs)
-    dealt = anchored(texts.select("k1", "k2", "text"), length, gram).repartition("anchor")
-    often = dealt.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    seen = written(dealt.join(often.hint("shuffle_hash"), "anchor"), "anchors")
-    strings = written(seen.groupBy("anchor", "string").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "size", "shift")).alias("at")), "strings")
+    found = anchored(texts.select("k1", "k2", "text"), length, gram)
+    often = written(found.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor"), "anchors-often")
+    seen = written(found.join(often, "anchor", "left_semi"), "anchors")
+    strings = written(seen.groupBy("anchor", "string").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "start", "size", "shift")).alias("at")), "strings")
     several = strings.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
     others = strings.join(several, "anchor")
     asked = others.select(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.struct("anchor", "string", F.col("at.start").alias("start"), F.col("at.size").alias("size"), F.col("at.shift").alias("shift")).alias("one"))
@@ -228,14 +233,17 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, broadcast:
                 yield pa.RecordBatch.from_arrays([one.field("anchor"), one.field("string"), one.field("shift"), pa.array(pieces, pa.binary())], schema=schema)
 
     # A key may stand for several equal rows: each string is wanted once.
-    one_text = joined(texts.select("k1", "k2", "text"), asked, "asked", "inner", broadcast // 5)
+    one_text = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"])
     pieces = one_text.select("text", "asked").mapInArrow(cut, "anchor bigint, string bigint, shift int, data binary")
-    parts = repeated_parts(pieces.dropDuplicates(["anchor", "string"]).repartition("anchor").sortWithinPartitions("anchor"), length, gram)
+    parts = repeated_parts(pieces.dropDuplicates(["anchor", "string"]).repartition("anchor").sortWithinPartitions("anchor"), length, gram, batch)
     known = strings.join(written(parts, "parts"), ["anchor", "string"], "left")
     known = known.select("anchor", "string", "n", F.when(F.col("n") == 1, F.col("parts")).alias("parts")).where("n > 1 or size(parts) > 0")
-    cuts = seen.join(written(known, "known"), ["anchor", "string"])
-    lists = F.when(F.col("n") > 1, F.array(F.col("start"), F.col("start") + F.col("size"))).otherwise(F.transform("parts", lambda x: x + F.col("start")))
-    return cuts.select("k1", "k2", lists.alias("cuts")).groupBy("k1", "k2").agg(F.flatten(F.collect_set("cuts")).alias("cuts"))
+    cuts = seen.select("anchor", "string", "k1", "k2", "start", "size", "more").join(written(known, "known"), ["anchor", "string"])
+    own = F.when(F.col("n") > 1, F.array(F.lit(0).cast("bigint"), F.col("size").cast("bigint"))).otherwise(F.col("parts"))
+    starts = F.when(F.col("more").isNull(), F.array("start")).otherwise(F.concat(F.array("start"), "more"))
+    cuts = cuts.select("k1", "k2", own.alias("own"), starts.alias("starts"))
+    cuts = cuts.select("k1", "k2", F.flatten(F.transform("starts", lambda s: F.transform("own", lambda x: x + s))).alias("cuts"))
+    return cuts.groupBy("k1", "k2").agg(F.flatten(F.collect_set("cuts")).alias("cuts"))
 
 
 def merged(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +257,7 @@ def merged(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[heads], hi[np.append(heads[1:], len(lo)) - 1]
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, broadcast: int = MAX_BROADCAST_NUMBERS) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH) -> DataFrame:
     """Each row of docs (doc_id, text; more columns are ignored) without the bytes that a string of `length` bytes covers which also starts elsewhere.
 
     Strings are judged on the whole UTF-8 texts as they come, matches in one document and overlapping ones included; none
@@ -259,8 +267,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, broadc
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must be from 1 to length")
-    lists = removals(docs, length, gram, broadcast)
-    rows = joined(keyed(docs), lists, "cuts", "left", broadcast).select("doc_id", "text", "cuts")
+    lists = written(removals(docs, length, gram, batch), "cuts")
+    rows = keyed(docs).join(lists, ["k1", "k2"], "left").select("doc_id", "text", "cuts")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,11 +40,11 @@ def corpus(seed):
     return docs + ["a" * 200, "", None, "abc" * 30, "x" * 19, "".join(word() for _ in range(3000)), docs[0], docs[0]]
 
 
-@pytest.mark.parametrize("broadcast", [suffixdedup.MAX_BROADCAST_NUMBERS, -1])
-def test_equal_to_brute_force(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize("batch", [suffixdedup.BATCH, 3])
+def test_equal_to_brute_force(spark, batch):
     docs = list(enumerate(corpus(3)))
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id bigint, text string, n_bytes int").repartition(5)
-    got = deduplicated(df, length=20, gram=5, broadcast=broadcast)
+    got = deduplicated(df, length=20, gram=5, batch=batch)
     rows = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect())
     assert rows == brute([(i, (t or "").encode()) for i, t in docs], 20)
 
