@@ -4,11 +4,11 @@ A line is the set of its words (runs of non-blanks in lower case). Lines with eq
 line. Leaders are joined on Jaccard >= 4/5: words are put in order of rarity (all words fall into 4096 hash buckets, which
 are ranked by their counts over all lines; within a bucket by hash), a line is listed under the words of its prefix
 of n - ceil(4n/5) + 1, and lines that share a listed word are compared if the length filter, the positional filter and
-a parity sketch of 32 bits let them pass. What passes is verified on the whole sets. A line goes if an earlier one, in order of
+parity sketches of 32 and 64 bits let them pass. What passes is verified on the whole sets. A line goes if an earlier one, in order of
 doc_id and place, matches it.
 
-Groups of up to GROUP lines under a word are compared pair by pair. In larger ones each line is compared with the group's
-first; only lines that this doesn't settle are then compared with the others before them.
+Each line is compared with the first line under each of its words; only lines that this doesn't settle are then compared
+with the others before them, so copies of one line make no pairs among themselves.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Lines under a word that are compared pair by pair; settled lines that are broadcast at most (16 bytes each).
-GROUP, MAX_BROADCAST_SETTLED = 64, 500_000
+#: Lines whose places are broadcast at most (16 bytes each); beyond that Spark joins by a shuffle.
+MAX_BROADCAST_SETTLED = 500_000
 BUCKET_BITS = 12
 _NO_ID = -(1 << 63)
 #: Sizes up to this are a band each; beyond it, bands grow by a factor.
@@ -27,9 +27,17 @@ _EXACT, _GROWTH = 12, 2.5
 _MOST16 = 65_535
 
 
+def words_of(line: Column) -> Column:
+    """The words, as often as they come, and maybe empty strings between them."""
+    return F.split(F.translate(F.lower(line), "\t\n\x0b\x0c\r", "     "), " ")
+
+
 def word_hashes(line: Column) -> Column:
-    words = F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.transform(F.array_distinct(F.array_remove(words_of(line), "")), lambda w: F.xxhash64(w))
+
+
+def is_blank(line: Column) -> Column:
+    return F.translate(line, " \t\n\x0b\x0c\r", "") == ""
 
 
 def band(n: Column) -> Column:
@@ -52,15 +60,16 @@ def lines_of(rows: DataFrame) -> DataFrame:
 
 def leaders(lines: DataFrame) -> DataFrame:
     """doc, ln, line of the first line of each set of words."""
-    hashed = lines.withColumn("h", F.sort_array(word_hashes(F.col("line")))).where(F.size("h") > 0)
-    keyed = hashed.select(F.xxhash64("h").alias("c1"), F.xxhash64(F.lit(1), "h").alias("c2"), F.struct("doc", "ln", "line").alias("x"))
-    return keyed.groupBy("c1", "c2").agg(F.min("x").alias("x")).select("x.doc", "x.ln", "x.line")
+    hashed = lines.select("doc", "ln", "line", F.sort_array(word_hashes(F.col("line"))).alias("h"))
+    keyed = hashed.select(F.xxhash64("h").alias("c1"), F.xxhash64(F.lit(1), "h").alias("c2"), F.size("h").alias("n"), F.struct("doc", "ln", "line").alias("x"))
+    # Lines without words go last: a filter below would hash each line twice.
+    return keyed.groupBy("c1", "c2").agg(F.min("x").alias("x"), F.max("n").alias("n")).where("n > 0").select("x.doc", "x.ln", "x.line")
 
 
 def rarity(first: DataFrame) -> list[int]:
     """The rank of each bucket of words, the rarest first."""
-    bucket = F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int").alias("bucket")
-    counts = dict(map(tuple, first.select(F.explode(word_hashes(F.col("line"))).alias("h")).groupBy(bucket).count().collect()))  # 4096 rows
+    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).cast("int").alias("bucket")
+    counts = dict(map(tuple, first.select(F.explode_outer(words_of(F.col("line"))).alias("w")).where("w <> ''").groupBy(bucket).count().collect()))  # 4096 rows
     order = sorted(range(1 << BUCKET_BITS), key=lambda b: (counts.get(b, 0), b))
     rank = [0] * len(order)
     for r, b in enumerate(order):
@@ -70,26 +79,31 @@ def rarity(first: DataFrame) -> list[int]:
 
 def coded(line: Column, rank: list[int]) -> Column:
     """The words of a line as numbers in order of rarity: a bucket's rank takes the bucket's bits of the hash."""
-    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
-    low = (1 << (64 - BUCKET_BITS)) - 1
-    code = lambda h: F.shiftleft(F.get(ranks, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")) - (1 << (BUCKET_BITS - 1)), 64 - BUCKET_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
-    return F.sort_array(F.transform(word_hashes(line), code))
+    # moved[b] turns the upper bits of a hash in bucket b into those of its rank.
+    half = 1 << (BUCKET_BITS - 1)
+    moved = [((b ^ r ^ half) << (64 - BUCKET_BITS)) for b, r in enumerate(rank)]
+    table = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in moved)), ",").cast("array<bigint>")
+    return F.sort_array(F.transform(word_hashes(line), lambda h: h.bitwiseXOR(F.get(table, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")))))
 
 
 def listed(first: DataFrame, rank: list[int]) -> DataFrame:
     """key (of a word and a band), doc, ln and meta (sketch, size, place of the word, whether the band is the line's own)."""
-    rows = first.select("doc", "ln", coded(F.col("line"), rank).alias("codes")).withColumn("n", F.size("codes")).where("n >= 4")  # smaller sets match equal ones alone
+    rows = first.select("doc", "ln", coded(F.col("line"), rank).alias("codes"))
     sketch = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, 7).bitwiseAND(F.lit(31)).cast("int"))))
-    need = F.ceil(F.col("n") * 4 / 5).cast("int")
-    rows = rows.select("doc", "ln", "n", sketch.alias("sketch"), band(F.col("n")).alias("own"), band(need).alias("lowest"), F.slice("codes", F.lit(1), F.col("n") - need + 1).alias("prefix"))
-    rows = rows.select("doc", "ln", "n", "sketch", "own", "lowest", F.posexplode("prefix").alias("pos", "code"))
-    rows = rows.select("*", F.explode(F.sequence("lowest", "own")).alias("band"))
+    wide = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, 17).bitwiseAND(F.lit(63)).cast("int"))))
+    n = F.size("codes")
+    need = F.ceil(n * 4 / 5).cast("int")
+    length = F.when(n >= 4, n - need + 1).otherwise(0)  # smaller sets match equal ones alone
+    rows = rows.select("doc", "ln", n.alias("n"), sketch.alias("sketch"), wide.alias("wide"), band(n).alias("own"), band(need).alias("lowest"), F.slice("codes", F.lit(1), length).alias("prefix"))
+    # Outer generators: for inner ones Spark would look at the array twice to filter rows.
+    rows = rows.select("doc", "ln", "n", "sketch", "wide", "own", "lowest", F.posexplode_outer("prefix").alias("pos", "code"))
+    rows = rows.select("*", F.explode_outer(F.sequence("lowest", "own")).alias("band")).where("pos is not null")
     meta = F.shiftleft("sketch", 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(_MOST16)).cast("bigint"), 16)).bitwiseOR(F.shiftleft(F.least("pos", F.lit(32_767)).cast("bigint"), 1)).bitwiseOR((F.col("band") == F.col("own")).cast("bigint"))
-    return rows.select(F.xxhash64("code", "band").alias("key"), "doc", "ln", meta.alias("meta"))
+    return rows.select(F.xxhash64("code", "band").alias("key"), "doc", "ln", meta.alias("meta"), "wide")
 
 
-def may_match(a: Column, b: Column) -> Column:
-    """The filters on two metas: a band of one's own, length, place and sketch."""
+def may_match(a: Column, b: Column, wide_a: Column, wide_b: Column) -> Column:
+    """The filters on two metas: a band of one's own, length, place, and the sketches of 32 and 64 bits."""
     size = lambda m: F.shiftrightunsigned(m, 16).bitwiseAND(F.lit(_MOST16))
     place = lambda m: F.shiftrightunsigned(m, 1).bitwiseAND(F.lit(32_767))
     na, nb, pa, pb = size(a), size(b), place(a), place(b)
@@ -97,7 +111,8 @@ def may_match(a: Column, b: Column) -> Column:
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
     most = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)  # words in common, at most
     placed = 9 * most >= 4 * (na + nb)
-    bits = 9 * F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= na + nb
+    # Sketches of other bits of the hashes: neither has more odd bits than there are differing words.
+    bits = (9 * F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= na + nb) & (9 * F.bit_count(wide_a.bitwiseXOR(wide_b)) <= na + nb)
     return own & (((na == _MOST16) | (nb == _MOST16)) | (length & placed & bits))
 
 
@@ -105,47 +120,49 @@ def earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}.doc") < F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.ln") < F.col(f"{b}.ln")))
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.col(f"{a}.doc").alias("d1"), F.col(f"{a}.ln").alias("l1"), F.col(f"{b}.doc").alias("d2"), F.col(f"{b}.ln").alias("l2")]
-
-
-def matched(pairs: DataFrame, first: DataFrame) -> DataFrame:
+def matched(pairs: DataFrame, first: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
     """(doc, ln) of the later lines of pairs (d1, l1, d2, l2) whose whole sets match."""
+    pairs = written(pairs.distinct(), "line-pairs")
+    asked = written(pairs.select(F.col("d1").alias("doc"), F.col("l1").alias("ln")).unionByName(pairs.select(F.col("d2").alias("doc"), F.col("l2").alias("ln"))).distinct(), "lines-asked")
+    first = first.join(F.broadcast(asked) if asked.count() <= broadcast else asked, ["doc", "ln"], "left_semi")
     a = first.select(F.col("doc").alias("d1"), F.col("ln").alias("l1"), F.col("line").alias("line1"))
     b = first.select(F.col("doc").alias("d2"), F.col("ln").alias("l2"), F.col("line").alias("line2"))
-    both = pairs.distinct().join(a, ["d1", "l1"]).join(b, ["d2", "l2"]).select("d2", "l2", word_hashes(F.col("line1")).alias("h1"), word_hashes(F.col("line2")).alias("h2"))
-    common = F.size(F.array_intersect("h1", "h2"))
-    return written(both.where(9 * common >= 4 * (F.size("h1") + F.size("h2"))).select(F.col("d2").alias("doc"), F.col("l2").alias("ln")).distinct(), "lines-matched")
+    both = pairs.join(a, ["d1", "l1"]).join(b, ["d2", "l2"]).select("d2", "l2", word_hashes(F.col("line1")).alias("h1"), word_hashes(F.col("line2")).alias("h2"))
+    both = both.select("d2", "l2", F.size(F.array_intersect("h1", "h2")).alias("common"), (F.size("h1") + F.size("h2")).alias("sizes"))
+    both = written(both, "lines-compared")  # a filter on top would hash both lines once more
+    return written(both.where(9 * F.col("common") >= 4 * F.col("sizes")).select(F.col("d2").alias("doc"), F.col("l2").alias("ln")).distinct(), "lines-matched")
 
 
-def repeats(first: DataFrame, group: int = GROUP, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
+def repeats(first: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
     """(doc, ln) of the leaders that an earlier leader matches."""
-    rank = rarity(first)
-    dealt = listed(first, rank).repartition("key")
-    counts = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = dealt.join(counts.hint("shuffle_hash"), "key")
-    few = shared.where(F.col("n") <= group)
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier("a", "b") & may_match(F.col("a.meta"), F.col("b.meta"))).select(*_pair("a", "b"), F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("meta"))
-    many = shared.where(F.col("n") > group).select(F.lit(None).cast("bigint").alias("d1"), F.lit(None).cast("int").alias("l1"), F.col("doc").alias("d2"), F.col("ln").alias("l2"), "key", "meta")
-    both = written(pairs.unionByName(many), "lines-shared")  # one reading of the lines and one exchange for both
-    found = matched(both.where("key is null").select("d1", "l1", "d2", "l2"), first)
-
-    def unsettled(rows: DataFrame, settled: DataFrame) -> DataFrame:
-        settled = settled.select("doc", "ln").distinct()
-        return rows.join(F.broadcast(settled) if settled.count() <= broadcast else settled, ["doc", "ln"], "left_anti")
-
-    many = both.where("key is not null").select("key", F.col("d2").alias("doc"), F.col("l2").alias("ln"), "meta")
-    heads = many.where(F.col("meta").bitwiseAND(F.lit(1)) == 1).groupBy("key").agg(F.min(F.struct("doc", "ln", "meta")).alias("x")).select("key", "x.*")
-    a, b = heads.alias("a"), unsettled(many, found).alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier("a", "b") & may_match(F.col("a.meta"), F.col("b.meta"))).select(*_pair("a", "b"))
-    found = found.unionByName(matched(pairs, first))
-    a, b = many.alias("a"), unsettled(many, found).alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier("a", "b") & may_match(F.col("a.meta"), F.col("b.meta"))).select(*_pair("a", "b"))
-    return found.unionByName(matched(pairs, first)).distinct()
-
-
-def deduplicated(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    own = F.col("meta").bitwiseAND(F.lit(1))
+    group = Window.partitionBy("key").orderBy(own.desc(), "doc", "ln")  # the first line of the word's own band comes first
+    rows = listed(first, rarity(first)).withColumns({"n": F.count("*").over(Window.partitionBy("key")), "head": F.first(F.struct("doc", "ln", "meta", "wide")).over(group)})
+    shared = written(rows.where((F.col("n") > 1) & (F.col("head.meta").bitwiseAND(F.lit(1)) == 1)).select("key", "doc", "ln", "meta", "wide", "n", F.col("head.doc").alias("hd"), F.col("head.ln").alias("hl"), F.col("head.meta").alias("hm"), F.col("head.wide").alias("hw")), "lines-shared")
+
+    # Each line against the first of its word.
+    after = (F.col("hd") < F.col("doc")) | ((F.col("hd") == F.col("doc")) & (F.col("hl") < F.col("ln")))
+    other = (F.col("hd") != F.col("doc")) | (F.col("hl") != F.col("ln"))
+    near = shared.where(other & may_match(F.col("hm"), F.col("meta"), F.col("hw"), F.col("wide"))).select(
+        F.when(after, F.col("hd")).otherwise(F.col("doc")).alias("d1"), F.when(after, F.col("hl")).otherwise(F.col("ln")).alias("l1"), F.when(after, F.col("doc")).otherwise(F.col("hd")).alias("d2"), F.when(after, F.col("ln")).otherwise(F.col("hl")).alias("l2")
+    )
+    found = matched(near, first, broadcast)
+
+    # What that doesn't settle, against all others before it. Lines that match share many words of their prefixes, at least
+    # 1 + (words in common that it takes) - ceil(4/5 of the larger size): pairs with fewer are not looked at.
+    settled = F.broadcast(found) if found.count() <= broadcast else found
+    rows = shared.select("key", "doc", "ln", "meta", "wide")
+    a, b = rows.alias("a"), rows.join(settled, ["doc", "ln"], "left_anti").select("key", "doc", "ln", "meta", "wide").alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier("a", "b") & may_match(F.col("a.meta"), F.col("b.meta"), F.col("a.wide"), F.col("b.wide")))
+    size = lambda m: F.shiftrightunsigned(m, 16).bitwiseAND(F.lit(_MOST16))
+    na, nb = size(F.col("a.meta")), size(F.col("b.meta"))
+    need = F.when((na == _MOST16) | (nb == _MOST16), 1).otherwise(1 + F.ceil(4 * (na + nb) / 9) - F.ceil(4 * F.greatest(na, nb) / 5))
+    pairs = pairs.select(F.col("a.doc").alias("d1"), F.col("a.ln").alias("l1"), F.col("b.doc").alias("d2"), F.col("b.ln").alias("l2"), need.cast("bigint").alias("need"))
+    pairs = pairs.groupBy("d1", "l1", "d2", "l2").agg(F.count("*").alias("words"), F.max("need").alias("need")).where("words >= need").select("d1", "l1", "d2", "l2")
+    return found.unionByName(matched(pairs, first, broadcast)).distinct()
+
+
+def deduplicated(docs: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
     """docs (doc_id, text; other columns stay as they are, but for n_lines and n_removed) with text rid of lines that an earlier line matches, and n_lines, n_removed.
 
     Lines end at \\n. A line without words stays. Of lines that match, the first stays, by doc_id (null ids first), then place;
@@ -156,8 +173,8 @@ def deduplicated(docs: DataFrame, group: int = GROUP) -> DataFrame:
     rows, single = numbered(docs)
     lines = lines_of(rows)
     first = written(leaders(lines), "lines-first")
-    kept = first.join(repeats(first, group), ["doc", "ln"], "left_anti")
-    blank = lines.where(F.size(word_hashes(F.col("line"))) == 0).select("doc", "ln", "line")
+    kept = first.join(repeats(first, broadcast), ["doc", "ln"], "left_anti")
+    blank = lines.where(is_blank(F.col("line"))).select("doc", "ln", "line")
     kept = kept.unionByName(blank)
     kept = kept.withColumn("base", F.lit(0)) if single else kept.join(lines.select("doc", "base", "ln"), ["doc", "ln"])
     texts = kept.groupBy("doc", "base").agg(F.sort_array(F.collect_list(F.struct("ln", "line"))).alias("x"))

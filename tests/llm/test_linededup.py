@@ -46,11 +46,11 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("group", [64, 2])
-def test_equal_to_brute_force(spark, group):
+@pytest.mark.parametrize("broadcast", [500_000, -1])
+def test_equal_to_brute_force(spark, broadcast):
     docs = list(enumerate(corpus(4)))
     df = spark.createDataFrame([(i, t, "s", 7) for i, t in docs], "doc_id bigint, text string, ln string, n_lines int").repartition(5)
-    got = deduplicated(df, group)
+    got = deduplicated(df, broadcast)
     assert got.columns == ["doc_id", "text", "ln", "n_lines", "n_removed"]
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == brute(docs)
     assert not [x for x in got._jdf.queryExecution().toString().split() if "Python" in x or "Arrow" in x]
