@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,8 +54,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files that only this table needed
+    for _ in range(2):  # lets Spark delete the shuffle files that only this table needed, before the next one writes its own
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.15)
     return spark.read.schema(schema).parquet(path)
 
 
