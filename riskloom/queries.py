@@ -419,16 +419,6 @@ def stability_pcs(s, d):
     return select.stability(models.stability_runs(X.snapshot(s, d), FEATURES), 2)
 
 
-@query
-def model_search(s, d):
-    return models.search(X.snapshot(s, d), FEATURES)
-
-
 @query
 def l1_importance(s, d):
     return models.l1_importance(X.snapshot(s, d), FEATURES)[0]
-
-
-@query
-def permutation_importance(s, d):
-    return models.permutation_importance(X.snapshot(s, d), FEATURES[:3])
