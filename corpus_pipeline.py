@@ -15,6 +15,8 @@ from riskloom.llm import decontaminate, langid, linededup, packing, partenum
 from riskloom.llm.common import read_table, written
 from riskloom.llm.queries import tokenizer_path
 
+#: Near duplicates share this percentage, or more, of their shingles of so many words; op4_ngram_jaccard has its own rule.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -32,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one whose doc_id names it; of rows with that doc_id, the one with the least hash."""
     docs = docs.select(*COLUMNS)
-    groups = partenum.near_duplicates(docs)
+    groups = partenum.near_duplicates(docs, NEAR_PERCENT, NEAR_SHINGLE)
     gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     gone = F.broadcast(gone) if gone.count() <= partenum.MAX_BROADCAST_IDS else gone
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets of 4-word shingles link when 100 |A n B| >= 85 |A u B|. Sizes are cut into bands; within a band whose largest size is
+Sets of shingles (4 words, unless told otherwise) link when 100 |A n B| >= percent |A u B| (85, so here). Sizes are cut into bands; within a band whose largest size is
 r, linked sets differ in at most k = floor(30 r / 185) elements. The domain is dealt by a hash into k + 1 + c partitions,
 so linked sets agree on at least c + 1 of them, and a signature (band, partition, content) is shared. The spare
 c pays for leaving out the subsets that say little: a set skips its partitions of under m elements for the largest m with
@@ -103,7 +103,7 @@ def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray, percent: int = P
     return who[unit[keep]], sig[keep]
 
 
-def described(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n, class, sketch and signatures of each document; the signatures once for each class that a task meets."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
     step = SKETCH_BITS // 64
@@ -114,7 +114,7 @@ def described(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             data, offsets = raw_strings(batch.column("text"))
             for lo, hi in blocks(offsets):
                 at = offsets[lo : hi + 1] - offsets[lo]
-                doc, key = shingle_sets(data[offsets[lo] : offsets[hi]], at)
+                doc, key = shingle_sets(data[offsets[lo] : offsets[hi]], at, size)
                 rows = hi - lo
                 n = np.bincount(doc, minlength=rows)
                 has = np.flatnonzero(n)
@@ -158,7 +158,7 @@ def may_link(a: str, b: str, percent: int = PERCENT):
     return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The pairs (a, b, doc_a, doc_b) whose sets link, counted from the whole texts."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.col("doc_a").alias("id")).unionByName(pairs.select(F.col("doc_b").alias("id"))).distinct(), "pair-ids")
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
             _, offsets = raw_strings(batch.column("text_a"))
             for lo, hi in blocks(offsets):
                 part = batch.slice(lo, hi - lo)
-                sets = [shingle_sets(*raw_strings(part.column(c))) for c in ("text_a", "text_b")]
+                sets = [shingle_sets(*raw_strings(part.column(c)), size) for c in ("text_a", "text_b")]
                 doc, key = (np.concatenate(x) for x in zip(*sets))
                 order = np.lexsort((key, doc))
                 doc, key = doc[order], key[order]
@@ -187,14 +187,14 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id of each row of docs (doc_id, text; more columns are ignored).
 
-    component_id is the least doc_id that links lead to, class_id the least doc_id with an equal set. Null or empty text, and
+    Sets of shingles of size words link at percent or more. component_id is the least doc_id that links lead to, class_id the least doc_id with an equal set. Null or empty text, and
     text without words, is an empty set, which links with nothing. Rows that repeat share a component. An empty table
     gives no rows.
     """
-    rows = written(described(docs, percent), "sets")
+    rows = written(described(docs, percent, size), "sets")
     classes = written(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     dealt = rows.select(F.explode("sigs").alias("sig"), "class").repartition("sig")
     shared = dealt.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     a, b = known.alias("a"), known.alias("b")
     pairs = best.alias("p").join(a, F.col("p.a") == F.col("a.class")).join(b, F.col("p.b") == F.col("b.class")).where(may_link("a", "b", percent))
     pairs = pairs.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
-    links = verified(pairs, docs, percent)
+    links = verified(pairs, docs, percent, size)
     labels = components(links)
 
     # Second round: what shares a signature across components.
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent))
     pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct()
-    links = links.unionByName(verified(pairs, docs, percent))
+    links = links.unionByName(verified(pairs, docs, percent, size))
     labels = components(links)
 
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "doc", F.coalesce("label", "class").alias("label"))
