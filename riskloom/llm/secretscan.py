@@ -1,16 +1,19 @@
 """Secret scans: patterns with fixed spans, and strings that a primed compressor can't predict.
 
-A candidate of the second kind is a long mixed string behind a sensitive word. Its novelty is its marginal size: the
-bytes that zstandard needs for it, primed with a raw dictionary of the code around it (without the candidate) and of common
-identifiers, less the bytes for nothing. Ordinary identifiers, paths and repeated values cost few bytes; keys cost
-nearly all their bits.
+A candidate of the second kind is a long mixed string behind a sensitive word, or in a PEM private key. Its novelty is its
+marginal size: the bytes that zstandard needs for it, primed with a raw dictionary of the code around it (without any copy
+of the candidate) and of common identifiers, less the bytes for nothing, as a share of the bytes that random characters of its
+alphabet need. Ordinary identifiers and paths cost few bytes; keys cost nearly all their bits. A key that stands
+again nearby is found too, as one of the kind repeated: it is no novel one, as its document foretells it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +26,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-KINDS = ("assign", "access", "hex", "novel")
+KINDS = ("assign", "access", "hex", "novel", "repeated")
 
 #: Words whose neighbourhood makes a long string a candidate.
 SENSITIVE = re.compile(r"(?:private|access|auth|bearer|cookie|credential|encryption|key|login|pass|pin|pwd|salt|secret|session|signature|signing|token|webhook)", re.ASCII | re.IGNORECASE)
@@ -45,7 +48,10 @@ IDENTIFIERS = (
     "transform true type undefined update upload user username utils validate value variable version virtual void webhook while "
     "window worker write abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 _id _key _name .com .org www. "
 )
-#: A candidate's sensitive word stands at most so many characters before it, on its line; so many bytes around it prime the compressor.
+#: The inside of a PEM private key, to its end line or the end of the text, and the lines of its body.
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\Z)", re.DOTALL)
+PEM_LINE = re.compile(r"^[\x20\t]*([A-Za-z0-9+/]+=*)[\x20\t\r]*$", re.MULTILINE)
+#: A candidate's sensitive word stands at most so many characters before it, runs of space and line ends counting one; so many bytes around it prime the compressor.
 NEAR, AROUND, NOVELTY = 48, 2048, 0.72
 #: Runs of text without any of these hold no match of ACCESS; runs of 24 hexadecimal digits are looked for after a translation.
 _HEX = bytes(ord("h") if chr(c) in "0123456789abcdef" else 0x20 for c in range(256))
@@ -63,28 +69,61 @@ def base_spans(text: str, hexes: bool = True) -> list[Span]:
     return out
 
 
-def novelty(candidate: bytes, around: bytes) -> float:
-    """Marginal compressed bytes of candidate, a byte, with around and the identifiers as a raw dictionary."""
+def alphabet(candidate: bytes) -> bytes:
+    """The characters that a random string like candidate has: hexadecimal digits of one case, or the classes that occur."""
+    for digits in (b"0123456789abcdef", b"0123456789ABCDEF"):
+        if not candidate.strip(digits):
+            return digits
+    kinds = (b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"+/_.=~-")
+    return b"".join(k for k in kinds if any(c in k for c in candidate)) or kinds[0]
+
+
+def marginal(candidate: bytes, around: bytes) -> int:
+    """Marginal compressed bytes of candidate, with around and the identifiers as a raw dictionary."""
     import zstandard as zstd
 
     primed = zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(IDENTIFIERS.encode() + around, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
-    return (len(primed.compress(candidate)) - len(primed.compress(b""))) / max(1, len(candidate))
+    return len(primed.compress(candidate)) - len(primed.compress(b""))
+
+
+@lru_cache(maxsize=4096)
+def random_size(characters: bytes, n: int) -> int:
+    """Marginal compressed bytes of n random characters: their entropy, as far as the compressor gets there; n at most."""
+    rng = random.Random(n)
+    return max(1, min(n, marginal(bytes(rng.choices(characters, k=n)), b"")))
+
+
+def novelty(candidate: bytes, around: bytes) -> float:
+    """Marginal compressed bytes of candidate, against those of random characters of its alphabet."""
+    return marginal(candidate, around) / random_size(alphabet(candidate), len(candidate))
 
 
 def novel_spans(text: str, taken: list[Span], least: float = NOVELTY) -> list[Span]:
-    """Incompressible strings in a sensitive context that no span of taken overlaps."""
+    """Incompressible strings in a sensitive context that no span of taken overlaps; those that are so but for copies nearby are repeated."""
     out = []
     held = sorted((s, e) for s, _, e, _ in taken)
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        word = m[0]
-        if not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)) or word.count(".") > 3 or "://" in word:
+    inside = [m.span(1) for m in PEM.finditer(text)] if "PRIVATE KEY" in text else []
+    found = {m.span(): False for m in CANDIDATE.finditer(text)}
+    for a, b in inside:  # lines of a key's body, whatever their length and characters
+        lines = [m.span(1) for m in PEM_LINE.finditer(text[a:b])]
+        found |= {(a + s, a + e): True for s, e in lines}
+    for (s, e), body in sorted(found.items()):
+        word = text[s:e]
+        if not body and (not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)) or word.count(".") > 3 or "://" in word):
+            continue
+        near = body or any(a <= s < b for a, b in inside) or SENSITIVE.search(" ".join(re.split(r"\s+", text[max(0, s - 4 * NEAR) : s]))[-NEAR:])
+        if not near or any(a < e and s < b for a, b in held):
             continue
-        before = text[max(0, s - NEAR) : s].rpartition("\n")[2]
-        if not SENSITIVE.search(before) or any(a < e and s < b for a, b in held):
+        before, after = text[max(0, s - AROUND) : s], text[e : e + AROUND]
+        around = before + after
+        if word in around:
+            alone = novelty(word.encode(), (before.replace(word, " ") + after.replace(word, " ")).encode("utf-8", "replace"))
+            if alone < least:
+                continue
+            score = novelty(word.encode(), around.encode("utf-8", "replace"))
+            out.append((s, 3, e, score) if score >= least else (s, 4, e, alone))
             continue
-        around = (text[max(0, s - AROUND) : s] + text[e : e + AROUND]).encode("utf-8", "replace")
-        score = novelty(word.encode(), around)
+        score = novelty(word.encode(), around.encode("utf-8", "replace"))
         if score >= least:
             out.append((s, 3, e, score))
     return out
@@ -107,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null or empty text has no spans. Rows that repeat are scanned each. Returns doc_id, n_assign, n_access, n_hex,
     base_sha256 (of the base spans as kind:start:end by start and kind, comma-joined), spans (the same form, with the kind
-    novel), n_novel, and found: an array of (kind, start, end, string, novelty).
+    novel), n_novel, and found: an array of (kind, start, end, string, novelty), which alone also has those of the kind repeated.
     """
     found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("string", pa.string()), ("novelty", pa.float64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_novel", pa.int64()), ("found", found)])
@@ -127,7 +166,8 @@ def scan(docs: DataFrame) -> DataFrame:
                     base, novel = scan_text(text, b"h" * LEAST["hex"] in raw.translate(_HEX), b"c" * 16 in raw.translate(_LONG))
                     n = [sum(k == i for _, k, _, _ in base) for i in range(3)]
                     every = sorted(base + novel)
-                    rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), said(every), len(novel), [{"kind": KINDS[k], "start": s, "end": e, "string": text[s:e], "novelty": v} for s, k, e, v in every]))
+                    news = [x for x in novel if x[1] == 3]
+                    rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), said(base + news), len(news), [{"kind": KINDS[k], "start": s, "end": e, "string": text[s:e], "novelty": v} for s, k, e, v in every]))
                 columns = list(zip(*rows)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
