@@ -2,12 +2,14 @@
 
 Candidate blocks are the sentences and lines round a word that notices use. Each block is compressed alone and with each
 template as zstandard raw dictionary; the share of bytes that a template saves ranks the templates. The best ones are
-confirmed word by word: a winner's wording differs from the block in few words, and those are returned.
+confirmed word by word: a winner's wording differs from the block in few words, and those are returned. What lies before and
+after the winner's words is searched again, until nothing is confirmed: a block has a row for each notice.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -58,8 +60,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 HINT = re.compile(r"licen[sc]e|licensing|copyright|copyleft|public domain|all rights reserved|warrant(?:y|ies)|hereby granted|redistribut|spdx|free software|\bCC0\b|\bCC BY", re.IGNORECASE)
 SENTENCE = re.compile(r"(?<=[.!?;:])[\x20\t]+(?=[\"'(A-Z0-9])")
 WORD = re.compile(r"[\w.+-]*\w")
-#: Lines without a hint that a block may bridge; templates that are confirmed by wording; the least share of words in common.
-BRIDGE, CONFIRMED, LEAST_COMMON = 2, 5, 0.75
+#: What no notice begins with.
+START = re.compile(r"[\s.,;:!?)]*")
+#: Lines without a hint that a block may bridge; the least share of words in common.
+BRIDGE, LEAST_COMMON = 2, 0.75
 
 FOUND = "doc_id bigint, start bigint, end bigint, license string, reduction double, common double, n_differences bigint, differences string"
 
@@ -95,16 +99,27 @@ def size(data: bytes, dictionary: bytes | None = None) -> int:
     return len(zstd.ZstdCompressor(level=19, write_content_size=False, write_checksum=False, **primed).compress(data))
 
 
+def matched(words: list[str], wanted: list[str]) -> tuple[int, int]:
+    """The first and last word that match, as close together as the latest start for this end has them."""
+    last = max(m.a + m.size for m in SequenceMatcher(None, words, wanted, autojunk=False).get_matching_blocks() if m.size)
+    ahead = [m for m in SequenceMatcher(None, words[:last][::-1], wanted[::-1], autojunk=False).get_matching_blocks() if m.size]
+    return last - max(m.a + m.size for m in ahead), last - 1
+
+
 @lru_cache(maxsize=4096)
-def judged(block: str) -> tuple[str, float, float, int, str] | None:
-    """The licence of a block, the share of bytes saved, of words in common, and the differences in wording."""
+def placed(block: str) -> tuple[str, float, float, int, str, int, int] | None:
+    """The licence of a block, the share of bytes saved, of words in common, the differences in wording, and where its words lie."""
     data = block.lower().encode("utf-8", "replace")
     alone = size(data)
     ranked = sorted(((alone - size(data, t.lower().encode())) / alone, name, t) for name, ts in TEMPLATES.items() for t in ts)[::-1]
     best = None
-    words = WORD.findall(block.lower())
-    for saved, name, template in ranked[:CONFIRMED]:
+    at = [m.span() for m in WORD.finditer(block)]
+    words = [block[i:j].lower() for i, j in at]
+    there = Counter(words)
+    for saved, name, template in ranked:
         wanted = WORD.findall(template.lower())
+        if sum((Counter(wanted) & there).values()) < LEAST_COMMON * len(wanted):
+            continue  # no order of the words can confirm it
         match = SequenceMatcher(None, words, wanted, autojunk=False)
         same = sum(m.size for m in match.get_matching_blocks())
         common = same / max(1, len(wanted))
@@ -114,8 +129,17 @@ def judged(block: str) -> tuple[str, float, float, int, str] | None:
         if common >= LEAST_COMMON and not telling:
             key = (common, saved, len(wanted))
             if best is None or key > best[0]:
-                best = (key, (name, saved, common, len(odd), "; ".join(odd)))
-    return best and best[1]
+                best = (key, (name, saved, common, len(odd), "; ".join(odd)), wanted)
+    if best is None:
+        return None
+    first, last = matched(words, best[2])
+    return *best[1], at[first][0], at[last][1]
+
+
+def judged(block: str) -> tuple[str, float, float, int, str] | None:
+    """The licence of a block, the share of bytes saved, of words in common, and the differences in wording."""
+    found = placed(block)
+    return found and found[:5]
 
 
 def longer(text: str, a: int, b: int) -> int:
@@ -130,21 +154,33 @@ def longer(text: str, a: int, b: int) -> int:
 def scan_text(text: str) -> list[tuple[int, int, str, float, float, int, str]]:
     """start, end, licence, reduction, common, number of differences and differences of each notice."""
 
-    def best(a: int, b: int) -> tuple | None:
-        spans = {(a, b), (a, longer(text, a, b))}
-        found = [(i, j, *one) for i, j in spans if (one := judged(text[i:j]))]
+    def best(a: int, b: int, extend: bool) -> tuple | None:
+        spans = {(a, b), (a, longer(text, a, b) if extend else b)}
+        found = [(i, j, *one) for i, j in spans if (one := placed(text[i:j]))]
         return max(found, key=lambda x: (x[4], x[3], -x[1]), default=None)
 
-    out = []
-    for a, b in candidate_blocks(text):
-        found = best(a, b)
+    def notices(a: int, b: int, extend: bool = True) -> list[tuple]:
+        a, b = START.match(text, a, b).end(), a + len(text[a:b].rstrip())
+        if a >= b or not HINT.search(text, a, b):
+            return []
+        found = best(a, b, extend)
         if found is not None:
-            out.append(found)
-        elif SENTENCE.search(text[a:b]):  # a longer block: each sentence by itself
-            cuts = [a, *(a + m.end() for m in SENTENCE.finditer(text[a:b])), b]
-            for i, j in zip(cuts, cuts[1:]):
-                if HINT.search(text, i, j) and (one := best(i, i + len(text[i:j].rstrip()))):
-                    out.append(one)
+            i, j, *one, first, last = found
+            left, right = notices(i, i + first, False), notices(i + last, j, extend)
+            if left or right:  # the span of this one lies between the others
+                i, j = left[-1][1] if left else i, right[0][0] if right else j
+                i, j = START.match(text, i, j).end(), i + len(text[i:j].rstrip())
+                alone = judged(text[i:j])
+                one = alone if alone and alone[0] == one[0] else one
+            return [*left, (i, j, *one), *right]
+        cuts = [a, *(a + m.end() for m in SENTENCE.finditer(text[a:b])), b]
+        if len(cuts) == 2:
+            return []
+        return [x for i, j in zip(cuts, cuts[1:]) for x in notices(i, j, extend)]  # a longer block: each sentence by itself
+
+    out: list[tuple] = []
+    for a, b in candidate_blocks(text):
+        out += notices(a, b)
     return out
 
 
