@@ -1,18 +1,26 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations alone.
 
 A line is the set of its words (runs of non-blanks in lower case). Lines with equal sets are one class, led by its first
-line. Leaders are joined on Jaccard >= 4/5: words are put in order of rarity (all words fall into 4096 hash buckets, which
-are ranked by their counts over all lines; within a bucket by hash), a line is listed under the words of its prefix
-of n - ceil(4n/5) + 1, and lines that share a listed word are compared if the length filter, the positional filter and
-parity sketches of 32 and 64 bits let them pass. What passes is verified on the whole sets. A line goes if an earlier one, in order of
-doc_id and place, matches it.
-
-Each line is compared with the first line under each of its words; only lines that this doesn't settle are then compared
-with the others before them, so copies of one line make no pairs among themselves.
+line; leaders are joined on Jaccard >= 4/5, so two of a and c words differ in at most (a + c) / 9 words.
+
+The prefix filter works on groups of words. In a corpus of any size every single word is in very many lines, so lists
+of words would grow with its square. A hash deals the words into a number of groups that depends on the sizes (the length
+filter: a band of sizes has a number of its own, and a line near a band's lower end is listed in the band below too). A
+differing word spoils one group, so lines that match agree on one of the first d + 1 groups of either (the positional
+filter: d is the most words that may differ) in any order of groups that all lines share. Here the order is by rarity: the
+information of a group's words, which their counts over all lines give, the rarest first. A line with too few groups is
+listed under single words as well; lines of 4 to 8 words can only match by one more word and are listed by their whole sets without one.
+
+Lines under one key are first compared with the first of them; only lines that this doesn't settle are then compared
+with the others before them, if sizes and a parity sketch let them pass. What passes is verified on the whole sets. A line
+goes if an earlier one, in order of doc_id and place, matches it.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,28 +28,28 @@ from .common import written
 
 #: Lines whose places are broadcast at most (16 bytes each); beyond that Spark joins by a shuffle.
 MAX_BROADCAST_SETTLED = 500_000
-BUCKET_BITS = 12
+#: Words are counted in 2 ** BUCKET_BITS buckets of their hashes.
+BUCKET_BITS = 14
 _NO_ID = -(1 << 63)
-#: Sizes up to this are a band each; beyond it, bands grow by a factor.
-_EXACT, _GROWTH = 12, 2.5
-_MOST16 = 65_535
+_BLANKS = " \t\n\x0b\x0c\r"
+#: Of a word's number: the lower bits hold its information, the 32 bits above _GROUP deal the groups.
+_INFO, _GROUP = 31, 31
+#: Groups of a band, against the sizes at its lower end.
+_GROUPS = 0.625
 
 
 def words_of(line: Column) -> Column:
     """The words, as often as they come, and maybe empty strings between them."""
-    return F.split(F.translate(F.lower(line), "\t\n\x0b\x0c\r", "     "), " ")
+    other = reduce(lambda a, b: a | b, (F.contains(line, F.lit(c)) for c in _BLANKS if c not in " \n"))
+    return F.split(F.lower(F.when(other, F.translate(line, _BLANKS[1:], " " * 5)).otherwise(line)), " ")
 
 
 def word_hashes(line: Column) -> Column:
-    return F.transform(F.array_distinct(F.array_remove(words_of(line), "")), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
 
 
 def is_blank(line: Column) -> Column:
-    return F.translate(line, " \t\n\x0b\x0c\r", "") == ""
-
-
-def band(n: Column) -> Column:
-    return F.when(n <= _EXACT, n).otherwise(_EXACT + 1 + F.floor(F.log(n / float(_EXACT + 1)) / F.log(F.lit(_GROWTH)))).cast("int")
+    return F.btrim(line, F.lit(_BLANKS)) == ""
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -55,111 +63,116 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    return rows.select("doc", "base", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("doc", "base", (F.col("base") + F.col("pos")).alias("ln"), "line")
+    """doc, ln, base, line of the lines that have words."""
+    lines = rows.select("doc", "base", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.select("doc", (F.col("base") + F.col("pos")).alias("ln"), "base", "line").where(~is_blank(F.col("line")))
+
+
+def information(lines: DataFrame) -> list[int]:
+    """Of each bucket of words, the information in half bits that one of them carries, from the counts of all words of all lines."""
+    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).cast("int").alias("bucket")
+    counts = dict(map(tuple, lines.select(F.explode(words_of(F.col("line"))).alias("w")).where("w <> ''").groupBy(bucket).count().collect()))  # a row for each bucket
+    total = sum(counts.values()) or 1
+    return [min(_INFO, max(1, round(2 * math.log2(total / counts[b])))) if b in counts else _INFO for b in range(1 << BUCKET_BITS)]
+
+
+def coded(line: Column, info: list[int]) -> Column:
+    """The words of a line as sorted numbers: 58 bits of their hashes, and their information."""
+    table = F.split(F.lit(",".join(map(str, info))), ",").cast("array<bigint>")
+    low = F.lit(_INFO).cast("bigint")
+    number = lambda h: F.shiftrightunsigned(h, 1).bitwiseOR(low).bitwiseXOR(low).bitwiseOR(F.get(table, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")))
+    return F.sort_array(F.transform(word_hashes(line), number))
+
+
+def _key(words: Column, tag: Column, info: Column) -> Column:
+    """A key of words: the more information the lower, then by hash."""
+    return F.shiftleft(F.lit(1023).cast("bigint") - F.least(info, F.lit(1023).cast("bigint")), 53).bitwiseOR(F.shiftrightunsigned(F.xxhash64(words, tag), 11))
+
+
+def _info_of(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, x: a + x.bitwiseAND(F.lit(_INFO).cast("bigint")))
+
+
+def _group_ends(groups: Column) -> Column:
+    """Where each group of the sorted words begins, for a number of groups."""
+    at = lambda i: F.shiftrightunsigned(F.shiftrightunsigned(F.get("s", i), _GROUP) * groups, 32)
+    return F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+
+
+def _group_keys(starts: str, band: Column, prefix: Column) -> Column:
+    """The keys of the first prefix groups, the rarest first; with too few groups, those of the rarest single words too."""
+    parts = F.transform(starts, lambda b, j: F.slice("s", b + 1, F.coalesce(F.get(starts, j + 1), F.col("n")) - b))
+    keys = F.slice(F.sort_array(F.transform(parts, lambda w: _key(w, band, _info_of(w)))), F.lit(1), prefix)
+    single = F.slice(F.sort_array(F.transform("s", lambda x: _key(F.array(x), -band, x.bitwiseAND(F.lit(_INFO).cast("bigint"))))), F.lit(1), prefix)
+    return F.when(F.size(starts) < prefix, F.concat(keys, single)).otherwise(keys)
+
+
+def listed(lines: DataFrame, info: list[int]) -> DataFrame:
+    """lines (doc, ln, base, line) with c1 and c2 (hashes of the set), n, sketch and keys (those it may share with lines that match)."""
+    t = lines.select("doc", "ln", "base", coded(F.col("line"), info).alias("s"))
+    t = t.select("*", F.size("s").alias("n"))
+    t = t.select("*", F.call_function("shiftleft", F.lit(1), (F.length(F.bin(F.col("n").cast("bigint"))) - 1).cast("int")).alias("band"))
+    groups = lambda band: F.floor(band * _GROUPS).cast("bigint") + 1
+    none = F.lit(None).cast("array<int>")
+    below = (F.col("n") >= 16) & (4 * F.col("n") <= 5 * (F.col("band") - 1))  # the larger of a pair, in the band of the smaller
+    half = F.floor(F.col("band") / 2).cast("int")
+    t = t.select("*", F.when(F.col("n") >= 8, _group_ends(groups(F.col("band")))).otherwise(none).alias("own"), F.when(below, _group_ends(groups(half))).otherwise(none).alias("low"))
+    sketch = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, 9).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
+    empty = F.array().cast("array<bigint>")
+    # Sets of 4 to 7 words match those with one word more.
+    small = F.when(F.col("n").between(4, 7), F.array(F.xxhash64("s"))).otherwise(empty)
+    less = F.when(F.col("n").between(5, 8), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64(F.filter("s", lambda _, j: j != i)))).otherwise(empty)
+    own = F.when(F.col("own").isNotNull(), _group_keys("own", F.col("band"), F.floor(F.col("n") / 4).cast("int") + 1)).otherwise(empty)
+    low = F.when(F.col("low").isNotNull(), _group_keys("low", half, F.floor((F.col("n") + F.col("band") - 1) / 9).cast("int") + 1)).otherwise(empty)
+    return t.select("doc", "ln", "base", F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"), "n", sketch.alias("sketch"), F.concat(small, less, own, low).alias("keys"))
 
 
 def leaders(lines: DataFrame) -> DataFrame:
-    """doc, ln, line of the first line of each set of words."""
-    hashed = lines.select("doc", "ln", "line", F.sort_array(word_hashes(F.col("line"))).alias("h"))
-    keyed = hashed.select(F.xxhash64("h").alias("c1"), F.xxhash64(F.lit(1), "h").alias("c2"), F.size("h").alias("n"), F.struct("doc", "ln", "line").alias("x"))
-    # Lines without words go last: a filter below would hash each line twice.
-    return keyed.groupBy("c1", "c2").agg(F.min("x").alias("x"), F.max("n").alias("n")).where("n > 0").select("x.doc", "x.ln", "x.line")
+    """doc, ln, base, n, sketch and keys of the first line of each set of words."""
+    rows = listed(lines, information(lines)).select("c1", "c2", F.struct("doc", "ln", "base").alias("at"), F.struct("n", "sketch", "keys").alias("x"))
+    return rows.groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("x").alias("x")).select("at.*", "x.*")
 
 
-def rarity(first: DataFrame) -> list[int]:
-    """The rank of each bucket of words, the rarest first."""
-    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).cast("int").alias("bucket")
-    counts = dict(map(tuple, first.select(F.explode_outer(words_of(F.col("line"))).alias("w")).where("w <> ''").groupBy(bucket).count().collect()))  # 4096 rows
-    order = sorted(range(1 << BUCKET_BITS), key=lambda b: (counts.get(b, 0), b))
-    rank = [0] * len(order)
-    for r, b in enumerate(order):
-        rank[b] = r
-    return rank
-
-
-def coded(line: Column, rank: list[int]) -> Column:
-    """The words of a line as numbers in order of rarity: a bucket's rank takes the bucket's bits of the hash."""
-    # moved[b] turns the upper bits of a hash in bucket b into those of its rank.
-    half = 1 << (BUCKET_BITS - 1)
-    moved = [((b ^ r ^ half) << (64 - BUCKET_BITS)) for b, r in enumerate(rank)]
-    table = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in moved)), ",").cast("array<bigint>")
-    return F.sort_array(F.transform(word_hashes(line), lambda h: h.bitwiseXOR(F.get(table, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")))))
-
-
-def listed(first: DataFrame, rank: list[int]) -> DataFrame:
-    """key (of a word and a band), doc, ln and meta (sketch, size, place of the word, whether the band is the line's own)."""
-    rows = first.select("doc", "ln", coded(F.col("line"), rank).alias("codes"))
-    sketch = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, 7).bitwiseAND(F.lit(31)).cast("int"))))
-    wide = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, 17).bitwiseAND(F.lit(63)).cast("int"))))
-    n = F.size("codes")
-    need = F.ceil(n * 4 / 5).cast("int")
-    length = F.when(n >= 4, n - need + 1).otherwise(0)  # smaller sets match equal ones alone
-    rows = rows.select("doc", "ln", n.alias("n"), sketch.alias("sketch"), wide.alias("wide"), band(n).alias("own"), band(need).alias("lowest"), F.slice("codes", F.lit(1), length).alias("prefix"))
-    # Outer generators: for inner ones Spark would look at the array twice to filter rows.
-    rows = rows.select("doc", "ln", "n", "sketch", "wide", "own", "lowest", F.posexplode_outer("prefix").alias("pos", "code"))
-    rows = rows.select("*", F.explode_outer(F.sequence("lowest", "own")).alias("band")).where("pos is not null")
-    meta = F.shiftleft("sketch", 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(_MOST16)).cast("bigint"), 16)).bitwiseOR(F.shiftleft(F.least("pos", F.lit(32_767)).cast("bigint"), 1)).bitwiseOR((F.col("band") == F.col("own")).cast("bigint"))
-    return rows.select(F.xxhash64("code", "band").alias("key"), "doc", "ln", meta.alias("meta"), "wide")
-
-
-def may_match(a: Column, b: Column, wide_a: Column, wide_b: Column) -> Column:
-    """The filters on two metas: a band of one's own, length, place, and the sketches of 32 and 64 bits."""
-    size = lambda m: F.shiftrightunsigned(m, 16).bitwiseAND(F.lit(_MOST16))
-    place = lambda m: F.shiftrightunsigned(m, 1).bitwiseAND(F.lit(32_767))
-    na, nb, pa, pb = size(a), size(b), place(a), place(b)
-    own = a.bitwiseOR(b).bitwiseAND(F.lit(1)) == 1
-    length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
-    most = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)  # words in common, at most
-    placed = 9 * most >= 4 * (na + nb)
-    # Sketches of other bits of the hashes: neither has more odd bits than there are differing words.
-    bits = (9 * F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= na + nb) & (9 * F.bit_count(wide_a.bitwiseXOR(wide_b)) <= na + nb)
-    return own & (((na == _MOST16) | (nb == _MOST16)) | (length & placed & bits))
-
-
-def earlier(a: str, b: str) -> Column:
-    return (F.col(f"{a}.doc") < F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.ln") < F.col(f"{b}.ln")))
-
-
-def matched(pairs: DataFrame, first: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
+def may_match(a: str, b: str) -> Column:
+    """The length filter and the sketch's: it has no more odd bits than there are differing words."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= na + nb)
+
+
+def matched(pairs: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
     """(doc, ln) of the later lines of pairs (d1, l1, d2, l2) whose whole sets match."""
-    pairs = written(pairs.distinct(), "line-pairs")
+    pairs = written(pairs, "line-pairs")
     asked = written(pairs.select(F.col("d1").alias("doc"), F.col("l1").alias("ln")).unionByName(pairs.select(F.col("d2").alias("doc"), F.col("l2").alias("ln"))).distinct(), "lines-asked")
-    first = first.join(F.broadcast(asked) if asked.count() <= broadcast else asked, ["doc", "ln"], "left_semi")
-    a = first.select(F.col("doc").alias("d1"), F.col("ln").alias("l1"), F.col("line").alias("line1"))
-    b = first.select(F.col("doc").alias("d2"), F.col("ln").alias("l2"), F.col("line").alias("line2"))
-    both = pairs.join(a, ["d1", "l1"]).join(b, ["d2", "l2"]).select("d2", "l2", word_hashes(F.col("line1")).alias("h1"), word_hashes(F.col("line2")).alias("h2"))
-    both = both.select("d2", "l2", F.size(F.array_intersect("h1", "h2")).alias("common"), (F.size("h1") + F.size("h2")).alias("sizes"))
-    both = written(both, "lines-compared")  # a filter on top would hash both lines once more
-    return written(both.where(9 * F.col("common") >= 4 * F.col("sizes")).select(F.col("d2").alias("doc"), F.col("l2").alias("ln")).distinct(), "lines-matched")
+    few = asked.count() <= broadcast
+    sets = lines.join(F.broadcast(asked) if few else asked, ["doc", "ln"], "left_semi").select("doc", "ln", word_hashes(F.col("line")).alias("h"))
+    sets = written(sets, "lines-sets")
+    a, b = (sets.select(F.col("doc").alias(f"d{i}"), F.col("ln").alias(f"l{i}"), F.col("h").alias(f"h{i}")) for i in (1, 2))
+    both = pairs.join(a, ["d1", "l1"]).join(b, ["d2", "l2"])
+    enough = 9 * F.size(F.array_intersect("h1", "h2")) >= 4 * (F.size("h1") + F.size("h2"))
+    return written(both.where(enough).select(F.col("d2").alias("doc"), F.col("l2").alias("ln")).distinct(), "lines-matched")
 
 
-def repeats(first: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
+def repeats(first: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
     """(doc, ln) of the leaders that an earlier leader matches."""
-    own = F.col("meta").bitwiseAND(F.lit(1))
-    group = Window.partitionBy("key").orderBy(own.desc(), "doc", "ln")  # the first line of the word's own band comes first
-    rows = listed(first, rarity(first)).withColumns({"n": F.count("*").over(Window.partitionBy("key")), "head": F.first(F.struct("doc", "ln", "meta", "wide")).over(group)})
-    shared = written(rows.where((F.col("n") > 1) & (F.col("head.meta").bitwiseAND(F.lit(1)) == 1)).select("key", "doc", "ln", "meta", "wide", "n", F.col("head.doc").alias("hd"), F.col("head.ln").alias("hl"), F.col("head.meta").alias("hm"), F.col("head.wide").alias("hw")), "lines-shared")
-
-    # Each line against the first of its word.
-    after = (F.col("hd") < F.col("doc")) | ((F.col("hd") == F.col("doc")) & (F.col("hl") < F.col("ln")))
-    other = (F.col("hd") != F.col("doc")) | (F.col("hl") != F.col("ln"))
-    near = shared.where(other & may_match(F.col("hm"), F.col("meta"), F.col("hw"), F.col("wide"))).select(
-        F.when(after, F.col("hd")).otherwise(F.col("doc")).alias("d1"), F.when(after, F.col("hl")).otherwise(F.col("ln")).alias("l1"), F.when(after, F.col("doc")).otherwise(F.col("hd")).alias("d2"), F.when(after, F.col("ln")).otherwise(F.col("hl")).alias("l2")
-    )
-    found = matched(near, first, broadcast)
-
-    # What that doesn't settle, against all others before it. Lines that match share many words of their prefixes, at least
-    # 1 + (words in common that it takes) - ceil(4/5 of the larger size): pairs with fewer are not looked at.
+    group = Window.partitionBy("key").orderBy("doc", "ln").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = first.select(F.explode("keys").alias("key"), "doc", "ln").withColumns({"last": F.last(F.struct("doc", "ln")).over(group), "head": F.first(F.struct("doc", "ln")).over(group)})
+    shared = written(rows.where(F.col("head") != F.col("last")).select("key", "doc", "ln", F.col("head.doc").alias("hd"), F.col("head.ln").alias("hl")), "lines-shared")
+    known = first.select("doc", "ln", "n", "sketch")
+
+    # Each line against the first of its key.
+    near = shared.where((F.col("hd") != F.col("doc")) | (F.col("hl") != F.col("ln"))).select(F.col("hd").alias("d1"), F.col("hl").alias("l1"), F.col("doc").alias("d2"), F.col("ln").alias("l2")).distinct()
+    a, b = known.alias("a"), known.alias("b")
+    near = near.alias("p").join(a, (F.col("p.d1") == F.col("a.doc")) & (F.col("p.l1") == F.col("a.ln"))).join(b, (F.col("p.d2") == F.col("b.doc")) & (F.col("p.l2") == F.col("b.ln"))).where(may_match("a", "b"))
+    found = matched(near.select("d1", "l1", "d2", "l2"), lines, broadcast)
+
+    # What that doesn't settle, against all others before it.
     settled = F.broadcast(found) if found.count() <= broadcast else found
-    rows = shared.select("key", "doc", "ln", "meta", "wide")
-    a, b = rows.alias("a"), rows.join(settled, ["doc", "ln"], "left_anti").select("key", "doc", "ln", "meta", "wide").alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier("a", "b") & may_match(F.col("a.meta"), F.col("b.meta"), F.col("a.wide"), F.col("b.wide")))
-    size = lambda m: F.shiftrightunsigned(m, 16).bitwiseAND(F.lit(_MOST16))
-    na, nb = size(F.col("a.meta")), size(F.col("b.meta"))
-    need = F.when((na == _MOST16) | (nb == _MOST16), 1).otherwise(1 + F.ceil(4 * (na + nb) / 9) - F.ceil(4 * F.greatest(na, nb) / 5))
-    pairs = pairs.select(F.col("a.doc").alias("d1"), F.col("a.ln").alias("l1"), F.col("b.doc").alias("d2"), F.col("b.ln").alias("l2"), need.cast("bigint").alias("need"))
-    pairs = pairs.groupBy("d1", "l1", "d2", "l2").agg(F.count("*").alias("words"), F.max("need").alias("need")).where("words >= need").select("d1", "l1", "d2", "l2")
-    return found.unionByName(matched(pairs, first, broadcast)).distinct()
+    rows = written(shared.select("key", "doc", "ln").join(known, ["doc", "ln"]), "lines-open")
+    a, b = rows.alias("a"), rows.join(settled, ["doc", "ln"], "left_anti").alias("b")
+    earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.ln") < F.col("b.ln")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & may_match("a", "b"))
+    pairs = pairs.select(F.col("a.doc").alias("d1"), F.col("a.ln").alias("l1"), F.col("b.doc").alias("d2"), F.col("b.ln").alias("l2")).distinct()
+    return found.unionByName(matched(pairs, lines, broadcast)).distinct()
 
 
 def deduplicated(docs: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
@@ -167,19 +180,20 @@ def deduplicated(docs: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> Dat
 
     Lines end at \\n. A line without words stays. Of lines that match, the first stays, by doc_id (null ids first), then place;
     rows with one doc_id follow each other in order of their texts' hashes, so of repeated rows one keeps its lines. A line goes even where the
-    earlier line that it matches goes too. Null text counts as empty. A text may end up empty; its row stays. An
-    empty table gives no rows.
+    earlier line that it matches goes too. Null text counts as empty. A text may end up empty; its row stays. Lines are read whole, however
+    long. An empty table gives no rows.
     """
-    rows, single = numbered(docs)
+    rows, _ = numbered(docs)
     lines = lines_of(rows)
     first = written(leaders(lines), "lines-first")
-    kept = first.join(repeats(first, broadcast), ["doc", "ln"], "left_anti")
-    blank = lines.where(is_blank(F.col("line"))).select("doc", "ln", "line")
-    kept = kept.unionByName(blank)
-    kept = kept.withColumn("base", F.lit(0)) if single else kept.join(lines.select("doc", "base", "ln"), ["doc", "ln"])
-    texts = kept.groupBy("doc", "base").agg(F.sort_array(F.collect_list(F.struct("ln", "line"))).alias("x"))
-    texts = texts.select("doc", "base", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("new_text"), F.size("x").alias("n_kept"))
-    keys = rows.select("doc", "base", F.size(F.split("text", "\n", -1)).alias("n_lines"), *(c for c in rows.columns if c.startswith("_")))
-    out = keys.join(texts, ["doc", "base"], "left")
-    columns = [F.coalesce("new_text", F.lit("")).alias(c) if c == "text" else F.col(f"_{c}").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*columns, F.col("n_lines"), (F.col("n_lines") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"))
+    gone = repeats(first, lines, broadcast)
+    gone = F.broadcast(gone) if gone.count() <= broadcast else gone
+    kept = first.select("doc", "ln", "base").join(gone, ["doc", "ln"], "left_anti")
+    kept = kept.groupBy("doc", "base").agg(F.collect_list(F.col("ln") - F.col("base")).alias("stay"))
+    out = rows.join(kept, ["doc", "base"], "left").select("*", F.split("text", "\n", -1).alias("line"))
+    count = F.size("line")
+    blank = F.filter(F.sequence(F.lit(0), count - 1), lambda i: is_blank(F.get("line", i)))
+    out = out.select("*", F.sort_array(F.concat(blank, F.coalesce("stay", F.array().cast("array<int>")))).alias("places"))
+    text = F.array_join(F.transform("places", lambda i: F.get("line", i)), "\n")
+    columns = [text.alias(c) if c == "text" else F.col(f"_{c}").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*columns, count.alias("n_lines"), (count - F.size("places")).alias("n_removed"))
