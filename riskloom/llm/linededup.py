@@ -3,13 +3,12 @@
 A line is the set of its words (runs of non-blanks in lower case). Lines with equal sets are one class, led by its first
 line; leaders are joined on Jaccard >= 4/5, so two of a and c words differ in at most (a + c) / 9 words.
 
-The prefix filter works on groups of words. In a corpus of any size every single word is in very many lines, so lists
-of words would grow with its square. A hash deals the words into a number of groups that depends on the sizes (the length
-filter: a band of sizes has a number of its own, and a line near a band's lower end is listed in the band below too). A
-differing word spoils one group, so lines that match agree on one of the first d + 1 groups of either (the positional
-filter: d is the most words that may differ) in any order of groups that all lines share. Here the order is by rarity: the
-information of a group's words, which their counts over all lines give, the rarest first. A line with too few groups is
-listed under single words as well; lines of 4 to 8 words can only match by one more word and are listed by their whole sets without one.
+Words are ordered by rarity: all words fall into 16384 hash buckets, which are ranked by their counts over all lines, and
+within a bucket the hash decides. In a corpus of any size every single word is in very many lines, so lists of words would grow with
+its square; the prefix filter therefore lists a line under pairs of words that are neighbours in this order. Between two words that
+both of n and m words have there is no other one unless a differing word lies there, so the first shared pair of neighbours comes after at most 2 x + y words of
+a line, if x of its words and y of the other's differ: that is (2 n - m) / 3, and 2 n / 5 at most, as m is 4 n / 5 at least. Those are the
+prefix.
 
 Lines under one key are first compared with the first of them; only lines that this doesn't settle are then compared
 with the others before them, if sizes and a parity sketch let them pass. What passes is verified on the whole sets. A line
@@ -18,7 +17,6 @@ goes if an earlier one, in order of doc_id and place, matches it.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,15 +25,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Lines whose places are broadcast at most (16 bytes each); beyond that Spark joins by a shuffle.
-MAX_BROADCAST_SETTLED = 500_000
+MAX_BROADCAST_SETTLED = 1_000_000
 #: Words are counted in 2 ** BUCKET_BITS buckets of their hashes.
 BUCKET_BITS = 14
+#: Sizes and places from here on pass the filters.
+_MOST16 = 65_535
 _NO_ID = -(1 << 63)
 _BLANKS = " \t\n\x0b\x0c\r"
-#: Of a word's number: the lower bits hold its information, the 32 bits above _GROUP deal the groups.
-_INFO, _GROUP = 31, 31
-#: Groups of a band, against the sizes at its lower end.
-_GROUPS = 0.625
 
 
 def words_of(line: Column) -> Column:
@@ -68,80 +64,59 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return lines.select("doc", (F.col("base") + F.col("pos")).alias("ln"), "base", "line").where(~is_blank(F.col("line")))
 
 
-def information(lines: DataFrame) -> list[int]:
-    """Of each bucket of words, the information in half bits that one of them carries, from the counts of all words of all lines."""
+def rarity(rows: DataFrame) -> list[int]:
+    """The rank of each bucket of words, the rarest first, from the counts of all words of all texts."""
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).cast("int").alias("bucket")
-    counts = dict(map(tuple, lines.select(F.explode(words_of(F.col("line"))).alias("w")).where("w <> ''").groupBy(bucket).count().collect()))  # a row for each bucket
-    total = sum(counts.values()) or 1
-    return [min(_INFO, max(1, round(2 * math.log2(total / counts[b])))) if b in counts else _INFO for b in range(1 << BUCKET_BITS)]
-
-
-def coded(line: Column, info: list[int]) -> Column:
-    """The words of a line as sorted numbers: 58 bits of their hashes, and their information."""
-    table = F.split(F.lit(",".join(map(str, info))), ",").cast("array<bigint>")
-    low = F.lit(_INFO).cast("bigint")
-    number = lambda h: F.shiftrightunsigned(h, 1).bitwiseOR(low).bitwiseXOR(low).bitwiseOR(F.get(table, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")))
-    return F.sort_array(F.transform(word_hashes(line), number))
-
-
-def _key(words: Column, tag: Column, info: Column) -> Column:
-    """A key of words: the more information the lower, then by hash."""
-    return F.shiftleft(F.lit(1023).cast("bigint") - F.least(info, F.lit(1023).cast("bigint")), 53).bitwiseOR(F.shiftrightunsigned(F.xxhash64(words, tag), 11))
-
-
-def _info_of(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, x: a + x.bitwiseAND(F.lit(_INFO).cast("bigint")))
-
-
-def _group_ends(groups: Column) -> Column:
-    """Where each group of the sorted words begins, for a number of groups."""
-    at = lambda i: F.shiftrightunsigned(F.shiftrightunsigned(F.get("s", i), _GROUP) * groups, 32)
-    return F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
-
-
-def _group_keys(starts: str, band: Column, prefix: Column) -> Column:
-    """The keys of the first prefix groups, the rarest first; with too few groups, those of the rarest single words too."""
-    parts = F.transform(starts, lambda b, j: F.slice("s", b + 1, F.coalesce(F.get(starts, j + 1), F.col("n")) - b))
-    keys = F.slice(F.sort_array(F.transform(parts, lambda w: _key(w, band, _info_of(w)))), F.lit(1), prefix)
-    single = F.slice(F.sort_array(F.transform("s", lambda x: _key(F.array(x), -band, x.bitwiseAND(F.lit(_INFO).cast("bigint"))))), F.lit(1), prefix)
-    return F.when(F.size(starts) < prefix, F.concat(keys, single)).otherwise(keys)
-
-
-def listed(lines: DataFrame, info: list[int]) -> DataFrame:
-    """lines (doc, ln, base, line) with c1 and c2 (hashes of the set), n, sketch and keys (those it may share with lines that match)."""
-    t = lines.select("doc", "ln", "base", coded(F.col("line"), info).alias("s"))
-    t = t.select("*", F.size("s").alias("n"))
-    t = t.select("*", F.call_function("shiftleft", F.lit(1), (F.length(F.bin(F.col("n").cast("bigint"))) - 1).cast("int")).alias("band"))
-    groups = lambda band: F.floor(band * _GROUPS).cast("bigint") + 1
-    none = F.lit(None).cast("array<int>")
-    below = (F.col("n") >= 16) & (4 * F.col("n") <= 5 * (F.col("band") - 1))  # the larger of a pair, in the band of the smaller
-    half = F.floor(F.col("band") / 2).cast("int")
-    t = t.select("*", F.when(F.col("n") >= 8, _group_ends(groups(F.col("band")))).otherwise(none).alias("own"), F.when(below, _group_ends(groups(half))).otherwise(none).alias("low"))
-    sketch = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, 9).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
-    empty = F.array().cast("array<bigint>")
-    # Sets of 4 to 7 words match those with one word more.
-    small = F.when(F.col("n").between(4, 7), F.array(F.xxhash64("s"))).otherwise(empty)
-    less = F.when(F.col("n").between(5, 8), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64(F.filter("s", lambda _, j: j != i)))).otherwise(empty)
-    own = F.when(F.col("own").isNotNull(), _group_keys("own", F.col("band"), F.floor(F.col("n") / 4).cast("int") + 1)).otherwise(empty)
-    low = F.when(F.col("low").isNotNull(), _group_keys("low", half, F.floor((F.col("n") + F.col("band") - 1) / 9).cast("int") + 1)).otherwise(empty)
-    return t.select("doc", "ln", "base", F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"), "n", sketch.alias("sketch"), F.concat(small, less, own, low).alias("keys"))
-
-
-def leaders(lines: DataFrame) -> DataFrame:
-    """doc, ln, base, n, sketch and keys of the first line of each set of words."""
-    rows = listed(lines, information(lines)).select("c1", "c2", F.struct("doc", "ln", "base").alias("at"), F.struct("n", "sketch", "keys").alias("x"))
-    return rows.groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("x").alias("x")).select("at.*", "x.*")
-
-
-def may_match(a: str, b: str) -> Column:
-    """The length filter and the sketch's: it has no more odd bits than there are differing words."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= na + nb)
-
-
-def matched(pairs: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
+    words = rows.select(F.explode(words_of(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
+    counts = dict(map(tuple, words.groupBy(bucket).count().collect()))  # a row for each bucket
+    order = sorted(range(1 << BUCKET_BITS), key=lambda b: (counts.get(b, 0), b))
+    rank = [0] * len(order)
+    for r, b in enumerate(order):
+        rank[b] = r
+    return rank
+
+
+def coded(line: Column, rank: list[int]) -> Column:
+    """The words of a line as numbers in order of rarity: a bucket's rank takes the bucket's bits of the hash."""
+    # moved[b] turns the upper bits of a hash in bucket b into those of its rank.
+    half = 1 << (BUCKET_BITS - 1)
+    moved = [((b ^ r ^ half) << (64 - BUCKET_BITS)) for b, r in enumerate(rank)]
+    table = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in moved)), ",").cast("array<bigint>")
+    return F.sort_array(F.transform(word_hashes(line), lambda h: h.bitwiseXOR(F.get(table, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")))))
+
+
+def listed(lines: DataFrame, rank: list[int]) -> DataFrame:
+    """lines (doc, ln, base, line) with c1 and c2 (hashes of the set), keys (of the pairs of neighbours in the prefix) and meta (a sketch with a bit for each odd number of words that fall on it, and the size)."""
+    t = lines.select("doc", "ln", "base", coded(F.col("line"), rank).alias("s"))
+    length = F.when(F.size("s") >= 4, F.floor(F.size("s") * 2 / 5).cast("int") + 1).otherwise(0)  # smaller sets match equal ones alone
+    t = t.select("*", length.alias("prefix"))
+    keys = F.zip_with(F.slice("s", F.lit(1), F.col("prefix")), F.slice("s", F.lit(2), F.col("prefix")), lambda a, b: F.xxhash64(a, b))
+    one, low = F.lit(1 << 32), F.lit(31).cast("bigint")
+    sketch = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(low).cast("int"))))
+    meta = sketch.bitwiseOR(F.shiftleft(F.least(F.size("s"), F.lit(_MOST16)).cast("bigint"), 16))
+    return t.select("doc", "ln", "base", F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"), keys.alias("keys"), meta.alias("meta"))
+
+
+def leaders(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc, ln, base, keys and meta of the first line of each set of words."""
+    rows = listed(lines, rarity(rows)).select("c1", "c2", F.struct("doc", "ln", "base").alias("at"), "keys", "meta")
+    return rows.groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("keys").alias("keys"), F.first("meta").alias("meta")).select("at.*", "keys", "meta")
+
+
+def may_match(a: Column, b: Column) -> Column:
+    """The filters on two metas, with the key's place: length, place, and that the sketches have no more odd bits than words may differ."""
+    size = lambda m: F.shiftrightunsigned(m, 16).bitwiseAND(F.lit(_MOST16))
+    place = lambda m: m.bitwiseAND(F.lit(_MOST16))
+    na, nb, pa, pb = size(a), size(b), place(a), place(b)
+    length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
+    most = F.least(pa, pb) + 2 + F.least(na - pa, nb - pb) - 2  # words in common, at most
+    bits = 9 * F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= na + nb
+    return (na == _MOST16) | (nb == _MOST16) | (pa == _MOST16) | (pb == _MOST16) | (length & bits & (9 * most >= 4 * (na + nb)))
+
+
+def matched(pairs: DataFrame, lines: DataFrame, broadcast: int) -> DataFrame:
     """(doc, ln) of the later lines of pairs (d1, l1, d2, l2) whose whole sets match."""
-    pairs = written(pairs, "line-pairs")
+    pairs = written(pairs.distinct(), "line-pairs")
     asked = written(pairs.select(F.col("d1").alias("doc"), F.col("l1").alias("ln")).unionByName(pairs.select(F.col("d2").alias("doc"), F.col("l2").alias("ln"))).distinct(), "lines-asked")
     few = asked.count() <= broadcast
     sets = lines.join(F.broadcast(asked) if few else asked, ["doc", "ln"], "left_semi").select("doc", "ln", word_hashes(F.col("line")).alias("h"))
@@ -154,24 +129,23 @@ def matched(pairs: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_S
 
 def repeats(first: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
     """(doc, ln) of the leaders that an earlier leader matches."""
-    group = Window.partitionBy("key").orderBy("doc", "ln").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = first.select(F.explode("keys").alias("key"), "doc", "ln").withColumns({"last": F.last(F.struct("doc", "ln")).over(group), "head": F.first(F.struct("doc", "ln")).over(group)})
-    shared = written(rows.where(F.col("head") != F.col("last")).select("key", "doc", "ln", F.col("head.doc").alias("hd"), F.col("head.ln").alias("hl")), "lines-shared")
-    known = first.select("doc", "ln", "n", "sketch")
+    rows = first.select(F.posexplode("keys").alias("place", "key"), "doc", "ln", "meta")
+    rows = rows.select("key", "doc", "ln", F.col("meta").bitwiseOR(F.least("place", F.lit(_MOST16)).cast("bigint")).alias("meta"))
+    rows = rows.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1")
+    head = F.first(F.struct("doc", "ln", "meta")).over(Window.partitionBy("key").orderBy("doc", "ln"))
+    shared = written(rows.select("key", "doc", "ln", "meta", head.alias("head")), "lines-shared")
 
     # Each line against the first of its key.
-    near = shared.where((F.col("hd") != F.col("doc")) | (F.col("hl") != F.col("ln"))).select(F.col("hd").alias("d1"), F.col("hl").alias("l1"), F.col("doc").alias("d2"), F.col("ln").alias("l2")).distinct()
-    a, b = known.alias("a"), known.alias("b")
-    near = near.alias("p").join(a, (F.col("p.d1") == F.col("a.doc")) & (F.col("p.l1") == F.col("a.ln"))).join(b, (F.col("p.d2") == F.col("b.doc")) & (F.col("p.l2") == F.col("b.ln"))).where(may_match("a", "b"))
-    found = matched(near.select("d1", "l1", "d2", "l2"), lines, broadcast)
+    near = shared.where(((F.col("head.doc") != F.col("doc")) | (F.col("head.ln") != F.col("ln"))) & may_match(F.col("head.meta"), F.col("meta")))
+    found = matched(near.select(F.col("head.doc").alias("d1"), F.col("head.ln").alias("l1"), F.col("doc").alias("d2"), F.col("ln").alias("l2")), lines, broadcast)
 
     # What that doesn't settle, against all others before it.
     settled = F.broadcast(found) if found.count() <= broadcast else found
-    rows = written(shared.select("key", "doc", "ln").join(known, ["doc", "ln"]), "lines-open")
+    rows = shared.select("key", "doc", "ln", "meta")
     a, b = rows.alias("a"), rows.join(settled, ["doc", "ln"], "left_anti").alias("b")
     earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.ln") < F.col("b.ln")))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & may_match("a", "b"))
-    pairs = pairs.select(F.col("a.doc").alias("d1"), F.col("a.ln").alias("l1"), F.col("b.doc").alias("d2"), F.col("b.ln").alias("l2")).distinct()
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & may_match(F.col("a.meta"), F.col("b.meta")))
+    pairs = pairs.select(F.col("a.doc").alias("d1"), F.col("a.ln").alias("l1"), F.col("b.doc").alias("d2"), F.col("b.ln").alias("l2"))
     return found.unionByName(matched(pairs, lines, broadcast)).distinct()
 
 
@@ -185,7 +159,7 @@ def deduplicated(docs: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> Dat
     """
     rows, _ = numbered(docs)
     lines = lines_of(rows)
-    first = written(leaders(lines), "lines-first")
+    first = written(leaders(rows, lines), "lines-first")
     gone = repeats(first, lines, broadcast)
     gone = F.broadcast(gone) if gone.count() <= broadcast else gone
     kept = first.select("doc", "ln", "base").join(gone, ["doc", "ln"], "left_anti")

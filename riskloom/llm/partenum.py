@@ -1,15 +1,16 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets of shingles (4 words, unless told otherwise) link when 100 |A n B| >= percent |A u B| (85, so here). Sizes are cut into bands; within a band whose largest size is
-r, linked sets differ in at most k = floor(30 r / 185) elements. The domain is dealt by a hash into k + 1 + c partitions,
-so linked sets agree on at least c + 1 of them, and a signature (band, partition, content) is shared. The spare
-c pays for leaving out the subsets that say little: a set skips its partitions of under m elements for the largest m with
-at most c of those, and of the c + 1 on which two linked sets agree, one has enough elements for both. A set near the top
+r, linked sets differ in at most k = floor(30 r / 185) elements. The domain is dealt by a hash into n1 = floor(k / 2) + 1 + c
+partitions of three parts each. In c + 1 of the partitions at most one element differs, so that linked sets agree on two of
+the three parts: every subset of two parts is enumerated, and a signature (band, partition, subset, content) is shared. The spare
+c pays for leaving out the subsets that say little: a set skips contents of under m elements for the largest m with
+at most c partitions that have one; of the c + 1 on which two linked sets agree, one has enough elements for both. A set near the top
 of its band also has signatures in the next one.
 
-Sets that are equal are one class, with one row per signature. Candidates within a signature are not all paired: first every
-class is checked against one hub (the class that shares most signatures), and components follow; then only pairs
-whose components still differ are, behind the length filter and a parity sketch whose differing bits never
+Sets that are equal are one class, with one row per signature. Candidates within a signature are not all paired: in each round every
+class is checked against one hub (the member of another component with which it shares most signatures), and components
+follow. Rounds go on as long as they find links; then only pairs whose components still differ are paired, behind the length filter and a parity sketch whose differing bits never
 exceed the differing elements. All checks count whole sets exactly.
 """
 
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 from .common import blocks, mask_hashes, mix, raw_strings, spread, words, written
 from .graph import components
 
-SHINGLE, PERCENT, BAND_GROWTH, SPARE, MOST_LEFT_OUT, SKETCH_BITS = 4, 85, 1.5, 0.2, 4, 1024
+SHINGLE, PERCENT, BAND_GROWTH, SPARE, MOST_LEFT_OUT, SKETCH_BITS = 4, 85, 1.5, 0.1, 4, 1024
+#: Parts of a partition; the subsets of all but one of them are enumerated.
+PARTS = 3
+#: Rounds of hubs at most, before the pairs that are left; pairs of a hub that are verified together.
+MOST_ROUNDS, HUB_PAIRS = 8, 500
 #: Ids of 8 bytes: at most 16 MB are broadcast; beyond that the texts are shuffled.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -80,27 +85,30 @@ def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray, percent: int = P
     if not len(who):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     k = most_different(2 * (edges[band + 1] - 1), percent)
-    spare = np.ceil(SPARE * k).astype(np.int64)
-    parts = k + 1 + spare
-    base = np.cumsum(parts) - parts
+    spare = np.ceil(SPARE * (k // 2 + 1)).astype(np.int64) * (k > 4)
+    count = k // 2 + 1 + spare  # partitions
+    base = np.cumsum(count) - count
     first = np.searchsorted(doc, who)
     at = spread(first, n[who])
     unit = np.repeat(np.arange(len(who)), n[who])
     element = key[at]
-    part = (mix(element ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(24)).astype(np.int64) % parts[unit]
-    slot, total = base[unit] + part, int(parts.sum())
+    part = (mix(element ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(24)).astype(np.int64) % (PARTS * count)[unit]
+    slot, total = PARTS * base[unit] + part, PARTS * int(count.sum())
     value = mix(element ^ np.uint64(0x14057B7EF767814F))
-    size = np.bincount(slot, minlength=total)
-    low = np.bincount(slot, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total).astype(np.uint64)
-    high = np.bincount(slot, weights=(value >> np.uint64(32)).astype(np.float64), minlength=total).astype(np.uint64)  # exact: under 2**53
+    sums = lambda w: np.bincount(slot, weights=w, minlength=total).reshape(-1, PARTS)
+    unit = np.repeat(np.arange(len(who)), count)
+    left_out = (k[unit] > 0).astype(np.uint64)[:, None]  # where nothing may differ, the one subset is the whole set
+    # Of each subset, what all parts but one hold; sums of 32 bits are exact under 2**53.
+    parts = (sums(None).astype(np.uint64), *(sums((value >> s & np.uint64(0xFFFFFFFF)).astype(np.float64)).astype(np.uint64) for s in (np.uint64(0), np.uint64(32))))
+    size, low, high = (x.sum(axis=1, keepdims=True) - left_out * x for x in parts)
+    poorest = size.min(axis=1)
     least = np.zeros(len(who), np.int64)
     for m in range(1, MOST_LEFT_OUT + 1):
-        least[np.add.reduceat((size < m).astype(np.int64), base) <= spare] = m
-    unit = np.repeat(np.arange(len(who)), parts)
-    number = np.arange(total) - base[unit]
-    sig = mix(low * np.uint64(0x9E3779B97F4A7C15) + mix(high + (band[unit] * 1_000_003 + number).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) + size.astype(np.uint64))
-    keep = size >= least[unit]
-    return who[unit[keep]], sig[keep]
+        least[np.add.reduceat((poorest < m).astype(np.int64), base) <= spare] = m
+    number = (PARTS * (np.arange(len(unit)) - base[unit]))[:, None] + np.arange(PARTS)
+    sig = mix(low * np.uint64(0x9E3779B97F4A7C15) + mix(high + (band[unit][:, None] * 1_000_003 + number).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) + size)
+    row, subset = np.nonzero((size >= least[unit][:, None].astype(np.uint64)) & ((left_out > 0) | (np.arange(PARTS) == 0)))
+    return who[unit[row]], sig[row, subset]
 
 
 def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -166,7 +174,11 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: in
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts, "pair-texts")
-    both = pairs.join(texts.select(F.col("id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(texts.select(F.col("id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    # A hub stands in many pairs: its text goes to as many tasks as its pairs need.
+    parts = pairs.groupBy("doc_b").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    dealt = pairs.join(texts.select(F.col("id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(parts, "doc_b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    hubs = texts.withColumnRenamed("id", "doc_b").join(parts, "doc_b").select("doc_b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(hubs, ["doc_b", "part"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +199,41 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: in
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
+def unsettled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """sig, class, label of the signatures (buckets: sig, class) whose classes are in several components. labels: node, label; None before there are links."""
+    if labels is None:
+        return buckets.withColumn("label", F.col("class"))
+    rows = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    several = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
+    return rows.join(several, "sig")
+
+
+def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b) of each class a of rows (sig, class, label) and the hub of another component with which it shares most signatures.
+
+    The hub of a signature is its heaviest class in the first turn, then the heaviest of a component that the turn's hash picks.
+    """
+    rows = written(rows, "unsettled")
+    weight = rows.groupBy("class").agg(F.count("*").alias("weight"))
+    pick = F.lit(0) if not turn else F.xxhash64("label", F.lit(turn))
+    hubs = rows.join(weight, "class").groupBy("sig").agg(F.max(F.struct(pick.alias("pick"), "weight", "class", "label")).alias("hub")).select("sig", F.col("hub.class").alias("hub"), F.col("hub.label").alias("hub_label"))
+    best = rows.join(hubs, "sig").where("label <> hub_label").groupBy("class", "hub").count()
+    return best.groupBy("class").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("class").alias("a"), F.col("x.hub").alias("b"))
+
+
+def described_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """a, b, doc_a, doc_b of the pairs (a, b) that the length filter and the sketch let pass."""
+    a, b = known.alias("a"), known.alias("b")
+    both = pairs.alias("p").join(a, F.col("p.a") == F.col("a.class")).join(b, F.col("p.b") == F.col("b.class")).where(may_link("a", "b", percent))
+    return both.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id of each row of docs (doc_id, text; more columns are ignored).
 
     Sets of shingles of size words link at percent or more. component_id is the least doc_id that links lead to, class_id the least doc_id with an equal set. Null or empty text, and
-    text without words, is an empty set, which links with nothing. Rows that repeat share a component. An empty table
-    gives no rows.
+    text without words, is an empty set, which links with nothing. Rows that repeat share a component. Texts are read whole,
+    however long. An empty table gives no rows.
     """
     rows = written(described(docs, percent, size), "sets")
     classes = written(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
@@ -201,21 +242,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     buckets = written(dealt.join(shared.hint("shuffle_hash"), "sig").distinct(), "buckets")
     known = classes.select("class", "doc", "n", "sketch")
 
-    # First round: each class against the hub with which it shares most signatures.
-    weight = buckets.groupBy("class").agg(F.count("*").alias("weight"))
-    hubs = buckets.join(weight, "class").groupBy("sig").agg(F.max(F.struct("weight", "class")).alias("hub")).select("sig", F.col("hub.class").alias("hub"))
-    best = buckets.join(hubs, "sig").where("class <> hub").groupBy("class", "hub").count()
-    best = best.groupBy("class").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("class").alias("a"), F.col("x.hub").alias("b"))
-    a, b = known.alias("a"), known.alias("b")
-    pairs = best.alias("p").join(a, F.col("p.a") == F.col("a.class")).join(b, F.col("p.b") == F.col("b.class")).where(may_link("a", "b", percent))
-    pairs = pairs.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
-    links = verified(pairs, docs, percent, size)
-    labels = components(links)
-
-    # Second round: what shares a signature across components.
-    with_label = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    open_sigs = with_label.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    rest = written(with_label.join(open_sigs, "sig").join(known, "class").select("sig", "class", "label", "doc", "n", "sketch"), "open")
+    links = labels = tried = None
+    for turn in range(MOST_ROUNDS):
+        open_rows = unsettled(buckets, labels)
+        pairs = hub_pairs(open_rows, turn)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "hub-pairs")
+        found = verified(described_pairs(pairs, known, percent), docs, percent, size)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        labels = written(components(links), "labels")
+        if not found.limit(1).collect():
+            break
+    # What shares a signature across components still.
+    rest = written(unsettled(buckets, labels).join(known, "class"), "open")
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent))
     pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct()
