@@ -19,12 +19,16 @@ BLOCK_BYTES = 1 << 20
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove_scratch() -> None:
     """Deletes this session's scratch tables when the driver ends."""
     for spark, path in _scratch:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may have gone already
             return
 
@@ -58,7 +62,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.15)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = (spark, path)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes scratch tables of written() that nothing reads any more."""
+    for t in tables:
+        _delete(*t._scratch)
+        _scratch.remove(t._scratch)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

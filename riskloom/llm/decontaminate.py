@@ -3,7 +3,9 @@
 A seed hashes the words at the places of a fixed mask and ignores those between, so that a substituted word in a gap does
 not hide an overlap. The seeds of the benchmark's items are joined with those at every place of every document; around
 each hit, document and item are laid along the hit's diagonal, and the best segment (a match counts 1, a substitution
--SUBSTITUTION) decides. Items go to the executors in blocks of bounded size, each joined with all documents.
+-SUBSTITUTION) decides. The masks miss nothing that is accepted: a segment in which more than two thirds of the words match, as a
+gain takes, has four words in a row that match, or three with a single gap and another one beside them; the mask with a gap in the middle is for
+items of 5 to 12 words. Items go to the executors in blocks of bounded size, each joined with all documents.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import blocks, mask_hashes, raw_strings, spread, words, written
 
-# Three masks of 7 of 11 places.
-MASKS = ((0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 5, 6, 8, 10), (0, 1, 2, 5, 7, 8, 10))
-SPAN, SHORTEST = 11, 3
+# Four masks of four words; shorter items are looked for whole.
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 3, 4))
+SPAN, SHORTEST = 5, 3
+#: Pairs of places with equal seeds that are looked at together.
+HITS_AT_ONCE = 1 << 21
 #: An overlap counts with so many matching words, or with this share of the item's words.
 MIN_WORDS, MIN_SHARE, SUBSTITUTION = 13, 0.8, 2
 #: Characters of benchmark text in a block: a block's seeds take under 100 MB in a worker.
@@ -45,13 +49,12 @@ class Index:
         self.ids = np.array(ids, np.int64)
         self.words, self.first = plain_words(data, offsets)
         counts = np.diff(self.first)
-        short = sorted({int(c) for c in counts if SHORTEST <= c < SPAN})
-        self.masks = [*MASKS, *(tuple(range(c)) for c in short)]
+        self.masks = [*MASKS, tuple(range(SHORTEST))]  # items of four words fit the first mask, those of three the last
         seeds, places = [], []
         for mask in self.masks:
             every = mask_hashes(self.words, mask)
             span = mask[-1] + 1
-            fits = counts >= SPAN if mask in MASKS else counts == span
+            fits = counts >= max(span, SPAN - 1) if len(mask) == 4 else counts == span
             at = spread(self.first[:-1][fits], counts[fits] - span + 1)
             seeds.append(every[at] if len(at) else np.zeros(0, np.uint64))
             places.append(at)
@@ -62,16 +65,20 @@ class Index:
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in h, place in the items' words) of every seed that both have."""
-        left, right = [], []
+    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in h, place in the items' words) of every seed that both have, HITS_AT_ONCE at most if no single place has more."""
         for mask in self.masks:
             every = mask_hashes(h, mask)
             at = np.flatnonzero(self.sieve[(every >> np.uint64(44)).astype(np.int64)])
             lo, hi = (np.searchsorted(self.seeds, every[at], side=s) for s in ("left", "right"))
-            left.append(np.repeat(at, hi - lo))
-            right.append(self.places[spread(lo, hi - lo)])
-        return np.concatenate(left), np.concatenate(right)
+            some = hi > lo
+            at, lo, hi = at[some], lo[some], hi[some]
+            total = np.cumsum(hi - lo)
+            k = 0
+            while k < len(at):
+                end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + HITS_AT_ONCE, side="right")))
+                yield np.repeat(at[k:end], (hi - lo)[k:end]), self.places[spread(lo[k:end], (hi - lo)[k:end])]
+                k = end
 
 
 def best_segment(same: np.ndarray) -> tuple[int, int, int]:
@@ -85,12 +92,15 @@ def best_segment(same: np.ndarray) -> tuple[int, int, int]:
 
 def overlaps(h: np.ndarray, first: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int, int, float]]:
     """(text number, item number, start in the text, start in the item, words, matches, share) of the best overlap of each pair."""
-    left, right = index.hits(h)
-    doc = np.searchsorted(first, left, side="right") - 1
-    item = index.item[right]
-    shift = (left - first[doc]) - (right - index.first[item])
+    items, far = len(index.ids), int(max(np.diff(first).max(initial=0), np.diff(index.first).max(initial=0))) + 1
+    diagonals = np.zeros(0, np.int64)  # different ones, as (text, item, shift) in one number
+    for left, right in index.hits(h):
+        doc, item = np.searchsorted(first, left, side="right") - 1, index.item[right]
+        shift = (left - first[doc]) - (right - index.first[item])
+        diagonals = np.union1d(diagonals, (doc * items + item) * (2 * far) + shift + far)
+    pair, shift = np.divmod(diagonals, 2 * far)
     found: dict[tuple[int, int], tuple[int, int, int, int, float]] = {}
-    for d, i, s in sorted(set(zip(doc.tolist(), item.tolist(), shift.tolist()))):
+    for d, i, s in zip((pair // items).tolist(), (pair % items).tolist(), (shift - far).tolist()):
         a, b = h[first[d] : first[d + 1]], index.words[index.first[i] : index.first[i + 1]]
         lo, hi = max(0, -s), min(len(b), len(a) - s)
         if hi <= lo:
@@ -108,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
     A row for each document and item that overlap in MIN_WORDS matching words or more, or in MIN_SHARE of the item; of
     several places in a document, the one with most matches, the first of equal ones. Words are runs of letters and
     digits in lower case. Null or empty texts, and items under SHORTEST words, overlap with nothing; an item under SPAN
-    words must occur whole. Rows that repeat give a row each. Empty tables give no rows.
+    words must occur whole. Texts are read whole, however long. Rows that repeat give a row each. Empty tables give no rows.
     """
     spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.int64()) for c in ("doc_start", "item_start", "n_words", "n_matches")), ("share", pa.float64())])

@@ -1,18 +1,19 @@
 """HTML extraction with a site style tree.
 
 The pages of a host are merged into one tree: a node of it is the path of tags and classes from the root. For each node two
-kinds of evidence are counted over the host's pages, by grouped aggregation: its presentation (the styles, that is the
+kinds of evidence are counted over the host's different pages (copies count once), by grouped aggregation: its presentation (the styles, that is the
 sequences of child tags, it shows) and its content (the texts it holds). With m pages that have the node, a style on
 a share p of them adds -p log_m p to the presentation's entropy, and a text on c of them has the entropy log_m c: what
-varies from page to page matters, what a site repeats does not. The composite importance weighs both. Branches of low
-importance are taken out of each page, and with them those whose tag, role or class says what they are; of the rest, the
-articles are the main text, or all of it where a page marks none.
+varies from page to page matters, what a site repeats does not. The composite importance weighs both. Every node that holds text is judged, in
+articles and outside. The text of nodes of low importance is taken out of each page (inside articles they must be nearly the same on all pages), and with it what tag,
+role or class declare as something else; of the rest, the articles are the main text, or all of it where a page marks none.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,11 +53,15 @@ OUT_WORDS = frozenset(
 )
 MAIN_TAGS = frozenset(["article", "main"])
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.DOTALL)
+#: Comments, declarations, and tags (end mark, name, attributes, whether they end before the page does): each match takes time in proportion to its length.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:(>)|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+END_OF = {tag: re.compile(f"</{tag}", re.ASCII | re.IGNORECASE) for tag in RAW}
 
 #: Of content in the composite importance, against presentation; what counts as low; pages a host's node must be on to be judged.
 CONTENT_WEIGHT, LOW, LEAST_PAGES = 0.9, 0.3, 5
+#: What counts as low inside articles.
+LOW_IN_ARTICLE = 0.1
 #: Low nodes of all hosts that are broadcast, at most 16 MB; beyond that pages are shuffled by host and one of SALTS numbers.
 MAX_BROADCAST_NODES, SALTS = 1_000_000, 64
 
@@ -93,22 +98,24 @@ def number(text: str) -> int:
 
 
 class Node:
-    """An open element."""
+    """An open element; block is the innermost block around it, itself included."""
 
-    __slots__ = ("tag", "path", "out", "main", "in_article", "children")
+    __slots__ = ("tag", "path", "out", "main", "in_article", "children", "block")
 
-    def __init__(self, tag: str, path: int, out: bool, main: int, in_article: bool):
+    def __init__(self, tag: str, path: int, out: bool, main: int, in_article: bool, block: Node | None = None):
         self.tag, self.path, self.out, self.main, self.in_article, self.children = tag, path, out, main, in_article, []
+        self.block = self if block is None or tag in BLOCK else block
 
 
 def walk(page: str, low: frozenset[int] = frozenset(), nodes: list[tuple[int, int]] | None = None) -> list[tuple[int, bool, int, str]]:
     """The blocks of a page in order: path, whether it is out, what marks it as main (0: nothing, 1: main, 2: article), text.
 
-    low: paths to take out. nodes, if given, gets (path, style) of each element.
+    low: paths whose own text is out. nodes, if given, gets (path, style) of each element. The time grows with the page's length.
     """
     out: list[tuple[int, bool, int, str]] = []
     root = Node("", 0, False, 0, False)
     stack: list[Node] = [root]
+    open_tags: Counter[str] = Counter()
     run: list[str] = []  # the text of the open block
     holder: list[Node] = []  # the elements where it began: the block, the innermost
 
@@ -116,14 +123,14 @@ def walk(page: str, low: frozenset[int] = frozenset(), nodes: list[tuple[int, in
         if stack[-1].out and stack[-1].tag not in BLOCK:
             return  # inside an inline element that is out
         if not run:
-            holder[:] = [next(n for n in reversed(stack) if n.tag in BLOCK or not n.tag), stack[-1]]
+            holder[:] = [stack[-1].block, stack[-1]]
         run.append(text)
 
     def flush() -> None:
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             if text:
-                out.append((holder[0].path, holder[1].out, holder[1].main, text))
+                out.append((holder[0].path, holder[1].out or holder[0].path in low, holder[1].main, text))
             run.clear()
 
     def pop_to(depth: int) -> None:
@@ -134,12 +141,15 @@ def walk(page: str, low: frozenset[int] = frozenset(), nodes: list[tuple[int, in
             if nodes is not None:
                 nodes.append((node.path, number(" ".join(node.children))))
             stack.pop()
+            open_tags[node.tag] -= 1
 
-    at, lower = 0, None
+    at = 0
     while True:
         m = TOKEN.search(page, at)
         if not m:
             break
+        if m[2] is not None and m[4] is None and page.find(">", m.start()) < 0:
+            break  # no tag ends any more: what is left is text
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -147,9 +157,8 @@ def walk(page: str, low: frozenset[int] = frozenset(), nodes: list[tuple[int, in
             continue
         tag = m[2].lower()
         if m[1]:  # an end tag
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                pop_to(depth)
+            if open_tags[tag]:
+                pop_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             elif tag == "p":
                 flush()
             elif tag == "br":
@@ -160,40 +169,40 @@ def walk(page: str, low: frozenset[int] = frozenset(), nodes: list[tuple[int, in
             continue
         a = attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
         if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends here
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
+            if open_tags["p"]:
+                for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends here
+                    if stack[i].tag == "p":
+                        pop_to(i)
+                        break
+                    if stack[i].tag in _SCOPE:
+                        break
             flush()
         if tag in CLOSES:
             ends, within = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    pop_to(i)
-                    break
-                if stack[i].tag in within:
-                    break
+            if any(open_tags[x] for x in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in ends:
+                        pop_to(i)
+                        break
+                    if stack[i].tag in within:
+                        break
         top = stack[-1]
         label = tag + "".join(sorted(f".{c.lower()}" for c in a.get("class", "").split()))
         top.children.append(label)
         path = number(f"{top.path}>{label}")
-        is_out = top.out or declared_out(tag, a, top.in_article) or path in low
+        is_out = top.out or declared_out(tag, a, top.in_article)
         main = max(top.main, 2 if tag == "article" or a.get("itemprop", "").lower() == "articlebody" else 1 if tag == "main" or a.get("role", "").lower() == "main" else 0)
         if tag in RAW:  # its content is no markup
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
-            if end >= 0:
-                close = page.find(">", end)
-                at = len(page) if close < 0 else close + 1
+            end = END_OF[tag].search(page, at)
+            close = page.find(">", end.end()) if end else -1
+            at = len(page) if close < 0 else close + 1
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             continue
-        stack.append(Node(tag, path, is_out, main, top.in_article or main == 2))
+        stack.append(Node(tag, path, is_out, main, top.in_article or main == 2, top.block))
+        open_tags[tag] += 1
     if at < len(page):
         add(page[at:])
     flush()
@@ -214,35 +223,37 @@ def host_of(url: str) -> str:
 
 
 def style_features(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature) once for each page: kind 0 a style of the node, 1 a text in it. Articles and what is out anyway need no vote."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int8()), ("feature", pa.int64())])
+    """(host, path, main, kind, feature, page) once for each page: kind 0 a style of the node, 1 a text in it; page is a hash of the page's markup. Every node that holds text votes, in articles and
+    outside; what tag, role or class declare as something else is out anyway."""
+    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("main", pa.bool_()), ("kind", pa.int8()), ("feature", pa.int64()), ("page", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = raw_strings(batch.column("html"))
             for lo, hi in blocks(offsets, 4 << 20):
                 b = batch.slice(lo, hi - lo)
-                hosts, rows = [], set()
-                columns: tuple[list, list, list] = ([], [], [])
+                columns: tuple[list, ...] = ([], [], [], [], [], [])
                 for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
                     nodes: list[tuple[int, int]] = []
-                    found = walk(page or "", nodes=nodes)
-                    open_paths = {p for p, out, main, _ in found if not out and main < 2}
-                    rows = {(p, 1, number(t)) for p, out, main, t in found if not out and main < 2} | {(p, 0, s) for p, s in nodes if p in open_paths}
-                    hosts += [host_of(url)] * len(rows)
-                    for i, c in enumerate(columns):
-                        c += [r[i] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((hosts, *columns), schema)], schema=schema)
+                    found = [x for x in walk(page or "", nodes=nodes) if not x[1]]
+                    inside = {p: main == 2 for p, _, main, _ in found}
+                    rows = {(p, inside[p], 1, number(t)) for p, _, _, t in found} | {(p, inside[p], 0, s) for p, s in nodes if p in inside}
+                    columns[0].extend([host_of(url)] * len(rows))
+                    columns[5].extend([number(page or "")] * len(rows))
+                    for c, values in zip(columns[1:5], zip(*rows)):
+                        c.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return pages.mapInArrow(run, "host string, path bigint, kind tinyint, feature bigint")
+    return pages.mapInArrow(run, "host string, path bigint, main boolean, kind tinyint, feature bigint, page bigint")
 
 
 def importance(features: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of each node of each host's style tree. A hot host's rows are counted before they are shuffled."""
-    counts = features.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"))
+    """(host, path, main, pages, importance) of each node of each host's style tree; main: it is in an article. A hot host's rows are counted before they are shuffled."""
+    key = ["host", "path", "main", "kind", "feature"]
+    counts = features.groupBy(*key, "page").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("c"))
     # With m = the node's styles over its pages: sum of c; entropies follow from sums of c ln c alone.
-    sums = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    both = sums.groupBy("host", "path").agg(
+    sums = counts.groupBy("host", "path", "main", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    both = sums.groupBy("host", "path", "main").agg(
         F.max(F.when(F.col("kind") == 0, F.col("m"))).alias("pages"),
         F.max(F.when(F.col("kind") == 0, F.col("s"))).alias("style_s"),
         F.max(F.when(F.col("kind") == 1, F.col("m"))).alias("texts"),
@@ -251,18 +262,19 @@ def importance(features: DataFrame) -> DataFrame:
     style = F.when(F.col("pages") > 1, (F.log("pages") - F.col("style_s") / F.col("pages")) / F.log("pages")).otherwise(F.lit(1.0))
     content = F.when(F.col("pages") > 1, F.lit(1.0) - F.col("text_s") / F.col("texts") / F.log("pages")).otherwise(F.lit(1.0))
     both = both.where("pages is not null and texts is not null")
-    return both.select("host", "path", "pages", (F.lit(1 - CONTENT_WEIGHT) * style + F.lit(CONTENT_WEIGHT) * content).alias("importance"))
+    return both.select("host", "path", "main", "pages", (F.lit(1 - CONTENT_WEIGHT) * style + F.lit(CONTENT_WEIGHT) * content).alias("importance"))
 
 
-def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES, low_in_article: float = LOW_IN_ARTICLE) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html; more columns are ignored).
 
     Null or empty html, and a page without main text, give an empty text; a null url is a host of its own. Rows that repeat
-    are extracted each. Whole pages are read, however long. An empty table gives no rows.
+    are extracted each, and count as one page of their host. Tags that the page's end cuts off are dropped, unless no > follows them at all: then they are text. Whole pages are read, however long,
+    in time that grows with their length. An empty table gives no rows.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    judged = importance(style_features(rows.select("url", "html"))).where((F.col("pages") >= least_pages) & (F.col("importance") < low))
-    taken = written(judged.groupBy("host").agg(F.collect_list("path").alias("low")), "low-nodes")  # a few nodes of each host's template
+    judged = importance(style_features(rows.select("url", "html"))).where((F.col("pages") >= least_pages) & (F.col("importance") < F.when(F.col("main"), low_in_article).otherwise(low)))
+    taken = written(judged.groupBy("host").agg(F.collect_set("path").alias("low")), "low-nodes")  # a few nodes of each host's template
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[^/?#]*?://)?(?:[^/?#]*@)?([^/?#:]*)", 1))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -22,14 +22,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 #: Lines whose places are broadcast at most (16 bytes each); beyond that Spark joins by a shuffle.
 MAX_BROADCAST_SETTLED = 1_000_000
 #: Words are counted in 2 ** BUCKET_BITS buckets of their hashes.
 BUCKET_BITS = 14
-#: Sizes and places from here on pass the filters.
-_MOST16 = 65_535
+#: A listed line's meta: bits of the sketch, of the size, of the place; the largest size and place stand for all beyond and pass the filters.
+_SKETCH, _SIZE, _PLACE = 44, 11, 9
+_MOST_SIZE, _MOST_PLACE = (1 << _SIZE) - 1, (1 << _PLACE) - 1
 _NO_ID = -(1 << 63)
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -67,7 +68,7 @@ def lines_of(rows: DataFrame) -> DataFrame:
 def rarity(rows: DataFrame) -> list[int]:
     """The rank of each bucket of words, the rarest first, from the counts of all words of all texts."""
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).cast("int").alias("bucket")
-    words = rows.select(F.explode(words_of(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
+    words = rows.select(F.explode(F.split(F.lower(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))), " ")).alias("w"))  # rarer blanks don't matter here
     counts = dict(map(tuple, words.groupBy(bucket).count().collect()))  # a row for each bucket
     order = sorted(range(1 << BUCKET_BITS), key=lambda b: (counts.get(b, 0), b))
     rank = [0] * len(order)
@@ -90,10 +91,10 @@ def listed(lines: DataFrame, rank: list[int]) -> DataFrame:
     t = lines.select("doc", "ln", "base", coded(F.col("line"), rank).alias("s"))
     length = F.when(F.size("s") >= 4, F.floor(F.size("s") * 2 / 5).cast("int") + 1).otherwise(0)  # smaller sets match equal ones alone
     t = t.select("*", length.alias("prefix"))
-    keys = F.zip_with(F.slice("s", F.lit(1), F.col("prefix")), F.slice("s", F.lit(2), F.col("prefix")), lambda a, b: F.xxhash64(a, b))
-    one, low = F.lit(1 << 32), F.lit(31).cast("bigint")
-    sketch = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(low).cast("int"))))
-    meta = sketch.bitwiseOR(F.shiftleft(F.least(F.size("s"), F.lit(_MOST16)).cast("bigint"), 16))
+    keys = F.zip_with(F.slice("s", F.lit(1), F.col("prefix")), F.slice("s", F.lit(2), F.col("prefix")), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 16))  # 48 bits: a list that two pairs share costs time alone
+    one, low = F.lit(1 << (_SIZE + _PLACE)).cast("bigint"), F.lit(1023).cast("bigint")
+    sketch = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(x.bitwiseAND(low) * _SKETCH, 10).cast("int"))))
+    meta = sketch.bitwiseOR(F.shiftleft(F.least(F.size("s"), F.lit(_MOST_SIZE)).cast("bigint"), _PLACE))
     return t.select("doc", "ln", "base", F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"), keys.alias("keys"), meta.alias("meta"))
 
 
@@ -105,13 +106,14 @@ def leaders(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 def may_match(a: Column, b: Column) -> Column:
     """The filters on two metas, with the key's place: length, place, and that the sketches have no more odd bits than words may differ."""
-    size = lambda m: F.shiftrightunsigned(m, 16).bitwiseAND(F.lit(_MOST16))
-    place = lambda m: m.bitwiseAND(F.lit(_MOST16))
+    size = lambda m: F.shiftrightunsigned(m, _PLACE).bitwiseAND(F.lit(_MOST_SIZE))
+    place = lambda m: m.bitwiseAND(F.lit(_MOST_PLACE))
     na, nb, pa, pb = size(a), size(b), place(a), place(b)
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
-    most = F.least(pa, pb) + 2 + F.least(na - pa, nb - pb) - 2  # words in common, at most
-    bits = 9 * F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= na + nb
-    return (na == _MOST16) | (nb == _MOST16) | (pa == _MOST16) | (pb == _MOST16) | (length & bits & (9 * most >= 4 * (na + nb)))
+    most = F.least(pa, pb) + F.least(na - pa, nb - pb)  # words in common, at most
+    bits = 9 * F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), _SIZE + _PLACE)) <= na + nb
+    beyond = (na == _MOST_SIZE) | (nb == _MOST_SIZE) | (pa == _MOST_PLACE) | (pb == _MOST_PLACE)
+    return beyond | (length & bits & (9 * most >= 4 * (na + nb)))
 
 
 def matched(pairs: DataFrame, lines: DataFrame, broadcast: int) -> DataFrame:
@@ -124,13 +126,15 @@ def matched(pairs: DataFrame, lines: DataFrame, broadcast: int) -> DataFrame:
     a, b = (sets.select(F.col("doc").alias(f"d{i}"), F.col("ln").alias(f"l{i}"), F.col("h").alias(f"h{i}")) for i in (1, 2))
     both = pairs.join(a, ["d1", "l1"]).join(b, ["d2", "l2"])
     enough = 9 * F.size(F.array_intersect("h1", "h2")) >= 4 * (F.size("h1") + F.size("h2"))
-    return written(both.where(enough).select(F.col("d2").alias("doc"), F.col("l2").alias("ln")).distinct(), "lines-matched")
+    out = written(both.where(enough).select(F.col("d2").alias("doc"), F.col("l2").alias("ln")).distinct(), "lines-matched")
+    dropped(pairs, asked, sets)
+    return out
 
 
 def repeats(first: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
     """(doc, ln) of the leaders that an earlier leader matches."""
     rows = first.select(F.posexplode("keys").alias("place", "key"), "doc", "ln", "meta")
-    rows = rows.select("key", "doc", "ln", F.col("meta").bitwiseOR(F.least("place", F.lit(_MOST16)).cast("bigint")).alias("meta"))
+    rows = rows.select("key", "doc", "ln", F.col("meta").bitwiseOR(F.least("place", F.lit(_MOST_PLACE)).cast("bigint")).alias("meta"))
     rows = rows.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1")
     head = F.first(F.struct("doc", "ln", "meta")).over(Window.partitionBy("key").orderBy("doc", "ln"))
     shared = written(rows.select("key", "doc", "ln", "meta", head.alias("head")), "lines-shared")
@@ -146,7 +150,9 @@ def repeats(first: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_S
     earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.ln") < F.col("b.ln")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & may_match(F.col("a.meta"), F.col("b.meta")))
     pairs = pairs.select(F.col("a.doc").alias("d1"), F.col("a.ln").alias("l1"), F.col("b.doc").alias("d2"), F.col("b.ln").alias("l2"))
-    return found.unionByName(matched(pairs, lines, broadcast)).distinct()
+    out = found.unionByName(matched(pairs, lines, broadcast)).distinct()
+    dropped(shared)
+    return out
 
 
 def deduplicated(docs: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:

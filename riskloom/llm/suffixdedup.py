@@ -5,28 +5,34 @@ windows have equal anchors at equal places, so only strings round a common ancho
 windows of one anchor cover, and strings line up at their anchors. Equal strings are one from the start.
 
 The strings of an anchor then go through a column-wise construction: from the last column to the first, each round inserts
-one symbol of every string, sorts the suffixes stably by it (the order so far is theirs without the symbol), and updates
-the longest common prefixes of neighbours from the ranges between them. Columns of symbols, and the collection's
-Burrows-Wheeler columns, are files outside memory that are read and written from end to end; memory holds one column,
-one order and its prefixes. A suffix with LENGTH symbols in common with a neighbour starts a window that occurs elsewhere.
+one symbol of every string. The symbols in the order so far are the open column's part of the collection's Burrows-Wheeler
+transform (what stands before each suffix); a stable sort by them gives the next order, and the longest common prefixes of neighbours
+follow from the ranges between them. As strings line up at their anchors, only suffixes of one column are ever
+compared, so the transform of earlier columns is not kept. A suffix with LENGTH symbols in common with a neighbour starts a
+window that occurs elsewhere. An anchor with more than BATCH different strings would be too much for a task: there
+the windows of each string are counted by their hashes.
+
+Passages of words go the same way, over texts of three bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, blocks, prefix_sums, range_hashes, raw_strings, written
+from .common import BYTE_CODES, blocks, dropped, prefix_sums, range_hashes, raw_strings, words, written
 
 LENGTH, GRAM = 400, 32
-#: Strings that are sorted together at most, unless one anchor has more; bytes of a text that are looked at together.
+#: Strings that are sorted together at most; bytes of a text that are looked at together.
 BATCH, PIECE = 8192, 1 << 19
+#: Bytes of a word's code, and words that choose an anchor among passages.
+CODE, GRAM_WORDS = 3, 8
 
 #: start: the first place of the string in the text; more: the other ones, where a text repeats it (null if it doesn't).
 ANCHORS = "anchor bigint, k1 bigint, k2 bigint, start bigint, size int, shift int, string bigint, n bigint, more array<bigint>"
@@ -69,7 +75,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     heads = np.flatnonzero(new)
     lo, hi = starts[heads], starts[np.append(heads[1:], len(starts)) - 1] + length
     doc, at = doc[heads], at[heads]
-    string = range_hashes(sums, lo, hi) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64)
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+    string = np.fromiter((digest(view[i:j]) for i, j in zip(lo.tolist(), hi.tolist())), np.uint64, len(lo)) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64)
     return doc, grams[at], lo - offsets[doc], hi - lo, at - lo, string
 
 
@@ -107,10 +114,11 @@ def anchored(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     return keyed.mapInArrow(run, ANCHORS)
 
 
-def column_wise(strings: list[bytes], shifts: np.ndarray, groups: np.ndarray, length: int, gram: int) -> np.ndarray:
+def column_wise(strings: list[bytes], shifts: np.ndarray, groups: np.ndarray, length: int, gram: int, docs: np.ndarray | None = None) -> np.ndarray:
     """Which starts of windows occur in another string of the group at the same place before the anchor: a row for each string, a column for each start.
 
-    Column j of the grid is the place j - (length - gram) from the anchor; groups are sorted.
+    Column j of the grid is the place j - (length - gram) from the anchor; groups are sorted. docs: the document of each string, or
+    -1 for several; if given, a window must occur in two documents.
     """
     m, width, reach = len(strings), 2 * length - gram, length - gram
     found = np.zeros((m, reach + 1), bool)
@@ -118,37 +126,41 @@ def column_wise(strings: list[bytes], shifts: np.ndarray, groups: np.ndarray, le
     for i, (s, shift) in enumerate(zip(strings, shifts.tolist())):
         grid[reach - shift : reach - shift + len(s), i] = np.frombuffer(s, np.uint8)
     group = np.cumsum(np.concatenate([[0], (groups[1:] != groups[:-1]).astype(np.int64)])) * 257
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as bwt:
-        columns.write(grid[::-1].tobytes())  # the last column first
-        del grid
-        columns.seek(0)
-        order, common = np.arange(m), np.zeros(m, np.int64)  # common[i]: of the suffixes at i - 1 and i
-        for j in range(width - 1, -1, -1):
-            symbol = np.frombuffer(columns.read(2 * m), np.int16)[order]
-            bwt.write(symbol.tobytes())  # of the suffixes so far, in their order: what stands before each
-            key = group[order] + symbol
-            same = np.zeros(m, bool)
-            if (key[1:] >= key[:-1]).all():
-                between = common
-                same[1:] = (key[1:] == key[:-1]) & (symbol[1:] >= 0)
-            else:
-                place = np.argsort(key, kind="stable")
-                key, symbol, order = key[place], symbol[place], order[place]
-                same[1:] = (key[1:] == key[:-1]) & (symbol[1:] >= 0)
-                between = np.zeros(m, np.int64)
-                near = np.zeros(m, bool)
-                near[1:] = same[1:] & (place[1:] == place[:-1] + 1)
-                between[near] = common[place[near]]
-                far = np.flatnonzero(same & ~near)
-                if len(far):  # the least of those between, for all at once
-                    ends = np.stack([place[far - 1] + 1, place[far] + 1], axis=1)
-                    by_start = np.argsort(ends[:, 0], kind="stable")
-                    between[far[by_start]] = np.minimum.reduceat(np.append(common, 0), ends[by_start].reshape(-1))[::2]
-            common = np.where(same, between + 1, 0)
-            if j <= reach:
-                hit = common >= length
+    order, common = np.arange(m), np.zeros(m, np.int64)  # common[i]: of the suffixes at i - 1 and i
+    for j in range(width - 1, -1, -1):
+        symbol = grid[j][order]  # of the suffixes so far, in their order: what stands before each
+        key = group[order] + symbol
+        same = np.zeros(m, bool)
+        if (key[1:] >= key[:-1]).all():
+            between = common
+            same[1:] = (key[1:] == key[:-1]) & (symbol[1:] >= 0)
+        else:
+            place = np.argsort(key, kind="stable")
+            key, symbol, order = key[place], symbol[place], order[place]
+            same[1:] = (key[1:] == key[:-1]) & (symbol[1:] >= 0)
+            between = np.zeros(m, np.int64)
+            near = np.zeros(m, bool)
+            near[1:] = same[1:] & (place[1:] == place[:-1] + 1)
+            between[near] = common[place[near]]
+            far = np.flatnonzero(same & ~near)
+            if len(far):  # the least of those between, for all at once
+                ends = np.stack([place[far - 1] + 1, place[far] + 1], axis=1)
+                by_start = np.argsort(ends[:, 0], kind="stable")
+                between[far[by_start]] = np.minimum.reduceat(np.append(common, 0), ends[by_start].reshape(-1))[::2]
+        common = np.where(same, between + 1, 0)
+        if j <= reach:
+            hit = common >= length
+            if not hit.any():
+                continue
+            if docs is None:
                 hit[:-1] |= common[1:] >= length
-                found[order[hit], j] = True
+            else:  # a run of equal windows, in two documents
+                heads = np.flatnonzero(~hit)
+                doc = docs[order]
+                low, high = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
+                sizes = np.diff(np.append(heads, m))
+                hit = np.repeat((sizes > 1) & ((low < high) | (low == -1)), sizes)
+            found[order[hit], j] = True
     return found
 
 
@@ -161,14 +173,14 @@ def covered(starts: np.ndarray, length: int) -> list[int]:
     return np.stack([lo, hi], axis=1).reshape(-1).tolist()
 
 
-def repeated_parts(rows: DataFrame, length: int, gram: int, most: int = BATCH) -> DataFrame:
-    """(anchor, string, parts) of rows (anchor, string, shift, data), dealt and sorted by anchor: what other strings share, as covered() says."""
+def repeated_parts(rows: DataFrame, length: int, gram: int, most: int = BATCH, across: bool = False) -> DataFrame:
+    """(anchor, string, parts) of rows (anchor, string, shift, doc, data), dealt and sorted by anchor, with most strings an anchor: what other strings (across: of other documents) share, as covered() says."""
     schema = pa.schema([("anchor", pa.int64()), ("string", pa.int64()), ("parts", pa.list_(pa.int64()))])
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         shift, group = table.column("shift").to_numpy().astype(np.int64), table.column("anchor").to_numpy()
-        found = column_wise(table.column("data").to_pylist(), shift, group, length, gram)
+        found = column_wise(table.column("data").to_pylist(), shift, group, length, gram, table.column("doc").to_numpy() if across else None)
         parts = []
         for i in range(len(shift)):
             parts.append(covered(np.flatnonzero(found[i]) - (length - gram - int(shift[i])), length))
@@ -199,6 +211,33 @@ def repeated_parts(rows: DataFrame, length: int, gram: int, most: int = BATCH) -
     return rows.mapInArrow(run, "anchor bigint, string bigint, parts array<bigint>")
 
 
+def counted_parts(rows: DataFrame, length: int, gram: int, across: bool = False) -> DataFrame:
+    """repeated_parts() for anchors of any number of strings: each window is counted by its hash, so that no task needs an anchor's strings together."""
+    schema = pa.schema([("anchor", pa.int64()), ("string", pa.int64()), ("shift", pa.int32()), ("doc", pa.int64()), ("at", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                row, start, windows = [], [], []
+                for i, s in enumerate(part.column("data").to_pylist()):
+                    n = len(s) - length + 1
+                    row += [i] * n
+                    start += range(n)
+                    windows += [digest(s[k : k + length]) for k in range(n)]
+                take, w = pa.array(row, pa.int64()), np.frombuffer(b"".join(windows), np.int64).reshape(-1, 2)
+                at = np.array(start, np.int32) - part.column("shift").to_numpy()[row].astype(np.int32) if row else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("anchor", "string", "shift", "doc")), pa.array(at), pa.array(w[:, 0]), pa.array(w[:, 1])], schema=schema)
+
+    windows = written(rows.select("anchor", "string", "shift", "doc", "data").mapInArrow(run, "anchor bigint, string bigint, shift int, doc bigint, at int, w1 bigint, w2 bigint"), "windows")
+    key = ["anchor", "at", "w1", "w2"]
+    often = windows.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("n > 1" + (" and (lo < hi or lo = -1)" if across else ""))
+    hits = windows.join(often.select(*key), key, "left_semi").groupBy("anchor", "string", "shift").agg(F.sort_array(F.collect_set("at")).alias("at"))  # a string has under 2 * length windows
+    parts = F.flatten(F.transform("at", lambda x: F.array((x + F.col("shift")).cast("bigint"), (x + F.col("shift") + length).cast("bigint"))))
+    return hits.select("anchor", "string", parts.alias("parts"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """k1, k2, doc_id and text: rows alike in doc_id and text share a key, which does no harm, as their texts are equal."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -206,18 +245,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2"), doc_id.alias("doc_id"), text.alias("text"))
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH) -> DataFrame:
-    """(k1, k2, cuts): for each document's key, flat start, end, ... byte ranges that windows which occur elsewhere cover, unmerged."""
-    texts = keyed(docs)
+def word_codes(texts: DataFrame) -> DataFrame:
+    """texts (k1, k2, text) with CODE bytes of each word's hash for a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = raw_strings(batch.column("text"))
+            for lo, hi in blocks(offsets):
+                _, _, h, first = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                codes = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :CODE])
+                coded = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * CODE).astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("k1").slice(lo, hi - lo), batch.column("k2").slice(lo, hi - lo), coded], names=["k1", "k2", "text"])
+
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 bigint, k2 bigint, text binary")
+
+
+def removals(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, across: bool = False) -> DataFrame:
+    """(k1, k2, cuts), written: for each key of texts (k1, k2, text), flat start, end, ... byte ranges that windows which occur elsewhere (across: in another document) cover, unmerged."""
     found = anchored(texts.select("k1", "k2", "text"), length, gram)
     often = written(found.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor"), "anchors-often")
     seen = written(found.join(often, "anchor", "left_semi"), "anchors")
-    strings = written(seen.groupBy("anchor", "string").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "start", "size", "shift")).alias("at")), "strings")
-    several = strings.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    dropped(often)
+    doc = F.shiftrightunsigned(F.xxhash64("k1", "k2"), 1)
+    strings = seen.groupBy("anchor", "string").agg(F.sum("n").alias("n"), F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.min(F.struct("k1", "k2", "start", "size", "shift")).alias("at"))
+    strings = written(strings.withColumn("whole", F.col("lo") < F.col("hi") if across else F.col("n") > 1), "strings")
+    several = strings.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
     others = strings.join(several, "anchor")
-    asked = others.select(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.struct("anchor", "string", F.col("at.start").alias("start"), F.col("at.size").alias("size"), F.col("at.shift").alias("shift")).alias("one"))
+    one = F.struct("anchor", "string", F.col("at.start").alias("start"), F.col("at.size").alias("size"), F.col("at.shift").alias("shift"), F.when(F.col("lo") < F.col("hi"), F.lit(-1)).otherwise(F.col("lo")).alias("doc"), (F.col("m") > batch).alias("hot"))
+    asked = others.select(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), one.alias("one"))
     asked = asked.groupBy("k1", "k2").agg(F.collect_list("one").alias("asked"))
-    schema = pa.schema([("anchor", pa.int64()), ("string", pa.int64()), ("shift", pa.int32()), ("data", pa.binary())])
+    fields = [("anchor", pa.int64()), ("string", pa.int64()), ("shift", pa.int32()), ("doc", pa.int64()), ("hot", pa.bool_()), ("data", pa.binary())]
+    schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,20 +288,28 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int
                 at = offsets[lo + row] + one.field("start").to_numpy()
                 size = one.field("size").to_numpy()
                 pieces = [data[i : i + n].tobytes() for i, n in zip(at.tolist(), size.tolist())]
-                yield pa.RecordBatch.from_arrays([one.field("anchor"), one.field("string"), one.field("shift"), pa.array(pieces, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(one.field(c) for c, _ in fields[:-1]), pa.array(pieces, pa.binary())], schema=schema)
 
     # A key may stand for several equal rows: each string is wanted once.
     one_text = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"])
-    pieces = one_text.select("text", "asked").mapInArrow(cut, "anchor bigint, string bigint, shift int, data binary")
-    parts = repeated_parts(pieces.dropDuplicates(["anchor", "string"]).repartition("anchor").sortWithinPartitions("anchor"), length, gram, batch)
-    known = strings.join(written(parts, "parts"), ["anchor", "string"], "left")
-    known = known.select("anchor", "string", "n", F.when(F.col("n") == 1, F.col("parts")).alias("parts")).where("n > 1 or size(parts) > 0")
-    cuts = seen.select("anchor", "string", "k1", "k2", "start", "size", "more").join(written(known, "known"), ["anchor", "string"])
-    own = F.when(F.col("n") > 1, F.array(F.lit(0).cast("bigint"), F.col("size").cast("bigint"))).otherwise(F.col("parts"))
+    pieces = one_text.select("text", "asked").mapInArrow(cut, "anchor bigint, string bigint, shift int, doc bigint, hot boolean, data binary").dropDuplicates(["anchor", "string"])
+    hot = several.where(F.col("m") > batch).limit(1).collect()
+    if hot:
+        pieces = written(pieces, "pieces")
+    parts = repeated_parts((pieces.where("not hot") if hot else pieces).repartition("anchor").sortWithinPartitions("anchor"), length, gram, batch, across)
+    if hot:
+        parts = parts.unionByName(counted_parts(pieces.where("hot"), length, gram, across))
+    parts = written(parts, "parts")
+    known = strings.join(parts, ["anchor", "string"], "left")
+    known = written(known.select("anchor", "string", "whole", F.when(~F.col("whole"), F.col("parts")).alias("parts")).where("whole or size(parts) > 0"), "known")
+    cuts = seen.select("anchor", "string", "k1", "k2", "start", "size", "more").join(known, ["anchor", "string"])
+    own = F.when(F.col("whole"), F.array(F.lit(0).cast("bigint"), F.col("size").cast("bigint"))).otherwise(F.col("parts"))
     starts = F.when(F.col("more").isNull(), F.array("start")).otherwise(F.concat(F.array("start"), "more"))
     cuts = cuts.select("k1", "k2", own.alias("own"), starts.alias("starts"))
     cuts = cuts.select("k1", "k2", F.flatten(F.transform("starts", lambda s: F.transform("own", lambda x: x + s))).alias("cuts"))
-    return cuts.groupBy("k1", "k2").agg(F.flatten(F.collect_set("cuts")).alias("cuts"))
+    out = written(cuts.groupBy("k1", "k2").agg(F.flatten(F.collect_set("cuts")).alias("cuts")), "cuts")
+    dropped(seen, strings, parts, known, *([pieces] if hot else []))
+    return out
 
 
 def merged(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,27 +323,36 @@ def merged(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[heads], hi[np.append(heads[1:], len(lo)) - 1]
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, passage_words: int | None = None) -> DataFrame:
     """Each row of docs (doc_id, text; more columns are ignored) without the bytes that a string of `length` bytes covers which also starts elsewhere.
 
     Strings are judged on the whole UTF-8 texts as they come, matches in one document and overlapping ones included; none
     crosses documents. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept (the
-    remaining bytes, joined). Null and empty texts, and those under `length` bytes, lose nothing. Rows that repeat lose each
-    what is long enough. An empty table gives no rows.
+    remaining bytes, joined). With passage_words also n_passages and n_passage_words: the runs of words (as near-duplicate operators
+    read them) that passages of so many words cover which another document has too, and the words in them; nothing is removed for
+    these. Null and empty texts, and those under `length` bytes, lose nothing. Texts are read whole, however long. Rows that repeat lose each
+    what is long enough, and alike in doc_id and text they are one document to passages. An empty table gives no rows.
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must be from 1 to length")
-    lists = written(removals(docs, length, gram, batch), "cuts")
-    rows = keyed(docs).join(lists, ["k1", "k2"], "left").select("doc_id", "text", "cuts")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    texts = keyed(docs)
+    lists = removals(texts, length, gram, batch)
+    if passage_words:
+        codes = word_codes(texts)
+        passages = removals(codes, CODE * passage_words, CODE * min(GRAM_WORDS, passage_words), batch, across=True)
+        lists = lists.join(passages.withColumnRenamed("cuts", "passages"), ["k1", "k2"], "full")
+    else:
+        lists = lists.withColumn("passages", F.lit(None).cast("array<bigint>"))
+    rows = texts.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "cuts", "passages")
+    names = ["n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_words"]
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in names), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw_strings(batch.column("text"))
             for lo, hi in blocks(offsets, 4 << 20):
                 out = []
-                cuts = batch.column("cuts").slice(lo, hi - lo)
-                for i, c in zip(range(lo, hi), cuts):
+                for i, c, p in zip(range(lo, hi), batch.column("cuts").slice(lo, hi - lo), batch.column("passages").slice(lo, hi - lo)):
                     text = data[offsets[i] : offsets[i + 1]]
                     n, spans = len(text), 0
                     if c.is_valid and len(c.values):
@@ -287,8 +362,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch:
                         edge[b] -= 1
                         keep = np.cumsum(edge)[:-1] == 0
                         text, spans = text[keep], len(a)
+                    a, b = merged(p.values.to_numpy()) if p.is_valid and len(p.values) else (np.zeros(0, np.int64),) * 2
                     kept = text.tobytes()
-                    out.append((n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+                    out.append((n, n - len(kept), spans, len(a), int((b - a).sum()) // CODE, hashlib.sha256(kept).hexdigest(), kept))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *(pa.array(x, f.type) for x, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    out = rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in names) + ", kept_sha256 string, kept binary")
+    return out if passage_words else out.drop(*names[3:])
