@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 #: Texts are handled in blocks of at most so many bytes (one longer text makes a block of its own).
 BLOCK_BYTES = 1 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -37,15 +36,13 @@ atexit.register(_remove_scratch)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one is set only where there is none (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share; one in the warehouse is set only where there is none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
-    if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="riskloom-")
+    if not path:  # the warehouse is a folder that all executors share as well
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -56,12 +53,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/riskloom/{what}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    for _ in range(2):  # lets Spark delete the shuffle files that only this table needed, before the next one writes its own
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.15)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files go with the job: nothing reads them again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._scratch = (spark, path)
     return out

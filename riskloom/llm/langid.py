@@ -4,7 +4,7 @@ For each row, log P(language | evidence) is, up to a constant, the sum of
 - the text's likelihood under hashed character trigrams, tempered because neighbouring trigrams aren't independent,
 - log P(declared markup language | language), from counts over all rows with additive smoothing,
 - log P(address suffix | language), likewise,
-- log P(language | host), smoothed towards the host's parent domain, and that towards the whole table.
+- log P(language | host), smoothed towards the host's parent domain, and that towards the whole table, without the row's own verdict.
 Counts take the text's own verdict as the language, by grouped aggregation over all rows. Only the trigram model is fitted on
 a bounded sample: LABELLED rows of each language with the least hashes of their ids.
 """
@@ -130,7 +130,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     """Fuses the evidence on rows (key columns, text, declared, host): see fused columns at the end.
 
     Null or empty text, and text without letters, has no language (und) and is rejected; null declarations, and hosts that are
-    null or empty, are evidence of their own kind. Ties go to the language with more rows. Rows that repeat are judged each.
+    null or empty, are evidence of their own kind. Ties go to the language with more rows. Rows that repeat are judged each; texts are read whole, however long.
     An empty table gives no rows. Adds lang, posterior, text_lang, n_grams and rejected.
     """
     names, width = model.languages, len(model.languages)
@@ -158,12 +158,19 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
         return seen.groupBy(column).agg(*(F.log((count(i) + SMOOTH) / F.lit(float(rows_of[i] + SMOOTH * kinds))).alias(f"{tag}{i}") for i in range(width)))
 
     suffixes = max(2, seen.select("suffix").distinct().count() + 1)
-    by_domain = seen.groupBy("domain").agg(*(((count(i) + STRENGTH * prior[i]) / (F.count("*") + STRENGTH)).alias(f"p{i}") for i in range(width)))
-    by_host = seen.groupBy("host", "domain").agg(F.count("*").alias("of"), *(count(i).alias(f"h{i}") for i in range(width)))
-    by_host = _joined(by_host, by_domain, "domain").select("host", *(F.log((F.col(f"h{i}") + STRENGTH * F.col(f"p{i}")) / (F.col("of") + STRENGTH)).alias(f"h{i}") for i in range(width)))
+    by_domain = seen.groupBy("domain").agg(F.count("*").alias("nd"), *(count(i).alias(f"c{i}") for i in range(width)))
+    by_host = seen.groupBy("host", "domain").agg(F.count("*").alias("nh"), *(count(i).alias(f"h{i}") for i in range(width)))
+    by_host = _joined(by_host, by_domain, "domain").drop("domain")
     out = _joined(_joined(_joined(found, likelihood("declared", width + 2, "d"), "declared"), likelihood("suffix", suffixes, "s"), "suffix"), by_host, "host")
+
+    def host_prior(i: int) -> Column:
+        """log P(language | host) by the other rows of the host and its domain: a row's own verdict is no evidence for it."""
+        own, one = F.coalesce((F.col("verdict") == i).cast("int"), F.lit(0)), F.col("verdict").isNotNull().cast("int")
+        domain = (F.col(f"c{i}") - own + STRENGTH * prior[i]) / (F.col("nd") - one + STRENGTH)
+        return F.log((F.col(f"h{i}") - own + STRENGTH * domain) / (F.col("nh") - one + STRENGTH))
+
     score = [
-        text[i] + F.coalesce(F.col(f"d{i}"), F.lit(0.0)) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.coalesce(F.col(f"h{i}"), F.lit(float(np.log(prior[i]))))
+        text[i] + F.coalesce(F.col(f"d{i}"), F.lit(0.0)) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.coalesce(host_prior(i), F.lit(float(np.log(prior[i]))))
         for i in range(width)
     ]
     out = out.withColumns({f"score{i}": s for i, s in enumerate(score)})
@@ -213,8 +220,10 @@ def accepted(docs: DataFrame) -> DataFrame:
         model = fit_text_model(labelled_documents(docs))
     except ValueError:
         return docs.limit(0)  # nothing declares a language, so nothing can be learnt or kept
-    row = F.xxhash64("doc_id", "text", "lang", "source")  # rows alike in all of these get one verdict
-    rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"))
-    bad = written(identify(rows, model).where("rejected").select("row").distinct(), "langid-rejected")
+    row, name = F.xxhash64("doc_id", "text", "lang", "source"), "_row"  # rows alike in all of these get one verdict
+    while name in docs.columns:
+        name += "_"
+    rows = docs.select(row.alias(name), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"))
+    bad = written(identify(rows, model).where("rejected").select(name).distinct(), "langid-rejected")
     bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_REJECTED else bad
-    return docs.join(bad, row == F.col("row"), "left_anti").select(*docs.columns)
+    return docs.join(bad, row == F.col(name), "left_anti").select(*docs.columns)

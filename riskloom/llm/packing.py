@@ -121,21 +121,27 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRA
     """Packs docs (doc_id, text, source; more columns are ignored) into sequences of at most window ids.
 
     Returns a row for each piece of a document; see PIECES. A document's ids are those of its text and a final 0.
-    Null or empty text gives the one id 0. Rows that repeat are packed each. A null source is a queue of its own; the
-    sources after the max_queues - 1 with most rows share one. mixture: the target share of each source (sources it
-    doesn't name weigh 1e-6 of all); without it, the targets are the corpus's own shares, so all queues end together.
+    Null or empty text gives the one id 0. Rows that repeat are packed each; texts are packed whole, however long. A null source is a queue of its own.
+    mixture: the target share of sources, each of which has a queue; what it leaves of 1 goes to the others in proportion to
+    their ids (1e-6 of all at least), so without it the targets are the corpus's own shares, and all queues end together. Sources after
+    those and the max_queues with most rows share one queue, in whose stream they come in the order of the rows. Ties in time go to the queue with more rows.
     Every id is packed: a mixture orders the stream and drops nothing. An empty table gives no rows.
     """
     if window < 1 or grain < 1 or max_queues < 1:
         raise ValueError("window, grain and max_queues must be positive")
-    counts = docs.groupBy(F.col("source").cast("string").alias("source")).count().orderBy(F.desc("count"), "source").limit(max_queues - 1).collect()
-    queues = [r["source"] for r in counts]
+    mixture = mixture or {}
+    counts = docs.groupBy(F.col("source").cast("string").alias("source")).count()
+    named = F.coalesce(F.col("source").isin(*mixture), F.lit(False)) if mixture else F.lit(False)
+    counts = counts.orderBy(named.desc(), F.desc("count"), "source").limit(len(mixture) + max_queues).collect()
+    queues = [r["source"] for r in sorted(counts, key=lambda r: -r["count"])]
     rows = tokenised(docs, tokenizer, queues)
     parts = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     totals = [0] * (len(queues) + 1)
     for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # at most max_queues rows
         totals[r["queue"]] = r["n"]
-    shares = [mixture.get(s, 0.0) if mixture else t for s, t in zip([*queues, None], totals)]
+    apart = [s in mixture for s in queues] + [False]
+    left, rest = max(0.0, 1 - sum(mixture.values())), sum(t for t, a in zip(totals, apart) if not a) or 1
+    shares = [mixture[s] if a else left * t / rest for s, t, a in zip([*queues, None], totals, apart)]
     whole = sum(shares) or 1
     schedule = Schedule(totals, [max(1, round(WEIGHT_UNITS * x / whole)) for x in shares], grain, window)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

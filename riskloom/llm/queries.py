@@ -15,10 +15,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Target shares of two sources; the others have the rest, in proportion to their ids.
+MIXTURE = {"src0": 0.20, "src1": 0.10}
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), mixture=MIXTURE)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

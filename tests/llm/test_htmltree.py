@@ -61,3 +61,31 @@ def test_host_of_is_the_sql_one(spark):
     pattern = r"^(?:[^/?#]*?://)?(?:[^/?#]*@)?([^/?#:]*)"
     df = spark.createDataFrame([(u,) for u in urls], "url string").select(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), pattern, 1)).alias("h"))
     assert [r.h for r in df.collect()] == [host_of(u) for u in urls]
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    assert main_text("<p>a</p>" + "İ" * 60 + "<script>x</script>more") == "a\n" + "İ" * 60 + "more"
+    pages = ['<a "' * 250_000, "<div>" * 50_000 + "</p>" * 50_000, "<b>" * 50_000 + "x<hr>" * 25_000, "<!" * 300_000, "<a x='" * 100_000, '<p a="' * 100_000 + ">", "<b>" * 30_000 + "<div></div>" * 30_000, "</x>" * 100_000]
+    for page in pages:
+        main_text(page)
+    assert time.time() - began < 30
+
+
+def test_tree_judges_inside_articles_and_counts_copies_once(spark):
+    """A notice that a host repeats in its articles goes by its importance alone; copies of one page don't make its text a template."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(40):
+        own = " ".join(str(rng.random()) for _ in range(6))
+        rows.append((i, f"http://t.example.com/{i}", f"<article><h1>Title {i}</h1><div class=zz>Written by our staff.</div><p>{own}</p></article>"))
+        want[i] = f"Title {i}\n{own}"
+    for i in range(40, 60):
+        rows.append((i, f"http://m.example.com/{i}", "<article><h1>One page</h1><p>The only text of a mirror.</p></article>"))
+        want[i] = "One page\nThe only text of a mirror."
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in extract(df).collect()} == want
+    judged = importance(style_features(df)).where("host = 't.example.com'").collect()
+    assert len(judged) == 3 and all(r.main for r in judged) and min(r.importance for r in judged) < 0.1 < sorted(r.importance for r in judged)[1]

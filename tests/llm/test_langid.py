@@ -72,3 +72,61 @@ def test_pages(spark, table):
     assert got[1].lang == "de" and got[2].rejected
     with pytest.raises(ValueError):
         fit_text_model(labelled_documents(table.limit(0)))
+
+
+def test_posteriors_equal_plain_python(spark, table):
+    """All four kinds of evidence, added up row by row, with counts taken by loops."""
+    import math
+    from collections import Counter
+
+    from riskloom.llm import langid as L
+
+    model = fit_text_model(labelled_documents(table))
+    hosts = ["a.example.de", "b.example.de", "c.example.fr", "d.org", "", None, "x.y.d.org"]
+    rows = []
+    for r in table.limit(200).collect():
+        rows.append((r.doc_id, r.text if r.doc_id % 9 else "ei", [r.lang, "xx", None, "EN-us"][r.doc_id % 4], hosts[r.doc_id % 7]))
+    rows.append((9999, "1 2 3", "de", "a.example.de"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, declared string, host string")
+    got = {r.doc_id: r for r in identify(df, model).collect()}
+
+    names = model.languages
+    facts = []
+    for i, text, said, host in rows:
+        data = text.lower().encode()
+        means, n = model.means(__import__("numpy").frombuffer(data, "uint8"), __import__("numpy").array([0, len(data)]))
+        score = [float(m) * min(int(n[0]), L.MOST_GRAMS) * L.TEMPER for m in means[0]]
+        said = (said or "").strip().split("-")[0].lower()
+        host = (host or "").lower()
+        parts = host.split(".")
+        facts.append((i, int(n[0]), score, said if said in names else "none" if not said else "other", parts[-1] if len(parts) > 1 else "", ".".join(parts[-2:]) if len(parts) > 1 else host, host, score.index(max(score)) if n[0] else None))
+    seen = [f for f in facts if f[7] is not None]
+    by_lang = Counter(f[7] for f in seen)
+    prior = [(by_lang[k] + L.SMOOTH) / (len(seen) + L.SMOOTH * len(names)) for k in range(len(names))]
+    counts = {place: Counter((f[place], f[7]) for f in seen) for place in (3, 4, 5, 6)}
+    kinds = max(2, len({f[4] for f in seen}) + 1)
+    for i, n, score, said, suffix, domain, host, verdict in facts:
+        total = []
+        for k in range(len(names)):
+            own, one = int(verdict == k), int(verdict is not None)
+            of = lambda place, value: sum(c for (v, _), c in counts[place].items() if v == value)
+            x = score[k]
+            if of(3, said):
+                x += math.log((counts[3][said, k] + L.SMOOTH) / (by_lang[k] + L.SMOOTH * (len(names) + 2)))
+            if of(4, suffix):
+                x += math.log((counts[4][suffix, k] + L.SMOOTH) / (by_lang[k] + L.SMOOTH * kinds))
+            if of(6, host):
+                p = (counts[5][domain, k] - own + L.STRENGTH * prior[k]) / (of(5, domain) - one + L.STRENGTH)
+                x += math.log((counts[6][host, k] - own + L.STRENGTH * p) / (of(6, host) - one + L.STRENGTH))
+            else:
+                x += math.log(prior[k])
+            total.append(x)
+        best = max(total)
+        want = 0.0 if not n else 1 / sum(math.exp(t - best) for t in total)
+        assert abs(got[i].posterior - want) < 1e-9, (i, got[i], want)
+        assert got[i].lang == ("und" if want < L.LEAST_POSTERIOR else names[total.index(best)])
+
+
+def test_extra_columns_that_clash(spark, table):
+    odd = table.withColumnRenamed("posterior", "row").withColumnsRenamed({"truth": "_row"})
+    assert accepted(odd).count() == 900 and accepted(odd).columns == odd.columns

@@ -68,6 +68,24 @@ def test_pack_round_trip(spark, tokenizer):
     check(twice, {i: t * 2 for i, t in docs.items()}, tokenizer)
 
 
+def test_a_mixture_binds_in_every_window(spark, tokenizer):
+    """Two named sources hold their shares of each window, the others the rest in proportion, until a queue runs dry."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(60)), "big" if i % 2 else f"s{i % 6}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    got = pack(df, tokenizer_path(), mixture={"big": 0.25, "s2": 0.5}, max_queues=1).collect()
+    check(got, {i: [t] for i, t, _ in rows}, tokenizer)
+    ends = {}
+    for r in got:
+        ends[r.source] = max(ends.get(r.source, 0), r.sequence_id)
+    for w in range(min(ends.values())):
+        ids = {}
+        for r in got:
+            if r.sequence_id == w:
+                ids[r.source] = ids.get(r.source, 0) + r.length
+        assert abs(ids["big"] - 256) <= 128 and abs(ids["s2"] - 512) <= 128 and sum(ids.values()) == 1024
+
+
 def test_pack_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert pack(df, tokenizer_path()).collect() == []

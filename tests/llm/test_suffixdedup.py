@@ -81,3 +81,37 @@ def test_column_wise_construction():
         windows.update(ws)
     for i, ws in enumerate(at):
         assert {w[1] for w in ws if windows[w] > 1} == set(np.flatnonzero(found[i]).tolist())
+
+
+def brute_passages(docs, n):
+    """Words of each document that n words in a row cover which another document has too, and the runs they make."""
+    words = [(i, (t or "").lower().split()) for i, t in docs]
+    seen = {}
+    for k, (i, w) in enumerate(words):
+        for p in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[p : p + n]), set()).add((i, docs[k][1]))
+    out = []
+    for i, w in words:
+        hit = np.zeros(len(w) + 1, bool)
+        for p in range(len(w) - n + 1):
+            if len(seen[tuple(w[p : p + n])]) > 1:
+                hit[p : p + n] = True
+        out.append((i, int((hit[1:] & ~hit[:-1]).sum() + hit[0]), int(hit.sum())))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batch", [suffixdedup.BATCH, 3])
+def test_passages_across_documents(spark, batch):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passages = [text(n) for n in (9, 10, 11, 14, 40)]
+    docs = []
+    for i in range(80):
+        w = text(rng.randint(0, 25))
+        for _ in range(rng.randint(0, 2)):
+            w += rng.choice(passages) + text(rng.randint(0, 12))
+        docs.append((i, " ".join(w)))
+    own = text(12)
+    docs += [(80, " ".join(own + text(5) + own)), (81, " ".join(passages[3]).upper()), (82, None), (83, docs[0][1]), (0, docs[0][1]), (84, " ".join(["a"] * 60))]
+    got = deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), batch=batch, passage_words=10).collect()
+    assert sorted((r.doc_id, r.n_passages, r.n_passage_words) for r in got) == brute_passages(docs, 10)
