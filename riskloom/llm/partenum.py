@@ -199,11 +199,9 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: in
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def unsettled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """sig, class, label of the signatures (buckets: sig, class) whose classes are in several components. labels: node, label; None before there are links."""
-    if labels is None:
-        return buckets.withColumn("label", F.col("class"))
-    rows = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, class, label of the signatures of rows (sig, class) whose classes are in several components. labels: node, label."""
+    rows = rows.select("sig", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     several = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
     return rows.join(several, "sig")
 
@@ -213,7 +211,6 @@ def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
     The hub of a signature is its heaviest class in the first turn, then the heaviest of a component that the turn's hash picks.
     """
-    rows = written(rows, "unsettled")
     weight = rows.groupBy("class").agg(F.count("*").alias("weight"))
     pick = F.lit(0) if not turn else F.xxhash64("label", F.lit(turn))
     hubs = rows.join(weight, "class").groupBy("sig").agg(F.max(F.struct(pick.alias("pick"), "weight", "class", "label")).alias("hub")).select("sig", F.col("hub.class").alias("hub"), F.col("hub.label").alias("hub_label"))
@@ -243,9 +240,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     known = classes.select("class", "doc", "n", "sketch")
 
     links = labels = tried = None
+    rows_left = buckets
     for turn in range(MOST_ROUNDS):
-        open_rows = unsettled(buckets, labels)
-        pairs = hub_pairs(open_rows, turn)
+        if labels is not None:  # a signature that is settled stays so
+            rows_left = written(unsettled(rows_left, labels), "unsettled")
+        pairs = hub_pairs(rows_left.withColumn("label", F.col("class")) if labels is None else rows_left, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "hub-pairs")
@@ -256,7 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         if not found.limit(1).collect():
             break
     # What shares a signature across components still.
-    rest = written(unsettled(buckets, labels).join(known, "class"), "open")
+    rest = written(unsettled(rows_left, labels).join(known, "class"), "open")
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent))
     pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct()
