@@ -8,11 +8,14 @@ its end mark.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, langid, linededup, packing, partenum
-from riskloom.llm.common import read_table, written
+from riskloom.llm.common import read_table, released, scratch_tables, written
 from riskloom.llm.queries import tokenizer_path
 
 #: Near duplicates share this percentage, or more, of their shingles of so many words; op4_ngram_jaccard has its own rule.
@@ -20,17 +23,38 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_made: list = []  # the scratch tables of the stage before
+
+
+def stage(f: Stage) -> Stage:
+    """f, which first deletes the scratch tables of the stage before: its result has been written by then. What docs still reads stays."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        released(_made, docs)
+        before = set(scratch_tables())
+        out = f(spark, docs, sf_dir)
+        _made[:] = [t for t in scratch_tables() if t in before and t in _made or t not in before]
+        return out
+
+    return run
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is found."""
     return langid.accepted(docs.select(*COLUMNS))
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that match an earlier one; n_chars follows the text."""
     out = linededup.deduplicated(docs.select(*COLUMNS))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one whose doc_id names it; of rows with that doc_id, the one with the least hash."""
     docs = docs.select(*COLUMNS)
@@ -44,11 +68,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.dropDuplicates(["doc_id", "text"])
 
 
+@stage
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no passage of the benchmark."""
     return decontaminate.decontaminated(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of 1024 ids."""
     return packing.pack(docs.select(*COLUMNS), tokenizer_path())
@@ -69,6 +95,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written as Parquet before the next one reads it."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, f in STAGES[:-1]:
+        docs = written(f(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

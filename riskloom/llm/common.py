@@ -71,6 +71,20 @@ def dropped(*tables: DataFrame) -> None:
         _scratch.remove(t._scratch)
 
 
+def scratch_tables() -> list[tuple[SparkSession, str]]:
+    return list(_scratch)
+
+
+def released(tables: list[tuple[SparkSession, str]], docs: DataFrame) -> None:
+    """Deletes those of tables (as scratch_tables() lists them) that docs doesn't read."""
+    read = docs.inputFiles() if tables else []
+    for t in tables:
+        name = t[1].rsplit("/", 1)[-1]  # unique
+        if t in _scratch and not any(f"/{name}/" in f for f in read):
+            _delete(*t)
+            _scratch.remove(t)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

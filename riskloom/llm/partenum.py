@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mask_hashes, mix, raw_strings, spread, words, written
+from .common import blocks, dropped, mask_hashes, mix, raw_strings, spread, words, written
 from .graph import components
 
 SHINGLE, PERCENT, BAND_GROWTH, SPARE, MOST_LEFT_OUT, SKETCH_BITS = 4, 85, 1.5, 0.1, 4, 1024
@@ -169,7 +169,7 @@ def may_link(a: str, b: str, percent: int = PERCENT):
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The pairs (a, b, doc_a, doc_b) whose sets link, counted from the whole texts."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("doc_a").alias("id")).unionByName(pairs.select(F.col("doc_b").alias("id"))).distinct(), "pair-ids")
+    made = ids = written(pairs.select(F.col("doc_a").alias("id")).unionByName(pairs.select(F.col("doc_b").alias("id"))).distinct(), "pair-ids")
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
@@ -196,7 +196,9 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: in
                 take = pa.array(np.flatnonzero((100 * common >= percent * union) & (union > 0)))
                 yield pa.RecordBatch.from_arrays([part.column("a").take(take), part.column("b").take(take)], schema=schema)
 
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links")
+    links = written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links")
+    dropped(pairs, made, texts)
+    return links
 
 
 def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -261,6 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct()
     links = links.unionByName(verified(pairs, docs, percent, size))
     labels = components(links)
+    dropped(rest, buckets)
 
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "doc", F.coalesce("label", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))

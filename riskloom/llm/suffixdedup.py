@@ -338,8 +338,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch:
     texts = keyed(docs)
     lists = removals(texts, length, gram, batch)
     if passage_words:
-        codes = word_codes(texts)
+        codes = written(word_codes(texts), "word-codes")
         passages = removals(codes, CODE * passage_words, CODE * min(GRAM_WORDS, passage_words), batch, across=True)
+        dropped(codes)
         lists = lists.join(passages.withColumnRenamed("cuts", "passages"), ["k1", "k2"], "full")
     else:
         lists = lists.withColumn("passages", F.lit(None).cast("array<bigint>"))
