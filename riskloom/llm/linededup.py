@@ -137,15 +137,15 @@ def repeats(first: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_S
     rows = rows.select("key", "doc", "ln", F.col("meta").bitwiseOR(F.least("place", F.lit(_MOST_PLACE)).cast("bigint")).alias("meta"))
     rows = rows.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1")
     head = F.first(F.struct("doc", "ln", "meta")).over(Window.partitionBy("key").orderBy("doc", "ln"))
-    shared = written(rows.select("key", "doc", "ln", "meta", head.alias("head")), "lines-shared")
+    shared = written(rows.select("key", "doc", "ln", "meta", "times", head.alias("head")), "lines-shared")
 
     # Each line against the first of its key.
     near = shared.where(((F.col("head.doc") != F.col("doc")) | (F.col("head.ln") != F.col("ln"))) & may_match(F.col("head.meta"), F.col("meta")))
     found = matched(near.select(F.col("head.doc").alias("d1"), F.col("head.ln").alias("l1"), F.col("doc").alias("d2"), F.col("ln").alias("l2")), lines, broadcast)
 
-    # What that doesn't settle, against all others before it.
+    # What that doesn't settle, against all others before it: two lines alone under a key have been compared.
     settled = F.broadcast(found) if found.count() <= broadcast else found
-    rows = shared.select("key", "doc", "ln", "meta")
+    rows = shared.where("times > 2").select("key", "doc", "ln", "meta")
     a, b = rows.alias("a"), rows.join(settled, ["doc", "ln"], "left_anti").alias("b")
     earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.ln") < F.col("b.ln")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & may_match(F.col("a.meta"), F.col("b.meta")))
