@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from riskloom.queries import QUERIES
 
-HEADLINE = ["decile_table", "auc_gini_ks", "average_precision", "column_profile", "pearson_pairs", "binary_pairs", "iv_digitize", "mi_binned", "woe_table", "label_weighted", "risk_score", "impute_scale", "stratified_kfold", "target_encode_cv", "leakage_audit"]
+HEADLINE = ["decile_table", "auc_gini_ks", "average_precision", "column_profile", "pearson_pairs", "binary_pairs", "iv_digitize", "mi_binned", "woe_table", "label_weighted", "risk_score", "impute_scale", "stratified_kfold", "target_encode_cv", "leakage_audit", "fold_report", "boosted_report", "model_search"]
 
 
 def main() -> None:

@@ -63,6 +63,22 @@ def auto_guard(meta: DataFrame, tokens: list[str]) -> DataFrame:
     return meta.where(P.contains_any(F.lower("column_name"), tokens)).select(F.col("column_name").alias("column"))
 
 
+# Words in a description that tell an outcome.
+OUTCOME_TOKENS = "default dpd overdue writeoff chargeoff npa miss overlimit declin reject negative due penalty".split()
+
+
+def verification_guard(meta: DataFrame, sources: list[str], tokens: list[str] = OUTCOME_TOKENS) -> DataFrame:
+    """column: the sources of labels, and columns whose description holds a token."""
+    told = P.contains_any(F.lower(F.coalesce("description", F.lit(""))), tokens)
+    return meta.where(told | F.col("column_name").isin(sources)).select(F.col("column_name").alias("column")).unionByName(meta.sparkSession.createDataFrame([(x,) for x in sources], "column string")).distinct()
+
+
+def guard_from_buckets(path_or_rows: DataFrame) -> DataFrame:
+    """column from rows whose columns are buckets, each an array of names (a JSON file of lists, as Spark reads it)."""
+    names = F.flatten(F.array(*(F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")) for c in path_or_rows.columns)))
+    return path_or_rows.select(F.explode(names).alias("column")).where("column is not null").distinct()
+
+
 def forbidden_windows(meta: DataFrame, sources: list[str]) -> list[str]:
     """The windows of the label sources in use, which features must then avoid."""
     return sorted(r[0] for r in meta.where(F.col("column_name").isin(sources)).select(P.window_tag(P.text()).alias("w")).where("w <> 'unknown'").distinct().collect())

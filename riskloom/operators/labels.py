@@ -37,6 +37,18 @@ def binarise(long: DataFrame, sources: DataFrame, mode: str = "log1p") -> DataFr
     return t.join(F.broadcast(live), "source", "left_semi")
 
 
+def sources_table(sources: DataFrame, meta: DataFrame) -> DataFrame:
+    """label_source, weight, desc, event_threshold, window of the sources, the heaviest first. meta: column_name, description."""
+    t = sources.join(F.broadcast(meta.select(F.col("column_name").alias("source"), F.col("description").alias("desc"))), "source", "left")
+    return t.select(F.col("source").alias("label_source"), "weight", "desc", "event_threshold", "window").orderBy(F.desc("weight"), "label_source")
+
+
+def rescue_candidates(candidates: DataFrame, prevalence: tuple[float, float] = (0.002, 0.40), k: int = 12) -> DataFrame:
+    """The k best of the candidates that are not eligible but for relaxed limits: any outcome score, and a prevalence within these."""
+    rest = candidates.where(~F.col("eligible_for_label") & (F.col("outcome_score") > 0) & F.col("event_positive_rate").between(*prevalence))
+    return rest.orderBy(F.desc("combined_score"), "variable").limit(k)
+
+
 def union_label(events: DataFrame) -> DataFrame:
     """row_id, label_union, n_sources, first_source: whether any source fires, how many, and the first by name."""
     return events.groupBy("row_id").agg(F.max("event").alias("label_union"), F.sum("event").alias("n_sources"), F.min(F.when(F.col("event") == 1, F.col("source"))).alias("first_source"))

@@ -10,21 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Buckets of values at least; beyond it, so many for each shuffle partition of the session.
+BUCKETS, BUCKETS_A_PARTITION = 64, 2
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """df with running totals {new column: column} in the order of the columns order, within keys. The first order column is numeric."""
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], descending: bool = False, buckets: int | None = None) -> DataFrame:
+    """df with running totals {new column: column} in the order of the columns order, within keys. The first order column is numeric.
+
+    Where the second one is numeric too, the rows of a value that fills buckets of its own are dealt by it.
+    """
+    n = buckets or max(BUCKETS, BUCKETS_A_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = F.col(order[0]).cast("double")
     df = df.persist()  # read three times below; mostly counts of different values
-    edges = df.groupBy(*keys).agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 1000).alias("_edges"))
-    bucket = F.size(F.filter("_edges", lambda e: e < x)) + F.lit(0)
-    dealt = (df.join(F.broadcast(edges), keys) if keys else df.crossJoin(F.broadcast(edges))).withColumn("_bucket", F.when(x.isNull(), -1).otherwise(bucket)).drop("_edges")
+    shares = [i / n for i in range(1, n)]
+    ties = len(order) > 1 and dict(df.dtypes)[order[1]] in ("int", "bigint", "double")
+    then = F.col(order[1]).cast("double") if ties else None
+    edges = df.groupBy(*keys).agg(F.percentile_approx(x, shares, 1000 + 10 * n).alias("_edges"), *([F.percentile_approx(then, shares, 1000 + 10 * n).alias("_then")] if ties else []))
+    bucket = F.size(F.filter("_edges", lambda e: e < x)).cast("bigint")
+    if ties:  # a value on several edges is the last of its bucket, and has as many buckets of its own
+        edged = F.size(F.filter("_edges", lambda e: e == x))
+        bucket = bucket * (n + 1) + F.when(edged > 1, 1 + F.floor(F.size(F.filter("_then", lambda e: e < then)) * edged / n)).otherwise(0)
+    dealt = (df.join(F.broadcast(edges), keys) if keys else df.crossJoin(F.broadcast(edges))).withColumn("_bucket", F.when(x.isNull(), -1).otherwise(bucket)).drop("_edges", "_then")
     ordering = [F.desc(c) if descending else F.asc(c) for c in order]
     within = Window.partitionBy(*keys, "_bucket").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
     totals = dealt.groupBy(*keys, "_bucket").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
     before = Window.partitionBy(*keys).orderBy(F.desc("_bucket") if descending else F.asc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))  # BUCKETS + 1 rows a key
+    totals = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))  # a row for each bucket of a key
     out = dealt.join(F.broadcast(totals), [*keys, "_bucket"])
     new = {n: F.sum(c).over(within) + F.col(f"_b_{n}") for n, c in sums.items()}
     return out.withColumns(new).drop("_bucket", *(f"_b_{n}" for n in sums))

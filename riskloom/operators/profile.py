@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -162,3 +162,27 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = DEFAULTS.seed) -> D
     return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
+def by_type(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:
+    """The columns that hold numbers or booleans, and the others, in their own order."""
+    kinds = dict(df.dtypes)
+    numeric = [c for c in columns if kinds[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")]
+    return numeric, [c for c in columns if c not in set(numeric)]
+
+
+def truncated(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df with the first n characters of column."""
+    return df.withColumn(column, F.substring(column, 1, n))
+
+
+def heatmap_table(edges: DataFrame, value: str, names: list[str], diagonal: float = 1.0) -> DataFrame:
+    """a, b, value of every two names, both ways round; edges (a, b, value) that lack one count as 0. The table behind a heat map."""
+    spark = edges.sparkSession
+    grid = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    both = edges.select("a", "b", F.col(value).alias("value")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col(value).alias("value")))
+    return grid.join(F.broadcast(both), ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), diagonal).otherwise(F.coalesce("value", F.lit(0.0))).alias("value"))
+
+
+def bar_table(df: DataFrame, name: str, value: str, k: int = 30) -> DataFrame:
+    """place, name, value of the k largest values, ties by name: the table behind a bar chart."""
+    top = top_k(df.select(F.col(name).alias("name"), F.col(value).alias("value")), "value", "name", k)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "name")))  # k rows

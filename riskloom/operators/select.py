@@ -7,6 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS
+from . import metrics
+from .binning import kbins_mutual_info
+from .similarity import anova_f, spearman
+from .splits import holdout
+
 #: The weights of the methods in the combined score.
 WEIGHTS = {"mi": 0.30, "f": 0.25, "spearman": 0.25, "l1": 0.20}
 
@@ -20,6 +26,46 @@ def combined_score(scores: DataFrame, weights: dict[str, float] | None = None) -
     return scores.crossJoin(F.broadcast(top)).select("feature", reduce(lambda a, b: a + b, map(part, used), F.lit(0.0)).alias("score"))
 
 
+def method_scores(long: DataFrame, bins: int = DEFAULTS.bins) -> DataFrame:
+    """feature, f, spearman (absolute) and mi of long (row_id, y, feature, x), to 9 places, so that equal features tie."""
+    long = long.persist()  # every method reads it
+    y = long.select("row_id", F.lit("y").alias("feature"), F.col("y").cast("double").alias("x")).distinct()
+    r = spearman(long, y).select(F.col("a").alias("feature"), F.abs("r").alias("spearman"))
+    t = anova_f(long, ["feature"]).join(r, "feature", "left").join(kbins_mutual_info(long, bins), "feature", "left")
+    return t.select("feature", *(F.round(c, 9).alias(c) for c in ("f", "spearman", "mi")))
+
+
+def label_scores(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, feature, f, spearman, mi and score for each label at once. long: row_id, feature, x; labels: row_id, label, y.
+
+    Labels with other values than 0 and 1, or without a positive row, are left out.
+    """
+    fit = labels.groupBy("label").agg(F.max((~F.coalesce(F.col("y").isin(0, 1), F.lit(True))).cast("int")).alias("other"), F.sum("y").alias("n")).where("other = 0 and n > 0").select("label")
+    t = long.select("row_id", "feature", "x").join(labels.join(F.broadcast(fit), "label", "left_semi").where("y is not null"), "row_id")
+    both = method_scores_by(t)
+    top = both.groupBy("label").agg(*(F.max(F.abs(c)).alias(f"_m_{c}") for c in ("f", "spearman", "mi")))
+    part = lambda c: F.coalesce(F.when(F.col(f"_m_{c}") > 0, F.abs(c) / F.when(F.col(f"_m_{c}") > 0, F.col(f"_m_{c}"))), F.lit(0.0)) * WEIGHTS[c]
+    return both.join(F.broadcast(top), "label").select("label", "feature", "f", "spearman", "mi", (part("mi") + part("f") + part("spearman")).alias("score"))
+
+
+def method_scores_by(t: DataFrame) -> DataFrame:
+    """label, feature, f, spearman, mi of t (row_id, label, y, feature, x)."""
+    t = t.persist()  # every method reads it
+    named = t.select("row_id", "y", F.to_json(F.array("label", "feature")).alias("feature"), "x")
+    scores = anova_f(named, ["feature"]).join(kbins_mutual_info(named, DEFAULTS.bins), "feature", "left")
+    name = F.from_json("feature", "array<string>")
+    scores = scores.select(name[0].alias("label"), name[1].alias("feature"), "f", "mi")
+    y = t.select("row_id", F.col("label").alias("feature"), F.col("y").cast("double").alias("x")).distinct()
+    r = spearman(t.select("row_id", "feature", "x").distinct(), y).select(F.col("a").alias("feature"), F.col("b").alias("label"), F.abs("r").alias("spearman"))
+    return scores.join(r, ["label", "feature"], "left").select("label", "feature", *(F.round(c, 9).alias(c) for c in ("f", "spearman", "mi")))
+
+
+def single_feature_scan(long: DataFrame, share: float = 0.25, seed: int = DEFAULTS.seed) -> DataFrame:
+    """feature, single_feature_auc on a stratified holdout: a model of one feature is monotone, so its AUC is the feature's own, either way round."""
+    test = holdout(long.select("row_id", "y").distinct(), share, seed).where("split = 'test'").select("row_id")
+    return metrics.auc(long.join(test, "row_id", "left_semi"), ["feature"]).select("feature", F.greatest("auc", 1 - F.col("auc")).alias("single_feature_auc"))
+
+
 def importance_matrix(tables: dict[str, DataFrame]) -> DataFrame:
     """feature, a column for each label's score (0 where it has none), and their mean. tables: label -> (feature, score)."""
     out = reduce(lambda a, b: a.join(b, "feature", "full"), (t.select("feature", F.col("score").alias(n)) for n, t in tables.items()))

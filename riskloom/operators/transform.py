@@ -28,6 +28,15 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
     return df.join(shares, level == F.col("_level"), "left").drop("_level")
 
 
+def encoded_categories(df: DataFrame, columns: list[str], most: int = DEFAULTS.one_hot_levels) -> tuple[DataFrame, list[str]]:
+    """df with the features of each category, dummies for at most most levels, else frequencies; and the features' names."""
+    before = set(df.columns)
+    for c in columns:
+        dummies = one_hot(df, c, most)
+        df = frequency(df, c) if dummies is None else dummies
+    return df, [c for c in df.columns if c not in before]
+
+
 def top_dummies(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """df with dummies of the k most frequent levels; ties by name."""
     top = [r[0] for r in df.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(k).collect()]

@@ -99,9 +99,9 @@ ORACLES: dict[str, str] = {
  SELECT feature, {r('max(d)', 'ks')} FROM c GROUP BY 1""".replace("w AS (SELECT feature, sum(y) OVER o::DOUBLE AS z FROM lng WINDOW o AS (PARTITION BY feature ORDER BY x, row_id ROWS UNBOUNDED PRECEDING)),\n ", ""),
     "ks_grid": f"WITH {X.DOCLONG_SQL}, {KSGRID} SELECT feature, {r('ks', 'ks')} FROM kg",
     "brier_logloss": f"WITH {SCORED}, p AS (SELECT y, least(x / 20000, 1.0) AS p FROM sc), c AS (SELECT y, p, least(greatest(p, 1e-15), 1 - 1e-15) AS q FROM p) SELECT {r('avg((p - y) * (p - y))', 'brier')}, {r('avg(-(y * ln(q) + (1 - y) * ln(1 - q)))', 'logloss')} FROM c",
-    "column_profile": f"WITH {X.SNAPLONG_SQL}, {PROF} SELECT feature, n_rows, {r('missing', 'missing')}, n_unique, {r('dominant_share', 'dominant_share')}, {r('mean', 'mean')}, {r('std', 'std')}, {r('skewness', 'skewness')}, {r('kurtosis', 'kurtosis')}, is_binary, is_integer_like FROM prof",
+    "column_profile": f"WITH {X.SNAPLONG_SQL}, {PROF} SELECT feature, n_rows, {r('missing', 'missing')}, n_unique, {r('dominant_share', 'dominant_share')}, {r('mean', 'mean')}, {r('std', 'std')}, {r('skewness', 'skewness')}, {r('kurtosis', 'kurtosis')}, is_binary, is_integer_like, {r('lo', 'min')}, {r('hi', 'max')}, {r('variance', 'variance')}, {r('positive_rate', 'positive_rate')} FROM prof JOIN (SELECT feature, min(x) AS lo, max(x) AS hi FROM lng GROUP BY 1) USING (feature)",
     "fill_rate_filter": f"WITH {X.SNAPLONG_SQL} SELECT feature, {r('count(x)::DOUBLE / count(*)', 'fill_rate')} FROM lng GROUP BY 1 HAVING count(x)::DOUBLE / count(*) >= 0.85",
-    "value_counts_dominant": f"WITH {X.SNAPLONG_SQL} SELECT feature, x, count(*) AS n, {r('count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY feature)', 'share')} FROM lng WHERE x IS NOT NULL AND feature IN ('n_orders', 'n_lines', 'n_events') GROUP BY 1, 2",
+    "value_counts_dominant": f"WITH {X.SNAPLONG_SQL} SELECT feature, x, count(*) AS n, {r('count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY feature)', 'share')} FROM lng WHERE x IS NOT NULL GROUP BY 1, 2",
     "column_filters": f"WITH {X.SNAPLONG_SQL}, {PROF} SELECT feature, missing > 0.98 AS hard_missing, dominant_share >= 0.999 AS near_constant, coalesce(variance, 0) <= 1e-8 AS low_variance, coalesce(std, 0) <= 1e-12 AS constant_feature FROM prof",
     "quality_score": f"WITH {X.SNAPLONG_SQL}, {PROF} SELECT feature, {r(QUALITY, 'quality')}, {QUALITY} > 0.3 AND missing < 0.9 AS usable FROM prof",
     "event_rates": f"WITH {X.SNAPLONG_SQL}, {PROF}, {RATES} SELECT feature, {r('event_threshold', 'event_threshold')}, {r('event_positive_rate', 'event_positive_rate')} FROM rt",
@@ -110,7 +110,7 @@ ORACLES: dict[str, str] = {
  SELECT feature, 'strict' AS rule FROM g WHERE u >= 0.98 * n UNION ALL SELECT feature, 'large' FROM g WHERE u >= 0.98 * n AND m > 1e7
  UNION ALL SELECT feature, 'string' FROM c GROUP BY 1 HAVING count(DISTINCT s) >= 0.98 * count(*) OR avg(CASE WHEN regexp_matches(s, '^[0-9a-fA-F\\-]{8,}$') THEN 1 ELSE 0 END) > 0.95""",
     "sanity_counts": f"WITH {X.SNAPLONG_SQL} SELECT count(*) // 10 AS n_rows, CAST(10 AS BIGINT) AS n_columns, count(*) - count(x) AS n_missing, CAST(0 AS BIGINT) AS n_infinite FROM lng",
-    "histogram": f"WITH {X.SNAPLONG_SQL}, e AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM lng GROUP BY 1) SELECT feature, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / ((hi - lo) / 20)), 19) END AS INT) AS bin, count(*) AS n FROM lng JOIN e USING (feature) WHERE x IS NOT NULL AND feature IN ('acctbal', 'n_orders') GROUP BY 1, 2",
+    "histogram": f"WITH {X.SNAPLONG_SQL}, e AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM lng GROUP BY 1) SELECT feature, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / ((hi - lo) / 20)), 19) END AS INT) AS bin, count(*) AS n FROM lng JOIN e USING (feature) WHERE x IS NOT NULL GROUP BY 1, 2",
     "sample_rows": "SELECT c_custkey, c_name FROM customer ORDER BY md5(c_custkey || '|42'), c_custkey LIMIT 100",
     "missingness_auc": f"WITH {X.SNAP_SQL}, lng AS (SELECT feature || '__isna' AS feature, y, CASE WHEN x IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM ({X._union('snap', X.SNAP_FEATURES, 'row_id, y')})), {CUM} SELECT feature, {r(AUC, 'auc')} FROM u GROUP BY 1",
     "column_roles": f"WITH {X.META_SQL} SELECT column_name, {window_sql()} AS \"window\", {window_sql()} <> 'unknown' AS is_window, {like(P.OUTCOME)} AS is_outcome, {like(P.WINDOWS['lt'])} AS is_lifetime, coalesce(nullif(regexp_extract(lower(column_name), '^var(\\d{{3}})'), ''), string_split(lower(column_name), '_')[1]) AS family, {ID_SQL['framework']} AS is_id, {TIME_SQL} AS is_time, regexp_matches(lower(column_name), '{'|'.join(P.LEAK_TOKENS)}') AS has_leak_token, {STRICT} AS is_strict_label, {KINDS} AS kind FROM mt",
@@ -121,7 +121,7 @@ ORACLES: dict[str, str] = {
     "binary_pairs": f"WITH {X.EVENTS_SQL}, {JOINT} SELECT a, b, {r('CASE WHEN n11 + n10 + n01 = 0 THEN 0 ELSE n11 / (n11 + n10 + n01) END', 'jaccard')}, {r('CASE WHEN (n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00) = 0 THEN 0 ELSE (n11 * n00 - n10 * n01) / sqrt((n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00)) END', 'phi')}, "
     + r(" + ".join([_mi4("n11", "n11 + n10", "n11 + n01"), _mi4("n10", "n11 + n10", "n10 + n00"), _mi4("n01", "n01 + n00", "n11 + n01"), _mi4("n00", "n01 + n00", "n10 + n00")]), "mutual_info") + " FROM w",
     "pearson_pairs": f"WITH {X.SNAPLONG_SQL} SELECT a.feature AS a, b.feature AS b, count(*) AS n, {r('CASE WHEN stddev_pop(a.x) > 0 AND stddev_pop(b.x) > 0 THEN covar_pop(a.x, b.x) / (stddev_pop(a.x) * stddev_pop(b.x)) END', 'r')} FROM lng a JOIN lng b ON a.row_id = b.row_id AND a.feature < b.feature WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2",
-    "spearman_pairs": f"WITH {X.SNAPLONG_SQL}, rk AS (SELECT row_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS x FROM lng WHERE x IS NOT NULL AND feature IN ('acctbal', 'n_orders', 'avg_price', 'n_events')) SELECT a.feature AS a, b.feature AS b, count(*) AS n, {r('covar_pop(a.x, b.x) / (stddev_pop(a.x) * stddev_pop(b.x))', 'r')} FROM rk a JOIN rk b ON a.row_id = b.row_id AND a.feature < b.feature GROUP BY 1, 2",
+    "spearman_pairs": f"WITH {X.SNAPLONG_SQL}, rk AS (SELECT row_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS x FROM lng WHERE x IS NOT NULL) SELECT a.feature AS a, b.feature AS b, count(*) AS n, {r('covar_pop(a.x, b.x) / (stddev_pop(a.x) * stddev_pop(b.x))', 'r')} FROM rk a JOIN rk b ON a.row_id = b.row_id AND a.feature < b.feature GROUP BY 1, 2",
     "anova_f": f"WITH {X.SNAPLONG_SQL}, {ANOVA} SELECT feature, {r('f', 'f')} FROM an",
     "mi_binned": f"WITH {X.DOCLONG_SQL}, {DIG}, kd AS (SELECT feature, count(DISTINCT x) > 10 AND max(abs(x - floor(x))) > 0 AS k FROM lng GROUP BY 1), bn AS (SELECT d.feature, d.y, CASE WHEN k THEN bin ELSE x END AS bin FROM dg d JOIN kd USING (feature)), {mi('bn', '1e-12')} SELECT feature, {r('mi', 'mi')} FROM mi",
     "mi_kbins": f"WITH {X.SNAPLONG_SQL}, {IMPUTED}, {DIG.replace('FROM lng', 'FROM lng2')}, {mi('dg', '0')} SELECT feature, {r('mi', 'mi')} FROM mi",
@@ -150,7 +150,7 @@ ORACLES: dict[str, str] = {
     "freq_encode": f"WITH {X.DOC_SQL} SELECT row_id, source, {r('count(*) OVER (PARTITION BY source)::DOUBLE / count(*) OVER ()', 'source__freq').replace('(PARTITION BY source)::DOUBLE', '(PARTITION BY source) * 1.0::DOUBLE')} FROM doc",
     "target_encode_cv": f"WITH {X.DOC_SQL}, {PLACED}, fd AS (SELECT row_id, source, y, CAST((place - 1) % 5 AS INT) AS fold FROM pl), w AS (SELECT *, sum(y) OVER s - sum(y) OVER sf AS ss, count(*) OVER s - count(*) OVER sf AS sc, sum(y) OVER () - sum(y) OVER f AS ts, count(*) OVER () - count(*) OVER f AS tc FROM fd WINDOW s AS (PARTITION BY source), sf AS (PARTITION BY source, fold), f AS (PARTITION BY fold)) SELECT row_id, source, fold, {r('CASE WHEN sc > 0 THEN ss::DOUBLE / sc ELSE ts::DOUBLE / tc END', 'source__te')} FROM w",
     "impute_scale": f"WITH {X.SNAPLONG_SQL}, {IMPUTED}, {ROBUST.replace('FROM lng', 'FROM lng2')} SELECT feature, row_id, {r('(x - q1) / CASE WHEN q2 - q0 = 0 THEN 1 ELSE q2 - q0 END', 'x')} FROM lng2 JOIN qt USING (feature)",
-    "numeric_transform": f"WITH {X.SNAPLONG_SQL}, m AS (SELECT feature, min(x) AS m FROM lng GROUP BY 1) SELECT feature, row_id, {r(chr(67) + 'ASE WHEN starts_with(feature, ' + chr(39) + 'n_' + chr(39) + ') THEN ln(1 + x + CASE WHEN m < 0 THEN -m ELSE 0 END) ELSE asinh(x) END', 'x')} FROM lng JOIN m USING (feature)",
+    "numeric_transform": f"WITH {X.SNAPLONG_SQL}, m AS (SELECT feature, min(x) AS m FROM lng GROUP BY 1) SELECT feature, row_id, {r("CASE WHEN starts_with(feature, 'n_') THEN ln(1 + x + CASE WHEN m < 0 THEN -m ELSE 0 END) ELSE asinh(x) END", 'x')} FROM lng JOIN m USING (feature)",
     "standard_scale": f"WITH {X.SNAPLONG_SQL}, m AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s FROM lng GROUP BY 1) SELECT feature, row_id, {r('coalesce((x - m) / CASE WHEN coalesce(s, 0) = 0 THEN 1 ELSE s END, 0)', 'x')} FROM lng JOIN m USING (feature)",
     "winsorise": f"WITH {X.SNAPLONG_SQL}, q AS (SELECT feature, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM lng GROUP BY 1) SELECT feature, row_id, {r('CASE WHEN x IS NOT NULL THEN least(greatest(x, lo), hi) END', 'x')} FROM lng JOIN q USING (feature)",
     "sanitise": f"WITH {X.SNAPLONG_SQL}, {IMPUTED} SELECT feature, count(x) AS n, {r('avg(x)', 'mean')} FROM lng2 GROUP BY 1 HAVING stddev_samp(x) > 1e-12",
@@ -165,5 +165,116 @@ ORACLES: dict[str, str] = {
  concat_ws(';', CASE WHEN auc >= 0.9 OR auc <= 1 - 0.9 THEN 'single_feature_auc' END, CASE WHEN mi >= 0.2 THEN 'high_mi' END, CASE WHEN iv >= 1.5 THEN 'high_iv' END, CASE WHEN ks >= 0.7 THEN 'high_ks' END, CASE WHEN e >= 0.995 THEN 'exactish_match' END) AS flag_reasons
  FROM af JOIN mi USING (feature) JOIN iv USING (feature) JOIN kg USING (feature) JOIN eq USING (feature)""",
 }
+
+# Candidates and sources of labels.
+TEXTS = {"ret_share": "default share", "urgent_share": "missed dues last 3 month", "acctbal": "balance", "n_events": "declined events", "avg_disc": "over limit lifetime"}
+TEXT_SQL = "dt(feature, d, t) AS (VALUES " + ", ".join(f"('{f}', '{TEXTS.get(f, '')}', '{(f + ' ' + TEXTS.get(f, '')).lower()}')" for f in X.SNAP_FEATURES) + ")"
+NEGATIVES = " + ".join(f"CAST({like(p)} AS INT)" for p in P.NEGATIVE)
+CANDIDATES = f"""{TEXT_SQL}, cq AS (SELECT feature AS variable, {window_sql()} AS win, ({SCORE})::DOUBLE AS outcome_score, CASE WHEN n_unique <= 1 THEN 0.0 WHEN missing > 0.8 THEN 0.3 WHEN missing > 0.5 THEN 0.7 ELSE 1.0 END::DOUBLE AS quality_score, event_threshold, event_positive_rate FROM prof JOIN rt USING (feature) JOIN dt USING (feature)),
+ cand AS (SELECT *, outcome_score * quality_score AS combined_score, outcome_score >= 0.6 AND quality_score > 0.5 AND event_positive_rate BETWEEN 0.005 AND 0.3 AS eligible FROM cq WHERE win <> 'lt'),
+ nq AS (SELECT feature AS variable, {NEGATIVES} AS pattern_count, {window_sql()} AS win, is_binary, is_integer_like, positive_rate, missing, n_unique, is_binary OR is_integer_like AS discrete, positive_rate BETWEEN 0.005 AND 0.3 AS common FROM prof JOIN dt USING (feature)),
+ neg AS (SELECT *, CASE WHEN missing < 0.1 THEN 0.4 WHEN missing < 0.3 THEN 0.2 ELSE 0.0 END::DOUBLE + CASE WHEN discrete THEN 0.3 ELSE 0.0 END::DOUBLE + CASE WHEN common THEN 0.3 ELSE 0.0 END::DOUBLE AS priority FROM nq WHERE pattern_count > 0 AND win <> 'lt'),
+ rec AS (SELECT *, discrete AND common AND missing < 0.5 AND round(priority, 9) >= 0.6 AS recommended FROM neg),
+ src AS (SELECT s.variable AS source, s.weight, s.first, c.event_threshold, c.win FROM (SELECT variable, priority AS weight, true AS first FROM rec WHERE recommended UNION ALL SELECT variable, combined_score, false FROM cand WHERE eligible AND variable NOT IN (SELECT variable FROM rec WHERE recommended)) s LEFT JOIN cand c USING (variable) WHERE coalesce(c.win, 'unknown') <> 'lt')"""
+CAND = f"WITH {X.SNAPLONG_SQL}, {PROF}, {RATES}, {CANDIDATES}"
+CAND_ROWS = f"variable, win AS \"window\", {r('outcome_score', 'outcome_score')}, {r('quality_score', 'quality_score')}, {r('combined_score', 'combined_score')}, {r('event_threshold', 'event_threshold')}, {r('event_positive_rate', 'event_positive_rate')}, eligible AS eligible_for_label FROM cand"
+SRC_ROWS = f"source, {r('weight', 'weight')}, first"
+
+# Scores of features by three methods, for a label of the snapshot.
+RANKS = "rk AS (SELECT row_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS x FROM lng WHERE x IS NOT NULL)"
+R = "CASE WHEN stddev_pop(a.x) > 0 AND stddev_pop(b.x) > 0 THEN covar_pop(a.x, b.x) / (stddev_pop(a.x) * stddev_pop(b.x)) END"
+PEARSON = f"pc AS (SELECT a.feature AS a, b.feature AS b, {R} AS r FROM lng a JOIN lng b ON a.row_id = b.row_id AND a.feature < b.feature WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2)"
+SPEARMAN = f"{RANKS}, pc AS (SELECT a.feature AS a, b.feature AS b, {R} AS r FROM rk a JOIN rk b ON a.row_id = b.row_id AND a.feature < b.feature GROUP BY 1, 2)"
+WITH_Y = f"{RANKS}, ry AS (SELECT row_id, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS x FROM (SELECT DISTINCT row_id, y FROM lng)), sy AS (SELECT a.feature, {R} AS r FROM rk a JOIN ry b USING (row_id) GROUP BY 1)"
+METHODS = f"{ANOVA}, {IMPUTED}, {DIG.replace('FROM lng', 'FROM lng2')}, {mi('dg', '0')}, {WITH_Y}, ms AS (SELECT feature, round(f, 9) AS f, round(abs(r), 9) AS spearman, round(mi, 9) AS mi FROM an LEFT JOIN sy USING (feature) LEFT JOIN mi USING (feature))"
+SCORES = f"WITH {X.SNAPLONG_SQL}, {METHODS}"
+PART = "coalesce(abs({c}) / nullif(max(abs({c})) OVER ({p}), 0), 0) * {w}"
+
+
+def rank_of(c: str) -> str:
+    return f"(rank() OVER (ORDER BY coalesce({c}, 0) DESC) + (count(*) OVER (PARTITION BY coalesce({c}, 0)) - 1) / 2.0::DOUBLE)"
+
+
+def greedy(corr: str, test: str, loser: str) -> str:
+    """feature, kept after the pairs that pass test are met in order of the later column, then the earlier."""
+    return f"""WITH RECURSIVE {X.SNAPLONG_SQL}, {corr}, pos(feature, p) AS (VALUES {', '.join(f"('{f}', {i})" for i, f in enumerate(X.SNAP_FEATURES))}), cnt AS (SELECT feature, count(x) AS n FROM lng GROUP BY 1),
+ ed2 AS (SELECT CASE WHEN pa.p < pb.p THEN a ELSE b END AS early, CASE WHEN pa.p < pb.p THEN b ELSE a END AS late, least(pa.p, pb.p) AS pe, greatest(pa.p, pb.p) AS pl FROM pc JOIN pos pa ON pa.feature = a JOIN pos pb ON pb.feature = b WHERE round(abs(r), 12) {test}),
+ ed3 AS (SELECT early, late, {loser} AS loser, row_number() OVER (ORDER BY pl, pe) AS i FROM ed2 JOIN cnt ce ON ce.feature = early JOIN cnt cl ON cl.feature = late),
+ go(i, gone) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT ed3.i, CASE WHEN list_contains(gone, early) OR list_contains(gone, late) THEN gone ELSE list_append(gone, loser) END FROM go JOIN ed3 ON ed3.i = go.i + 1)
+ SELECT feature, NOT list_contains((SELECT gone FROM go ORDER BY i DESC LIMIT 1), feature) AS kept FROM pos"""
+
+
+def later(corr: str, test: str) -> str:
+    """Columns that correlate with an earlier one."""
+    place = "list_position([" + ", ".join(f"'{f}'" for f in X.SNAP_FEATURES) + "], {c})"
+    return f"SELECT DISTINCT CASE WHEN {place.format(c='a')} < {place.format(c='b')} THEN b ELSE a END AS feature FROM ({corr}) WHERE round(abs(r), 12) {test}"
+
+
+def dominance(cutoff: float, floor: float, rounds: int = 5) -> str:
+    """Sources left, round by round: heavy ones go as long as the rest keeps the union's prevalence."""
+    steps = ["s0 AS (SELECT list(DISTINCT source) AS l FROM ev)"]
+    for i in range(rounds):
+        steps.append(f"""p{i} AS (SELECT row_id FROM ev, s{i} WHERE list_contains(l, source) GROUP BY 1 HAVING max(event) = 1), h{i} AS (SELECT source FROM ev, s{i} WHERE list_contains(l, source) AND row_id IN (SELECT row_id FROM p{i}) GROUP BY 1 HAVING avg(event) >= {cutoff}),
+ hl{i} AS (SELECT coalesce(list(source), []) AS heavy FROM h{i}), r{i} AS (SELECT list_filter(l, lambda x: NOT list_contains(heavy, x)) AS rest, l FROM s{i}, hl{i}),
+ u{i} AS (SELECT (SELECT avg(m) FROM (SELECT row_id, max(event) AS m FROM ev, r{i} WHERE list_contains(rest, source) GROUP BY 1)) AS left_over),
+ s{i + 1} AS (SELECT CASE WHEN len(rest) = 0 OR len(rest) = len(l) OR left_over < {floor} THEN l ELSE rest END AS l FROM r{i}, u{i})""")
+    return f"WITH {X.EVENTS_SQL}, {', '.join(steps)} SELECT unnest(l) AS source FROM s{rounds}"
+
+
+JACCARD = "CASE WHEN n11 + n10 + n01 = 0 THEN 0 ELSE n11 / (n11 + n10 + n01) END"
+PAIRED = " UNION ALL ".join(f"SELECT row_id, '{n}' AS label, {e} AS y FROM snap" for n, e in (("negative", "CASE WHEN acctbal < 0 THEN 1 ELSE 0 END"), ("returns", "y")))
+HELD = "hd AS (SELECT row_id FROM pl WHERE (place - 1)::DOUBLE / n < 0.25)"
+#: The spreads by label: the CTEs of METHODS with lng as (row_id, y, feature, x) of a label and a feature.
+BOTH = f"WITH {X.SNAP_SQL}, lab AS ({PAIRED}), base AS ({X._union('snap', X.SNAP_FEATURES, 'row_id')}), lng AS (SELECT row_id, lab.y, label || '|' || feature AS feature, x FROM base JOIN lab USING (row_id)), {ANOVA}, {IMPUTED}, {DIG.replace('FROM lng', 'FROM lng2')}, {mi('dg', '0')}, {RANKS}, ry AS (SELECT row_id, label, rank() OVER (PARTITION BY label ORDER BY y) + (count(*) OVER (PARTITION BY label, y) - 1) / 2.0::DOUBLE AS x FROM lab), sy AS (SELECT a.feature, {R} AS r FROM rk a JOIN ry b ON a.row_id = b.row_id AND starts_with(a.feature, b.label || '|') GROUP BY 1), ms AS (SELECT string_split(feature, '|')[1] AS label, string_split(feature, '|')[2] AS feature, round(f, 9) AS f, round(abs(r), 9) AS spearman, round(mi, 9) AS mi FROM an LEFT JOIN sy USING (feature) LEFT JOIN mi USING (feature))"
+BRIER = "br AS (SELECT avg((x - y) * (x - y)) AS brier, avg(-(y * ln(least(greatest(x, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(x, 1e-15), 1 - 1e-15)))) AS logloss FROM lng)"
+
+ORACLES |= {
+    "label_candidates": f"{CAND} SELECT {CAND_ROWS}",
+    "label_rescue": f"{CAND} SELECT {CAND_ROWS} WHERE NOT eligible AND outcome_score > 0 AND event_positive_rate BETWEEN 0.002 AND 0.4 ORDER BY cand.combined_score DESC, variable LIMIT 12",
+    "negative_patterns": f"{CAND} SELECT variable, CAST(pattern_count AS INT) AS pattern_count, is_binary, is_integer_like, {r('positive_rate', 'event_positive_rate')}, {r('missing', 'missing_pct')}, n_unique, {r('priority', 'priority_score')}, recommended AS recommended_for_label FROM rec",
+    "label_sources": f"{CAND} SELECT {SRC_ROWS}, {r('event_threshold', 'event_threshold')}, win AS \"window\" FROM src",
+    "label_sources_compat": f"{CAND} SELECT {SRC_ROWS}, CASE WHEN NOT EXISTS (SELECT 1 FROM rec WHERE recommended) THEN {r('event_threshold', 'x')[:-5]} END AS event_threshold, win AS \"window\" FROM src",
+    "label_sources_table": f"{CAND} SELECT source AS label_source, {r('weight', 'weight')}, d AS \"desc\", {r('event_threshold', 'event_threshold')}, win AS \"window\" FROM src JOIN dt ON feature = source",
+    "binarised_sources": f"{CAND}, ev2 AS (SELECT source, CASE WHEN CASE WHEN event_threshold > 0 THEN x >= event_threshold ELSE x > 0 END THEN 1 ELSE 0 END AS event, ln(1 + greatest(coalesce(x, 0), 0)) AS severity FROM lng JOIN src ON source = feature) SELECT source, CAST(sum(event) AS BIGINT) AS n_events, {r('sum(severity)', 'severity')} FROM ev2 GROUP BY 1 HAVING max(event) > 0",
+    "severe_sources": f"WITH srcs(source, weight) AS (VALUES {', '.join(f"('{n}', {w}::DOUBLE)" for n, w, _ in X.SOURCES)}), l AS (SELECT unnest([0.7, 2.0]::DOUBLE[]) AS least) SELECT least, source FROM srcs, l WHERE weight >= least OR least > (SELECT max(weight) FROM srcs)",
+    "severity_auto": f"WITH {X.SNAPLONG_SQL}, e AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM lng GROUP BY 1) SELECT row_id, feature, {r('CASE WHEN lo >= 0 THEN CASE WHEN hi <= 1 THEN coalesce(x, 0) ELSE ln(1 + greatest(coalesce(x, 0), 0)) END ELSE asinh(coalesce(x, 0)) END', 'severity')} FROM lng JOIN e USING (feature)",
+    "top_dummies": f"WITH {X.DOC_SQL}, c AS (SELECT source, count(*) AS n FROM doc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) SELECT 'source__top_' || source AS dummy, n FROM c",
+    "fill_zero": f"WITH {X.SNAPLONG_SQL} SELECT row_id, feature, {r('coalesce(x, 0)', 'x')} FROM lng",
+    "dominance_prune": dominance(0.45, 0.002),
+    "jaccard_dedup": f"""WITH RECURSIVE {X.EVENTS_SQL}, {JOINT}, jd AS (SELECT a, b FROM w WHERE {JACCARD} >= 0.05 UNION ALL SELECT b, a FROM w WHERE {JACCARD} >= 0.05),
+ od AS (SELECT source, row_number() OVER (ORDER BY weight DESC, source) AS i, coalesce((SELECT list(b) FROM jd WHERE a = source), []) AS near FROM srcs),
+ go(i, kept) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT od.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, source) END FROM go JOIN od ON od.i = go.i + 1) SELECT unnest(kept) AS source FROM go WHERE i = (SELECT max(i) FROM go)""",
+    "leak_report": f"""WITH {X.META_SQL}, {X.SNAPLONG_SQL}, {CUM}, {AUCF}, {WITH_Y}, tk AS (SELECT '{'|'.join(P.LEAK_TOKENS)}' AS k)
+ SELECT column_name AS "column", 'name_token' AS reason FROM meta, tk WHERE regexp_matches(lower(column_name), k) UNION ALL SELECT column_name, 'description_token' FROM meta, tk WHERE regexp_matches(lower(description), k)
+ UNION ALL SELECT feature, 'spearman' FROM sy WHERE abs(r) >= 0.999 UNION ALL SELECT feature, 'single_feature_auc' FROM af WHERE greatest(auc, 1 - auc) >= 0.995""",
+    "corr_prune": greedy(PEARSON, ">= 0.8", "early"),
+    "corr_prune_strict": greedy(PEARSON, "> 0.8", "CASE WHEN cl.n < ce.n THEN late ELSE early END"),
+    "redundant_columns": f"WITH {X.SNAPLONG_SQL}, {SPEARMAN}, {PEARSON.replace('pc AS', 'pp AS')} SELECT 'spearman' AS rule, feature FROM ({later('SELECT * FROM pc', '> 0.8')}) UNION ALL SELECT 'pearson', feature FROM ({later('SELECT * FROM pp', '>= 0.8')})",
+    "component_prune": f"""WITH RECURSIVE {X.SNAPLONG_SQL}, {PEARSON}, pos(feature, p) AS (VALUES {', '.join(f"('{f}', {i})" for i, f in enumerate(X.SNAP_FEATURES))}), cnt AS (SELECT feature, count(x) AS n FROM lng GROUP BY 1),
+ e2 AS (SELECT a, b FROM pc WHERE round(abs(r), 12) >= 0.8 UNION ALL SELECT b, a FROM pc WHERE round(abs(r), 12) >= 0.8), reach(f, g) AS (SELECT feature, feature FROM pos UNION SELECT f, b FROM reach JOIN e2 ON g = a),
+ best AS (SELECT f, g, row_number() OVER (PARTITION BY f ORDER BY n DESC, p) AS k FROM reach JOIN pos ON pos.feature = g JOIN cnt ON cnt.feature = g) SELECT f AS feature, f = g AS kept FROM best WHERE k = 1""",
+    "auto_guard": f"WITH {X.META_SQL} SELECT column_name AS \"column\" FROM meta WHERE regexp_matches(lower(column_name), 'flag|default|bad')",
+    "verification_guard": f"WITH {X.META_SQL} SELECT DISTINCT column_name AS \"column\" FROM meta WHERE column_name IN ('var207028', 'spend_a') OR regexp_matches(lower(description), 'default|dpd|overdue|writeoff|chargeoff|npa|miss|overlimit|declin|reject|negative|due|penalty')",
+    "guard_from_files": "SELECT unnest(['paid', 'ts', 'x_3m', 'late_d']) AS \"column\"",
+    "forbidden_window_columns": f"WITH {X.META_SQL}, w AS (SELECT column_name, {window_sql()} AS win FROM mt) SELECT column_name, win NOT IN (SELECT win FROM w WHERE column_name IN ('spend_a', 'var207028') AND win <> 'unknown') AS safe FROM w",
+    "auc_bands": f"WITH {X.SNAPLONG_SQL}, {CUM}, {AUCF} SELECT feature, CASE WHEN auc > 0.95 THEN 'suspicious' WHEN auc > 0.8 THEN 'strong' WHEN auc > 0.6 THEN 'fair' ELSE 'weak' END AS band, CASE WHEN greatest(auc, 1 - auc) > 0.6 THEN true END AS too_predictive FROM af",
+    "single_feature_scan": f"WITH {X.DOC_SQL}, {PLACED}, {HELD}, lng AS (SELECT * FROM ({X._union('doc', X.DOC_FEATURES, 'row_id, y')}) WHERE row_id IN (SELECT row_id FROM hd)), {CUM}, {AUCF} SELECT feature, {r('greatest(auc, 1 - auc)', 'single_feature_auc')} FROM af",
+    "combined_score": f"{SCORES} SELECT feature, round({' + '.join(PART.format(c=c, p='', w=w) for c, w in (('mi', 0.30), ('f', 0.25), ('spearman', 0.25)))}, 6) AS score FROM ms",
+    "per_label_scores": f"{BOTH} SELECT label, feature, {r('f', 'f')}, {r('spearman', 'spearman')}, {r('mi', 'mi')}, round({' + '.join(PART.format(c=c, p='PARTITION BY label', w=w) for c, w in (('mi', 0.30), ('f', 0.25), ('spearman', 0.25)))}, 6) AS score FROM ms",
+    "consensus_rank": f"{SCORES} SELECT feature, {', '.join(r(f'coalesce({c}, 0)', c) for c in ('f', 'spearman', 'mi'))}, {', '.join(f'{rank_of(c)} AS rank_{c}' for c in ('f', 'spearman', 'mi'))}, round(({' + '.join(map(rank_of, ('f', 'spearman', 'mi')))}) / 3, 6) AS consensus_rank FROM ms",
+    "importance_matrix": f"{SCORES} SELECT feature, round(CASE WHEN spearman > 0.01 THEN spearman ELSE 0 END, 6) AS spearman, round(CASE WHEN mi > 0.01 THEN mi ELSE 0 END, 6) AS mi, round((CASE WHEN spearman > 0.01 THEN spearman ELSE 0 END + CASE WHEN mi > 0.01 THEN mi ELSE 0 END) / 2, 6) AS mean_score FROM ms WHERE spearman > 0.01 OR mi > 0.01",
+    "top_features": f"{SCORES} SELECT feature, {r('mi', 'mi')} FROM ms ORDER BY ms.mi DESC, feature LIMIT 3",
+    "bar_chart": f"{SCORES} SELECT feature AS name, {r('spearman', 'value')}, CAST(row_number() OVER (ORDER BY spearman DESC, feature) AS INT) AS place FROM ms",
+    "heat_map": f"WITH {X.EVENTS_SQL}, {JOINT}, jj AS (SELECT a, b, {JACCARD} AS v FROM w UNION ALL SELECT b, a, {JACCARD} FROM w) SELECT p.source AS a, q.source AS b, round(CASE WHEN p.source = q.source THEN 1.0 ELSE coalesce(v, 0) END, 6)::DOUBLE AS value FROM srcs p CROSS JOIN srcs q LEFT JOIN jj ON jj.a = p.source AND jj.b = q.source",
+    "missing_flag_names": ORACLES["missingness_auc"].replace("SELECT feature, round", "SELECT replace(feature, '__isna', '') AS feature, round"),
+    "holdout_split": f"WITH {X.DOC_SQL}, {PLACED} SELECT row_id, y, CASE WHEN (place - 1)::DOUBLE / n < 0.25 THEN 'test' ELSE 'train' END AS split FROM pl",
+    "metric_summary": f"WITH {X.DOC_SQL}, lng AS (SELECT 'all' AS feature, row_id, y, least(n_chars / 20000, 1.0) AS x FROM doc), {CUM}, {BRIER}, mt2 AS (SELECT {AUC} AS auc, sum(dp::DOUBLE / dn * pos / n1) AS ap, greatest(0, max(dp::DOUBLE / n1 - (dn - dp)::DOUBLE / (nt - n1))) AS ks FROM u) SELECT 'all' AS part, {r('auc', 'auc')}, {r('2 * auc - 1', 'gini')}, {r('ap', 'ap')}, {r('ks', 'ks')}, {r('brier', 'brier')}, {r('logloss', 'logloss')} FROM mt2, br",
+    "strict_label": f"WITH {X.SNAP_SQL}, m AS (SELECT 'default_hi' AS variable, avg(CASE WHEN ret_share > 0.5 THEN 1 WHEN ret_share <= 0.5 THEN 0 END) AS p FROM snap UNION ALL SELECT 'overdue_hi', avg(CASE WHEN avg_disc > 0.053 THEN 1 WHEN avg_disc <= 0.053 THEN 0 END) FROM snap) SELECT variable, {r('p', 'positive_rate')} FROM m WHERE p BETWEEN 0.005 AND 0.4 ORDER BY p, variable LIMIT 1",
+    "set_stability": f"WITH {X.SNAPLONG_SQL}, c AS (SELECT row_id % 3 AS run, list(DISTINCT feature) AS l FROM (SELECT row_id % 3 AS row_id, feature FROM lng GROUP BY 1, 2 HAVING sum(x) > 12000) GROUP BY 1) SELECT 'L1' AS method, round(avg(len(list_intersect(p.l, q.l))::DOUBLE / len(list_distinct(list_concat(p.l, q.l)))), 6) AS jaccard FROM c p JOIN c q ON p.run < q.run HAVING count(*) > 0",
+    "dtype_split": f"WITH {X.SNAP_SQL}, c AS (SELECT column_name, column_type FROM (DESCRIBE SELECT * FROM (WITH {X.SNAP_SQL} SELECT * FROM snap))) SELECT column_name AS \"column\", column_type <> 'VARCHAR' AS is_numeric FROM c",
+    "truncated_names": "SELECT p_partkey, p_name[:12] AS p_name FROM part",
+    "encoded_categories": f"WITH {X.SNAP_SQL} SELECT row_id, " + ", ".join(f"CASE WHEN segment = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS segment__is_{v}" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + f", {r('count(*) OVER (PARTITION BY nation) * 1.0::DOUBLE / count(*) OVER ()', 'nation__freq')} FROM snap",
+    "warmup_schedule": "SELECT step, round(1000 * CASE WHEN step < 12 THEN 1e-3 * step / 12 ELSE 1e-6 + 0.5 * (1e-3 - 1e-6) * (1 + cos(pi() * (step - 12) / 188.0::DOUBLE)) END, 6)::DOUBLE AS rate FROM (SELECT unnest(range(200)) AS step)",
+}
 for _name in [n for n, s in ORACLES.items() if not s]:
     del ORACLES[_name]

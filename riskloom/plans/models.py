@@ -13,15 +13,17 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..operators import metrics
+from ..operators.guard import auc_band
 from ..operators.splits import stratified_folds, stratified_split
 
 
-def logistic(elastic: float = 0.5, reg: float = 0.01, seed: int = DEFAULTS.seed) -> LogisticRegression:
+def logistic(elastic: float = 0.5, reg: float = 0.01) -> LogisticRegression:
+    """A logistic model; its fit has no randomness."""
     return LogisticRegression(labelCol="y", elasticNetParam=elastic, regParam=reg, maxIter=100, weightCol="weight")
 
 
@@ -31,7 +33,7 @@ def boosted(depth: int = 3, trees: int = 20, rate: float = 0.1, bins: int = 32,
     return gbt.setValidationIndicatorCol(validation) if validation else gbt
 
 
-def perceptron(inputs: int, hidden: tuple[int, ...] = (16, 8), seed: int = DEFAULTS.seed) -> MultilayerPerceptronClassifier:
+def perceptron(inputs: int, hidden: tuple[int, ...] = (128, 64), seed: int = DEFAULTS.seed) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(labelCol="y", layers=[inputs, *hidden, 2], maxIter=60, seed=seed)
 
 
@@ -90,7 +92,7 @@ def stacked(parts: dict[str, DataFrame], nested: bool = False, folds: int = 5, s
 
 
 def l1_importance(df: DataFrame, features: list[str], share: float = 0.25, seed: int = DEFAULTS.seed) -> tuple[DataFrame, float]:
-    """feature, importance (absolute coefficient on scaled features); the AUC on a holdout."""
+    """feature, importance (absolute coefficient on scaled features); and the AUC on a holdout."""
     t = stratified_split(df, {"valid": share, "train": 1 - share}, seed)
     t = prepared(t, features).cache()
     model = pipeline(features, logistic(1.0)).fit(t.where("split = 'train'"))
@@ -154,6 +156,49 @@ def stability_runs(df: DataFrame, features: list[str], seeds: tuple[int, ...] =
     return df.sparkSession.createDataFrame(out, "method string, run int, feature string")
 
 
+def baseline_check(df: DataFrame, features: list[str], share: float = 0.30, seed: int = DEFAULTS.seed) -> DataFrame:
+    """One row: AUC of a logistic model on train and test rows, and what the latter says of leakage. Missing values count as 0; features that hardly vary are left out."""
+    t = prepared(stratified_split(df, {"test": share, "train": 1 - share}, seed), features, balanced=False).cache()
+    spread = t.agg(*(F.var_samp(c).alias(c) for c in features)).first().asDict()
+    live = [c for c in features if (spread[c] or 0.0) > DEFAULTS.least_variance]
+    model = pipeline(live, LogisticRegression(labelCol="y", maxIter=100)).fit(t.where("split = 'train'"))
+    value = {part: metrics.auc(scored(model, t.where(F.col("split") == part)).withColumnRenamed("p", "x"), []).first()["auc"] for part in ("train", "test")}
+    return df.sparkSession.createDataFrame([(len(live), value["train"], value["test"])], "n_features int, train_auc double, test_auc double").withColumn("verdict", auc_band(F.col("test_auc")))
+
+
+def _measured(t: DataFrame) -> DataFrame:
+    """metrics.summary by part, as a local table: a row for each part, so that plans don't pile up."""
+    out = metrics.summary(t, ["part"])
+    return t.sparkSession.createDataFrame(out.collect(), out.schema)
+
+
+def fold_report(scores: DataFrame) -> DataFrame:
+    """part (fold0, ..., oof, mean, sd) and its metrics of out-of-fold scores (row_id, fold, y, p)."""
+    scores = scores.persist()  # read once for the folds and once for all
+    each = _measured(scores.select(F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("part"), "y", F.col("p").alias("x")))
+    whole = _measured(scores.select(F.lit("oof").alias("part"), "y", F.col("p").alias("x")))
+    names = [c for c in each.columns if c != "part"]
+    over = [each.agg(*(f(c).alias(c) for c in names)).select(F.lit(n).alias("part"), *names) for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    return each.unionByName(whole).unionByName(over[0]).unionByName(over[1])
+
+
+def kfold_with_test(df: DataFrame, features: list[str], estimator: Callable[[], Estimator], folds: int = 5, share: float = 0.15, seed: int = DEFAULTS.seed, scale: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold scores on the rows outside a held-out test part, and a report: folds, out of fold, and the test part under a model refitted on all other rows."""
+    t = stratified_split(df, {"test": share, "train": 1 - share}, seed).cache()
+    rest = t.where("split = 'train'").drop("split")
+    scores = out_of_fold(rest, features, estimator, folds, seed, scale)
+    model = pipeline(features, estimator(), scale).fit(prepared(rest, features))
+    test = scored(model, prepared(t.where("split = 'test'").drop("split"), features))
+    return scores, fold_report(scores).unionByName(_measured(test.select(F.lit("test").alias("part"), "y", F.col("p").alias("x"))))
+
+
+def cosine_warmup(step: Column, total: int, warm: float = 0.06, base: float = 1e-3, least: float = 1e-6) -> Column:
+    """The learning rate of a step: a linear warm-up, then half a cosine down to least."""
+    first = int(total * warm)
+    t = (step - first) / max(1, total - first)
+    return F.when(step < first, base * step / max(1, first)).otherwise(least + 0.5 * (base - least) * (1 + F.cos(F.lit(np.pi) * t)))
+
+
 def train_val_test(df: DataFrame, features: list[str], estimator: Callable[[], Estimator], seed: int = DEFAULTS.seed) -> DataFrame:
     """Metrics on the test part of a model fitted on train and calibrated on val."""
     t = prepared(stratified_split(df, seed=seed), features).cache()

@@ -57,8 +57,14 @@ class Features:
     audit: DataFrame
 
 
-def engineer_features(df: DataFrame, columns: list[str], meta: DataFrame, y: str = "y", sources: DataFrame | None = None, s: Settings = DEFAULTS) -> Features:
-    """Entry B: guard, fill rate, transform, impute, scale, prune, audit. df: row_id, y, columns (numbers). The matrix has a column of single precision for each feature kept."""
+def engineer_features(df: DataFrame, columns: list[str], meta: DataFrame, y: str = "y", sources: DataFrame | None = None, s: Settings = DEFAULTS, categories: list[str] | None = None) -> Features:
+    """Entry B: guard, fill rate, transform, impute, scale, prune, audit. df: row_id, y, columns. The matrix has a column of single precision for each feature kept.
+
+    Columns that hold no numbers (categories, if given) become a 0/1 feature for each of few levels, else the level's share.
+    """
+    numeric, rest = profile.by_type(df, columns)
+    categories = rest if categories is None else categories
+    columns = [c for c in columns if c in numeric and c not in categories]
     long = profile.to_long(df.withColumnRenamed(y, "y") if y != "y" else df, columns, ("row_id", "y")).persist()
     unique = profile.near_unique(long, s.near_unique).select(F.col("feature").alias("column"))
     banned = guard.snapshot_guard(meta.where(F.col("column_name").isin(columns)), sources=sources, near_unique=unique).persist()
@@ -69,6 +75,10 @@ def engineer_features(df: DataFrame, columns: list[str], meta: DataFrame, y: str
     words = df.sparkSession.createDataFrame([(c, texts.get(c, c)) for c in kept], "feature string, t string")
     kinds = words.select("feature", P.numeric_kind(F.col("t")).alias("kind"))
     scaled = transform.robust_scale(transform.impute_median(transform.numeric_transform(long.where(F.col("feature").isin(kept)), kinds)))
+    encoded, names = transform.encoded_categories(df.withColumnRenamed(y, "y") if y != "y" else df, guard.keep_ordinals(categories, guard.snapshot_guard(meta.where(F.col("column_name").isin(categories)), sources=sources)) if categories else [], s.one_hot_levels)
+    if names:
+        scaled = scaled.unionByName(profile.to_long(encoded, names, ("row_id", "y")).select(*scaled.columns))
+    kept = [*kept, *names]
     clean = transform.sanitise(scaled, s.least_std).persist()
     live = [c for c in kept if c in {r[0] for r in clean.select("feature").distinct().collect()}]
     priority = {r["feature"]: abs(r["auc"] - 0.5) for r in metrics.auc(clean, ["feature"]).collect()}

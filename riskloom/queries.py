@@ -73,7 +73,7 @@ def brier_logloss(s, d):
 
 @query
 def column_profile(s, d):
-    return profile.profile(X.snap_long(s, d)).drop("min", "max", "positive_rate", "variance")
+    return profile.profile(X.snap_long(s, d))
 
 
 @query
@@ -83,7 +83,7 @@ def fill_rate_filter(s, d):
 
 @query
 def value_counts_dominant(s, d):
-    return profile.value_counts(X.snap_long(s, d).where(F.col("feature").isin("n_orders", "n_lines", "n_events")))
+    return profile.value_counts(X.snap_long(s, d))
 
 
 @query
@@ -117,7 +117,7 @@ def sanity_counts(s, d):
 
 @query
 def histogram(s, d):
-    return profile.histogram(X.snap_long(s, d).where("feature in ('acctbal', 'n_orders')"))
+    return profile.histogram(X.snap_long(s, d))
 
 
 @query
@@ -167,7 +167,7 @@ def pearson_pairs(s, d):
 
 @query
 def spearman_pairs(s, d):
-    return similarity.spearman(X.snap_long(s, d).where("feature in ('acctbal', 'n_orders', 'avg_price', 'n_events')"))
+    return similarity.spearman(X.snap_long(s, d))
 
 
 @query
@@ -376,10 +376,7 @@ def alignment_check(s, d):
 
 
 def _scores(s, d):
-    t = X.snap_long(s, d)
-    y = t.select("row_id", F.lit("y").alias("feature"), F.col("y").cast("double").alias("x")).distinct()
-    r = similarity.spearman(t, y).select(F.col("a").alias("feature"), F.abs("r").alias("spearman"))
-    return similarity.anova_f(t, ["feature"]).join(r, "feature", "left").join(binning.kbins_mutual_info(t, 10), "feature", "left").select("feature", *(F.round(c, 9).alias(c) for c in ("f", "spearman", "mi")))
+    return select.method_scores(X.snap_long(s, d))
 
 
 @query
@@ -398,20 +395,19 @@ def event_rate_windows(s, d):
     return event_windows(X.table(s, d, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-FEATURES = ["acctbal", "n_orders", "avg_price", "avg_disc", "avg_qty"]
+FEATURES = [f for f in X.SNAP_FEATURES if f != "ret_share"]  # the label is made of that one
 
 
 @query
 def stack_oof(s, d):
-    t = splits.stratified_folds(X.snapshot(s, d), 2)
-    parts = {"gbt": models.out_of_fold(t, FEATURES, lambda: models.boosted(trees=5), 2, scale=False), "mlp": models.out_of_fold(t, FEATURES, lambda: models.perceptron(len(FEATURES)), 2)}
+    t = splits.stratified_folds(X.snapshot(s, d)).cache()
+    parts = {"gbt": models.out_of_fold(t, FEATURES, models.boosted, scale=False), "mlp": models.out_of_fold(t, FEATURES, lambda: models.perceptron(len(FEATURES)))}
     return models.stacked(parts)[0]
 
 
 @query
 def platt(s, d):
-    t = splits.stratified_folds(X.snapshot(s, d), 2)
-    return models.platt(models.out_of_fold(t, FEATURES, models.logistic, 2))
+    return models.platt(models.out_of_fold(X.snapshot(s, d), FEATURES, models.logistic))
 
 
 @query
@@ -421,4 +417,247 @@ def stability_pcs(s, d):
 
 @query
 def l1_importance(s, d):
-    return models.l1_importance(X.snapshot(s, d), FEATURES)[0]
+    """Importances, and the AUC of the model on a holdout."""
+    t, auc = models.l1_importance(X.snapshot(s, d), FEATURES)
+    return t.withColumn("auc", F.lit(auc))
+
+
+@query
+def permutation_importance(s, d):
+    return models.permutation_importance(X.snapshot(s, d), FEATURES)
+
+
+@query
+def model_search(s, d):
+    """Random search over boosted trees, by out-of-fold metrics."""
+    return models.search(X.snapshot(s, d), FEATURES)
+
+
+@query
+def fold_report(s, d):
+    """Metrics of a logistic model by fold, over all folds, and on held-out rows."""
+    return models.kfold_with_test(X.snapshot(s, d), FEATURES, models.logistic)[1]
+
+
+@query
+def boosted_report(s, d):
+    return models.fold_report(models.out_of_fold(X.snapshot(s, d), FEATURES, models.boosted, scale=False))
+
+
+@query
+def baseline_check(s, d):
+    return models.baseline_check(X.snapshot(s, d), FEATURES)
+
+
+def _candidates(s, d):
+    t = X.snap_long(s, d)
+    p = profile.profile(t).persist()
+    words = X.described(s, X.SNAP_FEATURES, TEXTS)
+    return labels.candidate_table(p, profile.event_rates(t, p), words), labels.negative_pattern_table(p, words)
+
+
+def _sources(s, d, **how):
+    candidates, negative = _candidates(s, d)
+    return labels.assemble_sources(negative, candidates, **how)
+
+
+@query
+def label_sources(s, d):
+    """Sources of labels: recommended ones first, then other eligible ones, without lifetime windows."""
+    return _sources(s, d)
+
+
+@query
+def label_sources_compat(s, d):
+    return _sources(s, d, compat_suffix_loss=True)
+
+
+@query
+def label_sources_table(s, d):
+    return labels.sources_table(_sources(s, d), s.createDataFrame([(n, TEXTS.get(n, "")) for n in X.SNAP_FEATURES], "column_name string, description string"))
+
+
+@query
+def label_rescue(s, d):
+    return labels.rescue_candidates(_candidates(s, d)[0])
+
+
+@query
+def binarised_sources(s, d):
+    """What each source fires on: at or above a positive threshold, else above 0."""
+    return labels.binarise(X.snap_long(s, d), _sources(s, d)).groupBy("source").agg(F.sum("event").alias("n_events"), F.sum("severity").alias("severity"))
+
+
+@query
+def severe_sources(s, d):
+    return s.createDataFrame([(0.7, x) for x in labels.severe_sources(X.source_meta(s), 0.7)] + [(2.0, x) for x in labels.severe_sources(X.source_meta(s), 2.0)], "least double, source string")
+
+
+@query
+def severity_auto(s, d):
+    """Severities whose form depends on the column's range."""
+    t = X.snap_long(s, d)
+    ends = t.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return t.join(F.broadcast(ends), "feature").select("row_id", "feature", coerce.severity(F.col("x"), "auto", least=F.col("lo"), most=F.col("hi")).alias("severity"))
+
+
+@query
+def top_dummies(s, d):
+    """How often each dummy of the three most frequent sources is set."""
+    t = transform.top_dummies(X.doc_scored(s, d).select("source"), "source", 3).drop("source")
+    return t.unpivot([], t.columns, "dummy", "hit").groupBy("dummy").agg(F.sum("hit").alias("n"))
+
+
+@query
+def fill_zero(s, d):
+    return transform.fill_zero(X.snap_long(s, d)).drop("y")
+
+
+def _pruned(s, kept, dropped):
+    return s.createDataFrame([(c, True) for c in kept] + [(c, False) for c in dropped], "feature string, kept boolean")
+
+
+def _priority(s, d):
+    return {r["feature"]: r["n"] / 1e6 for r in X.snap_long(s, d).groupBy("feature").agg(F.count("x").alias("n")).collect()}
+
+
+@query
+def corr_prune_strict(s, d):
+    """Pairs above 0.8: the column with fewer values goes, of equals the earlier."""
+    return _pruned(s, *prune.prune_correlated(similarity.pearson(X.snap_long(s, d)), X.SNAP_FEATURES, 0.8, _priority(s, d)))
+
+
+@query
+def redundant_columns(s, d):
+    """Columns whose ranks follow an earlier column's (strictly above), and whose values do (at or above)."""
+    t = X.snap_long(s, d)
+    strict = [("spearman", c) for c in prune.redundant(similarity.spearman(t), X.SNAP_FEATURES, 0.8)]
+    return s.createDataFrame(strict + [("pearson", c) for c in prune.redundant(similarity.pearson(t), X.SNAP_FEATURES, 0.8, inclusive=True)], "rule string, feature string")
+
+
+@query
+def component_prune(s, d):
+    """Of each group of columns that correlate, the one with most values stays."""
+    return _pruned(s, *prune.prune_components(similarity.pearson(X.snap_long(s, d)), X.SNAP_FEATURES, _priority(s, d), 0.8))
+
+
+@query
+def auto_guard(s, d):
+    return guard.auto_guard(X.column_meta(s), ["flag", "default", "bad"])
+
+
+@query
+def verification_guard(s, d):
+    return guard.verification_guard(X.column_meta(s), ["var207028", "spend_a"])
+
+
+@query
+def guard_from_files(s, d):
+    """A guard from lines of name or name,reason, and from buckets of names."""
+    lines = s.createDataFrame([("variable,reason",), ("paid,outcome",), (" ts ",), ("",), ("paid",)], "value string")
+    buckets = s.createDataFrame([(["x_3m", "ts"], ["late_d"], None)], "ids array<string>, outcome array<string>, other array<string>")
+    return guard.guard_from_lines(lines, guard.guard_from_buckets(buckets))
+
+
+@query
+def forbidden_window_columns(s, d):
+    """Columns whose window is that of a source in use, and whether a feature may use them."""
+    meta = X.column_meta(s)
+    windows = guard.forbidden_windows(meta, ["spend_a", "var207028"])
+    return meta.select("column_name", P.is_time_safe(P.text(), windows).alias("safe"))
+
+
+@query
+def auc_bands(s, d):
+    t = metrics.auc(X.snap_long(s, d), ["feature"])
+    return t.select("feature", guard.auc_band(F.col("auc")).alias("band")).join(guard.too_predictive(t, 0.6).select(F.col("column").alias("feature"), F.lit(True).alias("too_predictive")), "feature", "left")
+
+
+@query
+def single_feature_scan(s, d):
+    return select.single_feature_scan(X.doc_long(s, d))
+
+
+@query
+def per_label_scores(s, d):
+    """Scores of every feature for two labels at once; a third without a positive row is left out."""
+    t = X.snapshot(s, d).select("row_id", F.col("y").alias("returns"), (F.col("acctbal") < 0).cast("int").alias("negative"), F.lit(0).alias("never"), F.lit(2).alias("other"))
+    return select.label_scores(X.snap_long(s, d), t.unpivot(["row_id"], ["returns", "negative", "never", "other"], "label", "y"))
+
+
+@query
+def importance_matrix(s, d):
+    t = _scores(s, d)
+    return select.importance_matrix({c: t.where(F.col(c) > 0.01).select("feature", F.col(c).alias("score")) for c in ("spearman", "mi")})
+
+
+@query
+def top_features(s, d):
+    """A top-k report: the three features of the largest mutual information."""
+    return profile.top_k(_scores(s, d).select("feature", "mi"), "mi", "feature", 3)
+
+
+@query
+def bar_chart(s, d):
+    return profile.bar_table(_scores(s, d), "feature", "spearman")
+
+
+@query
+def heat_map(s, d):
+    return profile.heatmap_table(similarity.binary_pairs(_events_long(s, d)), "jaccard", [n for n, _, _ in X.SOURCES])
+
+
+@query
+def missing_flag_names(s, d):
+    return select.strip_missing_suffix(audit.missingness_auc(X.snap_long(s, d)))
+
+
+@query
+def holdout_split(s, d):
+    return splits.holdout(X.doc_scored(s, d).select("row_id", "y"))
+
+
+@query
+def metric_summary(s, d):
+    t = _scored(s, d).withColumn("x", F.least(F.col("x") / 20000, F.lit(1.0))).select(F.lit("all").alias("part"), "y", "x")
+    return metrics.summary(t, ["part"])
+
+
+@query
+def strict_label(s, d):
+    t = profile.to_long(X.snapshot(s, d).withColumns({"default_hi": (F.col("ret_share") > 0.5).cast("int"), "overdue_hi": (F.col("avg_disc") > 0.053).cast("int"), "late_hi": (F.col("acctbal") < 0).cast("int")}), ["default_hi", "overdue_hi", "late_hi", "acctbal"])
+    meta = X.described(s, ["default_hi", "overdue_hi", "late_hi", "acctbal"], {"default_hi": "default flag", "overdue_hi": "overdue flag", "late_hi": "late flag"})
+    return select.strict_label(profile.profile(t), meta)
+
+
+@query
+def set_stability(s, d):
+    """How alike the choices of three runs are: the features that fill best in thirds of the rows."""
+    t = X.snap_long(s, d).withColumn("run", (F.col("row_id") % 3).cast("int"))
+    n = t.groupBy("run", "feature").agg(F.sum("x").alias("total"))
+    chosen = n.where("total > 12000").select(F.lit("L1").alias("method"), "run", "feature")
+    return select.set_stability(chosen)
+
+
+@query
+def dtype_split(s, d):
+    t = X.snapshot(s, d)
+    numeric, rest = profile.by_type(t, t.columns)
+    return s.createDataFrame([(c, True) for c in numeric] + [(c, False) for c in rest], "column string, is_numeric boolean")
+
+
+@query
+def truncated_names(s, d):
+    return profile.truncated(X.table(s, d, "part").select("p_partkey", "p_name"), "p_name", 12)
+
+
+@query
+def encoded_categories(s, d):
+    """A category of few levels becomes dummies, one of many its levels' shares."""
+    t, names = transform.encoded_categories(X.snapshot(s, d).select("row_id", "segment", "nation"), ["segment", "nation"])
+    return t.select("row_id", *(F.col(c).cast("double").alias(c) for c in names))
+
+
+@query
+def warmup_schedule(s, d):
+    return s.range(200).select(F.col("id").alias("step"), F.round(models.cosine_warmup(F.col("id"), 200) * 1000, 6).alias("rate"))

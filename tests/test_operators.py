@@ -2,13 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import coerce
 from riskloom.functions import patterns as P
-from riskloom.operators import metrics, profile, prune, splits, transform
-from riskloom.operators.order import average_ranks, exact_quantiles
+from riskloom.operators import metrics, profile, prune, similarity, splits, transform
+from riskloom.operators.order import average_ranks, exact_quantiles, prefix_sums
+from riskloom.plans import models
 from riskloom.plans.models import chosen_metric, sample_parameters
 from riskloom.sources.readers import pick_columns, pick_target, preferred_label
 from riskloom.sources.sinks import markdown, plain
@@ -103,3 +105,47 @@ def test_readers_and_sinks():
     assert pick_target(["row_id", "a", "b"], None, "b") == "b" and pick_target(["row_id", "a"]) == "a" and preferred_label(["id", "z", "label_weighted"]) == "label_weighted"
     assert plain({"a": {3, 1}}) == {"a": [1, 3]} and "| x |" in markdown("t", {"s": [{"x": 1}]})
     assert chosen_metric(0.2) == "ap" and len({str(p) for p in sample_parameters(5)}) == 5
+
+
+def test_pairs_equal_numpy_at_many_columns(spark):
+    """300 columns with missing values: 44850 pairs from blocked sums."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(1e6, 1.0, (60, 300))
+    x[:, 1] = 3.0
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [(i, f"c{j:03}", float(x[i, j])) for i in range(60) for j in range(300) if not np.isnan(x[i, j])]
+    got = {(r.a, r.b): (r.n, r.r) for r in similarity.pearson(spark.createDataFrame(rows, "row_id bigint, feature string, x double")).collect()}
+    assert len(got) == 300 * 299 // 2
+    for a, b in [(0, 2), (5, 299), (17, 100)]:
+        both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+        n, r = got[f"c{a:03}", f"c{b:03}"]
+        assert n == both.sum() and math.isclose(r, np.corrcoef(x[both, a], x[both, b])[0, 1], abs_tol=1e-9)
+    assert got["c000", "c001"][1] is None
+
+
+def test_running_totals_with_a_value_on_half_the_rows(spark):
+    df = spark.createDataFrame([(i, 0.0 if i % 2 else float(i % 7), 1) for i in range(3000)], "row_id bigint, x double, one int").repartition(3)
+    for down in (False, True):
+        got = {r.row_id: r.place for r in prefix_sums(df, [], ["x", "row_id"], {"place": "one"}, descending=down).collect()}
+        order = sorted(range(3000), key=lambda i: (0.0 if i % 2 else float(i % 7), i), reverse=down)
+        assert [got[i] for i in order] == list(range(1, 3001))
+
+
+def test_models_with_held_out_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, float(a), float(b), int(a + 0.3 * rng.normal() > 0)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "row_id bigint, a double, b double, y int")
+    scores, report = models.kfold_with_test(df, ["a", "b"], models.logistic, folds=2)
+    parts = {r.part: r for r in report.collect()}
+    assert set(parts) == {"fold0", "fold1", "oof", "mean", "sd", "test"} and parts["test"].auc > 0.9
+    held = 400 - scores.count()
+    assert 55 <= held <= 65
+    check = models.baseline_check(df.withColumn("c", F.lit(1.0)), ["a", "b", "c"]).first()
+    assert check.n_features == 2 and check.test_auc > 0.9 and check.verdict in ("suspicious", "strong")
+
+
+def test_features_with_categories(spark):
+    df = spark.createDataFrame([(i, ["a", "b", None][i % 3], f"n{i % 20}") for i in range(240)], "row_id bigint, kind string, place string")
+    t, names = transform.encoded_categories(df, ["kind", "place"])
+    assert names == ["kind__is___MISSING__", "kind__is_a", "kind__is_b", "place__freq"]
+    assert t.agg(F.sum("kind__is_a").alias("a"), F.sum("place__freq").alias("f")).first() == (80, 12.0)

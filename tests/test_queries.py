@@ -32,7 +32,10 @@ def plain(rows, columns, order):
     return sorted((tuple(one(r[columns.index(c)]) for c in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["decile_table", "auc_gini_ks", "column_profile", "column_roles", "outcome_score", "binary_pairs", "iv_digitize", "woe_categorical", "label_union", "guard_reasons", "stratified_split", "target_encode_cv", "coerce_values", "fill_rate_filter"])
+NEW = "label_candidates label_sources label_sources_table binarised_sources dominance_prune jaccard_dedup leak_report corr_prune corr_prune_strict component_prune redundant_columns consensus_rank combined_score per_label_scores single_feature_scan heat_map spearman_pairs strict_label metric_summary encoded_categories verification_guard".split()
+
+
+@pytest.mark.parametrize("name", NEW + ["decile_table", "auc_gini_ks", "column_profile", "column_roles", "outcome_score", "binary_pairs", "iv_digitize", "woe_categorical", "label_union", "guard_reasons", "stratified_split", "target_encode_cv", "coerce_values", "fill_rate_filter"])
 def test_equals_duckdb(spark, duck, name):
     c = duck.execute(ORACLES[name])
     columns = [x[0] for x in c.description]
