@@ -400,8 +400,8 @@ FEATURES = [f for f in X.SNAP_FEATURES if f != "ret_share"]  # the label is made
 
 @query
 def stack_oof(s, d):
-    t = splits.stratified_folds(X.snapshot(s, d)).cache()
-    parts = {"gbt": models.out_of_fold(t, FEATURES, models.boosted, scale=False), "mlp": models.out_of_fold(t, FEATURES, lambda: models.perceptron(len(FEATURES)))}
+    t = splits.stratified_folds(X.snapshot(s, d), 3).cache()
+    parts = {"gbt": models.out_of_fold(t, FEATURES, models.boosted, 3, scale=False), "mlp": models.out_of_fold(t, FEATURES, lambda: models.perceptron(len(FEATURES)), 3)}
     return models.stacked(parts)[0]
 
 
