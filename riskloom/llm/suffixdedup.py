@@ -30,7 +30,7 @@ from .common import BYTE_CODES, blocks, dropped, prefix_sums, range_hashes, raw_
 
 LENGTH, GRAM = 400, 32
 #: Strings that are sorted together at most; bytes of a text that are looked at together.
-BATCH, PIECE = 8192, 1 << 19
+BATCH, PIECE = 8192, 1 << 18
 #: Bytes of a word's code, and words that choose an anchor among passages.
 CODE, GRAM_WORDS = 3, 8
 
