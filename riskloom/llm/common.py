@@ -185,8 +185,8 @@ def lane_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of the texts, A-Z lower-cased: start, end (bytes), hash, and the first word's index of each text (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of the texts, A-Z lower-cased (if lower): start, end (bytes), hash, and the first word's index of each text (one more at the end)."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -202,7 +202,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[:-1] = solid[1:]
     start = np.flatnonzero(solid & (~before | cut[:-1]))
     end = np.flatnonzero(solid & (~after | cut[1:])) + 1
-    return start, end, lane_hashes(_lower[data], start, end), np.searchsorted(start, offsets)
+    return start, end, lane_hashes(_lower[data] if lower else data, start, end), np.searchsorted(start, offsets)
+
+
+def text_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words() of texts of any length: a text beyond a block is cut between words, so what is kept of it is 24 bytes a word."""
+    if len(offsets) != 2 or len(data) <= 2 * BLOCK_BYTES:
+        return words(data, offsets, lower)
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK_BYTES)
+        while end < len(data) and not (blank := _space[data[end : end + BLOCK_BYTES]]).any():
+            end = min(len(data), end + BLOCK_BYTES)
+        end += int(np.argmax(blank)) if end < len(data) else 0
+        start, stop, h, _ = words(data[at:end], np.array([0, end - at]), lower)
+        parts.append((start + at, stop + at, h))
+        at = end
+    start, stop, h = (np.concatenate(x) for x in zip(*parts))
+    return start, stop, h, np.array([0, len(start)])
 
 
 _K = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9FB21C651E98DF25)]

@@ -87,6 +87,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read_table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_line_dedup": op5_line_dedup, "op6_license_scan": op6_license_scan, "op7_html_extraction": op7_html_extraction, "op8_chroma_fingerprints": op8_chroma_fingerprints, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substringdedup import deduplicated
+
+    return deduplicated(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_line_dedup": op5_line_dedup, "op6_license_scan": op6_license_scan, "op7_html_extraction": op7_html_extraction, "op8_chroma_fingerprints": op8_chroma_fingerprints, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup, "op11_substring_dedup": op11_substring_dedup}
 
 ORACLES: dict[str, str] = {}
