@@ -93,6 +93,18 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_line_dedup": op5_line_dedup, "op6_license_scan": op6_license_scan, "op7_html_extraction": op7_html_extraction, "op8_chroma_fingerprints": op8_chroma_fingerprints, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup, "op11_substring_dedup": op11_substring_dedup}
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turnrepair import damaged, report
+
+    return report(damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectorcodes import compressed
+
+    return compressed(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_language_id": op2_language_id, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_line_dedup": op5_line_dedup, "op6_license_scan": op6_license_scan, "op7_html_extraction": op7_html_extraction, "op8_chroma_fingerprints": op8_chroma_fingerprints, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup, "op11_substring_dedup": op11_substring_dedup, "op12_turn_repair": op12_turn_repair, "op13_vector_codes": op13_vector_codes}
 
 ORACLES: dict[str, str] = {}
