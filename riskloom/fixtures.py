@@ -73,8 +73,12 @@ def source_meta(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SOURCES, "source string, weight double, window string")
 
 
-def column_meta(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(META, "column_name string, description string")
+def column_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A described column for each part: the first ones as META has them, the others with the part's number and type."""
+    names = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(META)], "i int, n string, t string")
+    key, first = F.col("p_partkey"), F.col("p_partkey") < len(META)
+    parts = table(spark, sf_dir, "part").join(F.broadcast(names), F.pmod(key, F.lit(len(META))) == F.col("i"))  # META's rows
+    return parts.select(F.when(first, F.col("n")).otherwise(F.concat("n", F.lit("."), key.cast("string"))).alias("column_name"), F.when(first, F.col("t")).otherwise(F.concat("t", F.lit(" "), F.lower("p_type"))).alias("description"))
 
 
 def described(spark: SparkSession, names: list[str], texts: dict[str, str]) -> DataFrame:
@@ -105,4 +109,9 @@ EVENTS_SQL = f"""{SNAP_SQL}, cuts AS (SELECT quantile_cont(avg_disc, 0.95) AS d,
   UNION ALL SELECT row_id, 'returns_hi', CASE WHEN ret_share >= r THEN 1 ELSE 0 END, round(ln(1 + coalesce(ret_share, 0)), 9) FROM snap, cuts
   UNION ALL SELECT row_id, 'urgent_hi', CASE WHEN urgent_share >= u THEN 1 ELSE 0 END, round(ln(1 + coalesce(urgent_share, 0)), 9) FROM snap, cuts),
  srcs(source, weight, win) AS (VALUES {', '.join(f"('{s}', {w}::DOUBLE, '{t}')" for s, w, t in SOURCES)})"""
-META_SQL = "meta(column_name, description) AS (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in META) + "), mt AS (SELECT *, lower(column_name || ' ' || description) AS t FROM meta)"
+META_SQL = (
+    "named(i, n, t) AS (VALUES "
+    + ", ".join(f"({i}, '{n}', '{d}')" for i, (n, d) in enumerate(META))
+    + f"""), meta AS (SELECT CASE WHEN p_partkey < {len(META)} THEN n ELSE n || '.' || CAST(p_partkey AS VARCHAR) END AS column_name, CASE WHEN p_partkey < {len(META)} THEN t ELSE t || ' ' || lower(p_type) END AS description
+ FROM part JOIN named ON p_partkey % {len(META)} = i), mt AS (SELECT *, lower(column_name || ' ' || description) AS t FROM meta)"""
+)

@@ -5,6 +5,7 @@ events: row_id, source, event, severity (a row for each row and source). meta: s
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,11 +108,26 @@ def weighted_label(events: DataFrame, meta: DataFrame, prevalence: float) -> Dat
     return score.crossJoin(F.broadcast(cut)).select("row_id", "wscore", F.coalesce((F.col("wscore") > 0) & (F.col("wscore") >= F.col("q0")), F.lit(False)).cast("int").alias("label_weighted"))
 
 
-def clustered_label(events: DataFrame, meta: DataFrame, seed: int = DEFAULTS.seed) -> DataFrame:
-    """row_id, label_clustered: sources are clustered on their absolute correlations; the heaviest of each cluster makes the union. Under three sources: all."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.linalg import Vectors
+def column_clusters(names: list[str], vectors: np.ndarray, k: int, first: str, rounds: int = 10) -> dict[str, int]:
+    """The cluster of each name by k-means over its vector (columns by columns: few), the same for any order of the names.
 
+    It begins with `first` and goes on with the name farthest from what is chosen; ties go to the name that sorts first, to the earlier cluster, and a cluster
+    without members keeps its centre.
+    """
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    names, vectors = [names[i] for i in order], np.round(vectors[np.ix_(order, order)], 9)
+    centres = [vectors[names.index(first)]]
+    away = lambda: np.round(((vectors[:, None, :] - np.array(centres)[None]) ** 2).sum(axis=2), 9)
+    while len(centres) < min(k, len(names)):
+        centres.append(vectors[int(np.argmax(away().min(axis=1)))])
+    for _ in range(rounds):
+        own = away().argmin(axis=1)
+        centres = [vectors[own == i].mean(axis=0) if (own == i).any() else c for i, c in enumerate(centres)]
+    return dict(zip(names, away().argmin(axis=1).tolist()))
+
+
+def clustered_label(events: DataFrame, meta: DataFrame, rounds: int = 10) -> DataFrame:
+    """row_id, label_clustered: sources are clustered on their absolute correlations; the heaviest of each cluster (the first by name on ties) makes the union. Under three sources: all."""
     from .similarity import pearson
 
     names = sorted(r["source"] for r in events.select("source").distinct().collect())
@@ -119,15 +135,11 @@ def clustered_label(events: DataFrame, meta: DataFrame, seed: int = DEFAULTS.see
     if len(names) >= 3:
         long = events.select("row_id", F.col("source").alias("feature"), F.col("event").cast("double").alias("x"))
         r = {(x["a"], x["b"]): abs(x["r"] or 0.0) for x in pearson(long).collect()}  # pairs of sources
-        rows = [(a, Vectors.dense([1.0 if a == b else r.get((min(a, b), max(a, b)), 0.0) for b in names])) for a in names]
-        model = KMeans(k=min(3, len(names) // 2) or 1, seed=seed).fit(events.sparkSession.createDataFrame(rows, ["source", "features"]))
-        found = model.transform(events.sparkSession.createDataFrame(rows, ["source", "features"])).select("source", "prediction")
-        weights = {x["source"]: x["weight"] for x in meta.collect()}
-        best: dict[int, str] = {}
-        for x in found.orderBy("source").collect():
-            if x["prediction"] not in best or weights.get(x["source"], 0) > weights.get(best[x["prediction"]], 0):
-                best[x["prediction"]] = x["source"]
-        reps = list(best.values())
+        vectors = np.array([[1.0 if a == b else r.get((min(a, b), max(a, b)), 0.0) for b in names] for a in names])
+        weights = {x["source"]: x["weight"] or 0.0 for x in meta.collect()}
+        heaviest = lambda of: min(of, key=lambda n: (-weights.get(n, 0.0), n))
+        clusters = column_clusters(names, np.nan_to_num(vectors), min(3, len(names) // 2), heaviest(names), rounds)
+        reps = [heaviest([n for n in names if clusters[n] == c]) for c in sorted(set(clusters.values()))]
     hit = F.max(F.when(F.col("source").isin(reps), F.col("event")).otherwise(0))
     return events.groupBy("row_id").agg(hit.alias("label_clustered"))
 

@@ -236,7 +236,7 @@ ORACLES |= {
     "label_sources_compat": f"{CAND} SELECT {SRC_ROWS}, CASE WHEN NOT EXISTS (SELECT 1 FROM rec WHERE recommended) THEN {r('event_threshold', 'x')[:-5]} END AS event_threshold, win AS \"window\" FROM src",
     "label_sources_table": f"{CAND} SELECT source AS label_source, {r('weight', 'weight')}, d AS \"desc\", {r('event_threshold', 'event_threshold')}, win AS \"window\" FROM src JOIN dt ON feature = source",
     "binarised_sources": f"{CAND}, ev2 AS (SELECT source, CASE WHEN CASE WHEN event_threshold > 0 THEN x >= event_threshold ELSE x > 0 END THEN 1 ELSE 0 END AS event, ln(1 + greatest(coalesce(x, 0), 0)) AS severity FROM lng JOIN src ON source = feature) SELECT source, CAST(sum(event) AS BIGINT) AS n_events, {r('sum(severity)', 'severity')} FROM ev2 GROUP BY 1 HAVING max(event) > 0",
-    "severe_sources": f"WITH srcs(source, weight) AS (VALUES {', '.join(f"('{n}', {w}::DOUBLE)" for n, w, _ in X.SOURCES)}), l AS (SELECT unnest([0.7, 2.0]::DOUBLE[]) AS least) SELECT least, source FROM srcs, l WHERE weight >= least OR least > (SELECT max(weight) FROM srcs)",
+    "severe_sources": f"WITH {X.EVENTS_SQL}, l AS (SELECT unnest([0.7, 2.0]::DOUBLE[]) AS least), n AS (SELECT source, sum(event) AS n_events FROM ev GROUP BY 1) SELECT least, source, CAST(n_events AS BIGINT) AS n_events FROM srcs JOIN n USING (source), l WHERE weight >= least OR least > (SELECT max(weight) FROM srcs)",
     "severity_auto": f"WITH {X.SNAPLONG_SQL}, e AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM lng GROUP BY 1) SELECT row_id, feature, {r('CASE WHEN lo >= 0 THEN CASE WHEN hi <= 1 THEN coalesce(x, 0) ELSE ln(1 + greatest(coalesce(x, 0), 0)) END ELSE asinh(coalesce(x, 0)) END', 'severity')} FROM lng JOIN e USING (feature)",
     "top_dummies": f"WITH {X.DOC_SQL}, c AS (SELECT source, count(*) AS n FROM doc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) SELECT 'source__top_' || source AS dummy, n FROM c",
     "fill_zero": f"WITH {X.SNAPLONG_SQL} SELECT row_id, feature, {r('coalesce(x, 0)', 'x')} FROM lng",
@@ -255,7 +255,7 @@ ORACLES |= {
  best AS (SELECT f, g, row_number() OVER (PARTITION BY f ORDER BY n DESC, p) AS k FROM reach JOIN pos ON pos.feature = g JOIN cnt ON cnt.feature = g) SELECT f AS feature, f = g AS kept FROM best WHERE k = 1""",
     "auto_guard": f"WITH {X.META_SQL} SELECT column_name AS \"column\" FROM meta WHERE regexp_matches(lower(column_name), 'flag|default|bad')",
     "verification_guard": f"WITH {X.META_SQL} SELECT DISTINCT column_name AS \"column\" FROM meta WHERE column_name IN ('var207028', 'spend_a') OR regexp_matches(lower(description), 'default|dpd|overdue|writeoff|chargeoff|npa|miss|overlimit|declin|reject|negative|due|penalty')",
-    "guard_from_files": "SELECT unnest(['paid', 'ts', 'x_3m', 'late_d']) AS \"column\"",
+    "guard_from_files": "SELECT DISTINCT p_name AS \"column\" FROM part WHERE p_partkey % 4 IN (0, 1) UNION SELECT event_type FROM events UNION SELECT 'hour_' || CAST(hour(ts) AS VARCHAR) FROM events",
     "forbidden_window_columns": f"WITH {X.META_SQL}, w AS (SELECT column_name, {window_sql()} AS win FROM mt) SELECT column_name, win NOT IN (SELECT win FROM w WHERE column_name IN ('spend_a', 'var207028') AND win <> 'unknown') AS safe FROM w",
     "auc_bands": f"WITH {X.SNAPLONG_SQL}, {CUM}, {AUCF} SELECT feature, CASE WHEN auc > 0.95 THEN 'suspicious' WHEN auc > 0.8 THEN 'strong' WHEN auc > 0.6 THEN 'fair' ELSE 'weak' END AS band, CASE WHEN greatest(auc, 1 - auc) > 0.6 THEN true END AS too_predictive FROM af",
     "single_feature_scan": f"WITH {X.DOC_SQL}, {PLACED}, {HELD}, lng AS (SELECT * FROM ({X._union('doc', X.DOC_FEATURES, 'row_id, y')}) WHERE row_id IN (SELECT row_id FROM hd)), {CUM}, {AUCF} SELECT feature, {r('greatest(auc, 1 - auc)', 'single_feature_auc')} FROM af",
@@ -274,7 +274,75 @@ ORACLES |= {
     "dtype_split": f"WITH {X.SNAP_SQL}, c AS (SELECT column_name, column_type FROM (DESCRIBE SELECT * FROM (WITH {X.SNAP_SQL} SELECT * FROM snap))) SELECT column_name AS \"column\", column_type <> 'VARCHAR' AS is_numeric FROM c",
     "truncated_names": "SELECT p_partkey, p_name[:12] AS p_name FROM part",
     "encoded_categories": f"WITH {X.SNAP_SQL} SELECT row_id, " + ", ".join(f"CASE WHEN segment = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS segment__is_{v}" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + f", {r('count(*) OVER (PARTITION BY nation) * 1.0::DOUBLE / count(*) OVER ()', 'nation__freq')} FROM snap",
-    "warmup_schedule": "SELECT step, round(1000 * CASE WHEN step < 12 THEN 1e-3 * step / 12 ELSE 1e-6 + 0.5 * (1e-3 - 1e-6) * (1 + cos(pi() * (step - 12) / 188.0::DOUBLE)) END, 6)::DOUBLE AS rate FROM (SELECT unnest(range(200)) AS step)",
+    "warmup_schedule": "WITH n AS (SELECT count(*) AS n, floor(count(*) * 0.06) AS w FROM events) SELECT event_id AS step, round(1000 * CASE WHEN event_id < w THEN 1e-3 * event_id / w ELSE 1e-6 + 0.5 * (1e-3 - 1e-6) * (1 + cos(pi() * (event_id - w) / (n - w)::DOUBLE)) END, 6)::DOUBLE AS rate FROM events, n",
 }
+_FEATURES = [f for f in X.SNAP_FEATURES if f != "ret_share"]
+
+
+def psi(n: str) -> str:
+    """digamma(n) by its series at n + 10."""
+    y = f"({n} + 10.0::DOUBLE)"
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} * {y}) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) - (" + " + ".join(f"1 / ({n} + {i}.0::DOUBLE)" for i in range(10)) + "))"
+
+
+ORACLES["mi_knn"] = f"""WITH {X.SNAPLONG_SQL}, en AS (SELECT feature, min(x) AS low, max(x) - min(x) AS span FROM lng WHERE x IS NOT NULL GROUP BY 1),
+ v AS (SELECT lng.feature, row_id, y, CAST(floor((x - low) * CASE WHEN span > 0 THEN pow(2.0::DOUBLE, 40 - floor(log2(span))) ELSE 0.0 END + 0.5) AS BIGINT) AS v FROM lng JOIN en USING (feature) WHERE x IS NOT NULL),
+ nc AS (SELECT feature, y, count(*) AS nc, least(count(*) - 1, 3) AS k FROM v GROUP BY 1, 2 HAVING count(*) > 1),
+ pt AS (SELECT v.*, nc, k FROM v JOIN nc USING (feature, y)),
+ ds AS (SELECT a.feature, a.row_id, a.v, a.nc, a.k, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.feature, a.row_id ORDER BY abs(a.v - b.v)) AS i FROM pt a JOIN pt b ON a.feature = b.feature AND a.y = b.y AND a.row_id <> b.row_id),
+ rd AS (SELECT feature, row_id, v, nc, k, greatest(d - 1, 0) AS reach FROM ds WHERE i = k),
+ mm AS (SELECT rd.feature, rd.row_id, rd.nc, rd.k, count(*) AS m FROM rd JOIN pt ON rd.feature = pt.feature AND abs(pt.v - rd.v) <= rd.reach GROUP BY 1, 2, 3, 4)
+ SELECT feature, round(greatest(0, {psi('count(*)')} + avg({psi('k')} - {psi('nc')} - {psi('m')})), 6) AS mi FROM mm GROUP BY 1"""
+
+_BIN_QS = ", ".join(f"{i / 31!r}" for i in range(1, 31))
+ORACLES["split_gains"] = f"""WITH {X.SNAP_SQL}, lng AS ({X._union('snap', _FEATURES, 'row_id, y')}), bs AS (SELECT avg(y::DOUBLE) AS p0 FROM snap), pr AS (SELECT 1 / (1 + exp(-ln(p0 / (1 - p0)))) AS p FROM bs),
+ ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [{_BIN_QS}]))) AS es FROM lng WHERE x IS NOT NULL GROUP BY 1),
+ bn AS (SELECT lng.feature, CASE WHEN x IS NULL THEN 0 ELSE 1 + len(list_filter(es, lambda e: e < x)) END AS bin, es, CAST(round((p - y) * 268435456) AS BIGINT) AS g, CAST(round(p * (1 - p) * 268435456) AS BIGINT) AS h FROM lng JOIN ed USING (feature), pr),
+ cl AS (SELECT feature, bin, es, sum(g) AS g, sum(h) AS h, count(*) AS n FROM bn GROUP BY 1, 2, 3),
+ al AS (SELECT feature, sum(g) AS tg, sum(h) AS th, sum(n) AS tn, sum(CASE WHEN bin = 0 THEN g ELSE 0 END) AS mg, sum(CASE WHEN bin = 0 THEN h ELSE 0 END) AS mh, sum(CASE WHEN bin = 0 THEN n ELSE 0 END) AS mn FROM cl GROUP BY 1),
+ cu AS (SELECT feature, bin AS b, es, sum(g) OVER w AS g, sum(h) OVER w AS h, sum(n) OVER w AS n FROM cl WHERE bin > 0 WINDOW w AS (PARTITION BY feature ORDER BY bin)),
+ sd AS (SELECT feature, b, es, false AS missing_left, g, h, n FROM cu UNION ALL SELECT cu.feature, b, es, true, g + mg, h + mh, n + mn FROM cu JOIN al USING (feature) WHERE mn > 0),
+ gh AS (SELECT sd.feature, b, es, missing_left, n, tn, g / 268435456.0::DOUBLE AS gl, h / 268435456.0::DOUBLE AS hl, (tg - g) / 268435456.0::DOUBLE AS gr, (th - h) / 268435456.0::DOUBLE AS hr, tg / 268435456.0::DOUBLE AS gt, th / 268435456.0::DOUBLE AS ht FROM sd JOIN al USING (feature)),
+ gn AS (SELECT *, 0.5 * gl * gl / (hl + 1) + 0.5 * gr * gr / (hr + 1) - 0.5 * gt * gt / (ht + 1) AS gain FROM gh WHERE n > 0 AND n < tn AND hl >= 1 AND hr >= 1),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(gain, 9) DESC, missing_left, b) AS i FROM gn WHERE gain > 1e-9)
+ SELECT feature, CAST(b AS INT) AS \"at\", missing_left, round(es[b], 6) AS edge, round(gain, 6) AS gain FROM rk WHERE i = 1"""
+
+_WEIGHTS = {"acctbal": -1, "n_orders": 300, "avg_price": 2, "n_lines": 100, "avg_qty": 50, "n_events": -10}
+_CELLS = [f"floor(coalesce({f}, 0)) * {w}" for f, w in _WEIGHTS.items()]
+_VARIANTS = " UNION ALL ".join(
+    f"SELECT {j} AS f, {k} AS rep, a.y, " + " + ".join(f"floor(coalesce({'b' if i == j else 'a'}.{c}, 0)) * {w}" for i, (c, w) in enumerate(_WEIGHTS.items())) + f" AS x FROM pl a JOIN pl b ON b.place = (a.place - 1 + 1 + {(2 * j + k) * 7919 + 42} % (a.n - 1)) % a.n + 1"
+    for j in range(len(_WEIGHTS))
+    for k in range(2)
+)
+ORACLES["permuted_auc"] = f"""WITH {X.SNAP_SQL}, pl AS (SELECT *, row_number() OVER (ORDER BY md5(row_id || '|42'), row_id) AS place, count(*) OVER () AS n FROM snap),
+ vr AS (SELECT -1 AS f, 0 AS rep, y, {' + '.join(_CELLS)} AS x FROM pl UNION ALL {_VARIANTS}), lng AS (SELECT f * 2 + rep AS feature, y, x FROM vr), {CUM}, au AS (SELECT feature, {AUC} AS auc FROM u GROUP BY 1)
+ SELECT [{', '.join(f"'{f}'" for f in _WEIGHTS)}][CAST(floor(a.feature / 2) AS INT) + 1] AS feature, CAST(a.feature % 2 AS INT) AS repeat, round(a.auc, 6) AS auc, round(b.auc, 6) AS base_auc FROM au a, au b WHERE a.feature >= 0 AND b.feature = -2"""
+
+
+
+def _cluster_rounds(rounds: int) -> str:
+    """Common table expressions of k-means with two centres over mat (s, dim, v), beginning with c0 (c, dim, v)."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"d{i} AS (SELECT m.s, c.c, round(sum(pow(m.v - c.v, 2)), 9) AS d FROM mat m JOIN c{i} c USING (dim) GROUP BY 1, 2), a{i} AS (SELECT s, c FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, c) AS k FROM d{i}) WHERE k = 1)")
+        if i < rounds:
+            out.append(f"c{i + 1} AS (SELECT c.c, c.dim, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT a.c, m.dim, avg(m.v) AS v FROM a{i} a JOIN mat m USING (s) GROUP BY 1, 2) n ON n.c = c.c AND n.dim = c.dim)")
+    return ", ".join(out)
+
+
+ORACLES["label_clustered"] = f"""WITH {X.EVENTS_SQL}, cr AS (SELECT a.source AS s, b.source AS dim, corr(a.event::DOUBLE, b.event::DOUBLE) AS r FROM ev a JOIN ev b ON a.row_id = b.row_id AND a.source <> b.source GROUP BY 1, 2),
+ mat AS (SELECT s, dim, round(abs(CASE WHEN r IS NULL OR isnan(r) THEN 0 ELSE r END), 9) AS v FROM cr UNION ALL SELECT source, source, 1.0 FROM srcs), f AS (SELECT source AS s FROM srcs ORDER BY weight DESC, source LIMIT 1),
+ g AS (SELECT m.s FROM mat m JOIN (SELECT dim, v FROM mat JOIN f USING (s)) c USING (dim) GROUP BY m.s ORDER BY round(sum(pow(m.v - c.v, 2)), 9) DESC, m.s LIMIT 1),
+ c0 AS (SELECT 0 AS c, dim, v FROM mat JOIN f USING (s) UNION ALL SELECT 1, dim, v FROM mat JOIN g USING (s)), {_cluster_rounds(10)},
+ rp AS (SELECT s FROM (SELECT a.s, row_number() OVER (PARTITION BY a.c ORDER BY weight DESC, a.s) AS k FROM a10 a JOIN srcs ON srcs.source = a.s) WHERE k = 1)
+ SELECT row_id, max(CASE WHEN source IN (SELECT s FROM rp) THEN event ELSE 0 END) AS label_clustered FROM ev GROUP BY 1"""
+
+_PART_METRICS = "auc gini ap ks brier logloss".split()
+ORACLES["fold_metrics"] = f"""WITH {X.DOC_SQL}, {PLACED}, sc AS (SELECT y, (place - 1) % 5 AS fold, least(n_chars / 20000, 1.0) AS x FROM pl), lng AS (SELECT 'fold' || CAST(fold AS VARCHAR) AS feature, y, x FROM sc UNION ALL SELECT 'oof', y, x FROM sc), {CUM},
+ bl AS (SELECT feature, avg(pow(x - y, 2)) AS brier, avg(-(y * ln(least(greatest(x, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(x, 1e-15), 1 - 1e-15)))) AS logloss FROM lng GROUP BY 1),
+ mt AS (SELECT feature, {AUC} AS auc, sum(CASE WHEN n1 > 0 THEN dp::DOUBLE / dn * pos / n1 ELSE 0 END) AS ap, greatest(0, max(dp::DOUBLE / n1 - (dn - dp)::DOUBLE / (nt - n1))) AS ks FROM u GROUP BY 1),
+ al AS (SELECT feature AS part, auc, 2 * auc - 1 AS gini, ap, ks, brier, logloss FROM mt JOIN bl USING (feature)), fd AS (SELECT * FROM al WHERE part <> 'oof'),
+ un AS (SELECT * FROM al UNION ALL SELECT 'mean', {', '.join(f'avg({c})' for c in _PART_METRICS)} FROM fd UNION ALL SELECT 'sd', {', '.join(f'stddev_samp({c})' for c in _PART_METRICS)} FROM fd)
+ SELECT part, {', '.join(r(c, c) for c in _PART_METRICS)} FROM un"""
 for _name in [n for n, s in ORACLES.items() if not s]:
     del ORACLES[_name]

@@ -1,14 +1,17 @@
 """Models on pyspark.ml: cross-validated out-of-fold scores, stacking, calibration, importances, parameter search.
 
-Estimators keep the method's interface and metrics; coefficients differ from other libraries'. There is no counterpart of
-monotone constraints and of attention over features here.
+Estimators keep the method's interface and metrics; coefficients differ from other libraries'. Folds and scores are written once
+and read again (see scratch), so that plans over them stay small. Boosting with early stopping and rising or falling features is in boosting, networks
+trained by mini-batches in networks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -19,7 +22,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..operators import metrics
 from ..operators.guard import auc_band
+from ..operators.order import prefix_sums
 from ..operators.splits import stratified_folds, stratified_split
+from ..scratch import dropped, written
+from . import boosting, linear
 
 
 def logistic(elastic: float = 0.5, reg: float = 0.01) -> LogisticRegression:
@@ -60,14 +66,16 @@ def scored(model, df: DataFrame) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, features: list[str], estimator: Callable[[], Estimator], folds: int = 5, seed: int = DEFAULTS.seed, scale: bool = True) -> DataFrame:
-    """row_id, fold, y, p: each row scored by the model that hasn't seen its fold."""
-    t = prepared(df if "fold" in df.columns else stratified_folds(df, folds, seed), features).cache()
+    """row_id, fold, y, p, written: each row scored by the model that hasn't seen its fold."""
+    t = written(prepared(df if "fold" in df.columns else stratified_folds(df, folds, seed), features), "folds")
     out = None
     for k in range(folds):
         model = pipeline(features, estimator(), scale).fit(t.where(F.col("fold") != k))
         part = scored(model, t.where(F.col("fold") == k)).withColumn("fold", F.lit(k))
         out = part if out is None else out.unionByName(part)
-    return out.select("row_id", "fold", "y", "p")
+    out = written(out.select("row_id", "fold", "y", "p"), "out-of-fold")
+    dropped(t)
+    return out
 
 
 def platt(scores: DataFrame, train: DataFrame | None = None) -> DataFrame:
@@ -84,6 +92,7 @@ def stacked(parts: dict[str, DataFrame], nested: bool = False, folds: int = 5, s
     for n, d in parts.items():
         d = d.select("row_id", *(["y"] if t is None else []), F.col("p").alias(f"oof_{n}"))
         t = d if t is None else t.join(d, "row_id")
+    t = written(t, "stack")
     features = [f"oof_{n}" for n in names]
     whole = pipeline(features, LogisticRegression(labelCol="y"), scale=False).fit(prepared(t, features, balanced=False))
     last = whole.stages[-1]
@@ -93,31 +102,61 @@ def stacked(parts: dict[str, DataFrame], nested: bool = False, folds: int = 5, s
 
 def l1_importance(df: DataFrame, features: list[str], share: float = 0.25, seed: int = DEFAULTS.seed) -> tuple[DataFrame, float]:
     """feature, importance (absolute coefficient on scaled features); and the AUC on a holdout."""
-    t = stratified_split(df, {"valid": share, "train": 1 - share}, seed)
-    t = prepared(t, features).cache()
+    t = written(prepared(stratified_split(df, {"valid": share, "train": 1 - share}, seed), features), "split")
     model = pipeline(features, logistic(1.0)).fit(t.where("split = 'train'"))
     rows = [(f, abs(float(c))) for f, c in zip(features, model.stages[-1].coefficients)]
     valid = scored(model, t.where("split = 'valid'")).withColumnRenamed("p", "x")
     return df.sparkSession.createDataFrame(rows, "feature string, importance double"), metrics.auc(valid, []).first()["auc"]
 
 
-def permutation_importance(df: DataFrame, features: list[str], share: float = 0.25, seed: int = DEFAULTS.seed) -> DataFrame:
-    """feature, importance: the AUC a tree model loses on a holdout when the feature's values trade places."""
-    t = prepared(stratified_split(df, {"valid": share, "train": 1 - share}, seed), features).cache()
-    model = pipeline(features, boosted(seed=seed), scale=False).fit(t.where("split = 'train'"))
-    valid = t.where("split = 'valid'").cache()
-    base = metrics.auc(scored(model, valid).withColumnRenamed("p", "x"), []).first()["auc"]
-    rows = []
-    from ..operators.order import prefix_sums
-
-    def placed(salt: str) -> DataFrame:
-        h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(salt))), 1, 12), 16, 10).cast("double")
-        return prefix_sums(valid.withColumns({"_h": h, "_one": F.lit(1)}), [], ["_h", "row_id"], {"_place": "_one"})
-
-    for f in features:
-        moved = placed(f"{seed}a{f}").drop(f, "_h", "_one").join(placed(f"{seed}b{f}").select("_place", f), "_place")
-        rows.append((f, base - metrics.auc(scored(model, moved).withColumnRenamed("p", "x"), []).first()["auc"]))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
+def permuted_auc(df: DataFrame, features: list[str], score: Callable[[np.ndarray], np.ndarray], repeats: int = 5, seed: int = DEFAULTS.seed) -> DataFrame:
+    """feature, repeat, auc, base_auc: of score over the rows of df (row_id, y, features) when the feature's values trade places, and when none do.
+
+    score takes a matrix of doubles (nulls are NaN), a row for each row. Rows are placed once, in order of md5(row_id|seed); the value that a row
+    gets for a feature is the one some number of places on, another number for each feature and repeat. Each row meets its new values in one join,
+    all variants are scored in one pass, and their AUCs come from one count. With one row there is nothing to trade.
+    """
+    key = F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed))))
+    rows = df.select("row_id", F.col("y").cast("int").alias("y"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
+    rows = rows.withColumns({"_key": key, "_head": F.conv(F.substring(key, 1, 12), 16, 10).cast("double"), "_one": F.lit(1)})
+    rows = written(prefix_sums(rows, [], ["_head", "_key", "row_id"], {"place": "_one"}).select("place", "y", "x"), "placed")
+    n = rows.count()
+    shifts = [[1 + ((j * repeats + r) * 7919 + seed) % max(1, n - 1) for r in range(repeats)] for j in range(len(features))]
+    moves = F.array(*(F.struct(F.lit(j * repeats + r).alias("variant"), F.lit(s).alias("shift"), F.lit(j).alias("at")) for j, own in enumerate(shifts) for r, s in enumerate(own)))
+    given = rows.select("place", "x", F.explode(moves).alias("m")).select(((F.col("place") - 1 - F.col("m.shift") + 2 * n) % n + 1).alias("place"), F.struct("m.variant", F.get("x", "m.at").alias("x")).alias("new"))
+    given = given.groupBy("place").agg(F.array_sort(F.collect_list("new")).alias("new"))  # a value for each variant
+    schema = pa.schema([("variant", pa.int32()), ("y", pa.int32()), ("x", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nan = float("nan")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                x = part.column("x").flatten().fill_null(nan).to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                new = part.column("new").flatten().field("x").fill_null(nan).to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                for v in range(-1, new.shape[1]):
+                    moved = x.copy()
+                    if v >= 0:
+                        moved[:, v // repeats] = new[:, v]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v, np.int32)), part.column("y"), pa.array(score(moved))], schema=schema)
+
+    scores = rows.join(given, "place").select("y", "x", "new").mapInArrow(run, "variant int, y int, x double")
+    aucs = written(metrics.auc(scores, ["variant"]).select("variant", "auc"), "permuted")
+    dropped(rows)
+    named = F.element_at(F.array(*(F.lit(f) for f in features)), (F.floor(F.col("variant") / repeats) + 1).cast("int"))
+    base = aucs.where("variant = -1").select(F.col("auc").alias("base_auc"))
+    return aucs.where("variant >= 0").crossJoin(F.broadcast(base)).select(named.alias("feature"), (F.col("variant") % repeats).alias("repeat"), "auc", "base_auc")
+
+
+def permutation_importance(df: DataFrame, features: list[str], share: float = 0.25, repeats: int = 5, seed: int = DEFAULTS.seed, p: boosting.Parameters | None = None) -> DataFrame:
+    """feature, importance, spread: the AUC that boosted trees lose on a holdout when the feature's values trade places, its mean and deviation over repeats."""
+    t = written(stratified_split(df, {"valid": share, "train": 1 - share}, seed).select("row_id", "y", "split", *features), "split")
+    train = t.where("split = 'train'")
+    n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
+    model, _ = boosting.fit(train, features, p or boosting.Parameters(positive=n.get(0, 1) / n.get(1, 1), seed=seed))
+    out = permuted_auc(t.where("split = 'valid'"), features, boosting.scorer_of(model), repeats, seed)
+    loss = F.col("base_auc") - F.col("auc")
+    return out.groupBy("feature").agg(F.avg(loss).alias("importance"), F.stddev_pop(loss).alias("spread"))
 
 
 def sample_parameters(trials: int, seed: int = DEFAULTS.seed) -> list[dict[str, float]]:
@@ -135,7 +174,7 @@ def search(df: DataFrame, features: list[str], trials: int = 2, folds: int = 2,
     """trial, its parameters and out-of-fold metrics, the metric that decides, and whether it was best so far."""
     prevalence = df.agg(F.avg("y")).first()[0]
     metric, best, rows = chosen_metric(prevalence), -1.0, []
-    t = stratified_folds(df, folds, seed)
+    t = written(stratified_folds(df, folds, seed).select("row_id", "y", "fold", *features), "folds")
     for i, p in enumerate(sample_parameters(trials, seed)):
         s = metrics.summary(out_of_fold(t, features, lambda p=p: boosted(**p, seed=seed), folds, seed, scale=False).withColumnRenamed("p", "x"), []).first().asDict()
         rows.append((i, *(float(p[k]) for k in ("depth", "trees", "rate", "bins")), *(float(s[k]) for k in ("auc", "ap", "ks")), metric, s[metric] > best))
@@ -143,22 +182,63 @@ def search(df: DataFrame, features: list[str], trials: int = 2, folds: int = 2,
     return df.sparkSession.createDataFrame(rows, "trial int, depth double, trees double, rate double, bins double, auc double, ap double, ks double, metric string, is_best boolean")
 
 
-def stability_runs(df: DataFrame, features: list[str], seeds: tuple[int, ...] = (1, 2), top: int = 3) -> DataFrame:
-    """method, run, feature: what L1 and tree models choose under each seed."""
-    out = []
+def stability_runs(df: DataFrame, features: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), top: int = 200, share: float = 0.25, repeats: int = 5, p: boosting.Parameters | None = None) -> DataFrame:
+    """method, run, feature: the top features under each seed, by absolute coefficients of L1 models and by what boosted trees lose on a holdout when a feature's values trade places.
+
+    The models of all seeds are fitted in the same passes; a seed is a column that says which rows are held out.
+    """
+    t = df.select("row_id", "y", *features)
+    for s in seeds:
+        out = (F.col("split") == "valid").cast("int").alias(f"out_{s}")
+        t = stratified_split(t, {"valid": share, "train": 1 - share}, s).select("row_id", "y", *features, *(f"out_{x}" for x in seeds if f"out_{x}" in t.columns), out)
+    t = written(t, "seeds")
+    held = [(f"out_{s}", 1) for s in seeds]
+    lines, _ = linear.fit(t, features, linear.Penalty(lasso=1.0, balanced=True), held)
+    n = {r["y"]: r["count"] for r in t.groupBy("y").count().collect()}
+    trees, _ = boosting.fit(t, features, p or boosting.Parameters(positive=n.get(0, 1) / max(n.get(1, 1), 1)), held)
+    chosen = []
+    first = lambda pairs: [f for f, _ in sorted(pairs, key=lambda x: (-x[1], x[0]))[:top]]
+    for k, s in enumerate(seeds):
+        chosen += [("L1", s, f) for f in first(zip(features, np.abs(lines[k].coefficients).tolist()))]
+        moved = permuted_auc(t.where(F.col(f"out_{s}") == 1), features, boosting.scorer_of(trees, k), repeats, s)
+        loss = moved.groupBy("feature").agg(F.avg(F.col("base_auc") - F.col("auc")).alias("loss")).collect()
+        chosen += [("TREE", s, f) for f in first((r["feature"], r["loss"]) for r in loss)]
+    dropped(t)
+    return df.sparkSession.createDataFrame(chosen, "method string, run int, feature string")
+
+
+def repeated_protocol(df: DataFrame, features: list[str], seeds: tuple[int, ...] = (1, 2, 3, 4, 5), folds: int = 5, top: int = 20, penalty: linear.Penalty | None = None, p: boosting.Parameters | None = None) -> DataFrame:
+    """model, n_features, auc_mean, auc_sd, ap_mean, ap_sd, top_jaccard: an elastic net and boosted trees under several seeds of folds.
+
+    All seeds and folds are fitted in the same passes, a column of folds for each seed. AUC and AP are of the out-of-fold scores of a seed; top_jaccard is the mean overlap of
+    every two seeds' top features, by absolute coefficients and by gains, averaged over the folds.
+    """
+    t = df.select("row_id", "y", *features)
     for s in seeds:
-        l1, _ = l1_importance(df, features, seed=s)
-        out += [("L1", s, r["feature"]) for r in l1.orderBy(F.desc("importance"), "feature").limit(top).collect()]
-        t = prepared(stratified_split(df, seed=s), features)
-        model = pipeline(features, boosted(seed=s, trees=10), scale=False).fit(t.where("split = 'train'"))
-        gains = sorted(zip(features, model.stages[-1].featureImportances.toArray()), key=lambda x: (-x[1], x[0]))
-        out += [("TREE", s, f) for f, _ in gains[:top]]
-    return df.sparkSession.createDataFrame(out, "method string, run int, feature string")
+        t = stratified_folds(t, folds, s).withColumnRenamed("fold", f"fold_{s}")
+    t = written(t, "seeds")
+    held = [(f"fold_{s}", k) for s in seeds for k in range(folds)]
+    lines, line_scores = linear.fit(t, features, penalty or linear.Penalty(), held)
+    trees, tree_scores = boosting.fit(t, features, p or boosting.Parameters(rounds=300, rate=0.05, depth=3), held)
+    own = lambda models, i: models[i * folds : (i + 1) * folds]
+    weights = {"logit": [np.mean([np.abs(m.coefficients) for m in own(lines, i)], axis=0) for i in range(len(seeds))]}
+    weights["gbt"] = [np.array([g for _, g in sorted(boosting.importance(replace(trees, models=own(trees.models, i)), "total"), key=lambda x: features.index(x[0]))]) for i in range(len(seeds))]
+    tops = {m: [{f for f, _ in sorted(zip(features, w.tolist()), key=lambda x: (-x[1], x[0]))[:top]} for w in ws] for m, ws in weights.items()}
+    overlaps = lambda sets: [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :]] or [1.0]
+    jaccards = df.sparkSession.createDataFrame([(m, len(features), float(np.mean(overlaps(sets)))) for m, sets in tops.items()], "model string, n_features int, top_jaccard double")
+    scores = line_scores.select(F.lit("logit").alias("name"), "model", "y", F.col("p").alias("x")).unionByName(tree_scores.select(F.lit("gbt").alias("name"), "model", "y", F.col("p").alias("x")))
+    scores = written(scores.select(F.col("name"), F.floor(F.col("model") / folds).alias("seed"), "y", "x"), "seed-scores")
+    each = metrics.auc(scores, ["name", "seed"]).join(metrics.average_precision(scores, ["name", "seed"]), ["name", "seed"])
+    out = each.groupBy(F.col("name").alias("model")).agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_sd"), F.avg("ap").alias("ap_mean"), F.stddev_samp("ap").alias("ap_sd"))
+    out = written(out.join(jaccards, "model").select("model", "n_features", "auc_mean", "auc_sd", "ap_mean", "ap_sd", "top_jaccard"), "protocol")
+    dropped(t, scores)
+    return out
 
 
 def baseline_check(df: DataFrame, features: list[str], share: float = 0.30, seed: int = DEFAULTS.seed) -> DataFrame:
     """One row: AUC of a logistic model on train and test rows, and what the latter says of leakage. Missing values count as 0; features that hardly vary are left out."""
-    t = prepared(stratified_split(df, {"test": share, "train": 1 - share}, seed), features, balanced=False).cache()
+    t = prepared(stratified_split(df, {"test": share, "train": 1 - share}, seed), features, balanced=False)
+    t = written(t, "split")
     spread = t.agg(*(F.var_samp(c).alias(c) for c in features)).first().asDict()
     live = [c for c in features if (spread[c] or 0.0) > DEFAULTS.least_variance]
     model = pipeline(live, LogisticRegression(labelCol="y", maxIter=100)).fit(t.where("split = 'train'"))
@@ -167,14 +247,13 @@ def baseline_check(df: DataFrame, features: list[str], share: float = 0.30, seed
 
 
 def _measured(t: DataFrame) -> DataFrame:
-    """metrics.summary by part, as a local table: a row for each part, so that plans don't pile up."""
-    out = metrics.summary(t, ["part"])
-    return t.sparkSession.createDataFrame(out.collect(), out.schema)
+    """metrics.summary by part, written: a row for each part."""
+    return written(metrics.summary(t, ["part"]), "measured")
 
 
 def fold_report(scores: DataFrame) -> DataFrame:
     """part (fold0, ..., oof, mean, sd) and its metrics of out-of-fold scores (row_id, fold, y, p)."""
-    scores = scores.persist()  # read once for the folds and once for all
+    scores = written(scores.select("fold", "y", "p"), "scores")  # read once for the folds and once for all
     each = _measured(scores.select(F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("part"), "y", F.col("p").alias("x")))
     whole = _measured(scores.select(F.lit("oof").alias("part"), "y", F.col("p").alias("x")))
     names = [c for c in each.columns if c != "part"]
@@ -184,7 +263,7 @@ def fold_report(scores: DataFrame) -> DataFrame:
 
 def kfold_with_test(df: DataFrame, features: list[str], estimator: Callable[[], Estimator], folds: int = 5, share: float = 0.15, seed: int = DEFAULTS.seed, scale: bool = True) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold scores on the rows outside a held-out test part, and a report: folds, out of fold, and the test part under a model refitted on all other rows."""
-    t = stratified_split(df, {"test": share, "train": 1 - share}, seed).cache()
+    t = written(stratified_split(df, {"test": share, "train": 1 - share}, seed).select("row_id", "y", "split", *features), "split")
     rest = t.where("split = 'train'").drop("split")
     scores = out_of_fold(rest, features, estimator, folds, seed, scale)
     model = pipeline(features, estimator(), scale).fit(prepared(rest, features))
@@ -201,7 +280,7 @@ def cosine_warmup(step: Column, total: int, warm: float = 0.06, base: float = 1e
 
 def train_val_test(df: DataFrame, features: list[str], estimator: Callable[[], Estimator], seed: int = DEFAULTS.seed) -> DataFrame:
     """Metrics on the test part of a model fitted on train and calibrated on val."""
-    t = prepared(stratified_split(df, seed=seed), features).cache()
+    t = written(prepared(stratified_split(df, seed=seed), features), "split")
     model = pipeline(features, estimator()).fit(t.where("split = 'train'"))
     val, test = scored(model, t.where("split = 'val'")), scored(model, t.where("split = 'test'"))
     return metrics.summary(platt(test, val).withColumnRenamed("calibrated", "x"), [])

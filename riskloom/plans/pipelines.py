@@ -44,7 +44,7 @@ def discover_labels(df: DataFrame, columns: list[str], meta: DataFrame, s: Setti
     events, weights = events.where(F.col("source").isin(kept)), weights.where(F.col("source").isin(kept))
     union = labels.union_label(events)
     prevalence = union.agg(F.avg("label_union")).first()[0]
-    out = union.join(labels.weighted_label(events, weights, prevalence), "row_id").join(labels.clustered_label(events, weights, s.seed), "row_id").join(labels.risk_score(events, weights, s), "row_id")
+    out = union.join(labels.weighted_label(events, weights, prevalence), "row_id").join(labels.clustered_label(events, weights), "row_id").join(labels.risk_score(events, weights, s), "row_id")
     return Discovery(candidates, negative, events, out.withColumn("label_hierarchical", F.col("label_union")), kept, "ok")
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import coerce
 from .functions import patterns as P
-from .operators import audit, binning, guard, labels, metrics, profile, prune, select, similarity, splits, transform
-from .plans import models
+from .operators import audit, binning, guard, labels, metrics, neighbours, profile, prune, select, similarity, splits, transform
+from .plans import boosting, linear, models, networks
+from .scratch import written
 from .streaming.windows import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,13 +136,13 @@ def missingness_auc(s, d):
 
 @query
 def column_roles(s, d):
-    return P.column_roles(X.column_meta(s))
+    return P.column_roles(X.column_meta(s, d))
 
 
 @query
 def outcome_score(s, d):
     t = P.text()
-    return X.column_meta(s).select("column_name", P.outcome_score(t).alias("outcome_score"), P.outcome_type(t).alias("outcome_type"), P.negative_count(t).alias("pattern_count"), P.is_pii_like(F.col("column_name")).alias("is_pii"))
+    return X.column_meta(s, d).select("column_name", P.outcome_score(t).alias("outcome_score"), P.outcome_type(t).alias("outcome_type"), P.negative_count(t).alias("pattern_count"), P.is_pii_like(F.col("column_name")).alias("is_pii"))
 
 
 @query
@@ -279,17 +282,17 @@ def negative_patterns(s, d):
 @query
 def guard_reasons(s, d):
     ext = s.createDataFrame([("paid",), ("ts",)], "column string")
-    return guard.snapshot_guard(X.column_meta(s), external=ext)
+    return guard.snapshot_guard(X.column_meta(s, d), external=ext)
 
 
 @query
 def guard_framework(s, d):
-    return guard.framework_guard(X.column_meta(s), ["var101022", "spend_a"])
+    return guard.framework_guard(X.column_meta(s, d), ["var101022", "spend_a"])
 
 
 @query
 def guard_counts(s, d):
-    return guard.reason_counts(guard.snapshot_guard(X.column_meta(s)))
+    return guard.reason_counts(guard.snapshot_guard(X.column_meta(s, d)))
 
 
 @query
@@ -297,7 +300,7 @@ def leak_report(s, d):
     t = X.snap_long(s, d)
     y = t.select("row_id", F.lit("y").alias("feature"), F.col("y").cast("double").alias("x")).distinct()
     r = similarity.spearman(t, y).select(F.col("a").alias("feature"), "r")
-    return guard.leak_report(X.column_meta(s), r, metrics.auc(t, ["feature"]))
+    return guard.leak_report(X.column_meta(s, d), r, metrics.auc(t, ["feature"]))
 
 
 @query
@@ -398,13 +401,94 @@ def event_rate_windows(s, d):
 FEATURES = [f for f in X.SNAP_FEATURES if f != "ret_share"]  # the label is made of that one
 
 
+def _folds(s, d, k=5):
+    return written(splits.stratified_folds(X.snapshot(s, d).select("row_id", "y", *FEATURES), k), "snapshot-folds")
+
+
 @query
 def stack_oof(s, d):
-    t = splits.stratified_folds(X.snapshot(s, d), 3).cache()
-    parts = {"gbt": models.out_of_fold(t, FEATURES, models.boosted, 3, scale=False), "mlp": models.out_of_fold(t, FEATURES, lambda: models.perceptron(len(FEATURES)), 3)}
+    """Out-of-fold scores of boosted trees and of a perceptron, and of a logistic model over both."""
+    t = _folds(s, d)
+    parts = {"gbt": boosting.cross_validated(t, FEATURES, BOOSTED)[1], "mlp": networks.cross_validated(t, FEATURES, networks.Perceptron(len(FEATURES), (32, 16)), TRAINING)[1]}
     return models.stacked(parts)[0]
 
 
+#: Boosted trees of the queries: early stopping by the held-out AUC.
+BOOSTED = boosting.Parameters(rounds=24, depth=3, rate=0.2, patience=6)
+
+
+@query
+def boosted_cv(s, d):
+    """Out-of-fold scores of boosted trees; all folds are grown together and stop by their held-out AUC."""
+    return boosting.cross_validated(_folds(s, d), FEATURES, BOOSTED)[1]
+
+
+@query
+def boosted_curves(s, d):
+    """The held-out average precision of each fold after each round, and the round that it scores with."""
+    return boosting.curves(boosting.cross_validated(_folds(s, d), FEATURES, replace(BOOSTED, metric="ap"))[0], s)
+
+
+@query
+def boosted_importance(s, d):
+    """Gains of the splits, averaged over the folds: as shares of mean gains, and summed."""
+    model = boosting.cross_validated(_folds(s, d), FEATURES, BOOSTED)[0]
+    total = dict(boosting.importance(model, "total"))
+    return s.createDataFrame([(f, v, total[f]) for f, v in boosting.importance(model)], "feature string, importance double, total_gain double")
+
+
+@query
+def boosted_rising(s, d):
+    """Out-of-fold scores that can only rise with the number of lines and fall with the balance."""
+    return boosting.cross_validated(_folds(s, d), FEATURES, replace(BOOSTED, rising={"n_lines": 1, "acctbal": -1}))[1]
+
+
+#: Small networks for the queries: a few epochs of small blocks.
+TRAINING = networks.Training(epochs=8, block=256, rate=0.01, patience=3)
+
+
+@query
+def perceptron_cv(s, d):
+    """Out-of-fold scores of a perceptron trained by mini-batches, with the held-out AUC deciding the epoch."""
+    return networks.cross_validated(_folds(s, d), FEATURES, networks.Perceptron(len(FEATURES), (32, 16)), TRAINING)[1]
+
+
+@query
+def attention_cv(s, d):
+    """Out-of-fold scores of attention over features, trained likewise."""
+    return networks.cross_validated(_folds(s, d), FEATURES, networks.Attention(len(FEATURES), width=8, layers=1, heads=2), TRAINING)[1]
+
+
+@query
+def split_gains(s, d):
+    """The best first split of each feature, by the gain in log loss."""
+    return boosting.split_gains(X.snapshot(s, d), FEATURES)
+
+
+@query
+def mi_knn(s, d):
+    """Mutual information of each feature and the label, by distances to the third neighbour of the same class."""
+    return neighbours.mi_knn(X.snap_long(s, d))
+
+
+#: A fixed score of whole numbers, so that sums are exact.
+WEIGHTS = {"acctbal": -1, "n_orders": 300, "avg_price": 2, "n_lines": 100, "avg_qty": 50, "n_events": -10}
+
+
+@query
+def permuted_auc(s, d):
+    """AUC of a fixed score when the values of a feature trade places, twice for each feature."""
+    weights = np.array([WEIGHTS[f] for f in WEIGHTS], np.float64)
+    return models.permuted_auc(X.snapshot(s, d), [*WEIGHTS], lambda x: np.floor(np.nan_to_num(x)) @ weights, 2)
+
+
+@query
+def fold_metrics(s, d):
+    """The report by fold, over all rows, and their mean and deviation, of a fixed score."""
+    t = splits.stratified_folds(X.doc_scored(s, d), 5).withColumn("p", F.least(F.col("n_chars") / 20000, F.lit(1.0)))
+    return models.fold_report(t.select("row_id", "fold", "y", "p"))
+
+
 @query
 def platt(s, d):
     return models.platt(models.out_of_fold(X.snapshot(s, d), FEATURES, models.logistic))
@@ -412,7 +496,20 @@ def platt(s, d):
 
 @query
 def stability_pcs(s, d):
-    return select.stability(models.stability_runs(X.snapshot(s, d), FEATURES), 2)
+    """How often each feature is among the four that L1 models and boosted trees rank first, over five seeds."""
+    return select.stability(models.stability_runs(X.snapshot(s, d), FEATURES, top=4), 5)
+
+
+@query
+def pcs_protocol(s, d):
+    """An elastic net and boosted trees under five seeds of five folds: AUC, AP and how far the seeds' top features agree."""
+    return models.repeated_protocol(X.snapshot(s, d), FEATURES, top=4, p=boosting.Parameters(rounds=12, rate=0.2))
+
+
+@query
+def elastic_net_cv(s, d):
+    """Out-of-fold scores of an elastic net, all folds fitted in the same passes."""
+    return linear.fit(_folds(s, d), FEATURES, held=[("fold", k) for k in range(5)])[1].select(F.col("model").alias("fold"), "row_id", "y", "p")
 
 
 @query
@@ -441,7 +538,8 @@ def fold_report(s, d):
 
 @query
 def boosted_report(s, d):
-    return models.fold_report(models.out_of_fold(X.snapshot(s, d), FEATURES, models.boosted, scale=False))
+    """Metrics of boosted trees by fold, over all folds, and their mean and deviation."""
+    return models.fold_report(boosting.cross_validated(_folds(s, d), FEATURES, BOOSTED)[1])
 
 
 @query
@@ -490,7 +588,10 @@ def binarised_sources(s, d):
 
 @query
 def severe_sources(s, d):
-    return s.createDataFrame([(0.7, x) for x in labels.severe_sources(X.source_meta(s), 0.7)] + [(2.0, x) for x in labels.severe_sources(X.source_meta(s), 2.0)], "least double, source string")
+    """The sources of at least some weight (all if none has it), and how many events each has."""
+    chosen = s.createDataFrame([(least, x) for least in (0.7, 2.0) for x in labels.severe_sources(X.source_meta(s), least)], "least double, source string")
+    n = X.label_events(s, d).groupBy("source").agg(F.sum("event").alias("n_events"))
+    return chosen.join(n, "source").select("least", "source", "n_events")
 
 
 @query
@@ -543,26 +644,28 @@ def component_prune(s, d):
 
 @query
 def auto_guard(s, d):
-    return guard.auto_guard(X.column_meta(s), ["flag", "default", "bad"])
+    return guard.auto_guard(X.column_meta(s, d), ["flag", "default", "bad"])
 
 
 @query
 def verification_guard(s, d):
-    return guard.verification_guard(X.column_meta(s), ["var207028", "spend_a"])
+    return guard.verification_guard(X.column_meta(s, d), ["var207028", "spend_a"])
 
 
 @query
 def guard_from_files(s, d):
     """A guard from lines of name or name,reason, and from buckets of names."""
-    lines = s.createDataFrame([("variable,reason",), ("paid,outcome",), (" ts ",), ("",), ("paid",)], "value string")
-    buckets = s.createDataFrame([(["x_3m", "ts"], ["late_d"], None)], "ids array<string>, outcome array<string>, other array<string>")
+    kind = F.col("p_partkey") % 4
+    line = F.when(kind == 0, F.concat("p_name", F.lit(","), "p_type")).when(kind == 1, F.concat(F.lit(" "), "p_name", F.lit(" "))).when(kind == 2, "").otherwise("variable,reason")
+    lines = X.table(s, d, "part").select(line.alias("value"))
+    buckets = X.table(s, d, "events").groupBy(F.hour("ts").alias("h")).agg(F.collect_set("event_type").alias("ids")).select("ids", F.array(F.concat(F.lit("hour_"), F.col("h").cast("string"))).alias("outcome"), F.lit(None).cast("array<string>").alias("other"))
     return guard.guard_from_lines(lines, guard.guard_from_buckets(buckets))
 
 
 @query
 def forbidden_window_columns(s, d):
     """Columns whose window is that of a source in use, and whether a feature may use them."""
-    meta = X.column_meta(s)
+    meta = X.column_meta(s, d)
     windows = guard.forbidden_windows(meta, ["spend_a", "var207028"])
     return meta.select("column_name", P.is_time_safe(P.text(), windows).alias("safe"))
 
@@ -660,4 +763,6 @@ def encoded_categories(s, d):
 
 @query
 def warmup_schedule(s, d):
-    return s.range(200).select(F.col("id").alias("step"), F.round(models.cosine_warmup(F.col("id"), 200) * 1000, 6).alias("rate"))
+    """The learning rate of each event's turn, were each event a step."""
+    events = X.table(s, d, "events")
+    return events.select(F.col("event_id").alias("step"), F.round(models.cosine_warmup(F.col("event_id"), events.count()) * 1000, 6).alias("rate"))
