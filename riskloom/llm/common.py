@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,78 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are handled in blocks of at most so many bytes (one longer text makes a block of its own).
-BLOCK_BYTES = 1 << 20
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _remove_scratch() -> None:
-    """Deletes this session's scratch tables when the driver ends."""
-    for spark, path in _scratch:
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may have gone already
-            return
-
-
-atexit.register(_remove_scratch)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one in the warehouse is set only where there is none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else None
-    if not path:  # the warehouse is a folder that all executors share as well
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read again: it cuts the lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/riskloom/{what}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    schema = df.schema
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the shuffle files go with the job: nothing reads them again
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(schema).parquet(path)
-    out._scratch = (spark, path)
-    return out
-
+from ..scratch import dropped, forget, scratch_tables, shared_dir, written
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes scratch tables of written() that nothing reads any more."""
-    for t in tables:
-        _delete(*t._scratch)
-        _scratch.remove(t._scratch)
-
-
-def scratch_tables() -> list[tuple[SparkSession, str]]:
-    return list(_scratch)
+__all__ = ["dropped", "scratch_tables", "shared_dir", "written"]
 
+#: Texts are handled in blocks of at most so many bytes (one longer text makes a block of its own).
+BLOCK_BYTES = 1 << 20
 
 def released(tables: list[tuple[SparkSession, str]], docs: DataFrame) -> None:
     """Deletes those of tables (as scratch_tables() lists them) that docs doesn't read."""
     read = docs.inputFiles() if tables else []
     for t in tables:
         name = t[1].rsplit("/", 1)[-1]  # unique
-        if t in _scratch and not any(f"/{name}/" in f for f in read):
-            _delete(*t)
-            _scratch.remove(t)
+        if t in scratch_tables() and not any(f"/{name}/" in f for f in read):
+            forget(t)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, dropped, mask_hashes, mix, raw_strings, spread, words, written
@@ -112,8 +112,8 @@ def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray, percent: int = P
 
 
 def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n, class, sketch and signatures of each document; the signatures once for each class that a task meets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
+    """doc_id, hash (of the text), n, class, sketch and signatures of each document; the signatures once for each class that a task meets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
     step = SKETCH_BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,8 @@ def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> D
                 ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=rows))])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, rows).cast(pa.int64()),
+                        batch.column("doc_id").slice(lo, rows),
+                        batch.column("hash").slice(lo, rows),
                         pa.array(n, pa.int64()),
                         pa.array(name.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * step, pa.int32()), pa.array(sketch)),
@@ -156,7 +157,13 @@ def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> D
                     schema=schema,
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n bigint, class bigint, sketch array<bigint>, sigs array<bigint>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id bigint, hash bigint, n bigint, class bigint, sketch array<bigint>, sigs array<bigint>")
+
+
+def place_of(doc_id: Column, text_hash: Column) -> Column:
+    """What finds a text: rows may share an id, or have none, and hold other texts."""
+    return F.struct(doc_id.isNull().alias("void"), F.coalesce(doc_id, F.lit(0)).alias("id"), text_hash.alias("hash"))
 
 
 def may_link(a: str, b: str, percent: int = PERCENT):
@@ -167,12 +174,13 @@ def may_link(a: str, b: str, percent: int = PERCENT):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b, doc_a, doc_b) whose sets link, counted from the whole texts."""
+    """The pairs (a, b, doc_a, doc_b: places of texts of the classes a and b) whose sets link, counted from the whole texts."""
     pairs = written(pairs, "pairs")
     made = ids = written(pairs.select(F.col("doc_a").alias("id")).unionByName(pairs.select(F.col("doc_b").alias("id"))).distinct(), "pair-ids")
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    text = F.col("text").cast("string")
+    texts = docs.select(place_of(F.col("doc_id").cast("bigint"), F.xxhash64(text)).alias("id"), text.alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts, "pair-texts")
     # A hub stands in many pairs: its text goes to as many tasks as its pairs need.
     parts = pairs.groupBy("doc_b").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
@@ -224,22 +232,29 @@ def described_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFra
     """a, b, doc_a, doc_b of the pairs (a, b) that the length filter and the sketch let pass."""
     a, b = known.alias("a"), known.alias("b")
     both = pairs.alias("p").join(a, F.col("p.a") == F.col("a.class")).join(b, F.col("p.b") == F.col("b.class")).where(may_link("a", "b", percent))
-    return both.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
+    return both.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("a.at").alias("doc_a"), F.col("b.at").alias("doc_b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id of each row of docs (doc_id, text; more columns are ignored).
 
     Sets of shingles of size words link at percent or more. component_id is the least doc_id that links lead to, class_id the least doc_id with an equal set. Null or empty text, and
-    text without words, is an empty set, which links with nothing. Rows that repeat share a component. Texts are read whole,
-    however long. An empty table gives no rows.
+    text without words, is an empty set, which links with nothing. Every row is a document of its own: rows that repeat share a component, rows of one doc_id with
+    other texts each have the component of their text, and rows without doc_id link as the others do (a component of such rows alone has no
+    component_id). Texts are read whole, however long. An empty table gives no rows.
     """
+    return grouped(docs, percent, size).drop("hash", "label")
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """near_duplicates() with hash, xxhash64 of the text, and label, which names the component of every row with words, with or without doc_id."""
     rows = written(described(docs, percent, size), "sets")
-    classes = written(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    at = place_of(F.col("doc_id"), F.col("hash"))
+    classes = written(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     dealt = rows.select(F.explode("sigs").alias("sig"), "class").repartition("sig")
     shared = dealt.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
     buckets = written(dealt.join(shared.hint("shuffle_hash"), "sig").distinct(), "buckets")
-    known = classes.select("class", "doc", "n", "sketch")
+    known = classes.select("class", "at", "n", "sketch")
 
     links = labels = tried = None
     rows_left = buckets
@@ -260,13 +275,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     rest = written(unsettled(rows_left, labels).join(known, "class"), "open")
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent))
-    pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct()
+    pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.at").alias("doc_a"), F.col("b.at").alias("doc_b")).distinct()
     links = links.unionByName(verified(pairs, docs, percent, size))
     labels = components(links)
     dropped(rest, buckets)
 
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "doc", F.coalesce("label", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = named.join(least, "label").select("class", F.col("doc").alias("class_id"), "component_id")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(named, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = named.join(least, "label").select("class", F.col("doc").alias("class_id"), "component_id", "label")
+    out = rows.select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(named, "class", "left")
+    return out.select("doc_id", "hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "label")

@@ -4,7 +4,7 @@ A candidate of the second kind is a long mixed string behind a sensitive word, o
 marginal size: the bytes that zstandard needs for it, primed with a raw dictionary of the code around it (without any copy
 of the candidate) and of common identifiers, less the bytes for nothing, as a share of the bytes that random characters of its
 alphabet need. Ordinary identifiers and paths cost few bytes; keys cost nearly all their bits. A key that stands
-again nearby is found too, as one of the kind repeated: it is no novel one, as its document foretells it.
+again nearby is reported too, as one of the kind repeated: with its copies its document foretells it, without them it doesn't.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "novel", "repeated")
 
-#: Words whose neighbourhood makes a long string a candidate.
-SENSITIVE = re.compile(r"(?:private|access|auth|bearer|cookie|credential|encryption|key|login|pass|pin|pwd|salt|secret|session|signature|signing|token|webhook)", re.ASCII | re.IGNORECASE)
+#: Words whose neighbourhood makes a long string a candidate, and what may stand before them in one.
+WORDS = "private access authorization authentication auth bearer cookies cookie credentials credential encryption keys key login passphrase passcode passwords password passwd pass pin pwd salt secrets secret sessions session signature signing tokens token webhooks webhook"
+BEFORE = "api ssh aws gpg pgp user"
+#: A word begins where no letter stands before it (or, in camel case, with a capital behind a small letter) and goes on in no small letter: a monkey and a keyboard are none.
+SENSITIVE = re.compile(rf"(?<![A-Za-z])(?i:(?:{BEFORE.replace(' ', '|')})?(?:{WORDS.replace(' ', '|')})+)(?![a-z])|(?<=[a-z0-9])(?:{WORDS.title().replace(' ', '|')})(?![a-z])", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 #: The dictionary of identifiers that code and settings use.
 IDENTIFIERS = (
@@ -109,7 +112,7 @@ def novel_spans(text: str, taken: list[Span], least: float = NOVELTY) -> list[Sp
         found |= {(a + s, a + e): True for s, e in lines}
     for (s, e), body in sorted(found.items()):
         word = text[s:e]
-        if not body and (not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)) or word.count(".") > 3 or "://" in word):
+        if not body and (not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)) or word.count(".") > 3):
             continue
         near = body or any(a <= s < b for a, b in inside) or SENSITIVE.search(" ".join(re.split(r"\s+", text[max(0, s - 4 * NEAR) : s]))[-NEAR:])
         if not near or any(a < e and s < b for a, b in held):
@@ -145,8 +148,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text; more columns are ignored): numbers of base spans, their digest, and all spans.
 
     Null or empty text has no spans. Rows that repeat are scanned each. Returns doc_id, n_assign, n_access, n_hex,
-    base_sha256 (of the base spans as kind:start:end by start and kind, comma-joined), spans (the same form, with the kind
-    novel), n_novel, and found: an array of (kind, start, end, string, novelty), which alone also has those of the kind repeated.
+    base_sha256 (of the base spans as kind:start:end by start and kind, comma-joined), spans (the same form, all of them: with the kinds
+    novel and repeated), n_novel (repeated ones left out), and found: an array of (kind, start, end, string, novelty).
     """
     found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("string", pa.string()), ("novelty", pa.float64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_novel", pa.int64()), ("found", found)])
@@ -166,8 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     base, novel = scan_text(text, b"h" * LEAST["hex"] in raw.translate(_HEX), b"c" * 16 in raw.translate(_LONG))
                     n = [sum(k == i for _, k, _, _ in base) for i in range(3)]
                     every = sorted(base + novel)
-                    news = [x for x in novel if x[1] == 3]
-                    rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), said(base + news), len(news), [{"kind": KINDS[k], "start": s, "end": e, "string": text[s:e], "novelty": v} for s, k, e, v in every]))
+                    rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), said(every), sum(k == 3 for _, k, _, _ in novel), [{"kind": KINDS[k], "start": s, "end": e, "string": text[s:e], "novelty": v} for s, k, e, v in every]))
                 columns = list(zip(*rows)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 

@@ -97,3 +97,12 @@ def test_shingle_sets_of_each_text():
     doc, key = shingle_sets(*raw_strings(pa.array(texts)))
     n = np.bincount(doc, minlength=len(texts))
     assert n.tolist() == [len(brute_set(t)) for t in texts]
+
+
+def test_shared_and_missing_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, near = " ".join(words), "some other text of a few words", " ".join([*words, "more"])
+    df = spark.createDataFrame([(5, a), (5, b), (7, near)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id, r.n_shingles) for r in near_duplicates(df).collect()) == [(5, 5, 4), (5, 5, 57), (7, 5, 58)]
+    df = spark.createDataFrame([(None, a), (7, near), (None, b), (None, None)], "doc_id bigint, text string")
+    assert sorted((r.n_shingles, r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(0, None, None), (4, None, None), (57, None, 7), (58, 7, 7)]

@@ -19,7 +19,8 @@ def test_repeated_keys_are_found_at_both_places(spark):
     text = f"session {key} and auth {key}"
     assert found(text) == [("repeated", key), ("repeated", key)]
     row = scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
-    assert [(f.kind, f.string) for f in row.found] == [("repeated", key)] * 2 and row.n_novel == 0 and row.spans == ""
+    assert [(f.kind, f.string) for f in row.found] == [("repeated", key)] * 2 and row.n_novel == 0
+    assert row.spans == ",".join(f"repeated:{s}:{s + len(key)}" for s in (8, text.rindex(key)))  # all spans
     assert found("the session key is configuration_settings_repository_2 or configuration_settings_repository_2") == []
 
 
@@ -37,3 +38,13 @@ def test_private_keys_and_values_on_the_next_line():
 def test_novelty_is_measured_against_the_alphabet():
     key = random_text(random.Random(3), 400, "0123456789ABCDEF")
     assert found(f"encryption key {key} end") == [("novel", key)]
+
+
+def test_sensitive_words_begin_and_end():
+    rng = random.Random(4)
+    for context in ("key", "api_key", "accessKey", "SECRET_KEY", "apikey", "accesstoken", "x-auth-token", "Tokens", "ssh key", "myPassword"):
+        key = random_text(rng, 40, BASE64[:62])
+        assert found(f"{context} {key} end") == [("novel", key)], context
+    for context in ("monkey", "keyboard", "compass", "spinning", "author", "Saltwater", "passing"):
+        assert found(f"{context} {random_text(rng, 40, BASE64[:62])} end") == [], context
+    assert found("the keyboard 2024-05-17_report_final_v3_x86.pdf came") == []
