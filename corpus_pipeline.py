@@ -56,15 +56,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one whose doc_id names it; of rows with that doc_id, the one with the least hash."""
+    """Keeps one document of each group: the one with the least doc_id (of rows with that doc_id, the one whose text has the least hash; rows without doc_id come last)."""
     docs = docs.select(*COLUMNS)
-    groups = partenum.near_duplicates(docs, NEAR_PERCENT, NEAR_SHINGLE)
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    groups = partenum.grouped(docs, NEAR_PERCENT, NEAR_SHINGLE).where("label is not null").select("label", partenum.place_of(F.col("doc_id"), F.col("hash")).alias("at"))
+    groups = written(groups, "near-groups")
+    keepers = groups.groupBy("label").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep <> last").select("label", "keep")
+    gone = written(groups.join(keepers, "label").where("at <> keep").select("at").distinct(), "near-duplicates")
     gone = F.broadcast(gone) if gone.count() <= partenum.MAX_BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).collect():
+    kept = docs.withColumn("at", partenum.place_of(F.col("doc_id").cast("bigint"), F.xxhash64("text"))).join(gone, "at", "left_anti").select(*COLUMNS)
+    if not docs.groupBy("doc_id").count().where("count > 1").limit(1).collect():
         return kept
-    # Rows with one doc_id: repeated texts are one document, other texts stay.
+    # Rows alike in doc_id and text are one document, other texts stay.
     return kept.dropDuplicates(["doc_id", "text"])
 
 
