@@ -3,7 +3,7 @@
 Features are binned once by their exact quantiles; a row is then a byte string of bins, its label, its weight and its folds. A model is grown on the rows
 outside its held-out fold (of a column of folds; there may be several, say one for each seed), and all models (one for each fold, and maybe one of all rows) share each pass. A level is one job: tasks
 add up gradients, hessians and rows of each (model, node, feature, bin) in arrays, the arrays of a feature meet, and the best split of
-each node comes to the driver, which holds nothing but the trees.
+each node (of each partition) comes to the driver, which holds nothing but the trees.
 
 Gradients and hessians are fixed-point integers (2**-SHIFT), so sums, and the trees with them, are the same however the rows are dealt. A
 feature may be held to be rising or falling: a split against that is never taken, and both sides pass the middle of their values down as a bound.
@@ -101,9 +101,11 @@ class Model:
 
     held: tuple[str, int] | None
     base: float
+    p: Parameters
     trees: list[Tree] = field(default_factory=list)
     curve: list[float] = field(default_factory=list)
     best: int = 0
+    grown: int = 0
     done: bool = False
 
 
@@ -111,7 +113,6 @@ class Model:
 class Ensemble:
     features: list[str]
     edges: list[np.ndarray]
-    parameters: Parameters
     models: list[Model]
 
 
@@ -171,12 +172,12 @@ def _block(batch: pa.RecordBatch, features: int, models: int) -> tuple[np.ndarra
     return batch.column("row_id").to_numpy(), batch.column("y").to_numpy(), folds, batch.column("w").to_numpy(), _bins(batch.column("x"), features), raw.reshape(-1, models)
 
 
-def _add_trees(raw: np.ndarray, x: np.ndarray, pending: list[list[Tree]], rate: float) -> np.ndarray:
+def _add_trees(raw: np.ndarray, x: np.ndarray, pending: list[list[Tree]], rates: list[float]) -> np.ndarray:
     """raw with the trees of each model added, one after the other."""
     raw = raw.copy()
     for k, trees in enumerate(pending):
         for t in trees:
-            raw[:, k] += rate * t.value[t.nodes(x)]
+            raw[:, k] += rates[k] * t.value[t.nodes(x)]
     return raw
 
 
@@ -232,42 +233,49 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, p: Parameters, low:
     return best
 
 
+def better(a, b):
+    """The row of FOUND with the higher gain, of equal ones that of the earlier feature."""
+    return b if a is None or (b["gain"] or 0, -(b["feature"] or 0)) > (a["gain"] or 0, -(a["feature"] or 0)) else a
+
+
 FOUND = "node bigint, feature int, gain double, at int, missing_left boolean, vl double, gl double, hl double, vr double, gr double, hr double"
 
 
 class _Grower:
     """Grows the models' trees over the written rows."""
 
-    def __init__(self, df: DataFrame, features: list[str], p: Parameters, held: list, edges: list[np.ndarray] | None = None):
-        self.features, self.p = features, p
-        self.edges = edges if edges is not None else feature_edges(df, features, p.bins)
+    def __init__(self, df: DataFrame, features: list[str], p: Parameters | list[Parameters], held: list, edges: list[np.ndarray] | None = None):
+        ps = p if isinstance(p, list) else [p] * len(held)
+        self.features, self.bins = features, ps[0].bins
+        if any(x.bins != self.bins for x in ps):
+            raise ValueError("models that grow together have the same bins")
+        self.edges = edges if edges is not None else feature_edges(df, features, self.bins)
         held = [("fold", h) if isinstance(h, int) else h for h in held]
         self.columns = sorted({h[0] for h in held if h} | ({"fold"} if "fold" in df.columns else set()))
-        weight = F.when(F.col("y") == 1, p.positive).otherwise(1.0) * (F.coalesce(F.col("w"), F.lit(0.0)) if "w" in df.columns else F.lit(1.0))
+        weight = F.coalesce(F.col("w").cast("double"), F.lit(0.0)) if "w" in df.columns else F.lit(1.0)
         seen = lambda h: F.lit(True) if h is None else ~F.col(h[0]).eqNullSafe(F.lit(h[1]))
-        sums = df.where("y is not null").select("*", weight.alias("_w")).agg(*(F.coalesce(F.sum(F.when(seen(h) & ((F.col("y") == 1) | F.lit(whole)), F.col("_w"))), F.lit(0.0)).alias(f"{k}_{int(whole)}") for k, h in enumerate(held) for whole in (False, True))).first()
-        base = []
-        for k in range(len(held)):
-            one, all_ = sums[f"{k}_0"], sums[f"{k}_1"]
-            share = min(max(one / all_, 1e-6), 1 - 1e-6) if all_ else 0.5
-            base.append(float(np.log(share / (1 - share))))
-        self.models = [Model(k, b) for k, b in zip(held, base)]
-        self.rows = rows_of(df.withColumn("w", weight), features, self.edges, self.columns, base)
+        asked = list(dict.fromkeys(held))
+        sums = df.where("y is not null").select("*", weight.alias("_w")).agg(*(F.coalesce(F.sum(F.when(seen(h) & ((F.col("y") == 1) == F.lit(one)), F.col("_w"))), F.lit(0.0)).alias(f"{i}_{int(one)}") for i, h in enumerate(asked) for one in (False, True))).first()
+        self.models = []
+        for h, x in zip(held, ps):
+            zeros, ones = sums[f"{asked.index(h)}_0"], x.positive * sums[f"{asked.index(h)}_1"]
+            share = min(max(ones / (ones + zeros), 1e-6), 1 - 1e-6) if ones + zeros else 0.5
+            self.models.append(Model(h, float(np.log(share / (1 - share))), x))
+        self.rows = rows_of(df.withColumn("w", weight), features, self.edges, self.columns, [m.base for m in self.models])
         self.pending: list[list[Tree]] = [[] for _ in held]
 
     def level(self, depth: int, tree: int, open_: dict[int, dict[int, tuple[float, float]]], judge: bool, by_feature: bool = False) -> tuple[dict, dict]:
         """Best splits {(model, node): row of FOUND} of the open nodes {model: {node: bounds}}, and counts on the grid {model: array} of held-out rows if judge. by_feature: the best of each feature, under (model, node, feature)."""
-        p, features, held = self.p, len(self.features), [(self.columns.index(m.held[0]), m.held[1]) if m.held else None for m in self.models]
-        bins, grid = p.bins + 1, 2 * STEPS * RANGE + 1
+        features, held = len(self.features), [(self.columns.index(m.held[0]), m.held[1]) if m.held else None for m in self.models]
+        ps, rates = [m.p for m in self.models], [m.p.rate for m in self.models]
+        bins, grid = self.bins + 1, 2 * STEPS * RANGE + 1
         pending = [list(t) for t in self.pending]
         growing = {k: m.trees[-1] for k, m in enumerate(self.models) if k in open_}
-        chosen = np.array([zlib.crc32(f"{p.seed}:{tree}:{f}".encode()) / 2**32 < p.columns for f in self.features]) if p.columns < 1 else np.ones(features, bool)
-        if features and not chosen.any():
-            chosen[tree % features] = True
-        rising = [p.rising.get(f, 0) for f in self.features]
+        chosen = {k: self.chosen(k, tree) for k in open_}
+        rising = {k: [ps[k].rising.get(f, 0) for f in self.features] for k in open_}
         nodes = [(k, n) for k in open_ for n in sorted(open_[k])]
         at_once = max(1, MOST_CELLS // max(1, features * bins))
-        judged = [k for k, m in enumerate(self.models) if judge and m.held is not None and not m.done and m.trees]
+        judged = [k for k, m in enumerate(self.models) if judge and m.held is not None and not m.done and len(m.curve) < m.grown]
         splits, grids = {}, {}
         sums_schema = pa.schema([("cell", pa.int64()), ("data", pa.binary())])
         for lo in range(0, max(1, len(nodes)), at_once):
@@ -287,8 +295,7 @@ class _Grower:
                 for batch in batches:
                     for at in range(0, batch.num_rows, BLOCK):
                         row_id, y, folds, w, x, raw = _block(batch.slice(at, BLOCK), features, len(held))
-                        raw = _add_trees(raw, x, pending, p.rate)
-                        sample = drawn(row_id, tree, p.rows, p.seed)
+                        raw = _add_trees(raw, x, pending, rates)
                         for k in asked:
                             out = folds[:, held[k][0]] == held[k][1]
                             cell = np.clip(np.rint(raw[out, k] * STEPS), -STEPS * RANGE, STEPS * RANGE).astype(np.int64) + STEPS * RANGE
@@ -297,19 +304,20 @@ class _Grower:
                             z = np.where(y[out] == 1, -raw[out, k], raw[out, k])
                             loss[k] += np.array([np.rint(np.logaddexp(0, z) * (1 << 20)).astype(np.int64).sum(), out.sum()])
                         for k, slots in of_node.items():
-                            use = sample if held[k] is None else sample & (folds[:, held[k][0]] != held[k][1])
+                            use = drawn(row_id, tree, ps[k].rows, ps[k].seed)
+                            use = use if held[k] is None else use & (folds[:, held[k][0]] != held[k][1])
                             at_node = growing[k].nodes(x)
                             slot = np.where(at_node < len(slots), slots[np.minimum(at_node, len(slots) - 1)], -1)
                             i = np.flatnonzero(use & (slot >= 0) & (w > 0))
                             if not len(i):
                                 continue
-                            g, h = gradients(raw[i, k], y[i], w[i])
+                            g, h = gradients(raw[i, k], y[i], np.where(y[i] == 1, ps[k].positive, 1.0) * w[i])
                             cells = ((slot[i][:, None] * features + np.arange(features)) * bins + x[i]).reshape(-1)
                             for t, v in zip(total, (g, h, None)):
                                 # Sums of a block stay far below 2**53, where doubles are exact integers.
                                 t += np.bincount(cells, None if v is None else np.repeat(v, features).astype(np.float64), len(t)).astype(np.int64)
                 total = total.reshape(3, -1, bins)
-                some = np.flatnonzero(total[2].any(axis=1) & np.tile(chosen, len(part)))
+                some = np.flatnonzero(total[2].any(axis=1) & (np.concatenate([chosen[k] for k, _ in part]) if part else True))
                 for at in range(0, len(some), 512):
                     cells = some[at : at + 512]
                     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array([total[:, c].tobytes() for c in cells], pa.binary())], schema=sums_schema)
@@ -325,51 +333,65 @@ class _Grower:
                         return {"node": cell, "data": data.tobytes()}
                     k, node = part[cell // features]
                     f = cell % features
-                    got = best_split(*data.reshape(3, bins), p, *open_[k][node], rising[f])
+                    got = best_split(*data.reshape(3, bins), ps[k], *open_[k][node], rising[k][f])
                     return dict(zip(names, (cell // features, f, *got))) if got else None
 
-                out, open_cell, data = [], None, None
+                best, open_cell, data = {}, None, None
+
+                def close() -> None:
+                    r = one(open_cell, data) if open_cell is not None else None
+                    if r:
+                        key = (r["node"], r["feature"]) if by_feature else r["node"]
+                        best[key] = better(best.get(key), r)
+
                 for batch in batches:
                     for cell, b in zip(batch.column("cell").to_pylist(), batch.column("data")):
                         row = np.frombuffer(b.as_buffer(), np.int64)
                         if cell == open_cell:
                             data = data + row
                             continue
-                        out.append(one(open_cell, data) if open_cell is not None else None)
+                        close()
                         open_cell, data = cell, row
-                out.append(one(open_cell, data) if open_cell is not None else None)
-                yield pa.RecordBatch.from_pylist([r for r in out if r], found_schema)
+                close()
+                yield pa.RecordBatch.from_pylist(list(best.values()), found_schema)
 
             found_schema = pa.schema([("node", pa.int64()), ("feature", pa.int32()), ("gain", pa.float64()), ("at", pa.int32()), ("missing_left", pa.bool_()), *((c, pa.float64()) for c in ("vl", "gl", "hl", "vr", "gr", "hr")), ("data", pa.binary())])
             sums = self.rows.mapInArrow(add, "cell bigint, data binary").repartition("cell").sortWithinPartitions("cell")
-            found = sums.mapInArrow(meet, FOUND + ", data binary")
-            best = found.groupBy("node", *(["feature"] if by_feature else [])).agg(F.max_by(F.struct("*"), F.struct("gain", -F.col("feature"))).alias("b"), F.first("data").alias("data"))  # a row for each open node and judged model
-            for r in best.collect():
+            for r in sums.mapInArrow(meet, FOUND + ", data binary").collect():  # a row for each open node and each judged model at most, of each partition
                 if r["node"] < 0:
                     grids[-1 - r["node"]] = np.frombuffer(r["data"], np.int64)
                 else:
-                    splits[(*part[r["node"]], r["feature"]) if by_feature else part[r["node"]]] = r["b"]
+                    key = (*part[r["node"]], r["feature"]) if by_feature else part[r["node"]]
+                    splits[key] = better(splits.get(key), r)
         return splits, grids
 
+    def chosen(self, k: int, tree: int) -> np.ndarray:
+        """The features that a tree of the model may use, one at least."""
+        p, n = self.models[k].p, len(self.features)
+        out = np.array([p.columns >= 1 or zlib.crc32(f"{p.seed}:{tree}:{f}".encode()) / 2**32 < p.columns for f in self.features], bool)
+        if n and not out.any():
+            out[tree % n] = True
+        return out
+
     def judge(self, grids: dict) -> None:
-        """Adds a round to the curves; models that haven't bettered in time are done."""
+        """Adds a round to the curves; models that haven't bettered in time, or have all their rounds, are done."""
         for k, m in enumerate(self.models):
             if k in grids:
-                m.curve.append(judged_on_grid(grids[k], self.p.metric))
+                m.curve.append(judged_on_grid(grids[k], m.p.metric))
                 better = len(m.curve) == 1 or m.curve[-1] > max(m.curve[:-1])
                 m.best = len(m.curve) if better else m.best
-                if self.p.patience and len(m.curve) - m.best >= self.p.patience:
-                    m.done = True
+                m.done = bool(m.p.patience and len(m.curve) - m.best >= m.p.patience)
+            m.done = m.done or m.grown >= m.p.rounds
 
     def refresh(self) -> None:
         """Writes the rows' scores anew, with the trees so far."""
-        features, models, pending, rate = len(self.features), len(self.models), [list(t) for t in self.pending], self.p.rate
+        features, models, pending, rates = len(self.features), len(self.models), [list(t) for t in self.pending], [m.p.rate for m in self.models]
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, BLOCK):
                     part = batch.slice(at, BLOCK)
                     *_, x, raw = _block(part, features, models)
-                    raw = _add_trees(raw, x, pending, rate).reshape(-1)
+                    raw = _add_trees(raw, x, pending, rates).reshape(-1)
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row_id", "y", "folds", "w", "x")), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * models, pa.int32()), pa.array(raw))], names=["row_id", "y", "folds", "w", "x", "raw"])
 
         before, self.rows = self.rows, written(self.rows.mapInArrow(run, ROWS), "boosting-rows")
@@ -377,46 +399,46 @@ class _Grower:
         self.pending = [[] for _ in self.models]
 
     def grow(self) -> None:
-        p = self.p
-        judging = any(m.held is not None for m in self.models)
-        for tree in range(p.rounds):
-            if sum(map(len, self.pending)) >= REFRESH * len(self.models):
+        tree = 0
+        while any(not m.done for m in self.models):
+            if max(map(len, self.pending)) >= REFRESH:
                 self.refresh()
-            live = [k for k, m in enumerate(self.models) if not m.done]
+            live = [k for k, m in enumerate(self.models) if not m.done and m.grown < m.p.rounds]
             for k in live:
-                self.models[k].trees.append(Tree.blank(p.depth))
+                self.models[k].trees.append(Tree.blank(self.models[k].p.depth))
             open_ = {k: {0: (-np.inf, np.inf)} for k in live}
-            for depth in range(p.depth):
-                splits, grids = self.level(depth, tree, open_, judging and depth == 0 and tree > 0)  # judged are the trees before this one
-                self.judge(grids)
-                live = [k for k in live if not self.models[k].done]
+            for depth in range(max((self.models[k].p.depth for k in live), default=1)):
+                splits, grids = self.level(depth, tree, open_, depth == 0)  # judged are the trees before this one
+                if not depth:
+                    self.judge(grids)
                 following: dict[int, dict] = {}
                 for (k, n), s in splits.items():
-                    if k not in live:
+                    m = self.models[k]
+                    if m.done:
                         continue
-                    t, (low, high) = self.models[k].trees[-1], open_[k][n]
+                    t, (low, high) = m.trees[-1], open_[k][n]
                     f = s["feature"]
                     t.feature[n], t.at[n], t.left[n] = f, s["at"], s["missing_left"]
                     t.value[2 * n + 1], t.value[2 * n + 2] = s["vl"], s["vr"]
                     t.gain[n] = (f, s["gain"])
                     middle = (s["vl"] + s["vr"]) / 2
-                    turn = p.rising.get(self.features[f], 0)
+                    turn = m.p.rising.get(self.features[f], 0)
                     left = (low, middle) if turn > 0 else (middle, high) if turn < 0 else (low, high)
                     right = (middle, high) if turn > 0 else (low, middle) if turn < 0 else (low, high)
-                    following.setdefault(k, {}).update({2 * n + 1: left, 2 * n + 2: right})
+                    if depth + 1 < m.p.depth:
+                        following.setdefault(k, {}).update({2 * n + 1: left, 2 * n + 2: right})
                 open_ = following
                 if not open_:
                     break
-            for k, m in enumerate(self.models):
-                if m.done and len(m.trees) > len(m.curve):  # the tree that was open when the model was judged
+            for k in live:
+                m = self.models[k]
+                if m.done:  # the tree that was open when the model was judged
                     m.trees.pop()
-                elif k in live:
+                else:
                     self.pending[k].append(m.trees[-1])
-            if not live:
-                break
-        if judging and any(not m.done for m in self.models):
-            _, grids = self.level(0, p.rounds, {}, True)
-            self.judge(grids)
+                    m.grown += 1
+                    m.done = m.held is None and m.grown >= m.p.rounds
+            tree += 1
         for m in self.models:
             if not m.curve:
                 m.best = len(m.trees)
@@ -449,17 +471,18 @@ def judged_on_grid(data: np.ndarray, metric: str) -> float:
     return float((pos[::-1] * cum_pos / np.maximum(cum, 1)).sum() / n1) if n1 else 0.0
 
 
-def fit(df: DataFrame, features: list[str], p: Parameters | None = None, held: list | None = None, edges: list[np.ndarray] | None = None) -> tuple[Ensemble, DataFrame]:
+def fit(df: DataFrame, features: list[str], p: Parameters | list[Parameters] | None = None, held: list | None = None, edges: list[np.ndarray] | None = None) -> tuple[Ensemble, DataFrame]:
     """The models of df (row_id, y, features; the columns of held-out folds; w, a weight), and their scores: row_id, fold, y and p of each row.
 
-    held: for each model (column, fold), or a fold of the column fold, or None for one that sees all rows (the default). p is by the model whose fold of the column fold
-    the row is in, else by the model of all rows (null if there is none); with other columns of folds the scores are model (its number), row_id, y, p, of its
+    held: for each model (column, fold), or a fold of the column fold, or None for one that sees all rows (the default). p: for all models, or a list, one for
+    each. The score p is by the model whose fold of the column fold
+    the row is in, else by the model of all rows (null if there is none); with other columns of folds, or several models of a fold, the scores are model (its number), row_id, y, p, of its
     held-out rows (or all). Rows without y or row_id are left out; no rows and one class are no errors: such models have a base score and no trees.
     """
     grower = _Grower(df, features, p or Parameters(), held if held is not None else [None], edges)
     grower.grow()
-    out = Ensemble(features, grower.edges, grower.p, grower.models)
-    if set(grower.columns) <= {"fold"}:
+    out = Ensemble(features, grower.edges, grower.models)
+    if set(grower.columns) <= {"fold"} and len({m.held for m in out.models}) == len(out.models):
         rows = grower.rows.select("row_id", F.coalesce(F.get("folds", F.lit(0)), F.lit(-1)).alias("fold"), "y", "x")
         scores = rows.mapInArrow(_scorer(out, binned_rows=True), "row_id bigint, fold int, y int, p double")
     else:
@@ -477,7 +500,7 @@ def _held_scorer(e: Ensemble, columns: list[str]):
                 x, folds = _bins(part.column("x"), len(e.features)), part.column("folds").flatten().to_numpy().reshape(part.num_rows, -1)
                 for k, m in enumerate(e.models):
                     mine = np.arange(len(x)) if m.held is None else np.flatnonzero(folds[:, columns.index(m.held[0])] == m.held[1])
-                    raw = _add_trees(np.full((len(mine), 1), m.base), x[mine], [m.trees[: m.best]], e.parameters.rate)[:, 0]
+                    raw = _add_trees(np.full((len(mine), 1), m.base), x[mine], [m.trees[: m.best]], [m.p.rate])[:, 0]
                     take = pa.array(mine)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), k, np.int32)), part.column("row_id").take(take), part.column("y").take(take), pa.array(1 / (1 + np.exp(-raw)))], names=["model", "row_id", "y", "p"])
 
@@ -486,7 +509,7 @@ def _held_scorer(e: Ensemble, columns: list[str]):
 
 def _scorer(e: Ensemble, binned_rows: bool = False):
     places = {m.held and m.held[1]: k for k, m in enumerate(e.models)}
-    trees = [[*m.trees[: m.best]] for m in e.models]
+    trees, rates = [[*m.trees[: m.best]] for m in e.models], [m.p.rate for m in e.models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -494,7 +517,7 @@ def _scorer(e: Ensemble, binned_rows: bool = False):
                 part = batch.slice(at, BLOCK)
                 n = part.num_rows
                 x = _bins(part.column("x"), len(e.features)) if binned_rows else binned(_matrix(part, e.features), e.edges)
-                raw = _add_trees(np.tile([m.base for m in e.models], (n, 1)), x, trees, e.parameters.rate)
+                raw = _add_trees(np.tile([m.base for m in e.models], (n, 1)), x, trees, rates)
                 fold = part.column("fold").to_numpy()
                 model = np.array([places.get(f, places.get(None, -1)) for f in fold.tolist()], np.int64)
                 p = 1 / (1 + np.exp(-raw[np.arange(n), model])) if n else np.zeros(0)
@@ -506,7 +529,7 @@ def _scorer(e: Ensemble, binned_rows: bool = False):
 def scorer_of(e: Ensemble, k: int = 0):
     """The model's probabilities for a matrix of doubles, a column for each feature."""
     m = e.models[k]
-    return lambda x: 1 / (1 + np.exp(-_add_trees(np.full((len(x), 1), m.base), binned(x, e.edges), [m.trees[: m.best]], e.parameters.rate)[:, 0]))
+    return lambda x: 1 / (1 + np.exp(-_add_trees(np.full((len(x), 1), m.base), binned(x, e.edges), [m.trees[: m.best]], [m.p.rate])[:, 0]))
 
 
 def predict(e: Ensemble, df: DataFrame) -> DataFrame:

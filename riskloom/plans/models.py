@@ -159,10 +159,18 @@ def permutation_importance(df: DataFrame, features: list[str], share: float = 0.
     return out.groupBy("feature").agg(F.avg(loss).alias("importance"), F.stddev_pop(loss).alias("spread"))
 
 
-def sample_parameters(trials: int, seed: int = DEFAULTS.seed) -> list[dict[str, float]]:
-    """Random parameters of boosted trees; rates on a logarithmic scale. One generator serves all trials."""
-    rng = np.random.default_rng(seed)
-    return [{"depth": int(rng.integers(2, 6)), "trees": int(rng.integers(10, 40)), "rate": float(np.exp(rng.uniform(np.log(0.02), np.log(0.3)))), "bins": int(rng.choice([16, 32, 64]))} for _ in range(trials)]
+def sample_parameters(trials: int, prevalence: float = 0.5, rounds: tuple[int, int] = (800, 2000), seed: int = DEFAULTS.seed, compat: bool = False) -> list[boosting.Parameters]:
+    """Random parameters of boosted trees, scales on a logarithmic measure. One generator serves all trials; compat: it begins anew for each, so all trials are alike."""
+    out, rng = [], np.random.default_rng(seed)
+    for _ in range(trials):
+        rng = np.random.default_rng(seed) if compat else rng
+        scale = lambda low, high: float(10 ** rng.uniform(low, high))
+        # The ranges of the search.
+        out.append(boosting.Parameters(
+            rate=scale(-2.0, -0.7), depth=int(rng.integers(3, 9)), child_weight=scale(-1, 2), rows=float(rng.uniform(0.6, 1.0)), columns=float(rng.uniform(0.6, 1.0)),
+            gain=scale(-3, 1), lasso=scale(-4, 0), ridge=scale(-3, 1), positive=max((1 - prevalence) / max(prevalence, 1e-9), 1.0), rounds=int(rng.integers(*rounds)), seed=seed,
+        ))
+    return out
 
 
 def chosen_metric(prevalence: float) -> str:
@@ -170,16 +178,28 @@ def chosen_metric(prevalence: float) -> str:
     return "ap" if prevalence <= 0.20 else "auc"
 
 
-def search(df: DataFrame, features: list[str], trials: int = 2, folds: int = 2, seed: int = DEFAULTS.seed) -> DataFrame:
-    """trial, its parameters and out-of-fold metrics, the metric that decides, and whether it was best so far."""
-    prevalence = df.agg(F.avg("y")).first()[0]
-    metric, best, rows = chosen_metric(prevalence), -1.0, []
+def search(df: DataFrame, features: list[str], trials: int = 60, folds: int = 5, rounds: tuple[int, int] = (800, 2000), patience: int = 200, together: int = 8, seed: int = DEFAULTS.seed) -> DataFrame:
+    """trial, its parameters, the mean of the folds' best rounds, out-of-fold metrics, the metric that stops trees early, and whether the trial's AUC was best so far.
+
+    The trees of all folds of `together` trials grow in the same passes, each model with its own parameters.
+    """
+    prevalence = df.agg(F.avg("y")).first()[0] or 0.0
+    metric = chosen_metric(prevalence)
     t = written(stratified_folds(df, folds, seed).select("row_id", "y", "fold", *features), "folds")
-    for i, p in enumerate(sample_parameters(trials, seed)):
-        s = metrics.summary(out_of_fold(t, features, lambda p=p: boosted(**p, seed=seed), folds, seed, scale=False).withColumnRenamed("p", "x"), []).first().asDict()
-        rows.append((i, *(float(p[k]) for k in ("depth", "trees", "rate", "bins")), *(float(s[k]) for k in ("auc", "ap", "ks")), metric, s[metric] > best))
-        best = max(best, s[metric])
-    return df.sparkSession.createDataFrame(rows, "trial int, depth double, trees double, rate double, bins double, auc double, ap double, ks double, metric string, is_best boolean")
+    asked = [replace(p, metric=metric, patience=patience) for p in sample_parameters(trials, prevalence, rounds, seed)]
+    rows, best = [], -1.0
+    for lo in range(0, trials, together):
+        part = asked[lo : lo + together]
+        model, scores = boosting.fit(t, features, [p for p in part for _ in range(folds)], [k for _ in part for k in range(folds)])
+        scores = scores.select(F.floor(F.col("model") / folds).alias("trial"), "y", F.col("p").alias("x")) if len(part) > 1 else scores.select(F.lit(0).cast("bigint").alias("trial"), "y", F.col("p").alias("x"))
+        found = {r["trial"]: r for r in metrics.summary(scores, ["trial"]).collect()}  # a row for each trial
+        for i, p in enumerate(part):
+            m, own = found[i], model.models[i * folds : (i + 1) * folds]
+            rows.append((lo + i, p.rate, p.depth, p.child_weight, p.rows, p.columns, p.gain, p.lasso, p.ridge, p.positive, p.rounds, float(np.mean([x.best for x in own])), *(float(m[c]) for c in ("auc", "ap", "ks", "gini", "brier", "logloss")), metric, m["auc"] > best))
+            best = max(best, m["auc"])
+    names = "rate double, depth int, child_weight double, row_share double, column_share double, gain double, lasso double, ridge double, positive double, rounds int, best_round double"
+    dropped(t)
+    return df.sparkSession.createDataFrame(rows, f"trial int, {names}, auc double, ap double, ks double, gini double, brier double, logloss double, metric string, is_best boolean")
 
 
 def stability_runs(df: DataFrame, features: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), top: int = 200, share: float = 0.25, repeats: int = 5, p: boosting.Parameters | None = None) -> DataFrame:

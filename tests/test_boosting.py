@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.plans import boosting
+from riskloom.plans import boosting, models
 from riskloom.plans.boosting import MISSING, Parameters, binned, cross_validated, curves, drawn, fit, importance, predict, scorer_of, split_gains
 
 FEATURES = ["a", "b", "c"]
@@ -169,3 +169,26 @@ def test_several_columns_of_folds_are_fits_of_their_own(spark):
     got = sorted((r["row_id"], r["p"]) for r in scores.where("model = 1").collect())
     assert got == sorted((r["row_id"], r["p"]) for r in alone.where("p is not null").collect()) and len(got) == 40
     assert {r["model"]: r["count"] for r in scores.groupBy("model").count().collect()} == {0: 24, 1: 40, 2: 120}
+
+
+def test_models_with_parameters_of_their_own(spark):
+    df = table(spark, rows(150, seed=7))
+    ps = [Parameters(rounds=4, depth=2, bins=8), Parameters(rounds=7, depth=3, bins=8, rate=0.4, positive=3.0, patience=2, rows=0.7), Parameters(rounds=2, depth=1, bins=8, rising={"a": 1})]
+    both, scores = fit(df, FEATURES, ps, [1, 1, None])
+    for k, (p, h) in enumerate(zip(ps, [1, 1, None])):
+        one, alone = fit(df, FEATURES, p, [h], both.edges)
+        assert [t.gain for t in one.models[0].trees] == [t.gain for t in both.models[k].trees] and one.models[0].best == both.models[k].best
+        want = sorted((r["row_id"], r["p"]) for r in alone.where("p is not null").collect())
+        assert sorted((r["row_id"], r["p"]) for r in scores.where(F.col("model") == k).collect()) == want
+
+
+def test_search_grows_trials_together(spark):
+    df = table(spark, rows(120, seed=8))
+    got = models.search(df.drop("fold"), FEATURES, trials=3, folds=3, rounds=(3, 6), patience=2, together=2).orderBy("trial").collect()
+    assert [r["trial"] for r in got] == [0, 1, 2] and got[0]["is_best"] and len({r["rate"] for r in got}) == 3
+    best = 0.0
+    for r in got:
+        assert r["is_best"] == (r["auc"] > best) and 3 <= r["depth"] <= 8 and r["best_round"] <= r["rounds"]
+        best = max(best, r["auc"])
+    alike = models.sample_parameters(3, compat=True)
+    assert alike[0] == alike[2] and models.sample_parameters(2)[0] != models.sample_parameters(2)[1]
