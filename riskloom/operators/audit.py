@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..scratch import written
 from . import metrics
 from .binning import binned_mutual_info, crosstab, digitize, information_value, woe_half
 from .profile import missing_flags
@@ -36,9 +37,14 @@ def fold_auc(long: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def leakage_audit(long: DataFrame, s: Settings = DEFAULTS, folds: DataFrame | None = None) -> DataFrame:
-    """feature with auc, mi, iv, ks, agreement with the label, whether it is suspicious, and why. long: row_id, y, feature, x."""
+    """feature with auc, mi, iv, ks, agreement with the label, whether it is suspicious, and why. long: row_id, y, feature, x.
+
+    long is made once: all five statistics read the written rows, and information and IV the same bins.
+    """
+    long = written(long.select("row_id", "y", "feature", "x"), "audit")
+    binned = written(digitize(long, s.bins).select("y", "feature", "x", "bin"), "audit-bins")
     out = metrics.auc(long, ["feature"]).select("feature", "auc")
-    parts = [binned_mutual_info(long, s.bins), information_value(woe_half(crosstab(digitize(long, s.bins)))), metrics.ks_grid(long, ["feature"], s.ks_points), against_label(long)]
+    parts = [binned_mutual_info(long, s.bins, binned), information_value(woe_half(crosstab(binned))), metrics.ks_grid(long, ["feature"], s.ks_points), against_label(long)]
     if folds is not None:
         parts.append(fold_auc(long, folds))
     for p in parts:

@@ -68,10 +68,10 @@ def categorical_woe(df: DataFrame, column: str, least: int = DEFAULTS.rare_count
     return woe_smooth(crosstab(t.select(F.lit(column).alias("feature"), F.col(column).alias("bin"), "y")))
 
 
-def binned_mutual_info(long: DataFrame, bins: int = DEFAULTS.bins) -> DataFrame:
-    """feature, mi with y: left-closed quantile bins for features of more than bins values that aren't all integers, else the values."""
+def binned_mutual_info(long: DataFrame, bins: int = DEFAULTS.bins, binned: DataFrame | None = None) -> DataFrame:
+    """feature, mi with y: left-closed quantile bins for features of more than bins values that aren't all integers, else the values. binned: digitize(long), if it is at hand."""
     kind = long.where("x is not null").groupBy("feature").agg((F.count_distinct("x") > bins).alias("many"), F.max(F.abs(F.col("x") - F.floor("x"))).alias("off"))
-    t = digitize(long, bins).join(F.broadcast(kind), "feature")
+    t = (binned if binned is not None else digitize(long, bins)).join(F.broadcast(kind), "feature")
     t = t.withColumn("bin", F.when(F.col("many") & (F.col("off") > 0), F.col("bin")).otherwise(F.col("x")))
     return mutual_info(t.where("y is not null"), ["feature"], "bin", "y", 1e-12)
 

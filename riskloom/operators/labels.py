@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.coerce import severity
+from ..scratch import written
 from .order import average_ranks, exact_quantiles
 from .similarity import binary_pairs
 
@@ -155,6 +156,7 @@ def robust_normalised(df: DataFrame, keys: list[str], x: str, quantiles: tuple[f
 
 def risk_score(events: DataFrame, meta: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """row_id, risk_score_raw, risk_percentile, risk_score_0_100: normalised severities, weighted by source, window and rarity, summed and ranked."""
+    events = written(events.select("row_id", "source", "event", "severity"), "events")  # read three times
     z = robust_normalised(events, ["source"], "severity", s.risk_quantiles)
     rate = events.groupBy("source").agg(F.avg("event").alias("pi"))
     window = F.lit(s.window_weights["unknown"])
@@ -168,7 +170,7 @@ def risk_score(events: DataFrame, meta: DataFrame, s: Settings = DEFAULTS) -> Da
 
 def percentile_ranks(df: DataFrame, column: str) -> DataFrame:
     """df with risk_percentile, the average rank over the number of rows, and risk_score_0_100, that in hundredths of a percent, halves to even."""
-    df = df.persist()
+    df = written(df, "ranked")
     t = average_ranks(df, [], column).crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
     p = F.col("rank") / F.col("_n")
     return t.withColumn("risk_percentile", p).withColumn("risk_score_0_100", F.bround(100 * F.col("risk_percentile"), 2)).drop("rank", "_n")

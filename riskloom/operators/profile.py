@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..functions import patterns as P
 from .order import exact_quantiles
 
 
@@ -186,3 +187,15 @@ def bar_table(df: DataFrame, name: str, value: str, k: int = 30) -> DataFrame:
     """place, name, value of the k largest values, ties by name: the table behind a bar chart."""
     top = top_k(df.select(F.col(name).alias("name"), F.col(value).alias("value")), "value", "name", k)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "name")))  # k rows
+
+
+def value_kinds(long: DataFrame, words: DataFrame) -> DataFrame:
+    """feature, non_negative, integral, small, kind: count, ratio, amount or other by the words of words (feature, t), else by shares of the feature's values: those from 0 on, whole ones, and those from -5 to 5.
+
+    Features without a value have null shares and are judged by words alone.
+    """
+    x = F.when(~F.isnan("x"), F.col("x"))
+    share = lambda test: F.avg(F.when(x.isNotNull(), test.cast("double")))
+    shares = long.groupBy("feature").agg(share(x >= 0).alias("non_negative"), share(x == F.floor(x)).alias("integral"), share(x.between(-5, 5)).alias("small"))
+    t = shares.join(F.broadcast(words), "feature", "left").withColumn("t", F.coalesce("t", F.col("feature")))  # a row a feature
+    return t.select("feature", "non_negative", "integral", "small", P.numeric_kind(F.col("t"), F.col("non_negative"), F.col("integral"), F.col("small")).alias("kind"))

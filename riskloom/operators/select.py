@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..scratch import written
 from . import metrics
 from .binning import kbins_mutual_info
 from .similarity import anova_f, spearman
@@ -81,6 +82,24 @@ def consensus_rank(scores: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("consensus_rank", sum((F.col(f"rank_{c}") for c in columns), F.lit(0.0)) / len(columns))
 
 
+def consensus_table(scores: dict[str, DataFrame], kept: DataFrame | None = None, stability_rates: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """variable, a column for each score (null where a method has none), rank_<score>, consensus_rank, kept_after_prune, stability_rate and description, best rank first.
+
+    scores: name -> (feature, score). kept: feature, of those that pruning leaves; stability_rates: feature, stability_rate; words: variable,
+    description. Missing scores count as 0 in ranks. A variable that any table names has a row.
+    """
+    out = reduce(lambda a, b: a.join(b, "feature", "full"), (t.select("feature", F.col("score").alias(n)) for n, t in scores.items()))
+    out = written(out, "scores")  # a row a feature
+    ranks = consensus_rank(out, list(scores)).select("feature", *(f"rank_{n}" for n in scores), "consensus_rank")
+    out = out.join(ranks, "feature")
+    keep = kept.select("feature").distinct().withColumn("kept_after_prune", F.lit(1)) if kept is not None else None
+    out = out.join(keep, "feature", "left").withColumn("kept_after_prune", F.coalesce("kept_after_prune", F.lit(0))) if keep is not None else out.withColumn("kept_after_prune", F.lit(None).cast("int"))
+    out = out.join(stability_rates.select("feature", "stability_rate"), "feature", "left") if stability_rates is not None else out.withColumn("stability_rate", F.lit(None).cast("double"))
+    out = out.withColumnRenamed("feature", "variable")
+    out = out.join(words.select("variable", "description"), "variable", "left") if words is not None else out.withColumn("description", F.lit(None).cast("string"))
+    return out.orderBy("consensus_rank", F.desc_nulls_last("stability_rate"), "variable")  # a row a feature
+
+
 def strip_missing_suffix(df: DataFrame, column: str = "feature") -> DataFrame:
     """Scores of missing-value flags under their column's own name."""
     return df.withColumn(column, F.regexp_replace(column, "__isna$", ""))

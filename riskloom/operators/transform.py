@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..scratch import written
 from .order import exact_quantiles
 from .profile import clean
 
@@ -78,6 +79,12 @@ def robust_scale(long: DataFrame) -> DataFrame:
     return long.join(F.broadcast(q), "feature").withColumn("x", (F.col("x") - F.col("q1")) / F.when(iqr == 0, 1.0).otherwise(iqr)).drop("q0", "q1", "q2")
 
 
+def impute_scale(long: DataFrame) -> DataFrame:
+    """robust_scale(impute_median(long)), each step written once, as the next reads it twice."""
+    filled = written(impute_median(written(long, "long")), "imputed")
+    return robust_scale(filled)
+
+
 def standard_scale(long: DataFrame, centre: bool = True) -> DataFrame:
     """long with x over its population deviation (1 if 0), minus the mean if centre; missing becomes 0."""
     m = long.groupBy("feature").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))

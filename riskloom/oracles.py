@@ -319,6 +319,19 @@ ORACLES["permuted_auc"] = f"""WITH {X.SNAP_SQL}, pl AS (SELECT *, row_number() O
  SELECT [{', '.join(f"'{f}'" for f in _WEIGHTS)}][CAST(floor(a.feature / 2) AS INT) + 1] AS feature, CAST(a.feature % 2 AS INT) AS repeat, round(a.auc, 6) AS auc, round(b.auc, 6) AS base_auc FROM au a, au b WHERE a.feature >= 0 AND b.feature = -2"""
 
 
+_rank = lambda c: f"rank() OVER (ORDER BY coalesce({c}, 0) DESC) + (count(*) OVER (PARTITION BY coalesce({c}, 0)) - 1) / 2.0::DOUBLE"
+_SCORE_NAMES = ("mi", "iv", "missing_auc")
+ORACLES["consensus_table"] = f"""WITH a AS ({ORACLES['mi_kbins']}), b AS ({ORACLES['iv_qcut'].replace(X.DOCLONG_SQL, X.SNAPLONG_SQL)}), c AS ({ORACLES['missing_flag_names']}), k AS ({ORACLES['corr_prune']}),
+ j AS (SELECT coalesce(a.feature, b.feature, c.feature) AS variable, mi, iv, auc AS missing_auc FROM a FULL JOIN b ON a.feature = b.feature FULL JOIN c ON coalesce(a.feature, b.feature) = c.feature),
+ q AS (SELECT *, {', '.join(f'{_rank(c)} AS rank_{c}' for c in _SCORE_NAMES)} FROM j)
+ SELECT variable, mi, iv, missing_auc, {', '.join(f'rank_{c}' for c in _SCORE_NAMES)}, round(({' + '.join(f'rank_{c}' for c in _SCORE_NAMES)}) / 3, 6) AS consensus_rank, CAST(coalesce(kept, false) AS INT) AS kept_after_prune FROM q LEFT JOIN k ON k.feature = q.variable"""
+
+_KIND_WORDS = {"n_orders": "orders made", "acctbal": "account balance", "ret_share": "returned part"}
+_kind = lambda words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+ORACLES["numeric_kinds"] = f"""WITH {X.SNAPLONG_SQL}, sh AS (SELECT feature, avg(CASE WHEN x >= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS non_negative, avg(CASE WHEN x = floor(x) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS integral, avg(CASE WHEN x BETWEEN -5 AND 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS small FROM lng WHERE x IS NOT NULL GROUP BY 1),
+ tt AS (SELECT *, CASE feature {' '.join(f"WHEN '{f}' THEN '{t}'" for f, t in _KIND_WORDS.items())} ELSE feature END AS t FROM sh)
+ SELECT feature, {r('non_negative', 'non_negative')}, {r('integral', 'integral')}, {r('small', 'small')}, CASE {' '.join(f"WHEN {_kind(w)} THEN '{k}'" for k, w in P.NUMERIC_KINDS.items())} WHEN non_negative > 0.98 AND integral > 0.95 THEN 'count' WHEN small > 0.98 THEN 'ratio' ELSE 'other' END AS kind FROM tt"""
+
 
 def _cluster_rounds(rounds: int) -> str:
     """Common table expressions of k-means with two centres over mat (s, dim, v), beginning with c0 (c, dim, v)."""

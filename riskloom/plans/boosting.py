@@ -40,7 +40,7 @@ MISSING = 0
 @dataclass(frozen=True)
 class Parameters:
     """rounds: trees at most. rate: of learning. child_weight: least hessian of a side. ridge, lasso: penalties on leaf values. gain: what a split must bring. rows, columns: shares drawn for each tree. positive: weight of positive rows.
-    rising: +1 or -1 for features whose effect must rise or fall."""
+    rising: +1 or -1 for features whose effect must rise or fall. every_round: score with all rounds, whatever held-out rows say."""
 
     rounds: int = 30
     rate: float = 0.1
@@ -57,6 +57,7 @@ class Parameters:
     metric: str = "auc"
     rising: dict[str, int] = field(default_factory=dict)
     seed: int = 42
+    every_round: bool = False
 
     def __post_init__(self):
         if not 2 <= self.bins <= 255 or self.depth < 1 or self.metric not in ("auc", "ap", "logloss"):
@@ -440,7 +441,7 @@ class _Grower:
                     m.done = m.held is None and m.grown >= m.p.rounds
             tree += 1
         for m in self.models:
-            if not m.curve:
+            if not m.curve or m.p.every_round:
                 m.best = len(m.trees)
 
 

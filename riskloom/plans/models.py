@@ -25,7 +25,7 @@ from ..operators.guard import auc_band
 from ..operators.order import prefix_sums
 from ..operators.splits import stratified_folds, stratified_split
 from ..scratch import dropped, written
-from . import boosting, linear
+from . import boosting, linear, networks
 
 
 def logistic(elastic: float = 0.5, reg: float = 0.01) -> LogisticRegression:
@@ -178,6 +178,18 @@ def chosen_metric(prevalence: float) -> str:
     return "ap" if prevalence <= 0.20 else "auc"
 
 
+def best_parameters(trials: DataFrame) -> boosting.Parameters:
+    """The parameters of the best trial of search() (the first on ties), as read back from a table of trials."""
+    r = trials.orderBy(F.desc("auc"), "trial").first()
+    return boosting.Parameters(rate=r["rate"], depth=r["depth"], child_weight=r["child_weight"], rows=r["row_share"], columns=r["column_share"], gain=r["gain"], lasso=r["lasso"], ridge=r["ridge"], positive=r["positive"], rounds=r["rounds"], metric=r["metric"])
+
+
+def for_stacking(p: boosting.Parameters | None = None) -> boosting.Parameters:
+    """p, or the defaults of a stack, without class weight and early stop: out-of-fold scores of a stack come from trees that no held-out row has stopped."""
+    p = p or boosting.Parameters(rounds=1200, rate=0.05, depth=6, rows=0.8, columns=0.8, lasso=0.1, ridge=0.5)
+    return replace(p, positive=1.0, patience=None, every_round=True)
+
+
 def search(df: DataFrame, features: list[str], trials: int = 60, folds: int = 5, rounds: tuple[int, int] = (800, 2000), patience: int = 200, together: int = 8, seed: int = DEFAULTS.seed) -> DataFrame:
     """trial, its parameters, the mean of the folds' best rounds, out-of-fold metrics, the metric that stops trees early, and whether the trial's AUC was best so far.
 
@@ -304,3 +316,23 @@ def train_val_test(df: DataFrame, features: list[str], estimator: Callable[[], E
     model = pipeline(features, estimator()).fit(t.where("split = 'train'"))
     val, test = scored(model, t.where("split = 'val'")), scored(model, t.where("split = 'test'"))
     return metrics.summary(platt(test, val).withColumnRenamed("calibrated", "x"), [])
+
+
+def early_stopped_run(df: DataFrame, features: list[str], model: boosting.Parameters | tuple[object, networks.Training], parts: dict[str, float] | None = None, seed: int = DEFAULTS.seed) -> DataFrame:
+    """part (val, test, test_calibrated) and its metrics: boosted trees, or a network and how to train it, fitted on train, stopped by val, calibrated on val, and scored on test."""
+    t = written(stratified_split(df.select("row_id", "y", *features), parts, seed).withColumn("fold", (F.col("split") == "val").cast("int")), "split")
+    seen, test = t.where("split <> 'test'").drop("split"), t.where("split = 'test'").drop("split", "fold")
+    if isinstance(model, boosting.Parameters):
+        fitted, scores = boosting.fit(seen, features, model, [1])
+        tested = boosting.predict(replace(fitted, models=[replace(fitted.models[0], held=None)]), test).select("row_id", "p")
+    else:
+        net, how = model
+        fitted, scores = networks.fit(seen, features, net, how, [1])
+        tested = networks.predict(fitted, net, test, features)
+    val = scores.where("fold = 1").select("row_id", "y", "p")
+    tested = written(test.select("row_id", F.col("y").cast("int").alias("y")).join(tested, "row_id"), "tested")
+    calibrated = platt(tested, written(val, "val"))
+    out = val.select(F.lit("val").alias("part"), "y", F.col("p").alias("x"))
+    for name, scored_rows, column in (("test", tested, "p"), ("test_calibrated", calibrated, "calibrated")):
+        out = out.unionByName(scored_rows.select(F.lit(name).alias("part"), "y", F.col(column).alias("x")))
+    return _measured(out)

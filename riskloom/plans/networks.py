@@ -417,3 +417,18 @@ def _scored(blocks: DataFrame, net, models: list[Fitted], features: int) -> Data
 def cross_validated(df: DataFrame, features: list[str], net, t: Training | None = None, folds: int = 5, whole: bool = False) -> tuple[list[Fitted], DataFrame]:
     """fit() with a model for each fold of df (fold: 0 to folds - 1), and one of all rows if whole."""
     return fit(df, features, net, t, [*range(folds), *([None] if whole else [])])
+
+
+def predict(models: list[Fitted], net, df: DataFrame, features: list[str], k: int = -1) -> DataFrame:
+    """row_id, p of df (row_id, features) by one of the models."""
+    m, schema = models[k], pa.schema([("row_id", pa.int64()), ("p", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(features))
+                yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(1 / (1 + np.exp(-m.scores(net, x))))], schema=schema)
+
+    x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features))
+    return df.select(F.col("row_id").cast("bigint").alias("row_id"), x.alias("x")).mapInArrow(run, "row_id bigint, p double")

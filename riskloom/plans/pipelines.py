@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import patterns as P
 from ..operators import audit, guard, labels, metrics, profile, prune, similarity, splits, transform
-from . import models
+from ..scratch import dropped, written
+from . import boosting, models, networks
 
 
 @dataclass
@@ -73,7 +74,7 @@ def engineer_features(df: DataFrame, columns: list[str], meta: DataFrame, y: str
     kept = [c for c in kept if c in filled]
     texts = {r["column_name"]: r["t"] for r in meta.select("column_name", P.text().alias("t")).collect()}
     words = df.sparkSession.createDataFrame([(c, texts.get(c, c)) for c in kept], "feature string, t string")
-    kinds = words.select("feature", P.numeric_kind(F.col("t")).alias("kind"))
+    kinds = profile.value_kinds(long.where(F.col("feature").isin(kept)), words).select("feature", "kind")
     scaled = transform.robust_scale(transform.impute_median(transform.numeric_transform(long.where(F.col("feature").isin(kept)), kinds)))
     encoded, names = transform.encoded_categories(df.withColumnRenamed(y, "y") if y != "y" else df, guard.keep_ordinals(categories, guard.snapshot_guard(meta.where(F.col("column_name").isin(categories)), sources=sources)) if categories else [], s.one_hot_levels)
     if names:
@@ -88,14 +89,15 @@ def engineer_features(df: DataFrame, columns: list[str], meta: DataFrame, y: str
     return Features(transform.to_wide(clean, chosen, ("row_id", "y")), chosen, banned, sorted({*columns} - {*chosen} | {*dropped}), report)
 
 
-def train(matrix: DataFrame, features: list[str], folds: int = 5, s: Settings = DEFAULTS, nested: bool = False) -> dict[str, DataFrame]:
-    """Entry C: out-of-fold trees and perceptron, a stack of both, calibration, metrics and deciles."""
-    t = splits.stratified_folds(matrix, folds, s.seed).persist()
+def train(matrix: DataFrame, features: list[str], folds: int = 5, s: Settings = DEFAULTS, nested: bool = False, trees: boosting.Parameters | None = None, net: networks.Perceptron | None = None, t: networks.Training | None = None) -> dict[str, DataFrame]:
+    """Entry C: out-of-fold trees and perceptron, a stack of both, calibration, metrics and deciles. trees: as a search found them, say; a stack uses them without class weight and early stop."""
+    rows = written(splits.stratified_folds(matrix.select("row_id", "y", *features), folds, s.seed), "folds")
     parts = {
-        "gbt": models.out_of_fold(t, features, lambda: models.boosted(seed=s.seed), folds, s.seed, scale=False),
-        "mlp": models.out_of_fold(t, features, lambda: models.perceptron(len(features), seed=s.seed), folds, s.seed),
+        "gbt": boosting.cross_validated(rows, features, models.for_stacking(trees), folds)[1],
+        "mlp": networks.cross_validated(rows, features, net or networks.Perceptron(len(features), (128, 64), 0.0), t or networks.Training(epochs=30, block=256, seed=s.seed), folds)[1],
     }
     stack, _, _ = models.stacked(parts, nested, folds, s.seed)
-    score = stack.select("row_id", "y", F.col("oof_stack").alias("p")).persist()
-    x = models.platt(score).select("row_id", "y", F.col("calibrated").alias("x")).persist()
+    score = written(stack.select("row_id", "y", F.col("oof_stack").alias("p")), "stack-scores")
+    x = written(models.platt(score).select("row_id", "y", F.col("calibrated").alias("x")), "calibrated")
+    dropped(rows)
     return {"oof": stack, "calibrated": x, "metrics": metrics.summary(x, []), "deciles": metrics.deciles_by_rank(x, s.bins), "deciles_by_cut": metrics.deciles_by_cut(x, s.bins)}

@@ -321,7 +321,7 @@ def target_encode_cv(s, d):
 
 @query
 def impute_scale(s, d):
-    return transform.robust_scale(transform.impute_median(X.snap_long(s, d))).drop("y")
+    return transform.impute_scale(X.snap_long(s, d)).drop("y")
 
 
 @query
@@ -387,6 +387,26 @@ def consensus_rank(s, d):
     return select.consensus_rank(_scores(s, d), ["f", "spearman", "mi"])
 
 
+@query
+def consensus_table(s, d):
+    """Scores of several methods side by side, their ranks, and what correlation pruning keeps."""
+    t = written(X.snap_long(s, d), "long")
+    scores = {
+        "mi": binning.kbins_mutual_info(t, 10).select("feature", F.col("mi").alias("score")),
+        "iv": binning.information_value(binning.woe_smooth(binning.crosstab(binning.qcut(t)))).select("feature", F.col("iv").alias("score")),
+        "missing_auc": select.strip_missing_suffix(audit.missingness_auc(t)).select("feature", F.col("auc").alias("score")),
+    }
+    kept, _ = prune.prune_inclusive(similarity.pearson(t), X.SNAP_FEATURES, 0.8)
+    return select.consensus_table(scores, s.createDataFrame([(c,) for c in kept], "feature string")).drop("stability_rate", "description")
+
+
+@query
+def numeric_kinds(s, d):
+    """What kind of number each feature holds, by its words or else by its values."""
+    words = s.createDataFrame([("n_orders", "orders made"), ("acctbal", "account balance"), ("ret_share", "returned part")], "feature string, t string")
+    return profile.value_kinds(X.snap_long(s, d), words)
+
+
 @query
 def combined_score(s, d):
     return select.combined_score(_scores(s, d))
@@ -459,6 +479,12 @@ def attention_cv(s, d):
     return networks.cross_validated(_folds(s, d), FEATURES, networks.Attention(len(FEATURES), width=8, layers=1, heads=2), TRAINING)[1]
 
 
+@query
+def tvt_report(s, d):
+    """A perceptron fitted on train, stopped and calibrated by val, and scored on test."""
+    return models.early_stopped_run(X.snapshot(s, d), FEATURES, (networks.Perceptron(len(FEATURES), (32, 16)), TRAINING))
+
+
 @query
 def split_gains(s, d):
     """The best first split of each feature, by the gain in log loss."""

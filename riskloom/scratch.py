@@ -7,12 +7,14 @@ of spark.checkpoint.dir, which all executors share, so a lost executor loses not
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: list[tuple[SparkSession, str]] = []
+_makers: dict[str, int] = {}  # the thread that wrote a table
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -49,6 +51,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/riskloom/{what}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
+    _makers[path] = threading.get_ident()
     schema = df.schema
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # the shuffle files go with the job: nothing reads them again
@@ -65,6 +68,7 @@ def forget(table: tuple[SparkSession, str]) -> None:
     """Deletes one of scratch_tables()."""
     _delete(*table)
     _scratch.remove(table)
+    del _makers[table[1]]
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -73,5 +77,6 @@ def dropped(*tables: DataFrame) -> None:
         forget(t._scratch)
 
 
-def scratch_tables() -> list[tuple[SparkSession, str]]:
-    return list(_scratch)
+def scratch_tables(spark: SparkSession | None = None) -> list[tuple[SparkSession, str]]:
+    """The tables there are; with a session, those that the calling thread has written in it."""
+    return [t for t in _scratch if spark is None or t[0] is spark and _makers[t[1]] == threading.get_ident()]

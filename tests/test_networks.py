@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.plans import models
+from riskloom.plans import boosting, models
 from riskloom.plans.networks import AdamW, Attention, Perceptron, Training, cross_validated, fit, loss_and_gradients, rate_of
 
 FEATURES = ["a", "b", "c"]
@@ -79,3 +79,10 @@ def test_early_stop_one_class_and_no_rows(spark):
     assert scores.collect() == []
     _, scores = fit(df.withColumn("y", F.when(F.col("row_id") > 9, F.col("y"))), FEATURES, net, Training(epochs=1))
     assert scores.count() == 110
+
+
+@pytest.mark.parametrize("model", [boosting.Parameters(rounds=6, patience=3, bins=8), (Perceptron(3, (8,), 0.0), Training(epochs=6, block=64, rate=0.05))])
+def test_run_on_train_val_and_test(spark, model):
+    got = {r["part"]: r for r in models.early_stopped_run(table(spark, 400), FEATURES, model).collect()}
+    assert set(got) == {"val", "test", "test_calibrated"} and got["test"]["auc"] > 0.75
+    assert got["test_calibrated"]["auc"] == pytest.approx(got["test"]["auc"]) and got["test_calibrated"]["logloss"] < 0.69

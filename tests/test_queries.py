@@ -32,7 +32,7 @@ def plain(rows, columns, order):
     return sorted((tuple(one(r[columns.index(c)]) for c in order) for r in rows), key=repr)
 
 
-NEW = "label_candidates label_sources label_sources_table binarised_sources dominance_prune jaccard_dedup leak_report corr_prune corr_prune_strict component_prune redundant_columns consensus_rank combined_score per_label_scores single_feature_scan heat_map spearman_pairs strict_label metric_summary encoded_categories verification_guard mi_knn split_gains permuted_auc fold_metrics label_clustered".split()
+NEW = "label_candidates label_sources label_sources_table binarised_sources dominance_prune jaccard_dedup leak_report corr_prune corr_prune_strict component_prune redundant_columns consensus_rank combined_score per_label_scores single_feature_scan heat_map spearman_pairs strict_label metric_summary encoded_categories verification_guard mi_knn split_gains permuted_auc fold_metrics label_clustered consensus_table numeric_kinds guard_from_files severe_sources warmup_schedule forbidden_window_columns".split()
 
 
 @pytest.mark.parametrize("name", NEW + ["decile_table", "auc_gini_ks", "column_profile", "column_roles", "outcome_score", "binary_pairs", "iv_digitize", "woe_categorical", "label_union", "guard_reasons", "stratified_split", "target_encode_cv", "coerce_values", "fill_rate_filter"])
