@@ -9,6 +9,7 @@ its end mark.
 from __future__ import annotations
 
 import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_made: list = []  # the scratch tables of the stage before
+_made: dict[tuple[int, int], list] = {}  # the scratch tables of the stage before, of each session and thread: runs side by side don't meet
 
 
 def stage(f: Stage) -> Stage:
@@ -32,10 +33,12 @@ def stage(f: Stage) -> Stage:
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        released(_made, docs)
-        before = set(scratch_tables())
+        own = (id(spark), threading.get_ident())
+        made = _made.get(own, [])
+        released(made, docs)
+        before = set(scratch_tables(spark))
         out = f(spark, docs, sf_dir)
-        _made[:] = [t for t in scratch_tables() if t in before and t in _made or t not in before]
+        _made[own] = [t for t in scratch_tables(spark) if t not in before or t in made]
         return out
 
     return run
