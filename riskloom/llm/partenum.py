@@ -27,8 +27,8 @@ from .common import blocks, dropped, mask_hashes, mix, raw_strings, spread, word
 from .graph import components
 
 SHINGLE, PERCENT, BAND_GROWTH, SPARE, MOST_LEFT_OUT, SKETCH_BITS = 4, 85, 1.5, 0.1, 4, 1024
-#: Parts of a partition; the subsets of all but one of them are enumerated.
-PARTS = 3
+#: Parts of a partition; the subsets of all but one of them are enumerated. Bits of a signature: sets that share one by chance are told apart when they are verified.
+PARTS, SIGNATURE_BITS = 3, 48
 #: Rounds of hubs at most, before the pairs that are left; pairs of a hub that are verified together.
 MOST_ROUNDS, HUB_PAIRS = 8, 500
 #: Ids of 8 bytes: at most 16 MB are broadcast; beyond that the texts are shuffled.
@@ -111,32 +111,54 @@ def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray, percent: int = P
     return who[unit[row]], sig[row, subset]
 
 
-def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """doc_id, hash (of the text), n, class, sketch and signatures of each document; the signatures once for each class that a task meets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
+def class_names(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A name for each set, given the sets' elements one after the other and their sizes; 0 for empty ones."""
+    out, has = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if len(has):
+        starts = (np.cumsum(n) - n)[has]
+        total, odd = np.add.reduceat(mix(key), starts), np.bitwise_xor.reduceat(mix(key ^ np.uint64(0xD1342543DE82EF95)), starts)
+        out[has] = mix(total + mix(odd + n[has].astype(np.uint64)))
+    return out
+
+
+def described(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, hash (of the text), n, class and sketch of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64()))])
     step = SKETCH_BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             data, offsets = raw_strings(batch.column("text"))
             for lo, hi in blocks(offsets):
-                at = offsets[lo : hi + 1] - offsets[lo]
-                doc, key = shingle_sets(data[offsets[lo] : offsets[hi]], at, size)
+                doc, key = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 rows = hi - lo
                 n = np.bincount(doc, minlength=rows)
-                has = np.flatnonzero(n)
-                first = np.cumsum(n) - n
-                name = np.zeros(rows, np.uint64)
-                if len(has):
-                    starts = first[has]
-                    total, odd = np.add.reduceat(mix(key), starts), np.bitwise_xor.reduceat(mix(key ^ np.uint64(0xD1342543DE82EF95)), starts)
-                    name[has] = mix(total + mix(odd + n[has].astype(np.uint64)))
                 bit = (mix(key ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(20)).astype(np.int64) % SKETCH_BITS
                 odd_bits = (np.bincount(doc * SKETCH_BITS + bit, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
                 sketch = np.packbits(odd_bits.reshape(rows, SKETCH_BITS), axis=1).view(np.int64).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * step, pa.int32()), pa.array(sketch))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, rows), batch.column("hash").slice(lo, rows), pa.array(n, pa.int64()), pa.array(class_names(key, n).view(np.int64)), lists], schema=schema)
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id bigint, hash bigint, n bigint, class bigint, sketch array<bigint>")
+
+
+def signed(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """class and sigs (its signatures, of SIGNATURE_BITS) once for each class that a task meets. They are enumerated anew from the texts, as they take far more room than the sets' names."""
+    schema = pa.schema([("class", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    low = np.uint64((1 << SIGNATURE_BITS) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            data, offsets = raw_strings(batch.column("text"))
+            for lo, hi in blocks(offsets):
+                doc, key = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                rows = hi - lo
+                n = np.bincount(doc, minlength=rows)
+                name = class_names(key, n)
                 fresh = np.zeros(rows, bool)
-                for i in has.tolist():
+                for i in np.flatnonzero(n).tolist():
                     x = int(name[i])
                     if x not in seen:
                         seen.add(x)
@@ -145,20 +167,10 @@ def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> D
                 who, sig = signatures(doc[some], key[some], np.where(fresh, n, 0), percent)
                 order = np.argsort(who, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=rows))])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, rows),
-                        batch.column("hash").slice(lo, rows),
-                        pa.array(n, pa.int64()),
-                        pa.array(name.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * step, pa.int32()), pa.array(sketch)),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig[order].view(np.int64))),
-                    ],
-                    schema=schema,
-                )
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((sig[order] & low).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), lists], schema=schema).filter(pa.array(fresh))
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id bigint, hash bigint, n bigint, class bigint, sketch array<bigint>, sigs array<bigint>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "class bigint, sigs array<bigint>")
 
 
 def place_of(doc_id: Column, text_hash: Column) -> Column:
@@ -209,22 +221,28 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: in
     return links
 
 
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """table, of at most so many rows of two numbers, to be broadcast if that is 16 MB at most; beyond it Spark shuffles."""
+    return F.broadcast(table) if rows <= MAX_BROADCAST_IDS else table
+
+
 def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, class, label of the signatures of rows (sig, class) whose classes are in several components. labels: node, label."""
-    rows = rows.select("sig", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    """sig, class, label of the signatures of rows (sig, class) whose classes are in several components. labels: node, label, written. The rows are dealt once."""
+    rows = rows.select("sig", "class").join(small(labels.withColumnRenamed("node", "class"), labels.count()), "class", "left").withColumn("label", F.coalesce("label", "class")).repartition("sig")
     several = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    return rows.join(several, "sig")
+    return rows.join(several.hint("shuffle_hash"), "sig")
 
 
-def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b) of each class a of rows (sig, class, label) and the hub of another component with which it shares most signatures.
+def hub_pairs(rows: DataFrame, turn: int, classes: int) -> DataFrame:
+    """(a, b) of each class a of rows (sig, class, label) and the hub of another component with which it shares most signatures. classes: how many there are at most.
 
     The hub of a signature is its heaviest class in the first turn, then the heaviest of a component that the turn's hash picks.
     """
     weight = rows.groupBy("class").agg(F.count("*").alias("weight"))
     pick = F.lit(0) if not turn else F.xxhash64("label", F.lit(turn))
-    hubs = rows.join(weight, "class").groupBy("sig").agg(F.max(F.struct(pick.alias("pick"), "weight", "class", "label")).alias("hub")).select("sig", F.col("hub.class").alias("hub"), F.col("hub.label").alias("hub_label"))
-    best = rows.join(hubs, "sig").where("label <> hub_label").groupBy("class", "hub").count()
+    dealt = rows.join(small(weight, classes), "class").repartition("sig")
+    hubs = dealt.groupBy("sig").agg(F.max(F.struct(pick.alias("pick"), "weight", "class", "label")).alias("hub")).select("sig", F.col("hub.class").alias("hub"), F.col("hub.label").alias("hub_label"))
+    best = dealt.join(hubs.hint("shuffle_hash"), "sig").where("label <> hub_label").groupBy("class", "hub").count()
     return best.groupBy("class").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("class").alias("a"), F.col("x.hub").alias("b"))
 
 
@@ -248,10 +266,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
 def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """near_duplicates() with hash, xxhash64 of the text, and label, which names the component of every row with words, with or without doc_id."""
-    rows = written(described(docs, percent, size), "sets")
+    rows = written(described(docs, size), "sets")
     at = place_of(F.col("doc_id"), F.col("hash"))
     classes = written(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    dealt = rows.select(F.explode("sigs").alias("sig"), "class").repartition("sig")
+    n_classes = classes.count()
+    dealt = signed(docs, percent, size).select(F.explode("sigs").alias("sig"), "class").repartition("sig")
     shared = dealt.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
     buckets = written(dealt.join(shared.hint("shuffle_hash"), "sig").distinct(), "buckets")
     known = classes.select("class", "at", "n", "sketch")
@@ -260,8 +279,9 @@ def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     rows_left = buckets
     for turn in range(MOST_ROUNDS):
         if labels is not None:  # a signature that is settled stays so
-            rows_left = written(unsettled(rows_left, labels), "unsettled")
-        pairs = hub_pairs(rows_left.withColumn("label", F.col("class")) if labels is None else rows_left, turn)
+            before, rows_left = rows_left, written(unsettled(rows_left, labels), "unsettled")
+            dropped(before)
+        pairs = hub_pairs(rows_left.withColumn("label", F.col("class")) if labels is None else rows_left, turn, n_classes)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "hub-pairs")
@@ -273,12 +293,13 @@ def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
             break
     # What shares a signature across components still.
     rest = written(unsettled(rows_left, labels).join(known, "class"), "open")
+    dropped(rows_left)
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent))
     pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.at").alias("doc_a"), F.col("b.at").alias("doc_b")).distinct()
     links = links.unionByName(verified(pairs, docs, percent, size))
     labels = components(links)
-    dropped(rest, buckets)
+    dropped(rest)
 
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "doc", F.coalesce("label", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
