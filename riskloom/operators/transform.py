@@ -103,7 +103,7 @@ def fill_zero(long: DataFrame) -> DataFrame:
 
 def sanitise(long: DataFrame, least_std: float = DEFAULTS.least_std) -> DataFrame:
     """long with infinities and NaN as missing, missing as medians, without features that are constant then."""
-    t = impute_median(long.withColumn("x", clean(F.col("x"))))
+    t = written(impute_median(long.withColumn("x", clean(F.col("x")))), "sane")
     live = t.groupBy("feature").agg(F.stddev_samp("x").alias("s")).where(F.col("s") > least_std).select("feature")
     return t.join(F.broadcast(live), "feature", "left_semi")
 

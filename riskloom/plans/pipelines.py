@@ -29,23 +29,24 @@ def discover_labels(df: DataFrame, columns: list[str], meta: DataFrame, s: Setti
 
     meta: column_name, description. Without an eligible source the status is failed and there are no labels.
     """
-    long = profile.to_long(df, columns).persist()
-    prof = profile.profile(long).persist()
+    long = written(profile.to_long(df, columns), "long")
+    prof = written(profile.profile(long), "profile")
     words = meta.select(F.col("column_name").alias("variable"), P.text().alias("text"))
-    candidates = labels.candidate_table(prof, profile.event_rates(long, prof, s.event_quantile), words, s)
-    negative = labels.negative_pattern_table(prof, words, s)
-    sources = labels.assemble_sources(negative, candidates, s, compat).persist()
-    events = labels.binarise(long, sources).persist()
+    candidates = written(labels.candidate_table(prof, profile.event_rates(long, prof, s.event_quantile), words, s), "candidates")
+    negative = written(labels.negative_pattern_table(prof, words, s), "negative")
+    sources = written(labels.assemble_sources(negative, candidates, s, compat), "sources")
+    events = written(labels.binarise(long, sources), "events")
     live = [r[0] for r in events.select("source").distinct().collect()]
     if not live:
         return Discovery(candidates, negative, None, None, [], "failed")
     weights = sources.where(F.col("source").isin(live)).select("source", "weight", "window")
     kept = labels.jaccard_dedup(events, weights, s.dedup_jaccard)
     kept = labels.dominance_prune(events.where(F.col("source").isin(kept)), s.dominance, s.dominance_floor)
-    events, weights = events.where(F.col("source").isin(kept)), weights.where(F.col("source").isin(kept))
-    union = labels.union_label(events)
+    events, weights = events.where(F.col("source").isin(kept)), written(weights.where(F.col("source").isin(kept)), "weights")
+    union = written(labels.union_label(events), "union")
     prevalence = union.agg(F.avg("label_union")).first()[0]
-    out = union.join(labels.weighted_label(events, weights, prevalence), "row_id").join(labels.clustered_label(events, weights), "row_id").join(labels.risk_score(events, weights, s), "row_id")
+    parts = [written(t, "label") for t in (labels.weighted_label(events, weights, prevalence), labels.clustered_label(events, weights), labels.risk_score(events, weights, s))]
+    out = union.join(parts[0], "row_id").join(parts[1], "row_id").join(parts[2], "row_id")
     return Discovery(candidates, negative, events, out.withColumn("label_hierarchical", F.col("label_union")), kept, "ok")
 
 
@@ -66,21 +67,23 @@ def engineer_features(df: DataFrame, columns: list[str], meta: DataFrame, y: str
     numeric, rest = profile.by_type(df, columns)
     categories = rest if categories is None else categories
     columns = [c for c in columns if c in numeric and c not in categories]
-    long = profile.to_long(df.withColumnRenamed(y, "y") if y != "y" else df, columns, ("row_id", "y")).persist()
+    long = profile.to_long(df.withColumnRenamed(y, "y") if y != "y" else df, columns, ("row_id", "y"))
+    long = written(long, "long")
     unique = profile.near_unique(long, s.near_unique).select(F.col("feature").alias("column"))
-    banned = guard.snapshot_guard(meta.where(F.col("column_name").isin(columns)), sources=sources, near_unique=unique).persist()
+    banned = written(guard.snapshot_guard(meta.where(F.col("column_name").isin(columns)), sources=sources, near_unique=unique), "guard")
     kept = guard.keep_ordinals(columns, banned)
     filled = {r["feature"] for r in profile.fill_rate_filter(long.where(F.col("feature").isin(kept)), s.fill_rate).collect()}
     kept = [c for c in kept if c in filled]
     texts = {r["column_name"]: r["t"] for r in meta.select("column_name", P.text().alias("t")).collect()}
     words = df.sparkSession.createDataFrame([(c, texts.get(c, c)) for c in kept], "feature string, t string")
     kinds = profile.value_kinds(long.where(F.col("feature").isin(kept)), words).select("feature", "kind")
-    scaled = transform.robust_scale(transform.impute_median(transform.numeric_transform(long.where(F.col("feature").isin(kept)), kinds)))
+    # Each step is written, as the next one reads it several times.
+    scaled = written(transform.impute_scale(transform.numeric_transform(long.where(F.col("feature").isin(kept)), written(kinds, "kinds"))), "scaled")
     encoded, names = transform.encoded_categories(df.withColumnRenamed(y, "y") if y != "y" else df, guard.keep_ordinals(categories, guard.snapshot_guard(meta.where(F.col("column_name").isin(categories)), sources=sources)) if categories else [], s.one_hot_levels)
     if names:
-        scaled = scaled.unionByName(profile.to_long(encoded, names, ("row_id", "y")).select(*scaled.columns))
+        scaled = written(scaled.unionByName(profile.to_long(encoded, names, ("row_id", "y")).select(*scaled.columns)), "encoded")
     kept = [*kept, *names]
-    clean = transform.sanitise(scaled, s.least_std).persist()
+    clean = written(transform.sanitise(scaled, s.least_std), "clean")
     live = [c for c in kept if c in {r[0] for r in clean.select("feature").distinct().collect()}]
     priority = {r["feature"]: abs(r["auc"] - 0.5) for r in metrics.auc(clean, ["feature"]).collect()}
     chosen, dropped = prune.prune_inclusive(similarity.pearson(clean), live, s.correlation_inclusive, priority)

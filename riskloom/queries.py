@@ -552,8 +552,8 @@ def permutation_importance(s, d):
 
 @query
 def model_search(s, d):
-    """Random search over boosted trees, by out-of-fold metrics: all folds of six trials grow together."""
-    return models.search(X.snapshot(s, d), FEATURES, trials=6, rounds=(8, 16), patience=4)
+    """Random search over boosted trees, by out-of-fold metrics: all folds of four trials grow together."""
+    return models.search(X.snapshot(s, d), FEATURES, trials=4, rounds=(6, 12), patience=4)
 
 
 @query

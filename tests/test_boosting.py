@@ -74,7 +74,7 @@ def plain_boosting(x, y, w, seen, p, edges, rising, base):
     return out
 
 
-@pytest.mark.parametrize("p", [Parameters(rounds=12, depth=3, bins=8, rate=0.3), Parameters(rounds=4, depth=2, bins=6, lasso=0.5, gain=0.2, child_weight=3.0, ridge=0.1, positive=2.5, rising={"a": 1, "b": -1})])
+@pytest.mark.parametrize("p", [Parameters(rounds=6, depth=3, bins=8, rate=0.3), Parameters(rounds=4, depth=2, bins=6, lasso=0.5, gain=0.2, child_weight=3.0, ridge=0.1, positive=2.5, rising={"a": 1, "b": -1})])
 def test_equal_to_plain_boosting(spark, p):
     data = rows(160)
     df = table(spark, data)
@@ -104,9 +104,9 @@ def test_equal_to_plain_boosting(spark, p):
 def test_rising_and_falling_features(spark):
     rng = random.Random(4)
     data = [(i, int(rng.random() < 0.5 + 0.3 * np.sin(3 * (a := rng.uniform(-2, 2)))), 0, a, float(rng.randrange(4)), None) for i in range(600)]
-    p = Parameters(rounds=15, depth=3, rate=0.3, bins=32, rising={"a": 1, "b": -1})
+    p = Parameters(rounds=8, depth=3, rate=0.5, bins=32, rising={"a": 1, "b": -1})
     model, _ = fit(table(spark, data), FEATURES, p)
-    free, _ = fit(table(spark, data), FEATURES, Parameters(rounds=15, depth=3, rate=0.3, bins=32))
+    free, _ = fit(table(spark, data), FEATURES, Parameters(rounds=8, depth=3, rate=0.5, bins=32))
     grid = np.linspace(-2.5, 2.5, 200)
     for b in range(4):
         x = np.stack([grid, np.full(200, b), np.full(200, np.nan)], axis=1)
@@ -119,7 +119,7 @@ def test_rising_and_falling_features(spark):
 
 def test_early_stop_gains_and_dealing(spark):
     data = rows(300, seed=3)
-    p = Parameters(rounds=40, depth=3, rate=0.5, bins=16, patience=3, metric="logloss", rows=0.8, columns=0.7)
+    p = Parameters(rounds=16, depth=3, rate=0.9, bins=16, patience=3, metric="logloss", rows=0.8, columns=0.7)
     model, scores = cross_validated(table(spark, data), FEATURES, p, folds=5)
     for m in model.models:
         assert len(m.curve) == len(m.trees) and m.best == 1 + int(np.argmax(m.curve))
@@ -139,9 +139,10 @@ def test_early_stop_gains_and_dealing(spark):
 
 def test_no_rows_one_class_and_nulls(spark):
     data = rows(20)
-    model, scores = fit(table(spark, data).limit(0), FEATURES)
+    few = Parameters(rounds=2)
+    model, scores = fit(table(spark, data).limit(0), FEATURES, few)
     assert scores.collect() == [] and scorer_of(model)(np.zeros((1, 3))).tolist() == [0.5]
-    model, scores = fit(table(spark, [(r[0], 1, *r[2:]) for r in data]), FEATURES)
+    model, scores = fit(table(spark, [(r[0], 1, *r[2:]) for r in data]), FEATURES, few)
     assert all(r["p"] > 0.999 for r in scores.collect()) and not any(t.gain for m in model.models for t in m.trees)
     model, scores = cross_validated(table(spark, [(r[0], None if r[0] < 5 else r[1], *r[2:]) for r in data]), FEATURES, Parameters(rounds=2), folds=5)
     assert scores.count() == 15

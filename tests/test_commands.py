@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.__main__ import run
 from riskloom.plans import boosting, linear, models, networks, store
@@ -42,7 +43,7 @@ def test_models_are_read_back_as_they_were(spark, matrix, tmp_path):
     trees, _ = boosting.fit(df, ["a", "b"], boosting.Parameters(rounds=3, rising={"a": 1}))
     net = networks.Perceptron(2, (4,))
     fitted, scores = networks.fit(df, ["a", "b"], net, networks.Training(epochs=2, block=64))
-    lines, _ = linear.fit(df, ["a", "b"], held=[None, ("row_id", 5)])
+    lines, _ = linear.fit(df.withColumn("part", F.col("row_id") % 3), ["a", "b"], held=[None, ("part", 1)])
     for name, model in (("trees", trees), ("net", [net, fitted]), ("lines", lines)):
         store.save(spark, model, f"{tmp_path}/{name}")
     x = np.random.default_rng(1).normal(size=(30, 2))
@@ -52,7 +53,7 @@ def test_models_are_read_back_as_they_were(spark, matrix, tmp_path):
     got = {r["row_id"]: r["p"] for r in networks.predict(same, same_net, df, ["a", "b"]).collect()}
     assert got == pytest.approx({r["row_id"]: r["p"] for r in scores.collect()})
     back = store.load(spark, f"{tmp_path}/lines")
-    assert back[1].held == ("row_id", 5) and back[1].w.tolist() == lines[1].w.tolist()
+    assert back[1].held == ("part", 1) and back[1].w.tolist() == lines[1].w.tolist()
     assert store.scaler(fitted[0], ["a", "b"])["a"]["mean"] == pytest.approx(fitted[0].mean[0])
 
 

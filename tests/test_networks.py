@@ -55,7 +55,7 @@ def auc(rows):
     return np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
 
 
-@pytest.mark.parametrize("net, t", [(Perceptron(3, (16, 8), 0.1), Training(epochs=12, block=64, rate=0.02, patience=4)), (Attention(3, width=8, layers=1, heads=2), Training(epochs=10, block=64, rate=0.02, blocks=2))])
+@pytest.mark.parametrize("net, t", [(Perceptron(3, (16, 8), 0.1), Training(epochs=8, block=100, rate=0.03, patience=4)), (Attention(3, width=8, layers=1, heads=2), Training(epochs=10, block=100, rate=0.03, blocks=2))])
 def test_learns_and_is_the_same_for_every_dealing(spark, net, t):
     fitted, scores = cross_validated(table(spark, 400), FEATURES, net, t)
     rows = scores.collect()
@@ -71,7 +71,7 @@ def test_learns_and_is_the_same_for_every_dealing(spark, net, t):
 def test_early_stop_one_class_and_no_rows(spark):
     df = table(spark, 120)
     net = Perceptron(3, (4,), 0.0)
-    fitted, _ = cross_validated(df, FEATURES, net, Training(epochs=30, block=32, rate=0.3, patience=2), whole=True)
+    fitted, _ = cross_validated(df, FEATURES, net, Training(epochs=20, block=60, rate=0.5, patience=2), whole=True)
     assert any(m.done and len(m.curve) - m.best == 2 for m in fitted[:-1]) and fitted[-1].curve == []
     _, scores = fit(df.withColumn("y", F.lit(1)), FEATURES, net, Training(epochs=2))
     assert scores.count() == 120 and scores.where("p is null or isnan(p)").count() == 0
