@@ -219,11 +219,12 @@ def stability_runs(df: DataFrame, features: list[str], seeds: tuple[int, ...] =
 
     The models of all seeds are fitted in the same passes; a seed is a column that says which rows are held out.
     """
-    t = df.select("row_id", "y", *features)
+    df = t = df.select("row_id", "y", *features)
     for s in seeds:
         out = (F.col("split") == "valid").cast("int").alias(f"out_{s}")
-        t = stratified_split(t, {"valid": share, "train": 1 - share}, s).select("row_id", "y", *features, *(f"out_{x}" for x in seeds if f"out_{x}" in t.columns), out)
-    t = written(t, "seeds")
+        before, t = t, written(stratified_split(t, {"valid": share, "train": 1 - share}, s).select("row_id", "y", *features, *(f"out_{x}" for x in seeds if f"out_{x}" in t.columns), out), "seeds")
+        if before is not df:
+            dropped(before)
     held = [(f"out_{s}", 1) for s in seeds]
     lines, _ = linear.fit(t, features, linear.Penalty(lasso=1.0, balanced=True), held)
     n = {r["y"]: r["count"] for r in t.groupBy("y").count().collect()}
@@ -245,10 +246,11 @@ def repeated_protocol(df: DataFrame, features: list[str], seeds: tuple[int, ...]
     All seeds and folds are fitted in the same passes, a column of folds for each seed. AUC and AP are of the out-of-fold scores of a seed; top_jaccard is the mean overlap of
     every two seeds' top features, by absolute coefficients and by gains, averaged over the folds.
     """
-    t = df.select("row_id", "y", *features)
+    df = t = df.select("row_id", "y", *features)
     for s in seeds:
-        t = stratified_folds(t, folds, s).withColumnRenamed("fold", f"fold_{s}")
-    t = written(t, "seeds")
+        before, t = t, written(stratified_folds(t, folds, s).withColumnRenamed("fold", f"fold_{s}"), "seeds")
+        if before is not df:
+            dropped(before)
     held = [(f"fold_{s}", k) for s in seeds for k in range(folds)]
     lines, line_scores = linear.fit(t, features, penalty or linear.Penalty(), held)
     trees, tree_scores = boosting.fit(t, features, p or boosting.Parameters(rounds=300, rate=0.05, depth=3), held)
