@@ -16,6 +16,7 @@ __all__ = ["dropped", "scratch_tables", "shared_dir", "written"]
 #: Texts are handled in blocks of at most so many bytes (one longer text makes a block of its own).
 BLOCK_BYTES = 1 << 20
 
+
 def released(tables: list[tuple[SparkSession, str]], docs: DataFrame) -> None:
     """Deletes those of tables (as scratch_tables() lists them) that docs doesn't read."""
     read = docs.inputFiles() if tables else []
