@@ -26,6 +26,8 @@ from .common import dropped, written
 
 #: Lines whose places are broadcast at most (16 bytes each); beyond that Spark joins by a shuffle.
 MAX_BROADCAST_SETTLED = 1_000_000
+#: Listed lines are dealt by their keys, and pairs by their later lines, in so many parts, one after the other, so that a part's shuffle files are gone before the next one's come.
+PARTS = 4
 #: Words are counted in 2 ** BUCKET_BITS buckets of their hashes.
 BUCKET_BITS = 14
 #: A listed line's meta: bits of the sketch, of the size, of the place; the largest size and place stand for all beyond and pass the filters.
@@ -124,34 +126,43 @@ def matched(pairs: DataFrame, lines: DataFrame, broadcast: int) -> DataFrame:
     sets = lines.join(F.broadcast(asked) if few else asked, ["doc", "ln"], "left_semi").select("doc", "ln", word_hashes(F.col("line")).alias("h"))
     sets = written(sets, "lines-sets")
     a, b = (sets.select(F.col("doc").alias(f"d{i}"), F.col("ln").alias(f"l{i}"), F.col("h").alias(f"h{i}")) for i in (1, 2))
-    both = pairs.join(a, ["d1", "l1"]).join(b, ["d2", "l2"])
     enough = 9 * F.size(F.array_intersect("h1", "h2")) >= 4 * (F.size("h1") + F.size("h2"))
-    out = written(both.where(enough).select(F.col("d2").alias("doc"), F.col("l2").alias("ln")).distinct(), "lines-matched")
+    out = []
+    for i in range(PARTS):  # a pair takes the sets of both lines along
+        both = pairs.where(F.pmod(F.xxhash64("d2", "l2"), F.lit(PARTS)) == i).join(a, ["d1", "l1"]).join(b, ["d2", "l2"])
+        out.append(written(both.where(enough).select(F.col("d2").alias("doc"), F.col("l2").alias("ln")).distinct(), "lines-matched"))
     dropped(pairs, asked, sets)
-    return out
+    return reduce(DataFrame.unionByName, out)  # each line is in one part
 
 
-def repeats(first: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> DataFrame:
-    """(doc, ln) of the leaders that an earlier leader matches."""
+def repeats(first: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED, parts: int = PARTS) -> DataFrame:
+    """(doc, ln) of the leaders that an earlier leader matches. The keys are taken in so many parts, one after the other."""
     rows = first.select(F.posexplode("keys").alias("place", "key"), "doc", "ln", "meta")
     rows = rows.select("key", "doc", "ln", F.col("meta").bitwiseOR(F.least("place", F.lit(_MOST_PLACE)).cast("bigint")).alias("meta"))
-    rows = rows.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1")
     head = F.first(F.struct("doc", "ln", "meta")).over(Window.partitionBy("key").orderBy("doc", "ln"))
-    shared = written(rows.select("key", "doc", "ln", "meta", "times", head.alias("head")), "lines-shared")
+    shared, pairs = [], []
 
     # Each line against the first of its key.
-    near = shared.where(((F.col("head.doc") != F.col("doc")) | (F.col("head.ln") != F.col("ln"))) & may_match(F.col("head.meta"), F.col("meta")))
-    found = matched(near.select(F.col("head.doc").alias("d1"), F.col("head.ln").alias("l1"), F.col("doc").alias("d2"), F.col("ln").alias("l2")), lines, broadcast)
+    for i in range(parts):
+        t = rows.where(F.col("key") % parts == i).withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1")
+        shared.append(written(t.select("key", "doc", "ln", "meta", "times", head.alias("head")), "lines-shared"))
+        near = shared[-1].where(((F.col("head.doc") != F.col("doc")) | (F.col("head.ln") != F.col("ln"))) & may_match(F.col("head.meta"), F.col("meta")))
+        pairs.append(written(near.select(F.col("head.doc").alias("d1"), F.col("head.ln").alias("l1"), F.col("doc").alias("d2"), F.col("ln").alias("l2")).distinct(), "lines-near"))
+    found = matched(reduce(DataFrame.unionByName, pairs), lines, broadcast)
+    dropped(*pairs)
 
     # What that doesn't settle, against all others before it: two lines alone under a key have been compared.
-    settled = F.broadcast(found) if found.count() <= broadcast else found
-    rows = shared.where("times > 2").select("key", "doc", "ln", "meta")
-    a, b = rows.alias("a"), rows.join(settled, ["doc", "ln"], "left_anti").alias("b")
+    settled, pairs = F.broadcast(found) if found.count() <= broadcast else found, []
     earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.ln") < F.col("b.ln")))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & may_match(F.col("a.meta"), F.col("b.meta")))
-    pairs = pairs.select(F.col("a.doc").alias("d1"), F.col("a.ln").alias("l1"), F.col("b.doc").alias("d2"), F.col("b.ln").alias("l2"))
-    out = found.unionByName(matched(pairs, lines, broadcast)).distinct()
-    dropped(shared)
+    for part in shared:
+        t = part.where("times > 2").select("key", "doc", "ln", "meta")
+        a, b = t.alias("a"), t.join(settled, ["doc", "ln"], "left_anti").alias("b")
+        both = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & may_match(F.col("a.meta"), F.col("b.meta")))
+        both = both.select(F.col("a.doc").alias("d1"), F.col("a.ln").alias("l1"), F.col("b.doc").alias("d2"), F.col("b.ln").alias("l2"))
+        pairs.append(written(both.distinct(), "lines-near"))
+        dropped(part)
+    out = found.unionByName(matched(reduce(DataFrame.unionByName, pairs), lines, broadcast)).distinct()
+    dropped(*pairs)
     return out
 
 
@@ -169,7 +180,8 @@ def deduplicated(docs: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> Dat
     gone = repeats(first, lines, broadcast)
     gone = F.broadcast(gone) if gone.count() <= broadcast else gone
     kept = first.select("doc", "ln", "base").join(gone, ["doc", "ln"], "left_anti")
-    kept = kept.groupBy("doc", "base").agg(F.collect_list(F.col("ln") - F.col("base")).alias("stay"))
+    kept = written(kept.groupBy("doc", "base").agg(F.collect_list(F.col("ln") - F.col("base")).alias("stay")), "lines-kept")
+    dropped(first)
     out = rows.join(kept, ["doc", "base"], "left").select("*", F.split("text", "\n", -1).alias("line"))
     count = F.size("line")
     blank = F.filter(F.sequence(F.lit(0), count - 1), lambda i: is_blank(F.get("line", i)))

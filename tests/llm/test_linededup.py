@@ -61,3 +61,22 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((r.doc_id or -1, r.text, r.n_removed) for r in deduplicated(df).collect())
     assert got == [(-1, "four", 0), (1, "", 2), (1, "one two three", 1), (1, "other", 0)]
     assert deduplicated(df.limit(0)).collect() == []
+
+
+def test_keys_are_dealt_in_parts(spark, monkeypatch):
+    """No scratch table or shuffle holds the listed lines of all keys."""
+    from riskloom.llm import linededup
+
+    parts, put = [], linededup.written
+
+    def counted(df, what):
+        out = put(df, what)
+        if what == "lines-shared":
+            parts.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "written", counted)
+    docs = list(enumerate(corpus(5)))
+    got = deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == brute(docs)
+    assert len(parts) == linededup.PARTS and max(parts) < sum(parts) / 2
