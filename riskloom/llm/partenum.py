@@ -17,6 +17,7 @@ exceed the differing elements. All checks count whole sets exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .graph import components
 SHINGLE, PERCENT, BAND_GROWTH, SPARE, MOST_LEFT_OUT, SKETCH_BITS = 4, 85, 1.5, 0.1, 4, 1024
 #: Parts of a partition; the subsets of all but one of them are enumerated. Bits of a signature: sets that share one by chance are told apart when they are verified.
 PARTS, SIGNATURE_BITS = 3, 48
+#: Signatures are dealt in so many parts, one after the other, each enumerated anew: a part's shuffle files are gone before the next one's come.
+DEALS = 2
 #: Rounds of hubs at most, before the pairs that are left; pairs of a hub that are verified together.
 MOST_ROUNDS, HUB_PAIRS = 8, 500
 #: Ids of 8 bytes: at most 16 MB are broadcast; beyond that the texts are shuffled.
@@ -143,8 +146,8 @@ def described(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id bigint, hash bigint, n bigint, class bigint, sketch array<bigint>")
 
 
-def signed(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """class and sigs (its signatures, of SIGNATURE_BITS) once for each class that a task meets. They are enumerated anew from the texts, as they take far more room than the sets' names."""
+def signed(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, part: int = 0, parts: int = 1) -> DataFrame:
+    """class and sigs (its signatures, of SIGNATURE_BITS, that fall on part) once for each class that a task meets. They are enumerated anew from the texts, as they take far more room than the sets' names."""
     schema = pa.schema([("class", pa.int64()), ("sigs", pa.list_(pa.int64()))])
     low = np.uint64((1 << SIGNATURE_BITS) - 1)
 
@@ -165,6 +168,8 @@ def signed(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
                         fresh[i] = True
                 some = fresh[doc]
                 who, sig = signatures(doc[some], key[some], np.where(fresh, n, 0), percent)
+                mine = (sig & low) % np.uint64(parts) == np.uint64(part)
+                who, sig = who[mine], sig[mine]
                 order = np.argsort(who, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=rows))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((sig[order] & low).view(np.int64)))
@@ -270,17 +275,21 @@ def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     at = place_of(F.col("doc_id"), F.col("hash"))
     classes = written(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     n_classes = classes.count()
-    dealt = signed(docs, percent, size).select(F.explode("sigs").alias("sig"), "class").repartition("sig")
-    shared = dealt.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
-    buckets = written(dealt.join(shared.hint("shuffle_hash"), "sig").distinct(), "buckets")
+    made = []
+    for part in range(DEALS):
+        dealt = signed(docs, percent, size, part, DEALS).select(F.explode("sigs").alias("sig"), "class").repartition("sig")
+        shared = dealt.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
+        made.append(written(dealt.join(shared.hint("shuffle_hash"), "sig").distinct(), "buckets"))
+    buckets = reduce(DataFrame.unionByName, made)
     known = classes.select("class", "at", "n", "sketch")
 
     links = labels = tried = None
     rows_left = buckets
     for turn in range(MOST_ROUNDS):
         if labels is not None:  # a signature that is settled stays so
-            before, rows_left = rows_left, written(unsettled(rows_left, labels), "unsettled")
-            dropped(before)
+            before, rows_left = made, written(unsettled(rows_left, labels), "unsettled")
+            made = [rows_left]
+            dropped(*before)
         pairs = hub_pairs(rows_left.withColumn("label", F.col("class")) if labels is None else rows_left, turn, n_classes)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -293,7 +302,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
             break
     # What shares a signature across components still.
     rest = written(unsettled(rows_left, labels).join(known, "class"), "open")
-    dropped(rows_left)
+    dropped(*made)
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent))
     pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.at").alias("doc_a"), F.col("b.at").alias("doc_b")).distinct()

@@ -106,3 +106,15 @@ def test_shared_and_missing_ids(spark):
     assert sorted((r.doc_id, r.component_id, r.n_shingles) for r in near_duplicates(df).collect()) == [(5, 5, 4), (5, 5, 57), (7, 5, 58)]
     df = spark.createDataFrame([(None, a), (7, near), (None, b), (None, None)], "doc_id bigint, text string")
     assert sorted((r.n_shingles, r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(0, None, None), (4, None, None), (57, None, 7), (58, 7, 7)]
+
+
+def test_signatures_are_dealt_in_parts(spark):
+    """The parts are disjoint and make up all signatures."""
+    from pyspark.sql import functions as F
+
+    from riskloom.llm.partenum import signed
+
+    docs = spark.createDataFrame([(" ".join(f"w{i * j % 97}" for j in range(60)),) for i in range(1, 40)], "text string")
+    pairs = lambda **deal: sorted(map(tuple, signed(docs, **deal).select("class", F.explode("sigs")).collect()))
+    whole, parts = pairs(), [pairs(part=i, parts=3) for i in range(3)]
+    assert all(parts) and sorted(sum(parts, [])) == whole
