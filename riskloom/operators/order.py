@@ -7,6 +7,8 @@ same sums.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ from pyspark.sql import functions as F
 BUCKETS, BUCKETS_A_PARTITION = 64, 2
 
 
+def with_each(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of per_key, which has a row for each key and is broadcast. A null key is one too."""
+    if not keys:
+        return df.crossJoin(F.broadcast(per_key))
+    other = per_key.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
+    return df.join(F.broadcast(other), same).drop(*(f"_key_{k}" for k in keys))
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], descending: bool = False, buckets: int | None = None) -> DataFrame:
     """df with running totals {new column: column} in the order of the columns order, within keys. The first order column is numeric.
 
@@ -30,13 +41,13 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str
     if ties:  # a value on several edges is the last of its bucket, and has as many buckets of its own
         edged = F.size(F.filter("_edges", lambda e: e == x))
         bucket = bucket * (n + 1) + F.when(edged > 1, 1 + F.floor(F.size(F.filter("_then", lambda e: e < then)) * edged / n)).otherwise(0)
-    dealt = (df.join(F.broadcast(edges), keys) if keys else df.crossJoin(F.broadcast(edges))).withColumn("_bucket", F.when(x.isNull(), -1).otherwise(bucket)).drop("_edges", "_then")
+    dealt = with_each(df, edges, keys).withColumn("_bucket", F.when(x.isNull(), -1).otherwise(bucket)).drop("_edges", "_then")
     ordering = [F.desc(c) if descending else F.asc(c) for c in order]
     within = Window.partitionBy(*keys, "_bucket").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
     totals = dealt.groupBy(*keys, "_bucket").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
     before = Window.partitionBy(*keys).orderBy(F.desc("_bucket") if descending else F.asc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))  # a row for each bucket of a key
-    out = dealt.join(F.broadcast(totals), [*keys, "_bucket"])
+    out = with_each(dealt, totals, [*keys, "_bucket"])
     new = {n: F.sum(c).over(within) + F.col(f"_b_{n}") for n, c in sums.items()}
     return out.withColumns(new).drop("_bucket", *(f"_b_{n}" for n in sums))
 

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from .order import prefix_sums
+from .order import prefix_sums, with_each
 
 
 def _placed(df: DataFrame, seed: int) -> DataFrame:
-    """df with _place within its class and _n, the rows of the class."""
+    """df with _place within its class and _n, the rows of the class. Rows without y are a class of their own."""
     key = F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed))))
     t = df.withColumns({"_key": key, "_one": F.lit(1), "_head": F.conv(F.substring(key, 1, 12), 16, 10).cast("double")})
     t = prefix_sums(t, ["y"], ["_head", "_key", "row_id"], {"_place": "_one"})
-    return t.join(F.broadcast(df.groupBy("y").agg(F.count("*").alias("_n"))), "y").drop("_key", "_one", "_head")
+    return with_each(t, df.groupBy("y").agg(F.count("*").alias("_n")), ["y"]).drop("_key", "_one", "_head")
 
 
 def stratified_split(df: DataFrame, parts: dict[str, float] | None = None, seed: int = DEFAULTS.seed) -> DataFrame:

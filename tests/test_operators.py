@@ -149,3 +149,13 @@ def test_features_with_categories(spark):
     t, names = transform.encoded_categories(df, ["kind", "place"])
     assert names == ["kind__is___MISSING__", "kind__is_a", "kind__is_b", "place__freq"]
     assert tuple(t.agg(F.sum("kind__is_a").alias("a"), F.sum("place__freq").alias("f")).first()) == pytest.approx((80, 12.0))
+
+
+def test_rows_without_label_are_a_class_of_their_own(spark):
+    """As SQL's PARTITION BY has it: they are split, too."""
+    from riskloom.operators import splits
+
+    t = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(60)], "row_id bigint, y int")
+    got = splits.stratified_folds(t).groupBy("y", "fold").count().collect()
+    assert sorted((str(r.y), r.fold, r["count"]) for r in got) == [(y, k, 4) for y in ("0", "1", "None") for k in range(5)]
+    assert splits.holdout(t).where("y is null and split = 'test'").count() == 5
