@@ -1,8 +1,8 @@
 """Order statistics that don't send a whole column to one task.
 
 Values are counted first; running totals are then taken in two levels: within buckets of neighbouring values, and over the
-few totals of the buckets. The buckets' edges come from a mergeable sketch and only balance the work: any edges give the
-same sums.
+few totals of the buckets. The buckets' edges come from a mergeable sketch, taken once, and only balance the work: any edges
+give the same sums.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 #: Buckets of values at least; beyond it, so many for each shuffle partition of the session.
 BUCKETS, BUCKETS_A_PARTITION = 64, 2
 
@@ -37,6 +39,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str
     ties = len(order) > 1 and dict(df.dtypes)[order[1]] in ("int", "bigint", "double")
     then = F.col(order[1]).cast("double") if ties else None
     edges = df.groupBy(*keys).agg(F.percentile_approx(x, shares, 1000 + 10 * n).alias("_edges"), *([F.percentile_approx(then, shares, 1000 + 10 * n).alias("_then")] if ties else []))
+    edges = written(edges, "edges")  # a sketch depends on the order in which its parts come, and rows and totals must see the same buckets
     bucket = F.size(F.filter("_edges", lambda e: e < x)).cast("bigint")
     if ties:  # a value on several edges is the last of its bucket, and has as many buckets of its own
         edged = F.size(F.filter("_edges", lambda e: e == x))

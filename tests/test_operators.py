@@ -159,3 +159,11 @@ def test_rows_without_label_are_a_class_of_their_own(spark):
     got = splits.stratified_folds(t).groupBy("y", "fold").count().collect()
     assert sorted((str(r.y), r.fold, r["count"]) for r in got) == [(y, k, 4) for y in ("0", "1", "None") for k in range(5)]
     assert splits.holdout(t).where("y is null and split = 'test'").count() == 5
+
+
+def test_buckets_are_made_once(spark):
+    """A sketch differs with the order in which its parts come: were it made anew for the totals, rows would miss them."""
+    df = spark.range(200).select(F.col("id").alias("row_id"), (F.col("id") % 50).cast("double").alias("x"), F.lit(1).alias("one"))
+    out = prefix_sums(df, [], ["x", "row_id"], {"place": "one"})
+    assert "percentile_approx" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.place for r in out.collect()) == list(range(1, 201))
