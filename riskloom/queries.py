@@ -21,12 +21,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(f: Query) -> Query:
-    """Registers f; doubles are rounded to 6 places, for comparison."""
+def query(f: Query | None = None, unrounded: tuple[str, ...] = ()) -> Query:
+    """Registers f; doubles are rounded to 6 places, for comparison, but for columns that the SQL leaves as they are."""
+    if f is None:
+        return lambda f: query(f, unrounded)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = f(spark, sf_dir)
-        return df.select(*(F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+        return df.select(*(F.round(c, 6).alias(c) if t in ("double", "float") and c not in unrounded else F.col(c) for c, t in df.dtypes))
 
     run.__doc__ = f.__doc__
     QUERIES[f.__name__] = run
@@ -84,7 +86,7 @@ def fill_rate_filter(s, d):
     return profile.fill_rate_filter(X.snap_long(s, d))
 
 
-@query
+@query(unrounded=("x",))
 def value_counts_dominant(s, d):
     return profile.value_counts(X.snap_long(s, d))
 

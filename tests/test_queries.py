@@ -4,6 +4,8 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from riskloom.oracles import ORACLES
 from riskloom.queries import QUERIES
@@ -47,3 +49,25 @@ def test_equals_duckdb(spark, duck, name):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-5) for x, y in zip(a, b)), (a, b)
+
+
+def test_values_keep_their_places(spark, tmp_path):
+    """A mean of prices has seven places, as in the SQL; a mean of discounts that ends in a 5 at the seventh rounds up however its lines are dealt."""
+    for t in TABLES:
+        spark.read.parquet(f"{SF}/{t}.parquet").createOrReplaceTempView(t)
+    spark.sql("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer limit 2").withColumn("c_custkey", F.monotonically_increasing_id() % 2 + 1).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.table("orders").limit(32).select(F.row_number().over(Window.orderBy("o_orderkey")).cast("bigint").alias("o_orderkey"), F.lit(1).cast("bigint").alias("o_custkey"), "o_orderstatus", "o_orderdate", "o_orderpriority")
+    orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") == 1, 0.03).otherwise(0.0)).write.parquet(f"{tmp_path}/orders.parquet")
+    one = spark.table("lineitem").limit(1).drop("l_orderkey", "l_discount")
+    hundredths = [x for x in [2, 1, 8, 4, 0, 10, 1, 1] for _ in range(4)]
+    hundredths[0] += 1
+    discounts = [x / 100 for x in hundredths]
+    dealt = [(i + 1, x) for i, x in enumerate(discounts)]
+    found = set()
+    for lines in (sorted(dealt, key=lambda r: r[1]), sorted(dealt, key=lambda r: -r[1]), dealt):
+        spark.createDataFrame(lines, "l_orderkey bigint, l_discount double").coalesce(1).crossJoin(one).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        for t in ("nation", "events"):
+            spark.table(t).write.mode("overwrite").parquet(f"{tmp_path}/{t}.parquet")
+        x = {r.feature: r.x for r in QUERIES["value_counts_dominant"](spark, str(tmp_path)).where("feature in ('avg_disc', 'avg_price')").collect()}
+        found.add((x["avg_disc"], x["avg_price"]))
+    assert found == {(0.034063, 0.0009375)}
