@@ -43,21 +43,24 @@ def label_scores(long: DataFrame, labels: DataFrame) -> DataFrame:
     """
     fit = labels.groupBy("label").agg(F.max((~F.coalesce(F.col("y").isin(0, 1), F.lit(True))).cast("int")).alias("other"), F.sum("y").alias("n")).where("other = 0 and n > 0").select("label")
     t = long.select("row_id", "feature", "x").join(labels.join(F.broadcast(fit), "label", "left_semi").where("y is not null"), "row_id")
-    both = method_scores_by(t)
+    both = written(method_scores_by(t), "label-scores")  # a row for each label and feature
     top = both.groupBy("label").agg(*(F.max(F.abs(c)).alias(f"_m_{c}") for c in ("f", "spearman", "mi")))
     part = lambda c: F.coalesce(F.when(F.col(f"_m_{c}") > 0, F.abs(c) / F.when(F.col(f"_m_{c}") > 0, F.col(f"_m_{c}"))), F.lit(0.0)) * WEIGHTS[c]
     return both.join(F.broadcast(top), "label").select("label", "feature", "f", "spearman", "mi", (part("mi") + part("f") + part("spearman")).alias("score"))
 
 
 def method_scores_by(t: DataFrame) -> DataFrame:
-    """label, feature, f, spearman, mi of t (row_id, label, y, feature, x)."""
-    t = t.persist()  # every method reads it
+    """label, feature, f, spearman, mi of t (row_id, label, y, feature, x).
+
+    t and what each method finds are written, so that the driver never holds the plans of all of them in one.
+    """
+    t = written(t, "labelled")  # every method reads it
     named = t.select("row_id", "y", F.to_json(F.array("label", "feature")).alias("feature"), "x")
     scores = anova_f(named, ["feature"]).join(kbins_mutual_info(named, DEFAULTS.bins), "feature", "left")
     name = F.from_json("feature", "array<string>")
-    scores = scores.select(name[0].alias("label"), name[1].alias("feature"), "f", "mi")
+    scores = written(scores.select(name[0].alias("label"), name[1].alias("feature"), "f", "mi"), "scores")
     y = t.select("row_id", F.col("label").alias("feature"), F.col("y").cast("double").alias("x")).distinct()
-    r = spearman(t.select("row_id", "feature", "x").distinct(), y).select(F.col("a").alias("feature"), F.col("b").alias("label"), F.abs("r").alias("spearman"))
+    r = written(spearman(t.select("row_id", "feature", "x").distinct(), y).select(F.col("a").alias("feature"), F.col("b").alias("label"), F.abs("r").alias("spearman")), "ranks")
     return scores.join(r, ["label", "feature"], "left").select("label", "feature", *(F.round(c, 9).alias(c) for c in ("f", "spearman", "mi")))
 
 

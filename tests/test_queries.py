@@ -71,3 +71,8 @@ def test_values_keep_their_places(spark, tmp_path):
         x = {r.feature: r.x for r in QUERIES["value_counts_dominant"](spark, str(tmp_path)).where("feature in ('avg_disc', 'avg_price')").collect()}
         found.add((x["avg_disc"], x["avg_price"]))
     assert found == {(0.034063, 0.0009375)}
+
+
+def test_plan_of_label_scores_is_small(spark):
+    """The plans of all methods in one filled the driver's memory."""
+    assert len(QUERIES["per_label_scores"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()) < 20000
