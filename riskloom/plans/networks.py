@@ -1,9 +1,10 @@
 """Networks of tabular features, trained by mini-batches that Spark deals: a perceptron and attention over features.
 
-Rows are put in order of md5(row_id|seed) once and packed into blocks; an epoch goes through the blocks in a drawn order, some at a time. A step is one job over
-its blocks: tasks add up the gradients of their blocks, and the driver, which holds the parameters and nothing of the rows, takes one step of AdamW with a
-warm-up and a cosine. Gradients are added as fixed-point integers, so a run is the same however blocks are dealt. As in boosting, a model for each
-held-out fold, and maybe one of all rows, share each pass; after an epoch held-out rows are scored, and a model that doesn't better for
+Rows are put in order of md5(row_id|seed) once and packed into blocks; an epoch goes through the blocks in a drawn order, some at a time. A step adds up the gradients
+of its blocks and is one of AdamW with a warm-up and a cosine. Each step needs the parameters that the one before has left, so an epoch is walked in legs of LEG blocks:
+Spark deals the blocks to the legs, a leg is one job with a task for each model, which takes the leg's steps in their order, and the driver hands parameters (and nothing of the rows)
+from leg to leg. A step of more blocks than a leg is a job over its blocks. Gradients are added as fixed-point integers, so a run is the same however blocks are dealt. As in
+boosting, a model for each held-out fold, and maybe one of all rows, share each pass; after an epoch held-out rows are scored, and a model that doesn't better for
 `patience` epochs stops and keeps its best parameters.
 
 Batch norms use the statistics of their block, and running means of those for scores. GELU is in its tanh form.
@@ -11,11 +12,14 @@ Batch norms use the statistics of their block, and running means of those for sc
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from .boosting import RANGE, STEPS, judged_on_grid
 #: Gradients are added as multiples of 2**-SHIFT.
 SHIFT = 36
 EPS = 1e-5
+#: Blocks that one task takes at most, one after the other.
+LEG = 64
 
 
 class Var:
@@ -279,7 +285,9 @@ def _each(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]:
             yield batch.column("block")[i].as_py(), row_id, y, fold, x.reshape(len(y), features)
 
 
-def _flat(d: dict[str, np.ndarray], names: list[str]) -> np.ndarray:
+def _flat(d: dict[str, np.ndarray], like: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """The numbers of d, in the order of like's names."""
+    names = list(d if like is None else like)
     return np.concatenate([np.ravel(d[n]) for n in names]) if names else np.zeros(0)
 
 
@@ -291,6 +299,82 @@ def _unflat(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]
     return out
 
 
+def _sums_of(net, m: Fitted, k: int, t: Training, epoch: int, block: int, y: np.ndarray, fold: np.ndarray, x: np.ndarray) -> np.ndarray | None:
+    """What a block adds to a step of model k: gradients, statistics, loss and rows, as fixed-point integers; None if the model has too few rows there."""
+    use = fold != m.held if m.held is not None else np.ones(len(y), bool)
+    if use.sum() < 2:  # a batch norm needs two rows
+        return None
+    rng = np.random.default_rng([t.seed, epoch, block, k])
+    loss, g, seen = loss_and_gradients(net, m.params, m.scaled(x[use]), y[use], m.positive, rng)
+    n = float(use.sum())
+    v = np.concatenate([_flat(g, m.params), n * _flat(seen, m.moments), [loss, n]])
+    return np.rint(np.clip(v, -(2.0**26), 2.0**26) * 2.0**SHIFT).astype(np.int64)
+
+
+def _stepped(m: Fitted, optimiser: AdamW, sums: np.ndarray, rate: float) -> None:
+    """Moves m by one step, given the sums over the step's blocks."""
+    v = sums / 2.0**SHIFT
+    n, size = v[-1], optimiser.m.size
+    m.params = _unflat(optimiser.step(_flat(m.params), v[:size] / n, rate), m.params)
+    if m.moments:
+        m.moments = _unflat(0.9 * _flat(m.moments) + 0.1 * v[size:-2] / n, m.moments)
+
+
+def _summed(chosen: DataFrame, net, models: list[Fitted], t: Training, epoch: int, features: int) -> dict[int, np.ndarray]:
+    """The sums of one step over many blocks, for each model that goes on: one job."""
+    live, schema = [k for k, m in enumerate(models) if not m.done], pa.schema([("model", pa.int32()), ("sums", pa.binary())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for block, _, y, fold, x in _each(batches, features):
+            for k in live:
+                v = _sums_of(net, models[k], k, t, epoch, block, y, fold, x)
+                if v is not None:
+                    sums[k] = sums.get(k, 0) + v
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], schema=schema)
+
+    total: dict[int, np.ndarray] = {}
+    for r in chosen.mapInArrow(add, "model int, sums binary").collect():  # a row for each model and task
+        total[r["model"]] = total.get(r["model"], 0) + np.frombuffer(r["sums"], np.int64)
+    return total
+
+
+def _dealt(blocks: DataFrame, features: int) -> RDD:
+    """(block, its y, fold and x in one string of bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, y, fold, x in _each(batches, features):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pickle.dumps((y, fold, x))], pa.binary())], names=["block", "packed"])
+
+    return blocks.mapInArrow(run, "block bigint, packed binary").rdd.map(lambda r: (r["block"], bytes(r["packed"])))
+
+
+def _walked(dealt: RDD, net, models: list[Fitted], optimisers: list[AdamW], t: Training, epoch: int, order: np.ndarray) -> None:
+    """Takes an epoch's steps, leg by leg. order: the blocks as the epoch goes through them."""
+    leg, steps, place = LEG // t.blocks * t.blocks, -(-len(order) // t.blocks), np.argsort(order)
+    rows = dealt.map(lambda r: (int(place[r[0]]), r)).repartitionAndSortWithinPartitions(-(-len(order) // leg), lambda at: at // leg)
+    parts, live = rows.getNumPartitions(), [k for k, m in enumerate(models) if not m.done]
+    each = dealt.context.union([rows.map(lambda r: r)] * len(models))  # a leg's rows for each model; the map keeps the union from merging partitions of one partitioner
+    for lo in range(0, len(order), leg):
+        state = {k: (models[k], optimisers[k]) for k in live}
+
+        def walk(i: int, found: Iterator, state=state) -> Iterator[tuple]:
+            k = i // parts
+            m, optimiser = state[k]
+            for step, own in groupby(found, lambda r: r[0] // t.blocks):
+                total = None
+                for _, (block, packed) in own:
+                    v = _sums_of(net, m, k, t, epoch, block, *pickle.loads(packed))
+                    total = v if total is None else total if v is None else total + v
+                if total is not None:
+                    _stepped(m, optimiser, total, rate_of(epoch * steps + step + 1, steps * t.epochs, t))
+            yield k, m.params, m.moments, optimiser
+
+        for k, params, moments, optimiser in dealt.context.runJob(each.mapPartitionsWithIndex(walk), iter, [k * parts + lo // leg for k in live]):
+            models[k].params, models[k].moments, optimisers[k] = params, moments, optimiser
+    rows.cleanShuffleDependencies()
+
+
 def fit(df: DataFrame, features: list[str], net, t: Training | None = None, held: list[int | None] | None = None) -> tuple[list[Fitted], DataFrame]:
     """The models of df (row_id, y, features; fold if folds are held out) and their scores: row_id, fold, y, p, each row by the model that hasn't seen its fold, else by the model of all rows.
 
@@ -311,42 +395,18 @@ def fit(df: DataFrame, features: list[str], net, t: Training | None = None, held
         params = net.start(np.random.default_rng([t.seed, 0 if k is None else k + 1]))
         models.append(Fitted(k, params, net.moments(), mean, np.where(sd > 1e-12, sd, 1.0), neg / max(pos, 1) if t.balanced else 1.0, []))
     n_blocks = blocks.count()
-    names, moments = list(net.start(np.random.default_rng(0))), list(net.moments())
     steps = -(-n_blocks // t.blocks)
-    optimisers = [AdamW(_flat(m.params, names).size, t.decay, t.clip) for m in models]
+    optimisers = [AdamW(_flat(m.params).size, t.decay, t.clip) for m in models]
     best = [(m.params, m.moments) for m in models]
-    schema = pa.schema([("model", pa.int32()), ("sums", pa.binary())])
+    dealt = _dealt(blocks, len(features)) if t.blocks <= LEG else None
     for epoch in range(t.epochs if n_blocks else 0):
         order = np.random.default_rng([t.seed, epoch]).permutation(n_blocks)
-        for step in range(steps):
+        if dealt is not None:
+            _walked(dealt, net, models, optimisers, t, epoch, order)
+        for step in range(steps if dealt is None else 0):
             chosen = [int(b) for b in order[step * t.blocks : (step + 1) * t.blocks]]
-            live = [k for k, m in enumerate(models) if not m.done]
-
-            def add(batches: Iterator[pa.RecordBatch], live=live, epoch=epoch) -> Iterator[pa.RecordBatch]:
-                sums: dict[int, np.ndarray] = {}
-                for block, _, y, fold, x in _each(batches, len(features)):
-                    for k in live:
-                        m = models[k]
-                        use = fold != m.held if m.held is not None else np.ones(len(y), bool)
-                        if use.sum() < 2:  # a batch norm needs two rows
-                            continue
-                        rng = np.random.default_rng([t.seed, epoch, block, k])
-                        loss, g, seen = loss_and_gradients(net, m.params, m.scaled(x[use]), y[use], m.positive, rng)
-                        n = float(use.sum())
-                        v = np.concatenate([_flat(g, names), n * _flat(seen, moments), [loss, n]])
-                        sums[k] = sums.get(k, 0) + np.rint(np.clip(v, -(2.0**26), 2.0**26) * 2.0**SHIFT).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], schema=schema)
-
-            total: dict[int, np.ndarray] = {}
-            for r in blocks.where(F.col("block").isin(chosen)).mapInArrow(add, "model int, sums binary").collect():  # a row for each model and task
-                total[r["model"]] = total.get(r["model"], 0) + np.frombuffer(r["sums"], np.int64)
-            for k, v in total.items():
-                m, v = models[k], v / 2.0**SHIFT
-                n, size = v[-1], optimisers[k].m.size
-                flat = optimisers[k].step(_flat(m.params, names), v[:size] / n, rate_of(epoch * steps + step + 1, steps * t.epochs, t))
-                m.params = _unflat(flat, m.params)
-                if moments:
-                    m.moments = _unflat(0.9 * _flat(m.moments, moments) + 0.1 * v[size:-2] / n, m.moments)
+            for k, v in _summed(blocks.where(F.col("block").isin(chosen)), net, models, t, epoch, len(features)).items():
+                _stepped(models[k], optimisers[k], v, rate_of(epoch * steps + step + 1, steps * t.epochs, t))
         for k, auc in _held_out(blocks, net, models, len(features)).items():
             m = models[k]
             m.curve.append(auc)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.plans import boosting, models
+from riskloom.plans import boosting, models, networks
 from riskloom.plans.networks import AdamW, Attention, Perceptron, Training, cross_validated, fit, loss_and_gradients, rate_of
 
 FEATURES = ["a", "b", "c"]
@@ -86,3 +86,18 @@ def test_run_on_train_val_and_test(spark, model):
     got = {r["part"]: r for r in models.early_stopped_run(table(spark, 400), FEATURES, model).collect()}
     assert set(got) == {"val", "test", "test_calibrated"} and got["test"]["auc"] > 0.75
     assert got["test_calibrated"]["auc"] == pytest.approx(got["test"]["auc"]) and got["test_calibrated"]["logloss"] < 0.69
+
+
+@pytest.mark.parametrize("net, blocks", [(Perceptron(3, (5,), 0.1), 1), (Attention(3, width=4, layers=1, heads=2), 2)])
+def test_legs_take_the_steps_of_single_jobs(spark, monkeypatch, net, blocks):
+    """An epoch is some legs instead of a job for each step, and the models are the same to the last bit."""
+    t, sc, seen = Training(epochs=2, block=20, blocks=blocks, rate=0.03), spark.sparkContext, {}
+    for leg in (64, 6, 0):  # none: a job for each step
+        monkeypatch.setattr(networks, "LEG", leg)
+        sc.setJobGroup(f"legs-{leg}-{blocks}", "")
+        fitted, scores = cross_validated(table(spark, 400), FEATURES, net, t, whole=True)
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"legs-{leg}-{blocks}"))
+        seen[leg] = jobs, [(r["row_id"], r["p"]) for r in sorted(scores.collect())], [m.curve for m in fitted]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[64][1:] == seen[6][1:] == seen[0][1:]
+    assert seen[0][0] - seen[64][0] == 2 * (20 // blocks - 1) and seen[6][0] - seen[64][0] == 2 * (-(-20 // 6) - 1)
