@@ -11,7 +11,8 @@ of its band also has signatures in the next one.
 Sets that are equal are one class, with one row per signature. Candidates within a signature are not all paired: in each round every
 class is checked against one hub (the member of another component with which it shares most signatures), and components
 follow. Rounds go on as long as they find links; then only pairs whose components still differ are paired, behind the length filter and a parity sketch whose differing bits never
-exceed the differing elements. All checks count whole sets exactly.
+exceed the differing elements. The sketch fills up with sets beyond its bits, so these have a wide one besides, of as many bits as elements, which the pairs that
+are left must pass before their texts are fetched. All checks count whole sets exactly.
 """
 
 from __future__ import annotations
@@ -124,9 +125,21 @@ def class_names(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_sketches(doc: np.ndarray, bit: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """A parity sketch of 2**j >= n bits for each set of more than SKETCH_BITS elements (others: empty), given each element's random number."""
+    big = np.flatnonzero(n > SKETCH_BITS)
+    bits = np.zeros(len(n), np.int64)
+    bits[big] = 1 << np.ceil(np.log2(n[big])).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    some = bits[doc] > 0
+    doc, bit = doc[some], bit[some]
+    odd = (np.bincount(ends[doc] + bit % bits[doc], minlength=ends[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(ends // 64, pa.int32()), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def described(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, hash (of the text), n, class and sketch of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    """doc_id, hash (of the text), n, class, sketch and wide (sketch) of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
     step = SKETCH_BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +149,14 @@ def described(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 doc, key = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 rows = hi - lo
                 n = np.bincount(doc, minlength=rows)
-                bit = (mix(key ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(20)).astype(np.int64) % SKETCH_BITS
-                odd_bits = (np.bincount(doc * SKETCH_BITS + bit, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
+                bit = (mix(key ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(20)).astype(np.int64)
+                odd_bits = (np.bincount(doc * SKETCH_BITS + bit % SKETCH_BITS, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
                 sketch = np.packbits(odd_bits.reshape(rows, SKETCH_BITS), axis=1).view(np.int64).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * step, pa.int32()), pa.array(sketch))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, rows), batch.column("hash").slice(lo, rows), pa.array(n, pa.int64()), pa.array(class_names(key, n).view(np.int64)), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, rows), batch.column("hash").slice(lo, rows), pa.array(n, pa.int64()), pa.array(class_names(key, n).view(np.int64)), lists, wide_sketches(doc, bit, n)], schema=schema)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id bigint, hash bigint, n bigint, class bigint, sketch array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id bigint, hash bigint, n bigint, class bigint, sketch array<bigint>, wide array<bigint>")
 
 
 def signed(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, part: int = 0, parts: int = 1) -> DataFrame:
@@ -190,6 +203,16 @@ def may_link(a: str, b: str, percent: int = PERCENT):
     return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
+def may_link_wide(a: str, b: str, percent: int = PERCENT):
+    """The wide sketches' bound, for columns n and wide of two aliases; the longer sketch is folded, and where one is missing (or the other too long) the pair passes."""
+    wa, wb = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    na, nb = F.size(wa), F.size(wb)
+    folded = lambda w, n: F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+    bits = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, x: acc + x)
+    odd = F.when((na == 0) | (nb == 0), 0).when(na == nb, bits(wa, wb)).when(na == 2 * nb, bits(folded(wa, nb), wb)).when(nb == 2 * na, bits(wa, folded(wb, na))).otherwise(0)
+    return odd * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The pairs (a, b, doc_a, doc_b: places of texts of the classes a and b) whose sets link, counted from the whole texts."""
     pairs = written(pairs, "pairs")
@@ -251,10 +274,10 @@ def hub_pairs(rows: DataFrame, turn: int, classes: int) -> DataFrame:
     return best.groupBy("class").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("class").alias("a"), F.col("x.hub").alias("b"))
 
 
-def described_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """a, b, doc_a, doc_b of the pairs (a, b) that the length filter and the sketch let pass."""
+def described_pairs(pairs: DataFrame, known: DataFrame, links: Column) -> DataFrame:
+    """a, b, doc_a, doc_b of the pairs (a, b) that links, on known's columns under the aliases a and b, lets pass."""
     a, b = known.alias("a"), known.alias("b")
-    both = pairs.alias("p").join(a, F.col("p.a") == F.col("a.class")).join(b, F.col("p.b") == F.col("b.class")).where(may_link("a", "b", percent))
+    both = pairs.alias("p").join(a, F.col("p.a") == F.col("a.class")).join(b, F.col("p.b") == F.col("b.class")).where(links)
     return both.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("a.at").alias("doc_a"), F.col("b.at").alias("doc_b"))
 
 
@@ -273,7 +296,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     """near_duplicates() with hash, xxhash64 of the text, and label, which names the component of every row with words, with or without doc_id."""
     rows = written(described(docs, size), "sets")
     at = place_of(F.col("doc_id"), F.col("hash"))
-    classes = written(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = written(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "classes")
     n_classes = classes.count()
     made = []
     for part in range(DEALS):
@@ -281,7 +304,8 @@ def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
         shared = dealt.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
         made.append(written(dealt.join(shared.hint("shuffle_hash"), "sig").distinct(), "buckets"))
     buckets = reduce(DataFrame.unionByName, made)
-    known = classes.select("class", "at", "n", "sketch")
+    known = classes.select("class", "at", "n", "sketch", "wide")
+    wide = may_link_wide("a", "b", percent)
 
     links = labels = tried = None
     rows_left = buckets
@@ -294,21 +318,22 @@ def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "hub-pairs")
-        found = verified(described_pairs(pairs, known, percent), docs, percent, size)
+        found = verified(described_pairs(pairs, known, may_link("a", "b", percent) & wide), docs, percent, size)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "labels")
         if not found.limit(1).collect():
             break
     # What shares a signature across components still.
-    rest = written(unsettled(rows_left, labels).join(known, "class"), "open")
+    rest = written(unsettled(rows_left, labels).join(known.select("class", "n", "sketch"), "class"), "open")
     dropped(*made)
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent))
-    pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.at").alias("doc_a"), F.col("b.at").alias("doc_b")).distinct()
-    links = links.unionByName(verified(pairs, docs, percent, size))
-    labels = components(links)
+    pairs = written(pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct(), "open-pairs")
     dropped(rest)
+    links = links.unionByName(verified(described_pairs(pairs, known.drop("sketch"), wide), docs, percent, size))
+    labels = components(links)
+    dropped(pairs)
 
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "doc", F.coalesce("label", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
