@@ -30,7 +30,7 @@ MAX_BROADCAST_SETTLED = 1_000_000
 PARTS = 4
 #: Words are counted in 2 ** BUCKET_BITS buckets of their hashes.
 BUCKET_BITS = 14
-#: A listed line's meta: bits of the sketch, of the size, of the place; the largest size and place stand for all beyond and pass the filters.
+#: A listed line's meta: bits of the sketch, of the size, of the place; the largest size and place stand for all beyond and pass the filters. The sketch has another 64 bits in a column of its own, as 44 are full at some fifty words.
 _SKETCH, _SIZE, _PLACE = 44, 11, 9
 _MOST_SIZE, _MOST_PLACE = (1 << _SIZE) - 1, (1 << _PLACE) - 1
 _NO_ID = -(1 << 63)
@@ -89,40 +89,46 @@ def coded(line: Column, rank: list[int]) -> Column:
 
 
 def listed(lines: DataFrame, rank: list[int]) -> DataFrame:
-    """lines (doc, ln, base, line) with c1 and c2 (hashes of the set), keys (of the pairs of neighbours in the prefix) and meta (a sketch with a bit for each odd number of words that fall on it, and the size)."""
+    """lines (doc, ln, base, line) with c1 and c2 (hashes of the set), keys (of the pairs of neighbours in the prefix), meta and more (a sketch over both with a bit for each odd number of words that fall on it; meta has the size too)."""
     t = lines.select("doc", "ln", "base", coded(F.col("line"), rank).alias("s"))
     length = F.when(F.size("s") >= 4, F.floor(F.size("s") * 2 / 5).cast("int") + 1).otherwise(0)  # smaller sets match equal ones alone
     t = t.select("*", length.alias("prefix"))
     keys = F.zip_with(F.slice("s", F.lit(1), F.col("prefix")), F.slice("s", F.lit(2), F.col("prefix")), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 16))  # 48 bits: a list that two pairs share costs time alone
-    one, low = F.lit(1 << (_SIZE + _PLACE)).cast("bigint"), F.lit(1023).cast("bigint")
-    sketch = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(x.bitwiseAND(low) * _SKETCH, 10).cast("int"))))
-    meta = sketch.bitwiseOR(F.shiftleft(F.least(F.size("s"), F.lit(_MOST_SIZE)).cast("bigint"), _PLACE))
-    return t.select("doc", "ln", "base", F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"), keys.alias("keys"), meta.alias("meta"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    shifted = lambda unit, bits: F.call_function("shiftleft", unit, bits.cast("int"))
+    # A word is on one side or the other, by its lowest bit.
+    more = F.aggregate("s", zero, lambda acc, x: acc.bitwiseXOR(shifted(x.bitwiseAND(one), F.shiftright(x, 1).bitwiseAND(F.lit(63).cast("bigint")))))
+    sketch = F.aggregate("s", zero, lambda acc, x: acc.bitwiseXOR(shifted(x.bitwiseAND(one).bitwiseXOR(one), F.shiftrightunsigned(x, 7) % _SKETCH)))
+    meta = F.shiftleft(sketch, _SIZE + _PLACE).bitwiseOR(F.shiftleft(F.least(F.size("s"), F.lit(_MOST_SIZE)).cast("bigint"), _PLACE))
+    return t.select("doc", "ln", "base", F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"), keys.alias("keys"), meta.alias("meta"), more.alias("more"))
 
 
 def leaders(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc, ln, base, keys and meta of the first line of each set of words."""
-    rows = listed(lines, rarity(rows)).select("c1", "c2", F.struct("doc", "ln", "base").alias("at"), "keys", "meta")
-    return rows.groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("keys").alias("keys"), F.first("meta").alias("meta")).select("at.*", "keys", "meta")
+    """doc, ln, base, keys, meta and more of the first line of each set of words."""
+    rows = listed(lines, rarity(rows)).select("c1", "c2", F.struct("doc", "ln", "base").alias("at"), "keys", "meta", "more")
+    return rows.groupBy("c1", "c2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("keys", "meta", "more"))).select("at.*", "keys", "meta", "more")
 
 
-def may_match(a: Column, b: Column) -> Column:
-    """The filters on two metas, with the key's place: length, place, and that the sketches have no more odd bits than words may differ."""
+def may_match(one: str, two: str) -> Column:
+    """The filters on meta and more of two aliases (or structs), with the key's place: length, place, and that the sketches have no more odd bits than words may differ."""
+    a, b = F.col(f"{one}meta"), F.col(f"{two}meta")
     size = lambda m: F.shiftrightunsigned(m, _PLACE).bitwiseAND(F.lit(_MOST_SIZE))
     place = lambda m: m.bitwiseAND(F.lit(_MOST_PLACE))
     na, nb, pa, pb = size(a), size(b), place(a), place(b)
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
     most = F.least(pa, pb) + F.least(na - pa, nb - pb)  # words in common, at most
-    bits = 9 * F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), _SIZE + _PLACE)) <= na + nb
+    bits = 9 * (F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), _SIZE + _PLACE)) + F.bit_count(F.col(f"{one}more").bitwiseXOR(F.col(f"{two}more")))) <= na + nb
     beyond = (na == _MOST_SIZE) | (nb == _MOST_SIZE) | (pa == _MOST_PLACE) | (pb == _MOST_PLACE)
     return beyond | (length & bits & (9 * most >= 4 * (na + nb)))
 
 
-def matched(pairs: DataFrame, lines: DataFrame, broadcast: int) -> DataFrame:
-    """(doc, ln) of the later lines of pairs (d1, l1, d2, l2) whose whole sets match."""
+def matched(pairs: DataFrame, rows: DataFrame, broadcast: int) -> DataFrame:
+    """(doc, ln) of the later lines of pairs (d1, l1, d2, l2) whose whole sets match; only texts of rows that hold such lines are cut."""
     pairs = written(pairs.distinct(), "line-pairs")
     asked = written(pairs.select(F.col("d1").alias("doc"), F.col("l1").alias("ln")).unionByName(pairs.select(F.col("d2").alias("doc"), F.col("l2").alias("ln"))).distinct(), "lines-asked")
     few = asked.count() <= broadcast
+    docs = asked.select("doc").distinct()
+    lines = lines_of(rows.join(F.broadcast(docs) if few else docs, "doc", "left_semi"))
     sets = lines.join(F.broadcast(asked) if few else asked, ["doc", "ln"], "left_semi").select("doc", "ln", word_hashes(F.col("line")).alias("h"))
     sets = written(sets, "lines-sets")
     a, b = (sets.select(F.col("doc").alias(f"d{i}"), F.col("ln").alias(f"l{i}"), F.col("h").alias(f"h{i}")) for i in (1, 2))
@@ -135,33 +141,33 @@ def matched(pairs: DataFrame, lines: DataFrame, broadcast: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)  # each line is in one part
 
 
-def repeats(first: DataFrame, lines: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED, parts: int = PARTS) -> DataFrame:
-    """(doc, ln) of the leaders that an earlier leader matches. The keys are taken in so many parts, one after the other."""
-    rows = first.select(F.posexplode("keys").alias("place", "key"), "doc", "ln", "meta")
-    rows = rows.select("key", "doc", "ln", F.col("meta").bitwiseOR(F.least("place", F.lit(_MOST_PLACE)).cast("bigint")).alias("meta"))
-    head = F.first(F.struct("doc", "ln", "meta")).over(Window.partitionBy("key").orderBy("doc", "ln"))
+def repeats(first: DataFrame, texts: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED, parts: int = PARTS) -> DataFrame:
+    """(doc, ln) of the leaders (of the rows texts) that an earlier leader matches. The keys are taken in so many parts, one after the other."""
+    rows = first.select(F.posexplode("keys").alias("place", "key"), "doc", "ln", "meta", "more")
+    rows = rows.select("key", "doc", "ln", "more", F.col("meta").bitwiseOR(F.least("place", F.lit(_MOST_PLACE)).cast("bigint")).alias("meta"))
+    head = F.first(F.struct("doc", "ln", "meta", "more")).over(Window.partitionBy("key").orderBy("doc", "ln"))
     shared, pairs = [], []
 
     # Each line against the first of its key.
     for i in range(parts):
         t = rows.where(F.col("key") % parts == i).withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1")
-        shared.append(written(t.select("key", "doc", "ln", "meta", "times", head.alias("head")), "lines-shared"))
-        near = shared[-1].where(((F.col("head.doc") != F.col("doc")) | (F.col("head.ln") != F.col("ln"))) & may_match(F.col("head.meta"), F.col("meta")))
+        shared.append(written(t.select("key", "doc", "ln", "meta", "more", "times", head.alias("head")), "lines-shared"))
+        near = shared[-1].where(((F.col("head.doc") != F.col("doc")) | (F.col("head.ln") != F.col("ln"))) & may_match("head.", ""))
         pairs.append(written(near.select(F.col("head.doc").alias("d1"), F.col("head.ln").alias("l1"), F.col("doc").alias("d2"), F.col("ln").alias("l2")).distinct(), "lines-near"))
-    found = matched(reduce(DataFrame.unionByName, pairs), lines, broadcast)
+    found = matched(reduce(DataFrame.unionByName, pairs), texts, broadcast)
     dropped(*pairs)
 
     # What that doesn't settle, against all others before it: two lines alone under a key have been compared.
     settled, pairs = F.broadcast(found) if found.count() <= broadcast else found, []
     earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.ln") < F.col("b.ln")))
     for part in shared:
-        t = part.where("times > 2").select("key", "doc", "ln", "meta")
+        t = part.where("times > 2").select("key", "doc", "ln", "meta", "more")
         a, b = t.alias("a"), t.join(settled, ["doc", "ln"], "left_anti").alias("b")
-        both = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & may_match(F.col("a.meta"), F.col("b.meta")))
+        both = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & may_match("a.", "b."))
         both = both.select(F.col("a.doc").alias("d1"), F.col("a.ln").alias("l1"), F.col("b.doc").alias("d2"), F.col("b.ln").alias("l2"))
         pairs.append(written(both.distinct(), "lines-near"))
         dropped(part)
-    out = found.unionByName(matched(reduce(DataFrame.unionByName, pairs), lines, broadcast)).distinct()
+    out = found.unionByName(matched(reduce(DataFrame.unionByName, pairs), texts, broadcast)).distinct()
     dropped(*pairs)
     return out
 
@@ -175,9 +181,8 @@ def deduplicated(docs: DataFrame, broadcast: int = MAX_BROADCAST_SETTLED) -> Dat
     long. An empty table gives no rows.
     """
     rows, _ = numbered(docs)
-    lines = lines_of(rows)
-    first = written(leaders(rows, lines), "lines-first")
-    gone = repeats(first, lines, broadcast)
+    first = written(leaders(rows, lines_of(rows)), "lines-first")
+    gone = repeats(first, rows, broadcast)
     gone = F.broadcast(gone) if gone.count() <= broadcast else gone
     kept = first.select("doc", "ln", "base").join(gone, ["doc", "ln"], "left_anti")
     kept = written(kept.groupBy("doc", "base").agg(F.collect_list(F.col("ln") - F.col("base")).alias("stay")), "lines-kept")
